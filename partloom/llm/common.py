@@ -64,3 +64,39 @@ def uniform(*cols: Column | str, seed: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def labelled_sample(labels: DataFrame, columns: list[str], rows: int, seed: int = 0) -> DataFrame:
+    """doc_id and columns of at most rows labelled documents, picked by a seeded hash.
+
+    Null identifiers and labels don't count; of contradicting labels the largest holds.
+    """
+    whole = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*(F.max(c).alias(c) for c in columns)).dropna()
+    return whole.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(rows)
+
+
+def kth_largest(df: DataFrame, column: str, k: int, bins: int = 2048, enough: int = 4096) -> float | None:
+    """The k-th largest value of a column without nulls, by narrowing histograms.
+
+    Each round counts the values of one range in so many bins; only when few
+    values are left are they fetched.  None if there are fewer than k.
+    """
+    values = df.select(F.col(column).cast("double").alias("x"))
+    lo, hi, n = values.agg(F.min("x"), F.max("x"), F.count("x")).first()
+    if k < 1 or n < k:
+        return None
+    while n > enough and lo < hi:
+        width = (hi - lo) / bins
+        if not width > 0:
+            break
+        at = F.least(F.floor((F.col("x") - lo) / width), F.lit(bins - 1)).alias("bin")
+        counts = values.where(F.col("x").between(lo, hi)).groupBy(at)
+        found = sorted(counts.agg(F.count("x"), F.min("x"), F.max("x")).collect(), reverse=True)
+        for _, n, low, high in found:
+            if n >= k:
+                lo, hi = low, high
+                break
+            k -= n
+    if lo == hi:
+        return lo
+    return values.where(F.col("x").between(lo, hi)).orderBy(F.desc("x")).limit(k).agg(F.min("x")).first()[0]
