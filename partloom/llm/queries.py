@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partloom.llm import exact, line_dedup, media, mixing, packing, quality, toxicity, warc
+from partloom.llm import exact, line_dedup, media, mixing, packing, quality, substring, toxicity, warc
 from partloom.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
     "op7_line_dedup": op7_line_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
@@ -125,6 +130,28 @@ ORACLE_SQL = {
                    list_filter(range(0, len(lines)), lambda i: NOT list_contains(gone, i)), lambda i: lines[i + 1]), chr(10)), '')
                END AS text
         FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
+    "op9_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), w AS (
+            SELECT doc_id, start, array_to_string(words[start + 1 : start + 20], ' ') AS w
+            FROM (SELECT doc_id, words, unnest(range(0, len(words) - 19)) AS start FROM d WHERE len(words) >= 20)
+        ), r AS (
+            SELECT doc_id, start FROM (SELECT doc_id, start, row_number() OVER (PARTITION BY w ORDER BY doc_id, start) AS k FROM w)
+            WHERE k > 1
+        ), c AS (
+            SELECT doc_id, list(DISTINCT place) AS gone FROM (SELECT doc_id, unnest(range(start, start + 20)) AS place FROM r) GROUP BY doc_id
+        ), f AS (
+            SELECT doc_id, pos, words[pos + 1] AS word
+            FROM (SELECT doc_id, words, unnest(range(0, len(words))) AS pos FROM d) AS x
+        ), k AS (
+            SELECT f.doc_id, string_agg(word, ' ' ORDER BY pos) AS kept
+            FROM f ANTI JOIN (SELECT doc_id, unnest(gone) AS pos FROM c) AS g ON f.doc_id = g.doc_id AND f.pos = g.pos
+            GROUP BY f.doc_id
+        )
+        SELECT d.doc_id, len(words) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN k ON d.doc_id = k.doc_id""",
     "op10_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
