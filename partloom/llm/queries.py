@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partloom.llm import exact, line_dedup, media, mixing, packing, quality, substring, toxicity, warc
+from partloom.llm import exact, line_dedup, media, minhash, mixing, packing, quality, substring, toxicity, warc
 from partloom.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("tkey")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_substrings(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
     "op7_line_dedup": op7_line_dedup,
+    "op8_minhash": op8_minhash,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }

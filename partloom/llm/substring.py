@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from partloom.llm.blooms import MOST_BITS, bloom_of
 from partloom.llm.common import materialize, n_partitions, small_batches, text_key
-from partloom.llm.words import Bloom, run_codes, word_codes
+from partloom.llm.words import Bloom, gathered, one_array, run_codes, word_codes
 
 PREFIX = 6
 _BLOCK = 1 << 22  # words of a document looked at together; anchors hold their place in 24 bits
@@ -87,22 +87,6 @@ def windows_of(texts: pa.Array, size: int) -> Windows:
     return Windows(*([np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, k) for k in kinds]))
 
 
-def gathered(batches: Iterator[pa.RecordBatch], texts_bytes: int = 6_000_000) -> Iterator[pa.Table]:
-    """Batches put together until their texts reach so many bytes."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b["text"].nbytes for b in held) >= texts_bytes:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held = []
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
-def _one(column: pa.ChunkedArray) -> pa.Array:
-    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
-
-
 def later_ones(prefix: np.ndarray, code: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each window: an equal one has an earlier (doc, start); it is the first of its equals."""
     order = np.lexsort((start, doc, code, prefix))
@@ -126,7 +110,7 @@ def prefix_counts(docs: DataFrame, size: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in gathered(batches):
-            w = windows_of(_one(table["text"]), size)
+            w = windows_of(one_array(table["text"]), size)
             new = np.ones(len(w.row), bool)
             new[1:] = (w.row[1:] != w.row[:-1]) | (w.anchor[1:] != w.anchor[:-1])
             prefix, n = np.unique(w.prefix[new], return_counts=True)
@@ -146,11 +130,11 @@ def suffix_groups(docs: DataFrame, size: int, leaves: Bloom, frequent: np.ndarra
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in gathered(batches):
-            w = windows_of(_one(table["text"]), size)
+            w = windows_of(one_array(table["text"]), size)
             w = w.where(leaves.has(w.prefix))
             if not len(w.row):
                 continue
-            docs_of = _one(table["doc"]).to_numpy(zero_copy_only=False)
+            docs_of = one_array(table["doc"]).to_numpy(zero_copy_only=False)
             later, first = later_ones(w.prefix, w.code, docs_of[w.row], w.start)
             hot = np.isin(w.prefix, frequent)
             # a row for each anchor; of a frequent prefix, for each window
@@ -169,8 +153,8 @@ def suffix_groups(docs: DataFrame, size: int, leaves: Bloom, frequent: np.ndarra
             kept = pa.RecordBatch.from_arrays(
                 [
                     pa.array(route.astype(np.int32)),
-                    _one(table["doc"]).take(rows),
-                    _one(table["tkey"]).take(rows),
+                    one_array(table["doc"]).take(rows),
+                    one_array(table["tkey"]).take(rows),
                     pa.array(w.start[at].astype(np.int32)),
                     pa.array(repeats),
                     pa.array(asked),
@@ -187,15 +171,15 @@ def suffix_groups(docs: DataFrame, size: int, leaves: Bloom, frequent: np.ndarra
 def _group_repeats(table: pa.Table) -> pa.Table:
     """Of one group's suffixes: doc, tkey, lo, and the bits of those that repeat."""
     table = table.combine_chunks()
-    asked = _one(table["asked"]).to_numpy()
-    codes = _one(table["codes"])
+    asked = one_array(table["asked"]).to_numpy()
+    codes = one_array(table["codes"])
     per = np.diff(codes.offsets.to_numpy())
     which = np.repeat(np.arange(len(asked)), per)
     # the k-th code belongs to the k-th bit that is set
     bits = np.flatnonzero(((asked[:, None] >> np.arange(31)) & 1).ravel()) % 31
     code = codes.flatten().to_numpy().view(np.uint64)
-    doc, lo = _one(table["doc"]).to_numpy(), _one(table["lo"]).to_numpy()
-    prefix = _one(table["prefix"]).to_numpy().view(np.uint64)
+    doc, lo = one_array(table["doc"]).to_numpy(), one_array(table["lo"]).to_numpy()
+    prefix = one_array(table["prefix"]).to_numpy().view(np.uint64)
     later, _ = later_ones(prefix[which], code, doc[which], lo[which] + bits)
     repeats = np.bincount(which, np.where(later, np.int64(1) << bits, 0), len(asked)).astype(np.int32)
     out = table.select(["doc", "tkey", "lo"]).append_column("repeats", pa.array(repeats))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,6 +12,22 @@ import xxhash
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], texts_bytes: int = 6_000_000) -> Iterator[pa.Table]:
+    """Batches put together until their texts reach so many bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b["text"].nbytes for b in held) >= texts_bytes:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def one_array(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
+
+
 def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The codes of all words (between ASCII white space), and each text's number of words."""
     split = pc.ascii_split_whitespace(texts)
