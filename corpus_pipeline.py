@@ -1,12 +1,64 @@
-"""The corpus pipeline: STAGES in order, each over what the one before kept."""
+"""The corpus pipeline: STAGES in order, each over what the one before kept.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and read again as the next one's docs.  All but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from partloom.llm import line_dedup, minhash, mixing, packing, quality
+from partloom.llm.common import materialize, table
+from partloom.llm.queries import tokenizer_path
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling keeps."""
+    return quality.keep_quality(docs, table(spark, sf_dir, "labels"))
+
+
+def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines of repeated three-line windows, their lengths anew."""
+    cut = line_dedup.dedup_lines(docs)
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return cut.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return minhash.keep_one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their sources takes them."""
+    return mixing.take_mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("line dedup", line_filter),
+    ("MinHash near-dedup", near_duplicate_filter),
+    ("mixing sources", mix_sources),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
+#: The stages' seeded choices and tokenizers can't be written in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Every stage over documents; what lies between is written and reread."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = materialize(docs, f"stage{i}")
+    return docs
