@@ -18,67 +18,94 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partloom.llm.common import text_key
+from partloom.llm.words import one_array
 
 END_ID = 1
 WINDOW = 2048
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 8_000_000
 
-#: What the documents' words are cut at; each is white space for the tokenizer too.
-_GAPS = str.maketrans("\t\n\x0b\x0c\r", "     ")
+#: Signs that are a token of their own behind a word of letters alone.
+_SIGNS = frozenset(",.!?;:")
 
 
 class WordEncoder:
     """Token ids of whole texts by way of their words.
 
-    The tokenizer drops white space and never merges across it, so a text's ids
-    are its words' ids in a row.  Each word is encoded once; ids are kept as
-    little-endian 16-bit bytes.  The cache is emptied when it holds max_words.
+    The tokenizer drops white space and never merges across it, nor across the
+    border of letters and signs, and it lowers case.  So a text's ids are its
+    words' ids in a row, and a word of letters and one sign is two known parts.
+    Each part is encoded once; its ids are kept as little-endian 16-bit bytes.
+    The cache stops growing at max_words: frequent words came early.
     """
 
-    def __init__(self, path: str, max_words: int = 400_000) -> None:
+    def __init__(self, path: str, max_words: int = 700_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.max_words = max_words
-        self.cache: dict[str, bytes] = {"": b""}
-        # words are encoded many to a string, parted by a digit that is always one id
+        self.cache: dict[str, bytes] = {}
+        # parts are encoded many to a string, set apart by a digit that is always one id
         ids = self.tokenizer.encode("0", add_special_tokens=False).ids
         self.gap = ids[0] if len(ids) == 1 else None
 
-    def _learn(self, words: list[str]) -> None:
-        joined = [w for w in words if "0" not in w] if self.gap is not None else []
-        alone = [w for w in words if "0" in w or self.gap is None]
-        for i in range(0, len(joined), 1000):
-            part = joined[i : i + 1000]
-            ids = np.array(self.tokenizer.encode(" 0 ".join(part), add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.gap)
-            if len(cuts) != len(part) - 1:
-                alone += part
-                continue
-            data = ids.astype("<u2").tobytes()
-            starts = [0, *((cuts + 1) * 2).tolist()]
-            ends = [*(cuts * 2).tolist(), len(data)]
-            self.cache.update((w, data[a:b]) for w, a, b in zip(part, starts, ends, strict=True))
+    def _learn(self, parts: list[str], together: int = 100) -> dict[str, bytes]:
+        known: dict[str, bytes] = {}
+        alone = [w for w in parts if "0" in w or self.gap is None]
+        if self.gap is not None:
+            parts = [w for w in parts if "0" not in w]
+            groups = [parts[i : i + together] for i in range(0, len(parts), together)]
+            for i in range(0, len(groups), 100):
+                some = groups[i : i + 100]
+                found = self.tokenizer.encode_batch([" 0 ".join(g) for g in some], add_special_tokens=False)
+                for group, e in zip(some, found, strict=True):
+                    ids = np.array(e.ids, "<u2")
+                    cuts = np.flatnonzero(ids == self.gap) * 2
+                    if len(cuts) != len(group) - 1:
+                        alone += group
+                        continue
+                    data = ids.tobytes()
+                    for w, lo, hi in zip(group, [0, *(cuts + 2).tolist()], [*cuts.tolist(), len(data)], strict=True):
+                        known[w] = data[lo:hi]
         for i in range(0, len(alone), 1000):
-            part = alone[i : i + 1000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u2").tobytes()
+            for w, e in zip(alone[i : i + 1000], self.tokenizer.encode_batch(alone[i : i + 1000], add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, "<u2").tobytes()
+        return known
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    @staticmethod
+    def parts(word: str) -> tuple[str, str]:
+        """A word of letters, and the sign behind it if there is one; else the whole."""
+        core, sign = (word[:-1], word[-1]) if word[-1:] in _SIGNS and word[:-1].isalpha() else (word, "")
+        return (core.lower() if core.isascii() else core), sign
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text, with the end id."""
-        words = [t.translate(_GAPS).split(" ") for t in texts]
-        new = set().union(*words) - self.cache.keys()
-        if len(self.cache) + len(new) > self.max_words:
-            self.cache = {"": b""}
-            new = set().union(*words)
-        self._learn(sorted(new))
-        end = np.array([END_ID], "<u2").tobytes()
-        return [np.frombuffer(b"".join(map(self.cache.__getitem__, w)) + end, "<u2") for w in words]
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words = [self.parts(w) for w in coded.dictionary.to_pylist()]
+        wanted = {x for w in words for x in w}
+        new = self._learn(sorted(wanted - self.cache.keys()))
+        known = self.cache
+        known |= new
+        data = [known[a] + known[b] if b else known[a] for a, b in words]
+        data.append(np.array([END_ID], "<u2").tobytes())
+        if len(known) > self.max_words:
+            for w in new:
+                del known[w]
+        sizes = np.fromiter(map(len, data), np.int64, len(data)) // 2
+        flat, starts = np.frombuffer(b"".join(data), "<u2"), np.cumsum(sizes) - sizes
+        lengths = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        at = np.insert(coded.indices.to_numpy(zero_copy_only=False), np.cumsum(lengths), len(words))
+        # gather each word's ids
+        n = sizes[at]
+        ends = np.cumsum(n)
+        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - ends + n, n)]
+        return np.split(ids, ends[np.cumsum(lengths + 1) - 1][:-1]) if len(lengths) else []
 
 
 @lru_cache(1)
@@ -211,7 +238,7 @@ def pack(
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         number = table["shard"][0].as_py()
         names = table["doc_id"].to_pylist()
-        ids = _encoder(tokenizer).encode(table["text"].to_pylist())
+        ids = _encoder(tokenizer).encode(one_array(table["text"]))
         out = []
         for k, window in enumerate(windows(ids, query_terms)):
             offset = 0
