@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -27,3 +27,15 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(target))
         _shipped.add(sc.applicationId)
     return spark
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the folder that all of the cluster sees.
+
+    That is the one of spark.checkpoint.dir; where none is set, as in tests, a
+    temporary one.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="partloom-"))
+    return df.checkpoint()
