@@ -29,8 +29,9 @@ from partloom.llm.blooms import MOST_BITS, bloom_of
 from partloom.llm.common import materialize, small_batches, text_key
 from partloom.llm.words import Bloom, gathered, mix, one_array, run_codes, word_codes
 
-REGISTERS = 193  # a prime, so that every step walks through all registers
+REGISTERS = 389  # a prime, so that every step walks through all registers
 BANDS, ROWS = 32, 6
+COMPARED = 384  # registers of which four bits each are kept, 16 to a long
 
 
 def shingles(codes: np.ndarray, lengths: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,7 +88,7 @@ _SIGNED = "doc_id long, tkey long, row long, key long, n int, node long, check l
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """A row for each of docs: n shingles, node and check (two codes of the whole
-    set), the codes of its bands and a bit of each register."""
+    set), the codes of its bands and four bits of each register."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in gathered(batches, 2_000_000):
@@ -98,7 +99,8 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             band = np.zeros((k, BANDS), np.uint64)
             for r in range(ROWS):
                 band = mix(band * np.uint64(31) + sig[:, r : BANDS * ROWS : ROWS] + np.arange(BANDS, dtype=np.uint64))
-            bits = np.packbits((mix(sig[:, :192]) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+            four = (mix(sig[:, :COMPARED]) & np.uint64(15)).astype(np.uint8)
+            bits = (four[:, ::2] | four[:, 1::2] << 4).view(np.int64)
             node, check = set_codes(row, shingle, k)
             offsets = lambda width: pa.array(np.arange(k + 1, dtype=np.int32) * width)
             yield pa.RecordBatch.from_arrays(
@@ -108,7 +110,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     pa.array(node.view(np.int64)),
                     pa.array(check.view(np.int64)),
                     pa.ListArray.from_arrays(offsets(BANDS), pa.array(band.view(np.int64).ravel())),
-                    pa.ListArray.from_arrays(offsets(3), pa.array(bits.ravel())),
+                    pa.ListArray.from_arrays(offsets(COMPARED // 16), pa.array(bits.ravel())),
                 ],
                 ["doc_id", "tkey", "row", "key", "n", "node", "check", "bands", "bits"],
             )
@@ -181,14 +183,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def _alike(least: float) -> Column:
     """Of rows x and y: sizes and signature bits allow the similarity.
 
-    A register's bit differs in (1 - similarity) / 2 of the cases; the slack is
-    over five standard deviations of the sum over 192 registers.
+    Four bits of a register differ in 15/16 of (1 - similarity) of the cases; the
+    slack is four standard deviations of the number of registers that differ.
     """
-    differ = sum((F.bit_count(F.get("x.bits", i).bitwiseXOR(F.get("y.bits", i))) for i in range(3)), F.lit(0))
-    p = (1 - least) / 2
-    slack = 5.2 * (192 * p * (1 - p)) ** 0.5
+    differ = F.lit(0)
+    for i in range(COMPARED // 16):
+        d = F.get("x.bits", i).bitwiseXOR(F.get("y.bits", i))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        differ = differ + F.bit_count(d)
+    p = (1 - least) * 15 / 16
+    slack = 4 * (COMPARED * p * (1 - p)) ** 0.5
     sizes = F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")
-    return sizes & (differ <= int(192 * p + slack))
+    return sizes & (differ <= int(COMPARED * p + slack))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
@@ -253,6 +260,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
     class_of = materialize(class_of, "classes")
     heads = class_of.where("label IS NOT NULL").groupBy("label").agg(F.min(at).alias("head"), F.count("*").alias("class_size"))
+    heads = materialize(heads, "heads")  # so that a join with a very large class can be split
     named = class_of.join(heads, "label", "left")
     return named.select(
         "doc_id",
