@@ -31,6 +31,7 @@ ARC_TITLES = {
     b"2": b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 HTTP_RESPONSE = "application/http; msgtype=response"
+GZIP_LEVEL = 4
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -65,7 +66,7 @@ def write_arc(name: str, version: bytes, records: list[tuple[str, str, str, str,
     for url, ip, date, kind, block in records:
         line = " ".join([url.replace(" ", "%20").replace("\n", "%0A") or "-", ip, date, kind]).encode()
         members.append(line + dashes + b" %d\n" % len(block) + block + b"\n")
-    return b"".join(gzip.compress(m, 1, mtime=0) for m in members)
+    return b"".join(gzip.compress(m, GZIP_LEVEL, mtime=0) for m in members)
 
 
 def members(data: bytes, step: int = 1 << 14) -> Iterator[tuple[int, bytes]]:
@@ -146,7 +147,7 @@ def to_warc(archive: str, record: ArcRecord, original: tuple[str, int | None] |
         if original[1] is not None:
             lines.append(f"WARC-Refers-To-Page: {original[1]}")
     lines += [f"WARC-Block-Digest: sha1:{base32_sha1(block)}", f"Content-Length: {len(block)}"]
-    return gzip.compress("\r\n".join(["WARC/1.1", *lines, "", ""]).encode() + block + b"\r\n\r\n", 1, mtime=0)
+    return gzip.compress("\r\n".join(["WARC/1.1", *lines, "", ""]).encode() + block + b"\r\n\r\n", GZIP_LEVEL, mtime=0)
 
 
 def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
