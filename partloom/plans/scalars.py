@@ -60,7 +60,7 @@ def path_normaliser(spark, sf):
 
 
 @query(f"""WITH {BOM} SELECT doc, row_no, level AS by_dots, level AS by_digits, level AS lenient, CASE qty WHEN '1' THEN '1' WHEN '2.0' THEN '2' ELSE qty END AS qty,
-    CASE qty WHEN '1' THEN 1.0 WHEN '2.0' THEN 2.0 WHEN '1EA' THEN 1.0 WHEN '0.5' THEN 0.5 ELSE 0.0 END AS number, CASE qty WHEN '1' THEN 1 WHEN '2.0' THEN 2 WHEN '0.5' THEN 0 END AS whole,
+    CAST(CASE qty WHEN '1' THEN 1.0 WHEN '2.0' THEN 2.0 WHEN '1EA' THEN 1.0 WHEN '0.5' THEN 0.5 ELSE 0.0 END AS DOUBLE) AS number, CASE qty WHEN '1' THEN 1 WHEN '2.0' THEN 2 WHEN '0.5' THEN 0 END AS whole,
     (['O', 'X', NULL, 'O', 'X', '?'])[CAST(row_no % 6 AS INTEGER) + 1] AS flag FROM bom""")
 def levels_and_quantities(spark, sf):
     raw, q = F.col("raw_level"), F.col("qty")
