@@ -242,11 +242,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # what is still apart within a bucket
     open_to = members.select("key", "node").join(labels, "node")
     apart = open_to.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("key")
-    still = open_to.join(apart, "key").join(nodes.select("node", "n", "bits"), "node")
+    still = open_to.join(apart, "key").join(nodes.select("node", "n", "bits", "bands"), "node")
     still = materialize(still, "open")
     pairs = still.alias("x").join(still.alias("y"), F.col("x.key") == F.col("y.key"))
-    pairs = pairs.where((F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & _alike(least))
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    # of the buckets that two nodes share, the first one makes the pair
+    once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")
+    pairs = pairs.where((F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & _alike(least) & once)
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     tested = to_centre.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
     second = _verified(pairs, sets, least)
