@@ -30,7 +30,7 @@ WINDOW = 2048
 SHARD_BYTES = 8_000_000
 
 #: Signs that are a token of their own behind a word of letters alone.
-_SIGNS = frozenset(",.!?;:")
+_SIGNS = list(",.!?;:")
 
 
 class WordEncoder:
@@ -77,35 +77,44 @@ class WordEncoder:
                 known[w] = np.array(e.ids, "<u2").tobytes()
         return known
 
-    @staticmethod
-    def parts(word: str) -> tuple[str, str]:
-        """A word of letters, and the sign behind it if there is one; else the whole."""
-        core, sign = (word[:-1], word[-1]) if word[-1:] in _SIGNS and word[:-1].isalpha() else (word, "")
-        return (core.lower() if core.isascii() else core), sign
-
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text, with the end id."""
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        words = [self.parts(w) for w in coded.dictionary.to_pylist()]
-        wanted = {x for w in words for x in w}
-        new = self._learn(sorted(wanted - self.cache.keys()))
+        words = coded.dictionary
+        # a word of letters with a sign behind it is two parts; ASCII parts are lower case
+        signed = pc.match_substring_regex(words, r"^\pL+[,.!?;:]$")
+        cores = pc.if_else(signed, pc.utf8_slice_codeunits(words, 0, -1), words)
+        cores = pc.if_else(pc.string_is_ascii(cores), pc.ascii_lower(cores), cores).dictionary_encode()
+        signs = pc.if_else(signed, pc.utf8_slice_codeunits(words, -1), "")
+        parts = [*cores.dictionary.to_pylist(), *_SIGNS]
         known = self.cache
+        new = self._learn([p for p in parts if p not in known])
         known |= new
-        data = [known[a] + known[b] if b else known[a] for a, b in words]
+        data = [known[p] for p in parts]
         data.append(np.array([END_ID], "<u2").tobytes())
         if len(known) > self.max_words:
             for w in new:
                 del known[w]
         sizes = np.fromiter(map(len, data), np.int64, len(data)) // 2
         flat, starts = np.frombuffer(b"".join(data), "<u2"), np.cumsum(sizes) - sizes
+        # every word's parts in a row, and the end id behind each text
+        core_of = cores.indices.to_numpy(zero_copy_only=False)
+        sign_of = pc.index_in(signs, pa.array(_SIGNS)).fill_null(-1).to_numpy(zero_copy_only=False)
+        sign_of = np.where(sign_of >= 0, sign_of + len(cores.dictionary), -1)
         lengths = pc.list_value_length(split).to_numpy(zero_copy_only=False)
-        at = np.insert(coded.indices.to_numpy(zero_copy_only=False), np.cumsum(lengths), len(words))
-        # gather each word's ids
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        behind = sign_of[word]
+        n_parts = 1 + (behind >= 0)
+        at = np.repeat(core_of[word], n_parts)
+        last = np.cumsum(n_parts)
+        at[last[behind >= 0] - 1] = behind[behind >= 0]
+        text_ends = np.concatenate([[0], last])[np.cumsum(lengths)]
+        at = np.insert(at, text_ends, len(data) - 1)
         n = sizes[at]
         ends = np.cumsum(n)
         ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - ends + n, n)]
-        return np.split(ids, ends[np.cumsum(lengths + 1) - 1][:-1]) if len(lengths) else []
+        return np.split(ids, ends[text_ends + np.arange(len(lengths))][:-1]) if len(lengths) else []
 
 
 @lru_cache(1)
