@@ -11,8 +11,9 @@ are verified on their whole shingle sets.
 Documents with equal shingle sets are one node.  In each bucket of a band the
 most connected node is the centre, and the others are verified against it
 alone.  What that leaves open, nodes of a bucket that are still in different
-classes, is verified pair by pair if sizes and signatures allow a link, so no
-link between different texts is lost, while a large group of copies or
+classes, is compared pair by pair within the bucket, by sizes and signature
+bits first, then whole sets, and gives only links, so no link between different
+texts is lost, while a large group of copies or
 near-copies costs one comparison for each member.
 """
 
@@ -171,13 +172,17 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = materialize(labels.join(hook, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
 
 
+def _similar(a: str, b: str, least: float) -> Column:
+    """Two sets' Jaccard similarity is least or more."""
+    both = F.size(F.array_intersect(a, b))
+    return both >= least * (F.size(a) + F.size(b) - both)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """a, b of the pairs whose sets' Jaccard similarity is least or more."""
+    """a, b of the pairs whose sets are similar."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("both", both)
-    return joined.where(F.col("both") >= least * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").where(_similar("sa", "sb", least)).select("a", "b")
 
 
 def _alike(least: float) -> Column:
@@ -242,16 +247,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # what is still apart within a bucket
     open_to = members.select("key", "node").join(labels, "node")
     apart = open_to.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("key")
-    still = open_to.join(apart, "key").join(nodes.select("node", "n", "bits", "bands"), "node")
+    still = open_to.join(apart, "key").join(nodes.select("node", "n", "bits", "bands"), "node").join(sets, "node")
     still = materialize(still, "open")
     pairs = still.alias("x").join(still.alias("y"), F.col("x.key") == F.col("y.key"))
-    # of the buckets that two nodes share, the first one makes the pair
+    # of the buckets that two nodes share, the first one compares them
     once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")
-    pairs = pairs.where((F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & _alike(least) & once)
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    tested = to_centre.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-    second = _verified(pairs, sets, least)
+    apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
+    second = pairs.where(apart & _alike(least) & once & _similar("x.shingles", "y.shingles", least))
+    second = second.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     linked = materialize(first.unionByName(second), "all-links")
     labels = components(wanted, linked)
 
