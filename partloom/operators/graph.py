@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partloom.functions.levels import impact_kind
-from partloom.functions.text import blank_to_null, is_part_no, part_id, part_no, search_text
+from partloom.functions.text import blank_to_null, case_id, document_id, is_part_no, part_id, part_no, search_text
 from partloom.operators.classify import direct_part_no, direct_role, effective_part_no, graph_classification
 from partloom.operators.hierarchy import ancestors_by_stack, closure
 from partloom.operators.merge import first_wins
@@ -133,3 +133,34 @@ def replacement_chain(edges: DataFrame, start: DataFrame, *, max_depth: int = 20
     from partloom.operators.hierarchy import walk
 
     return walk(edges.select(F.col("from_part_id").alias("src"), F.col("to_part_id").alias("dst")), start, max_depth=max_depth)
+
+
+# The fields that columns of sheets map to.
+CANONICAL_FIELDS = [
+    ("row_no", "integer"), ("bom_level", "integer"), ("part_type", "string"), ("base_part_no", "string"), ("new_part_no", "string"), ("part_name", "string"),
+    ("quantity", "string"), ("changing_point", "string"), ("changing_reason", "string"), ("supplier_name", "string"), ("classification", "string"),
+]
+
+
+def document_tables(sheets: DataFrame) -> dict[str, DataFrame]:
+    """source_documents, review_cases and the edges between them.
+
+    sheets: file, sheet, base_model, new_model, event; one row for each sheet.
+    """
+    cell = {c: F.coalesce(F.col(c), F.lit("")) for c in ("base_model", "new_model", "event")}
+    document = document_id(F.col("file"), F.col("sheet"))
+    case = case_id(cell["base_model"], cell["new_model"], cell["event"], document)
+    both = sheets.select(document.alias("document_id"), case.alias("case_id"), "file", "sheet", *(c.alias(n) for n, c in cell.items()))
+    said = search_text(F.col("file"), F.col("sheet"), *(F.col(n) for n in cell))
+    return {
+        "source_documents": both.select("document_id", F.col("file").alias("file_name"), F.col("sheet").alias("sheet_name")),
+        "review_cases": both.select("case_id", "base_model", "new_model", "event", said.alias("search_text")),
+        "document_case_edges": both.select("document_id", "case_id"),
+    }
+
+
+def source_columns(headers: DataFrame) -> DataFrame:
+    """source_column_id, document_id, raw_column_name, column_index, canonical_field_key of headers (document_id, column_index, raw_column_name, field)."""
+    known = [n for n, _ in CANONICAL_FIELDS]
+    field = F.when(F.col("field").isin(known), F.col("field")).otherwise("")
+    return headers.select(F.concat_ws(":", "document_id", F.lit("col"), F.col("column_index").cast("string")).alias("source_column_id"), "document_id", "raw_column_name", "column_index", field.alias("canonical_field_key"))

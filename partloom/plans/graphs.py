@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from partloom.operators import graph
 from partloom.plans.bom import BOM, CLIMB, KINDS, STACK, bom_rows, part_id_sql
-from partloom.plans.registry import query
+from partloom.plans.registry import query, table
 
 _OK = "NOT IN ('', '-', 'X', 'x', '←', 'nan', 'None')"
 _RAW = f"""raw AS (
@@ -106,3 +108,35 @@ def graph_full_text(spark, sf):
 def replacement_chains(spark, sf):
     edges = graph.build(bom_rows(spark, sf))["replacement_edges"]
     return graph.replacement_chain(edges, edges.selectExpr("from_part_id AS node"))
+
+
+def _sheets(spark, sf):
+    event = F.when(F.col("s_suppkey") % 2 == 0, "PP")
+    return table(spark, sf, "supplier").select(F.col("s_name").alias("file"), F.lit("Master").alias("sheet"), F.concat(F.lit("M"), F.col("s_nationkey").cast("string")).alias("base_model"), F.lit("WSED7613B").alias("new_model"), event.alias("event"))
+
+
+_DOCS = """d AS (SELECT *, 'doc:' || substr(sha1(s_name || '|Master'), 1, 24) AS document_id, 'M' || s_nationkey AS base_model, CASE WHEN s_suppkey % 2 = 0 THEN 'PP' ELSE '' END AS event FROM supplier),
+    e AS (SELECT *, 'case:' || substr(sha1(base_model || '|WSED7613B|' || event || '|' || document_id), 1, 24) AS case_id FROM d)"""
+
+
+@query(f"WITH {_DOCS} SELECT document_id, s_name AS file_name, 'Master' AS sheet_name FROM e")
+def source_documents(spark, sf):
+    return graph.document_tables(_sheets(spark, sf))["source_documents"]
+
+
+@query(f"WITH {_DOCS} SELECT case_id, base_model, 'WSED7613B' AS new_model, event, concat_ws(' | ', s_name, 'Master', base_model, 'WSED7613B', nullif(event, '')) AS search_text FROM e")
+def review_cases(spark, sf):
+    return graph.document_tables(_sheets(spark, sf))["review_cases"]
+
+
+@query(f"WITH {_DOCS} SELECT document_id, case_id FROM e")
+def document_case_edges(spark, sf):
+    return graph.document_tables(_sheets(spark, sf))["document_case_edges"]
+
+
+@query("""SELECT 'd' || n_regionkey || ':col:' || n_nationkey AS source_column_id, 'd' || n_regionkey AS document_id, n_name AS raw_column_name, n_nationkey AS column_index,
+    CASE n_nationkey % 3 WHEN 0 THEN 'part_name' WHEN 1 THEN 'quantity' ELSE '' END AS canonical_field_key FROM nation""")
+def source_columns(spark, sf):
+    k = F.col("n_nationkey")
+    field = F.when(k % 3 == 0, "part_name").when(k % 3 == 1, "quantity").otherwise("other")
+    return graph.source_columns(table(spark, sf, "nation").select(F.concat(F.lit("d"), F.col("n_regionkey").cast("string")).alias("document_id"), k.alias("column_index"), F.col("n_name").alias("raw_column_name"), field.alias("field")))
