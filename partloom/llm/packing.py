@@ -43,7 +43,7 @@ class WordEncoder:
     The cache stops growing at max_words: frequent words came early.
     """
 
-    def __init__(self, path: str, max_words: int = 700_000) -> None:
+    def __init__(self, path: str, max_words: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -96,8 +96,8 @@ class WordEncoder:
         if len(known) > self.max_words:
             for w in new:
                 del known[w]
-        sizes = np.fromiter(map(len, data), np.int64, len(data)) // 2
-        flat, starts = np.frombuffer(b"".join(data), "<u2"), np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, data), np.int32, len(data)) // 2
+        flat, starts = np.frombuffer(b"".join(data), "<u2"), np.cumsum(sizes, dtype=np.int32) - sizes
         # every word's parts in a row, and the end id behind each text
         core_of = cores.indices.to_numpy(zero_copy_only=False)
         sign_of = pc.index_in(signs, pa.array(_SIGNS)).fill_null(-1).to_numpy(zero_copy_only=False)
@@ -112,8 +112,8 @@ class WordEncoder:
         text_ends = np.concatenate([[0], last])[np.cumsum(lengths)]
         at = np.insert(at, text_ends, len(data) - 1)
         n = sizes[at]
-        ends = np.cumsum(n)
-        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - ends + n, n)]
+        ends = np.cumsum(n, dtype=np.int32)
+        ids = flat[np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(starts[at] - ends + n, n)]
         return np.split(ids, ends[text_ends + np.arange(len(lengths))][:-1]) if len(lengths) else []
 
 
