@@ -1,20 +1,20 @@
 """Near-duplicate detection with ProbMinHash.
 
-A document is its set of five-word shingles, each weighted by one plus the log
-of its count.  Every shingle has an exponential process of arrivals with its
-weight as rate; each arrival goes to the next place of the shingle's own order
-of registers, and a register keeps the earliest.  A shingle stops as soon as its
-next arrival is behind all registers.  Two signatures agree in a register with
-the probability Jaccard similarity.  Bands of registers give candidates; pairs
-are verified on their whole shingle sets.
+A document is its set of five-word shingles, however often each occurs.  Every
+shingle has an exponential process of arrivals, all at one rate; each arrival
+goes to the next place of the shingle's own order of registers, and a register
+keeps the earliest.  A shingle stops as soon as its next arrival is behind all
+registers.  At one rate two signatures agree in a register with the probability
+of the sets' Jaccard similarity, which is what decides a link.  Bands of
+registers give candidates; pairs are verified on their whole shingle sets.
 
 Documents with equal shingle sets are one node.  In each bucket of a band the
 most connected node is the centre, and the others are verified against it
 alone.  What that leaves open, nodes of a bucket that are still in different
-classes, is compared pair by pair within the bucket, by sizes and signature
-bits first, then whole sets, and gives only links, so no link between different
-texts is lost, while a large group of copies or
-near-copies costs one comparison for each member.
+classes, is compared pair by pair within the bucket, by sizes and parities first, which
+no link fails, then whole sets, and gives only links, so no link within a bucket
+is lost, while a large group of copies or near-copies costs one comparison for
+each member.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from partloom.llm.words import Bloom, gathered, mix, one_array, run_codes, word_
 
 REGISTERS = 389  # a prime, so that every step walks through all registers
 BANDS, ROWS = 32, 6
-COMPARED = 384  # registers of which four bits each are kept, 16 to a long
+PARITIES = 1536  # bits of a set's parities, 64 to a long
 
 
 def shingles(codes: np.ndarray, lengths: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,19 +89,18 @@ _SIGNED = "doc_id long, tkey long, row long, key long, n int, node long, check l
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """A row for each of docs: n shingles, node and check (two codes of the whole
-    set), the codes of its bands and four bits of each register."""
+    set), the codes of its bands and the set's parities."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in gathered(batches, 2_000_000):
             k = table.num_rows
-            row, shingle, count = shingles(*word_codes(one_array(table["text"])), size)
+            row, shingle, _ = shingles(*word_codes(one_array(table["text"])), size)
             n = np.bincount(row, minlength=k)
-            sig = prob_minhash(row, shingle, 1 + np.log(count), k)
+            sig = prob_minhash(row, shingle, np.ones(len(row)), k)
             band = np.zeros((k, BANDS), np.uint64)
             for r in range(ROWS):
                 band = mix(band * np.uint64(31) + sig[:, r : BANDS * ROWS : ROWS] + np.arange(BANDS, dtype=np.uint64))
-            four = (mix(sig[:, :COMPARED]) & np.uint64(15)).astype(np.uint8)
-            bits = (four[:, ::2] | four[:, 1::2] << 4).view(np.int64)
+            bits = parities(row, shingle, k)
             node, check = set_codes(row, shingle, k)
             offsets = lambda width: pa.array(np.arange(k + 1, dtype=np.int32) * width)
             yield pa.RecordBatch.from_arrays(
@@ -111,7 +110,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     pa.array(node.view(np.int64)),
                     pa.array(check.view(np.int64)),
                     pa.ListArray.from_arrays(offsets(BANDS), pa.array(band.view(np.int64).ravel())),
-                    pa.ListArray.from_arrays(offsets(COMPARED // 16), pa.array(bits.ravel())),
+                    pa.ListArray.from_arrays(offsets(PARITIES // 64), pa.array(bits.ravel())),
                 ],
                 ["doc_id", "tkey", "row", "key", "n", "node", "check", "bands", "bits"],
             )
@@ -119,6 +118,13 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "tkey", "row", "key", "text").mapInArrow(sign, _SIGNED)
 
 
+def parities(row: np.ndarray, shingle: np.ndarray, k: int) -> np.ndarray:
+    """k x PARITIES / 64 longs: of each bit, whether an odd number of the set's shingles fall on it."""
+    at = row * PARITIES + (mix(shingle ^ np.uint64(0x3C3C3C3C)) % np.uint64(PARITIES)).astype(np.int64)
+    odd = (np.bincount(at, minlength=k * PARITIES) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(k, PARITIES), axis=1).view(np.int64)
+
+
 def set_codes(row: np.ndarray, shingle: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Two codes of each of k whole sets."""
     sums = np.zeros((2, k), np.uint64)
@@ -186,21 +192,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def _alike(least: float) -> Column:
-    """Of rows x and y: sizes and signature bits allow the similarity.
+    """Of rows x and y: sizes and parities allow the similarity; never false for a link.
 
-    Four bits of a register differ in 15/16 of (1 - similarity) of the cases; the
-    slack is four standard deviations of the number of registers that differ.
+    A parity that differs has a shingle of its own that only one set holds, so
+    at least so many shingles are not shared; of sizes that add up to n, a
+    similarity leaves room for (1 - least) / (1 + least) * n of them.
     """
     differ = F.lit(0)
-    for i in range(COMPARED // 16):
-        d = F.get("x.bits", i).bitwiseXOR(F.get("y.bits", i))
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        differ = differ + F.bit_count(d)
-    p = (1 - least) * 15 / 16
-    slack = 4 * (COMPARED * p * (1 - p)) ** 0.5
-    sizes = F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")
-    return sizes & (differ <= int(COMPARED * p + slack))
+    for i in range(PARITIES // 64):
+        differ = differ + F.bit_count(F.get("x.bits", i).bitwiseXOR(F.get("y.bits", i)))
+    sizes = F.least("x.n", "y.n") + 1e-6 >= least * F.greatest("x.n", "y.n")
+    # a hair of slack for rounding
+    return sizes & (differ * (1 + least) <= (1 - least) * (F.col("x.n") + F.col("y.n")) + 1e-6)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:

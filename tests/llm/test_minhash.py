@@ -56,6 +56,32 @@ def test_open_pairs_are_found(spark):
     assert {r.class_id for r in minhash.near_duplicates(df).collect()} == {0}
 
 
+@pytest.mark.parametrize("times", [2, 10, 100])
+def test_repeated_lines_lose_no_link(spark, times):
+    """Near copies (sets at 0.81) whose own lines are repeated, and a chain of them in shared buckets."""
+    texts = []
+    for k in range(12):
+        shared = [f"s{k}x{i}" for i in range(260)]
+        for own in "ab":
+            texts.append(" ".join(shared + [f"{own}{k}x{i}" for i in range(26)] * times))
+    core = [f"core{i}" for i in range(300)]
+    block = [[f"u{j}x{i}" for i in range(26)] * times for j in range(13)]
+    texts += [" ".join(core + block[j] + block[j + 1]) for j in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want, _ = classes(list(enumerate(texts)))
+    assert len(set(want.values())) == 13
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()} == {d: c for (d, _), c in want.items()}
+
+
+def test_parities_never_refuse_a_link():
+    """The parities that differ are at most the shingles that only one set has."""
+    for n, own in [(3, 1), (40, 4), (300, 30), (5000, 600)]:
+        ids = mix(np.arange(n + 2 * own, dtype=np.uint64) + np.uint64(n))
+        a, b = ids[: n + own], np.concatenate([ids[:n], ids[n + own :]])
+        bits = minhash.parities(np.repeat([0, 1], n + own), np.concatenate([a, b]), 2)
+        assert 0 < np.bitwise_count(bits[0] ^ bits[1]).sum() <= 2 * own
+
+
 def test_empty_and_stage(no_docs, odd_docs):
     assert minhash.near_duplicates(no_docs).collect() == []
     kept = minhash.keep_one_of_each(odd_docs)
