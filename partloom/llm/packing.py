@@ -1,9 +1,11 @@
 """Lexical retrieval packing.
 
-Documents are dealt over shards of a bounded number of bytes.  Each shard
-tokenizes its documents and builds a BM25 inverted index over their ids.  A
-seed document opens a window; the index returns its best unused neighbours,
-which fill the window greedily.  The one that doesn't fit is cut, and its rest
+Documents are tokenized once, and the statistics of BM25 are counted over all of
+them.  They are sorted by their rarest terms that occur elsewhere, so that those
+that share them lie together, and cut into shards of a bounded number of bytes.
+A seed document opens a window; all its terms ask for its best unused neighbours
+within the shard, by the weights that they have in the whole table, and these
+fill the window greedily.  The one that doesn't fit is cut, and its rest
 opens the next window, so windows are full but for the shard's last, which is
 cut into powers of two.
 """
@@ -19,11 +21,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.common import text_key
-from partloom.llm.words import one_array
+from partloom.llm.common import materialize, small_batches, text_key
+from partloom.llm.words import gathered, one_array
 
 END_ID = 1
 WINDOW = 2048
@@ -122,41 +125,76 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+class Statistics:
+    """What BM25 knows of a table: number of documents, their mean length, documents by term."""
+
+    def __init__(self, n: int, mean: float, df: np.ndarray) -> None:
+        self.mean = max(1.0, mean)
+        self.df = df
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+        # terms in order of rarity; those that no other document has come last
+        order = np.lexsort((np.arange(len(df)), np.where(df > 1, df, np.iinfo(np.int64).max)))
+        self.rarity = np.empty(len(df), np.int64)
+        self.rarity[order] = np.arange(len(df))
+
+    @classmethod
+    def of(cls, docs: list[np.ndarray]) -> Statistics:
+        return cls(len(docs), float(np.mean([len(d) for d in docs])) if docs else 0.0, document_counts(docs))
+
+    def rarest(self, doc: np.ndarray, terms: int = 6) -> np.ndarray:
+        """The ranks of a document's rarest terms that occur elsewhere."""
+        ranks = np.unique(self.rarity[doc])[:terms]
+        return np.append(ranks, np.full(terms - len(ranks), len(self.df) - 1))
+
+
+def document_counts(docs: list[np.ndarray]) -> np.ndarray:
+    df = np.zeros(1 << 16, np.int64)
+    for d in docs:
+        df[np.unique(d)] += 1
+    return df
+
+
 class Bm25:
-    """An inverted index over one shard: postings by term, scores by addition."""
+    """Weights of the terms of a shard's documents; scores add those that a query has."""
 
-    def __init__(self, docs: list[np.ndarray], query_terms: int, k1: float = 1.2, b: float = 0.75) -> None:
-        self.n = len(docs)
+    def __init__(self, docs: list[np.ndarray], stats: Statistics, query_terms: int | None, k1: float = 1.2, b: float = 0.75) -> None:
+        self.n, self.stats, self.query_terms = len(docs), stats, query_terms
         counted = [np.unique(d, return_counts=True) for d in docs]
-        terms = np.concatenate([t for t, _ in counted]) if docs else np.empty(0, np.uint16)
+        self.terms = np.concatenate([t for t, _ in counted]) if docs else np.empty(0, np.uint16)
         tf = np.concatenate([c for _, c in counted]).astype(np.float32) if docs else np.empty(0, np.float32)
-        which = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in counted])
+        n_terms = np.array([len(t) for t, _ in counted], np.int64)
         lengths = np.array([len(d) for d in docs], np.float32)
-        df = np.bincount(terms, minlength=1 << 16)
-        idf = np.log1p((self.n - df + 0.5) / (df + 0.5)).astype(np.float32)
-        norm = k1 * (1 - b + b * lengths / max(1.0, float(lengths.mean()) if self.n else 1.0))
-        weight = idf[terms] * tf * (k1 + 1) / (tf + norm[which])
-        order = np.argsort(terms, kind="stable")
-        self.docs, self.weights = which[order], weight[order]
-        self.starts = np.concatenate([[0], np.cumsum(df)])
-        # a document asks with those of its terms that weigh most and occur elsewhere
-        weight = np.where(df[terms] > 1, weight, 0)
-        self.queries, at = [], 0
-        for t, _ in counted:
-            w = weight[at : at + len(t)]
-            top = np.argpartition(w, -query_terms)[-query_terms:] if len(w) > query_terms else np.arange(len(w))
-            self.queries.append(t[top[w[top] > 0]])
-            at += len(t)
+        norm = k1 * (1 - b + b * lengths / np.float32(stats.mean))
+        self.weights = stats.idf[self.terms] * tf * (k1 + 1) / (tf + np.repeat(norm, n_terms))
+        self.n_terms, self.asked = n_terms, [t for t, _ in counted]
+        self.starts = np.cumsum(n_terms) - n_terms
+        self.own = self.weights
+        self.own_starts = self.starts
+        self.places = np.arange(self.n)
+
+    def keep(self, unused: np.ndarray) -> None:
+        """Drop the documents that are used from those that are scored."""
+        on = unused[self.places]
+        rows = np.repeat(on, self.n_terms)
+        self.terms, self.weights = self.terms[rows], self.weights[rows]
+        self.places, self.n_terms = self.places[on], self.n_terms[on]
+        self.starts = np.cumsum(self.n_terms) - self.n_terms
 
     def scores(self, doc: int) -> np.ndarray:
+        """Of every document that is kept; others have 0."""
+        asked = self.asked[doc]
+        if self.query_terms is not None and len(asked) > self.query_terms:
+            at = self.own_starts[doc]
+            asked = asked[np.argpartition(self.own[at : at + len(asked)], -self.query_terms)[-self.query_terms :]]
+        query = np.zeros(1 << 16, np.float32)
+        query[asked] = 1
         out = np.zeros(self.n, np.float32)
-        for t in self.queries[doc].tolist():
-            lo, hi = self.starts[t], self.starts[t + 1]
-            out[self.docs[lo:hi]] += self.weights[lo:hi]
+        if len(self.places):  # every document has a term
+            out[self.places] = np.add.reduceat(query[self.terms] * self.weights, self.starts)
         return out
 
 
-def windows(docs: list[np.ndarray], query_terms: int, size: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
+def windows(docs: list[np.ndarray], query_terms: int | None = None, size: int = WINDOW, stats: Statistics | None = None) -> Iterator[list[tuple[int, int, int]]]:
     """Lists of (document, start, length); every list but those of the rest fills a window."""
     left = []
     for i, d in enumerate(docs):
@@ -165,7 +203,7 @@ def windows(docs: list[np.ndarray], query_terms: int, size: int = WINDOW) -> Ite
             yield [(i, start, size)]
         left.append((i, whole, len(d) - whole))
     left = [x for x in left if x[2]]
-    index = Bm25([docs[i] for i, _, _ in left], query_terms)
+    index = Bm25([docs[i] for i, _, _ in left], stats or Statistics.of(docs), query_terms)
     unused = np.ones(len(left), bool)
     window: list[tuple[int, int, int]] = []
     room, next_seed = size, 0
@@ -185,6 +223,8 @@ def windows(docs: list[np.ndarray], query_terms: int, size: int = WINDOW) -> Ite
             if next_seed == len(left):
                 break
             if scores is None:
+                if 2 * np.count_nonzero(unused) < len(index.places):
+                    index.keep(unused)
                 scores = np.where(unused, index.scores(seed), -1)
             best = int(np.argmax(scores))
             if scores[best] <= 0:
@@ -227,29 +267,65 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     shard_bytes: int = SHARD_BYTES,
-    query_terms: int = 8,
+    query_terms: int | None = None,
     with_ids: bool = False,
 ) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece.
 
     tokenizer is the path of a tokenizers file of at most 65,536 ids that drops
-    white space.  A null text is an empty one and has the end id alone.  Rows
+    white space.  A query has all terms of its document, or so many that weigh
+    most.  sequence_id >> 32 tells shards apart.  A null text is an empty one and has the end id alone.  Rows
     that repeat an identifier are documents of their own.  with_ids adds the
     piece's ids.  An empty table gives an empty result; other columns are not
     read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    shards = max(1, math.ceil(total / shard_bytes))
-    shard = F.pmod(F.xxhash64("doc_id", text_key(F.col("text")), F.monotonically_increasing_id()), F.lit(shards))
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        number = table["shard"][0].as_py()
-        names = table["doc_id"].to_pylist()
-        ids = _encoder(tokenizer).encode(one_array(table["text"]))
+    rows = rows.withColumn("tkey", text_key(F.col("text")))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in gathered(batches):
+            texts = one_array(table["text"])
+            ids = pa.array([i.tobytes() for i in _encoder(tokenizer).encode(texts)], pa.binary())
+            size = pc.add(pc.cast(pc.binary_length(texts), pa.int64()), 16)
+            yield pa.RecordBatch.from_arrays([one_array(table["doc_id"]), one_array(table["tkey"]), size, ids], ["doc_id", "tkey", "size", "ids"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            df += document_counts(_arrays(batch.column(0)))
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["term", "df"])
+
+    coded = materialize(rows.mapInArrow(encode, "doc_id long, tkey long, size long, ids binary"), "tokens")
+    n, total, tokens = coded.agg(F.count("*"), F.sum("size"), F.sum(F.octet_length("ids") / 2)).first()
+    df = np.zeros(1 << 16, np.int64)
+    for term, k in coded.select("ids").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df")).collect():
+        df[term] = k  # at most 65,536 rows
+    stats = Statistics(n, (tokens or 0) / max(1, n), df)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ranks = np.array([stats.rarest(d) for d in _arrays(batch.column("ids"))], np.int64).reshape(-1, 6)
+            keys = [pa.array(r[:, 0] << 32 | r[:, 1] << 16 | r[:, 2]) for r in (ranks[:, :3], ranks[:, 3:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *keys], [*batch.schema.names, "r1", "r2"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, names, ids = TaskContext.get().partitionId() << 12, 0, [], []
+        for batch in batches:
+            for name, size, d in zip(batch.column("doc_id").to_pylist(), batch.column("size").to_pylist(), _arrays(batch.column("ids")), strict=True):
+                if held and held + size > 1.5 * shard_bytes:
+                    yield pieces(number, names, ids)
+                    number, held, names, ids = number + 1, 0, [], []
+                names.append(name)
+                ids.append(d)
+                held += size
+        if names:
+            yield pieces(number, names, ids)
+
+    def pieces(number: int, names: list[int | None], ids: list[np.ndarray]) -> pa.RecordBatch:
         out = []
-        for k, window in enumerate(windows(ids, query_terms)):
+        for k, window in enumerate(windows(ids, query_terms, stats=stats)):
             offset = 0
             for i, start, n in window:
                 piece = ids[i][start : start + n].astype("<u4")
@@ -257,8 +333,18 @@ def pack(
                 out.append((*row, piece.astype(np.int32)) if with_ids else row)
                 offset += n
         kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], columns)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], columns)
 
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
     schema = ", ".join(f"{c} {'array<int>' if c == 'ids' else 'long'}" for c in columns)
-    return rows.withColumn("shard", shard).groupBy("shard").applyInArrow(run, schema)
+    keyed = coded.mapInArrow(rarest, "doc_id long, tkey long, size long, ids binary, r1 long, r2 long")
+    order = ["r1", "r2", "tkey", "doc_id"]
+    shards = max(1, math.ceil((total or 0) / shard_bytes))
+    # a row number tells copies apart, so that many equal documents spread over shards too
+    keyed = keyed.withColumn("row", F.monotonically_increasing_id())
+    dealt = keyed.repartitionByRange(shards, *order, "row").sortWithinPartitions(*order, "row")
+    return dealt.mapInArrow(run, schema)
+
+
+def _arrays(ids: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(b, "<u2") for b in ids.to_pylist()]

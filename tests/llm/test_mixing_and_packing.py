@@ -155,3 +155,15 @@ def test_neighbours_share_words():
     docs = [rng.choice(topics[i % 8], 500).astype(np.uint16) for i in range(64)]
     together = sum(len({d % 8 for d, _, _ in w}) == 1 for w in packing.windows(docs, 8))
     assert together >= 8
+
+
+def test_neighbours_come_from_all_documents(spark):
+    """Pairs that share rare words end in one shard, though there are many shards."""
+    rng = np.random.default_rng(2)
+    common = ["the", "of", "and", "on", "be", "is", "that", "with"]
+    rare = ["zebra", "quartz", "violin", "walrus", "cactus", "anchor", "pepper", "magnet", "saddle", "turnip", "goblet", "lantern"]
+    texts = [" ".join([*rng.choice(common, 120), *rng.permutation([rare[k % 12]] * 9), *rng.choice(common, 120)]) for k in range(24)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    shard = {r.doc_id: r.sequence_id >> 32 for r in packing.pack(df, tokenizer_path(), shard_bytes=6000).collect()}
+    assert len(set(shard.values())) > 3
+    assert sum(shard[k] == shard[k + 12] for k in range(12)) >= 8
