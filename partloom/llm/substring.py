@@ -1,28 +1,34 @@
-"""Substring dedup by prefix-partitioned suffix trees with hashed edges.
-
-A suffix here is the part of a document from a window's first word on, and a
-tree's path is spelled in hashes.  Suffixes are split by prefixes of variable
-length into groups that fit a task:
-
-1. Of the places where a repeat can be told, only anchors are shipped: in every
-   window of ``size`` words the six-word prefix with the least code.  Equal
-   windows have equal anchors, so a prefix that the whole corpus holds once is
-   a leaf of the tree, and the windows anchored there are not looked at again.
-2. Suffixes go to groups by their anchor's prefix.  A prefix too frequent for
-   one group is extended to the whole window, which spreads it.
-3. A group sorts its suffixes (that is its tree); those that share ``size``
-   words are the leaves under one deep internal node.  All but the earliest are
-   repeats; windows that overlap merge to maximal ones.
-
-Each map task folds its own repeats first, so a passage that a third of all
-documents share reaches its group once from each task.
+"""Substring dedup by prefix-partitioned suffix trees.
+
+The suffixes of all documents, one for each word that ``size`` words follow,
+form one tree; texts that repeat lie below its internal nodes of depth
+``size``.  The tree is never built whole.  Prefixes of variable length split
+the suffixes into groups that fit a task, and each group is a subtree:
+
+1. Suffixes travel together where they can: of the windows of ``size`` words
+   that share an anchor, the six-word prefix of least code within each, the
+   words are shipped once, as a fragment.  Equal windows have equal anchors.  A
+   prefix that the corpus holds once is a leaf, and its fragment is not shipped.
+2. Fragments go to groups by their anchor's prefix.  A prefix with too many
+   words for one group is split: each of its windows becomes a suffix of its
+   own, and its prefix is lengthened until what shares it fits.  What still
+   doesn't at full length is one window many times over, which an aggregate
+   folds.
+3. A group sorts its suffixes word by word, by doubling: the ranks of runs of 1,
+   2, 4, ... words.  The common prefixes of neighbours in that order give the
+   internal nodes, and those of depth ``size`` the leaves that repeat.  All
+   leaves of such a node but the earliest are repeats; windows that overlap
+   merge to maximal ones.
+
+Each batch of a map task folds its own equal fragments first, so a passage that
+a third of all documents share reaches its group once from each batch.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,32 +37,33 @@ from pyspark.sql import functions as F
 
 from partloom.llm.blooms import MOST_BITS, bloom_of
 from partloom.llm.common import materialize, n_partitions, small_batches, text_key
-from partloom.llm.words import Bloom, gathered, one_array, run_codes, word_codes
+from partloom.llm.words import Bloom, gathered, mix, one_array, run_codes, word_codes
 
 PREFIX = 6
-_BLOCK = 1 << 22  # words of a document looked at together; anchors hold their place in 24 bits
+_BLOCK = 1 << 22  # words looked at together; anchors hold their place in 24 bits
 _PLACE = np.uint64((1 << 24) - 1)
 _LAST = (1 << 63) - 1  # the order of a null identifier
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+GROUP_WORDS = 1_000_000
 
 
-@dataclass
-class Windows:
-    """Windows of some documents: where they are and what they say."""
+class Runs(NamedTuple):
+    """Runs of consecutive windows of one document that share an anchor."""
 
     row: np.ndarray  # which of the documents
-    start: np.ndarray
-    code: np.ndarray
-    anchor: np.ndarray  # place of the anchor in the document
+    start: np.ndarray  # the first window's first word in its document
+    n: np.ndarray  # windows
     prefix: np.ndarray  # the anchor's code
+    at: np.ndarray  # the first window's place among all codes
 
-    def where(self, mask: np.ndarray) -> Windows:
-        return Windows(self.row[mask], self.start[mask], self.code[mask], self.anchor[mask], self.prefix[mask])
+    def where(self, mask: np.ndarray) -> Runs:
+        return Runs(*(x[mask] for x in self))
 
 
-def anchored_windows(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """code, anchor, prefix of each window of one document."""
+def anchors(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each window's anchor, and the codes of all six-word prefixes."""
     n = len(codes) - size + 1
-    code = run_codes(codes, size)
     prefixes = run_codes(codes, PREFIX)
     anchor = np.empty(max(0, n), np.int64)
     span = size - PREFIX + 1  # prefixes within a window
@@ -72,33 +79,43 @@ def anchored_windows(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
         if width < span:
             least = np.minimum(least[: len(x) - span + 1], least[span - width :])
         anchor[lo:hi] = lo + (least & _PLACE).astype(np.int64)
-    return code, anchor, prefixes[anchor] if n > 0 else np.empty(0, np.uint64)
-
-
-def windows_of(texts: pa.Array, size: int) -> Windows:
-    codes, lengths = word_codes(texts)
-    parts, at = [], 0
-    for row, n in enumerate(lengths.tolist()):
-        if n >= size:
-            code, anchor, prefix = anchored_windows(codes[at : at + n], size)
-            parts.append((np.full(len(code), row), np.arange(len(code)), code, anchor, prefix))
-        at += n
-    kinds = [np.int64, np.int64, np.uint64, np.int64, np.uint64]
-    return Windows(*([np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, k) for k in kinds]))
-
-
-def later_ones(prefix: np.ndarray, code: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each window: an equal one has an earlier (doc, start); it is the first of its equals."""
-    order = np.lexsort((start, doc, code, prefix))
-    p, c, d, s = prefix[order], code[order], doc[order], start[order]
-    head = np.ones(len(order), bool)
-    head[1:] = (p[1:] != p[:-1]) | (c[1:] != c[:-1])
-    first = np.flatnonzero(head)[np.cumsum(head) - 1]
-    later = np.zeros(len(order), bool)
-    later[order] = (d != d[first]) | (s != s[first])
-    heads = np.zeros(len(order), bool)
-    heads[order] = head
-    return later, heads
+    return anchor, prefixes
+
+
+def anchor_runs(codes: np.ndarray, lengths: np.ndarray, size: int) -> Runs:
+    """The runs of documents whose words' codes stand in a row."""
+    ends = np.cumsum(lengths)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    anchor, prefixes = anchors(codes, size)
+    n = len(anchor)
+    # windows lie in one document; between two documents there are some that don't
+    within = np.arange(n) + size <= ends[row[:n]]
+    new = within.copy()
+    new[1:] &= (anchor[1:] != anchor[:-1]) | ~within[:-1]
+    at = np.flatnonzero(new)
+    per = np.add.reduceat(within.astype(np.int64), at) if len(at) else np.empty(0, np.int64)
+    return Runs(row[at], at - (ends - lengths)[row[at]], per, prefixes[anchor[at]], at)
+
+
+def span_codes(codes: np.ndarray, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Codes of the n words from each place lo on."""
+    powers = np.full(len(codes), _BASE, np.uint64)
+    powers[:1] = 1
+    powers = np.cumprod(powers)
+    back = np.full(len(codes), _INVERSE, np.uint64)
+    back[:1] = 1
+    back = np.cumprod(back)
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(codes) * powers)])
+    return mix((upto[lo + n] - upto[lo]) * back[lo] + n.astype(np.uint64))
+
+
+def earliest_of(group: np.ndarray, heads: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether each member (in order of group, which begins at heads) has the least (doc, start) of its group."""
+    if not len(group):
+        return np.empty(0, bool)
+    least_doc = doc == np.minimum.reduceat(doc, heads)[group]
+    least_start = np.minimum.reduceat(np.where(least_doc, start, np.iinfo(np.int64).max), heads)
+    return least_doc & (start == least_start[group])
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -110,99 +127,167 @@ def prefix_counts(docs: DataFrame, size: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in gathered(batches):
-            w = windows_of(one_array(table["text"]), size)
-            new = np.ones(len(w.row), bool)
-            new[1:] = (w.row[1:] != w.row[:-1]) | (w.anchor[1:] != w.anchor[:-1])
-            prefix, n = np.unique(w.prefix[new], return_counts=True)
+            runs = anchor_runs(*word_codes(one_array(table["text"])), size)
+            prefix, n = np.unique(runs.prefix, return_counts=True)
             yield pa.RecordBatch.from_arrays([_signed(prefix), pa.array(n)], ["prefix", "n"])
 
     counts = docs.select("text").mapInArrow(count, "prefix long, n long")
     return counts.groupBy("prefix").agg(F.sum("n").alias("n")).where("n > 1")
 
 
-_SUFFIXES = "grp int, doc long, tkey long, lo int, repeats int, asked int, prefix long, codes array<long>"
-
-
-def suffix_groups(docs: DataFrame, size: int, leaves: Bloom, frequent: np.ndarray, groups: int) -> DataFrame:
-    """A row for each anchor with recurring prefix: the windows from lo on that
-    it anchors.  Bits of repeats tell those that repeat within the map task, bits
-    of asked those whose codes follow, to be looked up in the group."""
+def fragments(docs: DataFrame, size: int, leaves: Bloom) -> DataFrame:
+    """A row for each run whose anchor's prefix recurs: doc, tkey, lo, n windows,
+    prefix, and the words' 32-bit codes.  Where an equal run of the same batch
+    comes earlier, words is null: all of its windows repeat."""
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in gathered(batches):
-            w = windows_of(one_array(table["text"]), size)
-            w = w.where(leaves.has(w.prefix))
-            if not len(w.row):
+            codes, lengths = word_codes(one_array(table["text"]))
+            runs = anchor_runs(codes, lengths, size)
+            runs = runs.where(leaves.has(runs.prefix))
+            if not len(runs.row):
                 continue
-            docs_of = one_array(table["doc"]).to_numpy(zero_copy_only=False)
-            later, first = later_ones(w.prefix, w.code, docs_of[w.row], w.start)
-            hot = np.isin(w.prefix, frequent)
-            # a row for each anchor; of a frequent prefix, for each window
-            new = np.ones(len(w.row), bool)
-            new[1:] = (w.row[1:] != w.row[:-1]) | (w.anchor[1:] != w.anchor[:-1]) | hot[1:]
-            at = np.flatnonzero(new)
-            which = np.cumsum(new) - 1
-            bit = np.int32(1) << (w.start - w.start[at][which]).astype(np.int32)
-            ask = first & ~later
-            repeats = np.bincount(which, np.where(later, bit, 0), len(at)).astype(np.int32)
-            asked = np.bincount(which, np.where(ask, bit, 0), len(at)).astype(np.int32)
-            route = np.where(hot[at], w.code[at] ^ w.prefix[at], w.prefix[at]) % np.uint64(groups)
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(which, ask, len(at)).astype(np.int64))])
-            codes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _signed(w.code[ask]))
-            rows = pa.array(w.row[at])
-            kept = pa.RecordBatch.from_arrays(
+            width = runs.n + size - 1
+            doc = one_array(table["doc"]).to_numpy(zero_copy_only=False)[runs.row]
+            code = span_codes(codes, runs.at, width)
+            order = np.argsort(code)
+            new = np.ones(len(order), bool)
+            new[1:] = code[order][1:] != code[order][:-1]
+            first = np.empty(len(order), bool)
+            first[order] = earliest_of(np.cumsum(new) - 1, np.flatnonzero(new), doc[order], runs.start[order])
+            offsets = np.concatenate([[0], np.cumsum(np.where(first, width, 0))])
+            place = np.arange(offsets[-1]) + np.repeat((runs.at - offsets[:-1])[first], width[first])
+            words = codes.astype(np.uint32).view(np.int32)[place]
+            words = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(words), mask=pa.array(~first))
+            rows = pa.array(runs.row)
+            yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(route.astype(np.int32)),
                     one_array(table["doc"]).take(rows),
                     one_array(table["tkey"]).take(rows),
-                    pa.array(w.start[at].astype(np.int32)),
-                    pa.array(repeats),
-                    pa.array(asked),
-                    _signed(w.prefix[at]),
-                    codes,
+                    pa.array(runs.start.astype(np.int32)),
+                    pa.array(runs.n.astype(np.int32)),
+                    _signed(runs.prefix),
+                    words,
                 ],
-                ["grp", "doc", "tkey", "lo", "repeats", "asked", "prefix", "codes"],
+                ["doc", "tkey", "lo", "n", "prefix", "words"],
             )
-            yield kept.filter(pa.array((repeats | asked) != 0))
 
-    return docs.select("doc", "tkey", "text").mapInArrow(ship, _SUFFIXES)
+    return docs.select("doc", "tkey", "text").mapInArrow(ship, "doc long, tkey long, lo int, n int, prefix long, words array<int>")
+
+
+def run_ranks(words: np.ndarray, size: int) -> list[np.ndarray]:
+    """For 1, 2, 4, ... words, up to size: the rank of each place's run among all runs of that many."""
+    levels = [np.unique(words, return_inverse=True)[1].astype(np.uint64)]
+    while 2 << len(levels) - 1 <= size:
+        half, width = levels[-1], 1 << len(levels) - 1
+        pair = half[:-width] << np.uint64(32) | half[width:]
+        levels.append(np.unique(pair, return_inverse=True)[1].astype(np.uint64))
+    return levels
+
+
+def common_prefix(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """How many words from places a and b on are equal, size at most (both have as many)."""
+    depth = np.zeros(len(a), np.int64)
+    for i in reversed(range(len(levels))):
+        at = np.flatnonzero(depth + (1 << i) <= size)
+        same = levels[i][a[at] + depth[at]] == levels[i][b[at] + depth[at]]
+        depth[at[same]] += 1 << i
+    return depth
+
 
+class Subtree(NamedTuple):
+    """A group's suffixes in the order of their words, and how much each shares with the one before."""
 
-def _group_repeats(table: pa.Table) -> pa.Table:
-    """Of one group's suffixes: doc, tkey, lo, and the bits of those that repeat."""
+    order: np.ndarray
+    common: np.ndarray
+
+    @classmethod
+    def of(cls, words: np.ndarray, starts: np.ndarray, size: int) -> Subtree:
+        levels = run_ranks(words, size)
+        last = levels[-1]
+        # the longest run and the one that ends with the window: together all of it
+        order = np.argsort(last[starts] << np.uint64(32) | last[starts + size - (1 << len(levels) - 1)])
+        common = np.zeros(len(order), np.int64)
+        at = starts[order]
+        common[1:] = common_prefix(levels, at[:-1], at[1:], size)
+        return cls(order, common)
+
+    def nodes(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The internal node of a depth (or the leaf) above each suffix in order, and where each begins."""
+        new = self.common < depth
+        return np.cumsum(new) - 1, np.flatnonzero(new)
+
+
+def subtree_repeats(table: pa.Table, size: int) -> pa.Table:
+    """Of one group's fragments: doc, tkey, lo, and the bits of the windows that repeat earlier ones."""
     table = table.combine_chunks()
-    asked = one_array(table["asked"]).to_numpy()
-    codes = one_array(table["codes"])
-    per = np.diff(codes.offsets.to_numpy())
-    which = np.repeat(np.arange(len(asked)), per)
-    # the k-th code belongs to the k-th bit that is set
-    bits = np.flatnonzero(((asked[:, None] >> np.arange(31)) & 1).ravel()) % 31
-    code = codes.flatten().to_numpy().view(np.uint64)
+    words, n = one_array(table["words"]), one_array(table["n"]).to_numpy()
+    which = np.repeat(np.arange(len(n)), n)
+    bit = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    offsets = words.offsets.to_numpy().astype(np.int64)
+    tree = Subtree.of(words.flatten().to_numpy().view(np.uint32), (offsets[:-1] - offsets[0])[which] + bit, size)
+    node, heads = tree.nodes(size)
+    which, bit = which[tree.order], bit[tree.order]
     doc, lo = one_array(table["doc"]).to_numpy(), one_array(table["lo"]).to_numpy()
-    prefix = one_array(table["prefix"]).to_numpy().view(np.uint64)
-    later, _ = later_ones(prefix[which], code, doc[which], lo[which] + bits)
-    repeats = np.bincount(which, np.where(later, np.int64(1) << bits, 0), len(asked)).astype(np.int32)
+    later = ~earliest_of(node, heads, doc[which], lo[which] + bit)
+    repeats = np.bincount(which, np.where(later, np.int64(1) << bit, 0), len(n)).astype(np.int32)
     out = table.select(["doc", "tkey", "lo"]).append_column("repeats", pa.array(repeats))
     return out.filter(pa.array(repeats != 0))
 
 
-def repeats(docs: DataFrame, *, size: int = 20, most_bits: int = MOST_BITS, frequent_least: int = 20_000) -> DataFrame:
+def lengthened(asked: DataFrame, counts: DataFrame, size: int, most_words: int) -> tuple[DataFrame, DataFrame | None]:
+    """Fragments under prefixes that fit a group, and the windows of those that
+    don't at any length (doc, tkey, lo, words), each many times the same."""
+    # a prefix can only be too heavy if it occurs often enough before folding
+    heavy = counts.where(F.col("n") * (2 * size) > most_words).select("prefix")
+    fit, hot = None, asked
+    for length in [*range(PREFIX + 4, size, 4), size]:
+        heavy = hot.join(heavy, "prefix", "left_semi").groupBy("prefix").agg(F.sum(F.size("words")).alias("w"))
+        heavy = materialize(heavy.where(F.col("w") > most_words).select("prefix"), "heavy")
+        if heavy.isEmpty():
+            return hot if fit is None else fit.unionByName(hot), None
+        cold = hot.join(heavy, "prefix", "left_anti")
+        fit = cold if fit is None else fit.unionByName(cold)
+        # suffixes of their own, under longer prefixes
+        one = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(i.alias("i"), F.slice("words", i + 1, F.lit(size)).alias("w")))
+        hot = hot.join(heavy, "prefix", "left_semi").select("doc", "tkey", "lo", F.explode(one).alias("x"))
+        hot = hot.select(
+            "doc", "tkey", (F.col("lo") + F.col("x.i")).alias("lo"), F.lit(1).alias("n"),
+            F.xxhash64(F.lit(length), F.slice("x.w", 1, length)).alias("prefix"), F.col("x.w").alias("words"),
+        )
+        hot = materialize(hot, "lengthened")
+        heavy = hot.select("prefix").distinct()
+    return fit, hot.select("doc", "tkey", "lo", "words")
+
+
+def repeats(docs: DataFrame, *, size: int = 20, most_bits: int = MOST_BITS, group_words: int = GROUP_WORDS) -> DataFrame:
     """doc, tkey, spans (array of lo, repeats): where windows repeat earlier ones.
 
-    docs: doc (the order), tkey, text.  size is at least 7 and at most 36.
+    docs: doc (the order), tkey, text.  Bit i of repeats tells of the window
+    that starts at lo + i.  A prefix may hold a sixteenth of group_words.
     """
+    if not PREFIX < size <= PREFIX + 30:
+        raise ValueError(f"size is {size}, not {PREFIX + 1} to {PREFIX + 30}")
     spark = docs.sparkSession
     counts = materialize(prefix_counts(docs, size), "prefixes")
     leaves = bloom_of(counts, "prefix", most_bits)
     total = counts.agg(F.sum("n")).first()[0] or 0
-    # at most 100,000 prefixes are that frequent
-    least = max(frequent_least, total // 100_000)
-    frequent = np.array([r[0] for r in counts.where(F.col("n") >= least).select("prefix").collect()], np.int64).view(np.uint64)
-    groups = max(n_partitions(spark), total * 64 // 64_000_000)
-    shipped = materialize(suffix_groups(docs, size, leaves, frequent, groups), "suffixes")
-    looked_up = shipped.where("asked != 0").select("grp", "doc", "tkey", "lo", "asked", "prefix", "codes")
-    found = looked_up.groupBy("grp").applyInArrow(_group_repeats, "doc long, tkey long, lo int, repeats int")
-    found = found.unionByName(shipped.where("repeats != 0").select("doc", "tkey", "lo", "repeats"))
+    groups = max(n_partitions(spark), -(-total * (size + 5) // group_words))
+    shipped = materialize(fragments(docs, size, leaves), "suffixes")
+    asked = shipped.where("words IS NOT NULL")
+    fit, same = lengthened(asked, counts, size, group_words // 16)
+    dealt = fit.withColumn("grp", F.pmod(F.xxhash64("prefix"), F.lit(groups)).cast("int")).drop("prefix")
+
+    def tree(table: pa.Table) -> pa.Table:
+        return subtree_repeats(table, size)
+
+    found = dealt.repartition(groups, "grp").groupBy("grp").applyInArrow(tree, "doc long, tkey long, lo int, repeats int")
+    whole = (F.pow(F.lit(2.0), "n") - 1).cast("int").alias("repeats")
+    found = found.unionByName(shipped.where("words IS NULL").select("doc", "tkey", "lo", whole))
+    if same is not None:
+        first = same.groupBy("words").agg(F.min(F.struct("doc", "lo")).alias("first"))
+        later = same.join(first, "words").where(F.struct("doc", "lo") != F.col("first"))
+        found = found.unionByName(later.select("doc", "tkey", "lo", F.lit(1).alias("repeats")))
     return found.groupBy("doc", "tkey").agg(F.collect_set(F.struct("lo", "repeats")).alias("spans"))
 
 
@@ -216,7 +301,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     repeat an identifier are one place each: a window at the same start under
     the same identifier is not earlier.  with_text adds the kept words, joined
     by a space.  Other columns are not read; an empty table gives an empty
-    result.
+    result.  size is from 7 to 36; others raise an error.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -227,32 +312,25 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     spans = repeats(rows, size=size)
-    joined = rows.join(spans, ["doc", "tkey"], "left").select("doc_id", "text", "spans.lo", "spans.repeats")
+    joined = rows.join(spans, ["doc", "tkey"], "left").select("doc_id", F.col("text").cast("binary").alias("text"), "spans.lo", "spans.repeats")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, lo, bits in zip(*(batch[c].to_pylist() for c in ("text", "lo", "repeats")), strict=True):
-                words = [w for w in text.translate(_GAPS).split(" ") if w]
-                gone = 0
-                if lo:
-                    starts = np.zeros(len(words) + 1, np.int64)
-                    at = (np.array(lo)[:, None] + np.arange(31))[((np.array(bits)[:, None] >> np.arange(31)) & 1).astype(bool)]
-                    np.add.at(starts, at, 1)
-                    np.add.at(starts, at + size, -1)
-                    keep = np.cumsum(starts)[:-1] == 0
-                    gone = len(words) - int(keep.sum())
-                    words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
-                kept = " ".join(words)
-                out.append((len(words) + gone, gone, hashlib.sha256(kept.encode()).hexdigest(), kept))
+            for text, lo, bits in zip(batch["text"].to_pylist(), batch["lo"], batch["repeats"], strict=True):
+                words = text.split()  # bytes part at ASCII white space alone
+                n = len(words)
+                if lo.is_valid:
+                    lo, bits = lo.values.to_numpy(), bits.values.to_numpy()
+                    at = (lo[:, None] + np.arange(31))[(bits[:, None] >> np.arange(31) & 1).astype(bool)]
+                    starts = np.bincount(at, minlength=n + 1) - np.bincount(at + size, minlength=n + 1)
+                    words = [words[i] for i in np.flatnonzero(np.cumsum(starts)[:n] == 0).tolist()]
+                kept = b" ".join(words)
+                out.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept))
             n, gone, digest, kept = zip(*out, strict=True) if out else ((), (), (), ())
             columns = [batch["doc_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.string())] * with_text, names)
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary()).cast(pa.string())] * with_text, names)
 
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * with_text
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
     return joined.mapInArrow(cut, schema)
-
-
-#: ASCII white space that isn't a space.
-_GAPS = str.maketrans("\t\n\x0b\x0c\r", "     ")
