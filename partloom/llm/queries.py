@@ -69,35 +69,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "op1_mixing": r"""
-        WITH d AS (
-            SELECT doc_id, source, md5('0:' || CAST(doc_id AS VARCHAR)) AS digest,
-                   CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
-            FROM documents
-        ), s AS (
-            SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 3.0::DOUBLE * sum(size) AS cap,
-                   CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS DOUBLE) AS w
-            FROM d GROUP BY source
-        ), r AS (
-            SELECT *, (SELECT CAST(sum(source_size) AS DOUBLE) FROM s) - coalesce(sum(cap) OVER o, 0) AS rest,
-                   (SELECT sum(w) FROM s) - coalesce(sum(w) OVER o, 0) AS wrest
-            FROM s WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-        ), f AS (
-            SELECT first(rest ORDER BY cap / w, source NULLS LAST) AS rest, first(wrest ORDER BY cap / w, source NULLS LAST) AS wrest,
-                   first(cap / w ORDER BY cap / w, source NULLS LAST) AS at
-            FROM r WHERE w * rest < cap * wrest
-        ), t AS (
-            SELECT s.source, source_size, CASE WHEN f.at IS NULL OR cap / w < f.at THEN cap ELSE w * f.rest / f.wrest END AS target
-            FROM s, f
-        ), p AS (
-            SELECT d.*, source_size, target,
-                   coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY digest, doc_id
-                                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0 AS middle
-            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-        )
-        SELECT doc_id, source, size, source_size, target,
-               CAST(size * len(list_filter([0, 1, 2], lambda e: e * source_size + middle < floor(target + 0.5))) AS BIGINT) AS taken
-        FROM p""",
     "op5_warc": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
