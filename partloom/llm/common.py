@@ -16,29 +16,44 @@ WORDS = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Driver and executors all reach it.  Only where it is unset (tests, a
-    single machine) a temporary one is made and set.
+    Driver and executors all reach it.  Where it is unset and the master is
+    local (tests, a single machine), a temporary one is made and set; on a
+    cluster that is an error, as each machine would write to its own disk.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset; name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="partloom-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def _run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/partloom-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     This cuts the lineage: what follows survives lost executors without
     recomputing what came before, and sees one fixed set of rows.
     """
-    path = f"{shared_dir(df.sparkSession)}/partloom-{label}-{uuid.uuid4().hex}"
+    path = f"{_run_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Delete every table that this application has materialized; results that
+    haven't been written elsewhere can't be read any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Hand Python workers at most so many rows at once: texts may be long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

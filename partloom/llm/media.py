@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from partloom.llm.common import small_batches
+from partloom.llm.common import materialize, small_batches
 
 #: Fixed by the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
-CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
 
 ROW = 192  # bytes of a picture row: 64 pixels of three samples
 CHUNK = 1 << 16
@@ -123,7 +123,7 @@ def decode_png(data: bytes) -> np.ndarray:
         raise ValueError("no header or no end")
     width, height, depth, colour, _, _, interlace = header
     if depth != 8 or interlace or colour not in CHANNELS or not width or not height:
-        raise ValueError("only plain pictures of 8-bit samples are read")
+        raise ValueError("only plain pictures of 8-bit samples, without a palette, are read")
     channels = CHANNELS[colour]
     try:
         raw = zlib.decompress(b"".join(packed))
@@ -177,11 +177,13 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def text_pictures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, media: the padded UTF-8 of each text as PNG samples.
 
-    A null text counts as empty; null and repeated identifiers come through.
+    The table is written to the shared folder and read back from there.  A null
+    text counts as empty; null and repeated identifiers come through; an empty
+    table gives an empty one; other columns are not read.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(_store, "doc_id long, n_bytes long, media binary")
+    return materialize(rows.mapInArrow(_store, "doc_id long, n_bytes long, media binary"), "media")
 
 
 def media_features(media: DataFrame, *, media_col: str = "media") -> DataFrame:

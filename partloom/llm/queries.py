@@ -84,7 +84,7 @@ ORACLE_SQL = {
         )
         SELECT page_id, payload_bytes, payload_digest,
                CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+               CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to, CAST(NULL AS VARCHAR) AS error
         FROM m""",
     "op7_line_dedup": r"""
         WITH d AS (

@@ -14,8 +14,10 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,6 +103,8 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
         if len(parts) != len(fields):
             raise ValueError(f"a header line of {len(parts)} fields at {offset}")
         head = dict(zip(fields, parts, strict=True))
+        if not head["length"].isdigit():
+            raise ValueError(f"no length in the header line at {offset}")
         length = int(head["length"])
         if length > len(rest):
             raise ValueError(f"the record at {offset} is shorter than it declares")
@@ -126,28 +130,46 @@ def warc_date(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def to_warc(archive: str, record: ArcRecord, original: tuple[str, int | None] | None = None) -> bytes:
-    """A response record, or with original (its record's identifier, its page)
-    a revisit of it, which keeps the HTTP head alone."""
+class Original(NamedTuple):
+    """What a revisit says of the record it refers to."""
+
+    record_id: str
+    page: int | None
+    url: str
+    date: str
+
+
+def _record(lines: list[str], block: bytes) -> bytes:
+    lines = ["WARC/1.1", *lines, f"WARC-Block-Digest: sha1:{base32_sha1(block)}", f"Content-Length: {len(block)}", "", ""]
+    return gzip.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n", GZIP_LEVEL, mtime=0)
+
+
+def warc_info(archive: str) -> bytes:
+    """The record that an archive's version block becomes."""
+    lines = ["WARC-Type: warcinfo", f"WARC-Record-ID: {record_id(archive, 0)}", "WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Filename: {archive}", "Content-Type: application/warc-fields"]
+    return _record(lines, b"software: partloom\r\nformat: WARC File Format 1.1\r\n")
+
+
+def to_warc(archive: str, record: ArcRecord, original: Original | None = None) -> bytes:
+    """A response record (a resource without an HTTP head), or with original a
+    revisit of it, which keeps the HTTP head alone."""
     head, payload = record.block[: record.payload_at], record.block[record.payload_at :]
     http = bool(head)
     lines = [
         f"WARC-Type: {'revisit' if original else 'response' if http else 'resource'}",
         f"WARC-Record-ID: {record_id(archive, record.offset)}",
+        f"WARC-Warcinfo-ID: {record_id(archive, 0)}",
         f"WARC-Date: {warc_date(record.date)}",
         f"WARC-Target-URI: {record.url}",
         f"WARC-IP-Address: {record.ip}",
         f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}",
         f"Content-Type: {HTTP_RESPONSE if http else record.content_type}",
     ]
-    block = record.block
     if original:
-        block = head
-        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {original[0]}"]
-        if original[1] is not None:
-            lines.append(f"WARC-Refers-To-Page: {original[1]}")
-    lines += [f"WARC-Block-Digest: sha1:{base32_sha1(block)}", f"Content-Length: {len(block)}"]
-    return gzip.compress("\r\n".join(["WARC/1.1", *lines, "", ""]).encode() + block + b"\r\n\r\n", GZIP_LEVEL, mtime=0)
+        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {original.record_id}", f"WARC-Refers-To-Target-URI: {original.url}", f"WARC-Refers-To-Date: {warc_date(original.date)}", f"WARC-Payload-Length: {len(payload)}"]
+        if original.page is not None:
+            lines.append(f"WARC-Refers-To-Page: {original.page}")
+    return _record(lines, head if original else record.block)
 
 
 def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -158,6 +180,8 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if not lines[0].startswith("WARC/1."):
             raise ValueError(f"no WARC record at {offset}")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        if not fields.get("content-length", "").isdigit():
+            raise ValueError(f"no length of the record at {offset}")
         block = rest[: int(fields["content-length"])]
         if "sha1:" + base32_sha1(block) != fields.get("warc-block-digest"):
             raise ValueError(f"block digest of the record at {offset}")
@@ -167,111 +191,140 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def arc_archives(pages: DataFrame, *, records: int = 256) -> DataFrame:
     """archive, data: pages (page_id, url, html) as ARC archives of both versions.
 
-    A null html is an empty payload; null addresses are "-"; a null page_id is
+    An archive's name is a digest of its pages and its place in the job, so the
+    same table read the same way gives the same archives.  A null html is an empty payload; null addresses are "-"; a null page_id is
     left out of the record and comes back null.  Other columns are not read.
     """
     small_batches(pages.sparkSession, records)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for number, batch in enumerate(batches):
             rows = []
             for page, url, html in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "html")), strict=True):
                 payload = (html or "").encode()
                 tag = b"" if page is None else b"X-Page: %d\r\n" % page
                 head = b"HTTP/1.0 200 OK\r\nContent-Type: text/html\r\n%sContent-Length: %d\r\n\r\n" % (tag, len(payload))
                 rows.append((url or "-", "0.0.0.0", "20000101000000", "text/html", head + payload))
-            name = uuid.uuid4().hex
-            data = write_arc(name, b"12"[int(name[-1], 16) % 2 :][:1], rows)
+            said = hashlib.sha1(b"\0".join(x for url, *_, block in rows for x in (url.encode(), block))).hexdigest()
+            name = f"{said}-{TaskContext.get().partitionId():06d}-{number:06d}"
+            data = write_arc(name, b"12"[int(said[-1], 16) % 2 :][:1], rows)
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary())], ["archive", "data"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     return materialize(rows.mapInArrow(write, "archive string, data binary"), "arc")
 
 
-_INDEX = "archive string, offset long, page_id long, payload_bytes long, payload_digest string"
+_INDEX = "archive string, offset long, page_id long, payload_bytes long, payload_digest string, url string, date string"
 
 
 def arc_index(archives: DataFrame) -> DataFrame:
-    """archive, offset, page_id, payload_bytes, payload_digest of every record."""
+    """archive, offset, page_id, payload_bytes, payload_digest, url, date of every
+    record; a broken archive has none."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch["archive"].to_pylist(), batch["data"].to_pylist(), strict=True):
-                out = [
-                    (name, r.offset, _page(r.block[: r.payload_at]), len(r.block) - r.payload_at, base32_sha1(r.block[r.payload_at :]))
-                    for r in read_arc(data)
-                ]
+                try:
+                    out = [
+                        (name, r.offset, _page(r.block[: r.payload_at]), len(r.block) - r.payload_at, base32_sha1(r.block[r.payload_at :]), r.url, r.date)
+                        for r in read_arc(data)
+                    ]
+                except (ValueError, zlib.error):
+                    continue
                 if out:
-                    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+                    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
                     columns = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays(columns, ["archive", "offset", "page_id", "payload_bytes", "payload_digest"])
+                    yield pa.RecordBatch.from_arrays(columns, ["archive", "offset", "page_id", "payload_bytes", "payload_digest", "url", "date"])
 
-    return archives.mapInArrow(index, _INDEX)
+    return archives.select("archive", "data").mapInArrow(index, _INDEX)
 
 
 def _page(head: bytes) -> int | None:
-    tag = http_field(head, "X-Page")
-    return None if tag is None else int(tag)
+    tag = http_field(head, "X-Page") or ""
+    return int(tag) if tag.removeprefix("-").isdigit() else None
 
 
 def convert(archives: DataFrame, *, min_revisit_bytes: int = 0) -> DataFrame:
-    """archive, data: the same records as WARC archives.
+    """archive, data, error: the same records as WARC archives.
 
     Of records with equal payloads (SHA-1 and length) of at least
     min_revisit_bytes, the one with the largest page is the response (a null
     page comes before any other; ties go to the later archive name, then
-    offset), and the others revisit it.  Smaller ones are all responses.
+    offset), and the others revisit it.  Smaller ones are all responses.  An
+    archive that can't be read has null data and says why in error; it doesn't
+    stop the others.  Archives' names are all different.
     """
     index = materialize(arc_index(archives), "arc-index")
     at = F.struct(F.col("page_id").isNotNull().alias("has"), "page_id", "archive", "offset")
     key = ["payload_digest", "payload_bytes"]
-    index = index.where(F.col("payload_bytes") >= min_revisit_bytes).select(*key, at.alias("at"))
-    groups = index.groupBy(*key).agg(F.max("at").alias("original"), F.min("at").alias("least"))
+    index = index.where(F.col("payload_bytes") >= min_revisit_bytes).select(*key, at.alias("at"), F.struct("url", "date").alias("said"))
+    groups = index.groupBy(*key).agg(F.max("at").alias("original"), F.min("at").alias("least"), F.max_by("said", "at").alias("said"))
     groups = groups.where(F.col("least") < F.col("original")).drop("least")
-    revisits = index.join(groups, key).where(F.col("at") < F.col("original"))
-    plan = revisits.groupBy("at.archive").agg(
-        F.collect_list(F.struct("at.offset", F.col("original.archive").alias("of"), F.col("original.offset").alias("of_offset"), F.col("original.page_id").alias("page"))).alias("revisits")
-    )
+    revisits = index.drop("said").join(groups, key).where(F.col("at") < F.col("original"))
+    to = F.struct("at.offset", F.col("original.archive").alias("of"), F.col("original.offset").alias("of_offset"), F.col("original.page_id").alias("page"), "said.url", "said.date")
+    plan = revisits.groupBy("at.archive").agg(F.collect_list(to).alias("revisits"))  # an archive's records are bounded
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data, revisits in zip(*(batch[c].to_pylist() for c in ("archive", "data", "revisits")), strict=True):
-                originals = {r["offset"]: (record_id(r["of"], r["of_offset"]), r["page"]) for r in revisits or []}
-                warc = b"".join(to_warc(name, r, originals.get(r.offset)) for r in read_arc(data))
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([warc], pa.binary())], ["archive", "data"])
+                originals = {r["offset"]: Original(record_id(r["of"], r["of_offset"]), r["page"], r["url"], r["date"]) for r in revisits or []}
+                try:
+                    made, error = warc_info(name) + b"".join(to_warc(name, r, originals.get(r.offset)) for r in read_arc(data)), None
+                except (ValueError, zlib.error) as e:
+                    made, error = None, str(e)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([made], pa.binary()), pa.array([error], pa.string())], ["archive", "data", "error"])
 
     small_batches(archives.sparkSession, 16)
     joined = archives.join(plan, "archive", "left").select("archive", "data", "revisits")
-    return materialize(joined.mapInArrow(write, "archive string, data binary"), "warc")
+    return materialize(joined.mapInArrow(write, "archive string, data binary, error string"), "warc")
+
+
+def _read_back(fields: dict[str, str], block: bytes) -> tuple:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of a record."""
+    kind, digest = fields.get("warc-type"), fields.get("warc-payload-digest", "").removeprefix("sha1:")
+    split = block.find(b"\r\n\r\n") + 4 if block[:5] == b"HTTP/" else 0
+    head, payload = (block[:split], block[split:]) if split != 3 else (block, b"")
+    if kind == "revisit":
+        n = int(fields.get("warc-payload-length") or http_field(head, "Content-Length") or 0)
+    else:
+        n = len(payload)
+        if base32_sha1(payload) != digest or head and int(http_field(head, "Content-Length") or n) != n:
+            raise ValueError("a payload doesn't match its record")
+    to = fields.get("warc-refers-to-page")
+    return _page(head), n, digest, kind, None if to is None else int(to)
 
 
 def warc_pages(archives: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every
-    record read back; a response's payload is tested against its digest, a
-    revisit's length is the one that its HTTP head declares."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, error of
+    every record read back (but the archives' own), whole payloads tested
+    against their digests.  An archive that can't be read gives one row of nulls
+    that says why in error; it doesn't stop the others."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch["data"].to_pylist():
-                out = []
-                for fields, block in read_warc(data):
-                    end = block.find(b"\r\n\r\n") + 4
-                    digest = fields["warc-payload-digest"].removeprefix("sha1:")
-                    n = int(http_field(block[:end], "Content-Length") or 0)
-                    kind = fields["warc-type"]
-                    if kind == "response" and (n != len(block) - end or base32_sha1(block[end:]) != digest):
-                        raise ValueError("a payload doesn't match its record")
-                    to = fields.get("warc-refers-to-page")
-                    out.append((_page(block[:end]), n, digest, kind, None if to is None else int(to)))
+            for data, error in zip(batch["data"].to_pylist(), batch["error"].to_pylist(), strict=True):
+                try:
+                    out = [] if error else [(*_read_back(f, b), None) for f, b in read_warc(data) if f.get("warc-type") != "warcinfo"]
+                except (ValueError, zlib.error) as e:
+                    error = str(e)
+                if error:
+                    out = [(None,) * 5 + (error,)]
                 if out:
-                    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+                    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
                     columns = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays(columns, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                    yield pa.RecordBatch.from_arrays(columns, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error"])
 
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return archives.mapInArrow(read, schema)
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, error string"
+    return archives.select("data", "error").mapInArrow(read, schema)
 
 
 def pages_through_warc(pages: DataFrame) -> DataFrame:
-    """Every page written as ARC, converted to WARC and read back."""
+    """Every page written as ARC, converted to WARC and read back: page_id,
+    payload_bytes, payload_digest, record_type, refers_to, error.
+
+    A null html is an empty payload; a null page_id comes back null and is the
+    response only where all its equals are null too; of rows that repeat a page
+    and its payload one is the response.  Other columns are not read; an empty
+    table gives an empty result.
+    """
     return warc_pages(convert(arc_archives(pages)))
