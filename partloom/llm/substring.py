@@ -9,11 +9,12 @@ the suffixes into groups that fit a task, and each group is a subtree:
    that share an anchor, the six-word prefix of least code within each, the
    words are shipped once, as a fragment.  Equal windows have equal anchors.  A
    prefix that the corpus holds once is a leaf, and its fragment is not shipped.
-2. Fragments go to groups by their anchor's prefix.  A prefix with too many
-   words for one group is split: each of its windows becomes a suffix of its
-   own, and its prefix is lengthened until what shares it fits.  What still
-   doesn't at full length is one window many times over, which an aggregate
-   folds.
+2. Fragments go to groups by their anchor's prefix.  Under a prefix that may
+   have too many words for one group, equal fragments are folded first.  If they
+   are still too many, the prefix is split: each of its windows becomes a suffix
+   of its own, and its prefix is lengthened until what shares it fits.  What
+   still doesn't at full length is one window many times over, which an
+   aggregate folds.
 3. A group sorts its suffixes word by word, by doubling: the ranks of runs of 1,
    2, 4, ... words.  The common prefixes of neighbours in that order give the
    internal nodes, and those of depth ``size`` the leaves that repeat.  All
@@ -32,6 +33,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,10 +137,24 @@ def prefix_counts(docs: DataFrame, size: int) -> DataFrame:
     return counts.groupBy("prefix").agg(F.sum("n").alias("n")).where("n > 1")
 
 
-def fragments(docs: DataFrame, size: int, leaves: Bloom) -> DataFrame:
+_FRAGMENTS = "doc long, tkey long, lo int, n int, prefix long, hot boolean, words array<int>"
+
+
+def _firsts(code: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether each fragment has the least (doc, start) of those with its code."""
+    order = np.argsort(code)
+    new = np.ones(len(order), bool)
+    new[1:] = code[order][1:] != code[order][:-1]
+    first = np.empty(len(order), bool)
+    first[order] = earliest_of(np.cumsum(new) - 1, np.flatnonzero(new), doc[order], start[order])
+    return first
+
+
+def fragments(docs: DataFrame, size: int, leaves: Bloom, often: Bloom) -> DataFrame:
     """A row for each run whose anchor's prefix recurs: doc, tkey, lo, n windows,
-    prefix, and the words' 32-bit codes.  Where an equal run of the same batch
-    comes earlier, words is null: all of its windows repeat."""
+    prefix, whether that is among those that occur often, and the words' 32-bit
+    codes.  Where an equal run of the same batch comes earlier, words is null:
+    all of its windows repeat."""
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in gathered(batches):
@@ -149,12 +165,7 @@ def fragments(docs: DataFrame, size: int, leaves: Bloom) -> DataFrame:
                 continue
             width = runs.n + size - 1
             doc = one_array(table["doc"]).to_numpy(zero_copy_only=False)[runs.row]
-            code = span_codes(codes, runs.at, width)
-            order = np.argsort(code)
-            new = np.ones(len(order), bool)
-            new[1:] = code[order][1:] != code[order][:-1]
-            first = np.empty(len(order), bool)
-            first[order] = earliest_of(np.cumsum(new) - 1, np.flatnonzero(new), doc[order], runs.start[order])
+            first = _firsts(span_codes(codes, runs.at, width), doc, runs.start)
             offsets = np.concatenate([[0], np.cumsum(np.where(first, width, 0))])
             place = np.arange(offsets[-1]) + np.repeat((runs.at - offsets[:-1])[first], width[first])
             words = codes.astype(np.uint32).view(np.int32)[place]
@@ -167,12 +178,32 @@ def fragments(docs: DataFrame, size: int, leaves: Bloom) -> DataFrame:
                     pa.array(runs.start.astype(np.int32)),
                     pa.array(runs.n.astype(np.int32)),
                     _signed(runs.prefix),
+                    pa.array(often.has(runs.prefix)),
                     words,
                 ],
-                ["doc", "tkey", "lo", "n", "prefix", "words"],
+                ["doc", "tkey", "lo", "n", "prefix", "hot", "words"],
             )
 
-    return docs.select("doc", "tkey", "text").mapInArrow(ship, "doc long, tkey long, lo int, n int, prefix long, words array<int>")
+    return docs.select("doc", "tkey", "text").mapInArrow(ship, _FRAGMENTS)
+
+
+def folded(asked: DataFrame, groups: int) -> DataFrame:
+    """Fragments (as fragments has them), with words null where an equal one comes earlier."""
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        words, n = one_array(table["words"]), one_array(table["n"]).to_numpy()
+        offsets = words.offsets.to_numpy().astype(np.int64)
+        codes = words.flatten().to_numpy().view(np.uint32).astype(np.uint64)
+        code = span_codes(codes, offsets[:-1] - offsets[0], np.diff(offsets)) ^ mix(n.astype(np.uint64))
+        first = _firsts(code, one_array(table["doc"]).to_numpy(), one_array(table["lo"]).to_numpy().astype(np.int64))
+        at = table.schema.get_field_index("words")
+        # nulls without copying the words of those that stay
+        kept = pc.if_else(pa.array(first), words, pa.scalar(None, words.type))
+        return table.set_column(at, "words", kept).drop_columns(["grp"])
+
+    dealt = asked.withColumn("grp", F.pmod(F.xxhash64("words"), F.lit(groups)).cast("int"))
+    return dealt.repartition(groups, "grp").groupBy("grp").applyInArrow(fold, _FRAGMENTS)
 
 
 def run_ranks(words: np.ndarray, size: int) -> list[np.ndarray]:
@@ -235,19 +266,16 @@ def subtree_repeats(table: pa.Table, size: int) -> pa.Table:
     return out.filter(pa.array(repeats != 0))
 
 
-def lengthened(asked: DataFrame, counts: DataFrame, size: int, most_words: int) -> tuple[DataFrame, DataFrame | None]:
+def lengthened(hot: DataFrame, size: int, most_words: int) -> tuple[DataFrame, DataFrame | None]:
     """Fragments under prefixes that fit a group, and the windows of those that
     don't at any length (doc, tkey, lo, words), each many times the same."""
-    # a prefix can only be too heavy if it occurs often enough before folding
-    heavy = counts.where(F.col("n") * (2 * size) > most_words).select("prefix")
-    fit, hot = None, asked
+    fit = hot.where("false")
     for length in [*range(PREFIX + 4, size, 4), size]:
-        heavy = hot.join(heavy, "prefix", "left_semi").groupBy("prefix").agg(F.sum(F.size("words")).alias("w"))
+        heavy = hot.groupBy("prefix").agg(F.sum(F.size("words")).alias("w"))
         heavy = materialize(heavy.where(F.col("w") > most_words).select("prefix"), "heavy")
         if heavy.isEmpty():
-            return hot if fit is None else fit.unionByName(hot), None
-        cold = hot.join(heavy, "prefix", "left_anti")
-        fit = cold if fit is None else fit.unionByName(cold)
+            return fit.unionByName(hot), None
+        fit = fit.unionByName(hot.join(heavy, "prefix", "left_anti"))
         # suffixes of their own, under longer prefixes
         one = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(i.alias("i"), F.slice("words", i + 1, F.lit(size)).alias("w")))
         hot = hot.join(heavy, "prefix", "left_semi").select("doc", "tkey", "lo", F.explode(one).alias("x"))
@@ -256,7 +284,6 @@ def lengthened(asked: DataFrame, counts: DataFrame, size: int, most_words: int)
             F.xxhash64(F.lit(length), F.slice("x.w", 1, length)).alias("prefix"), F.col("x.w").alias("words"),
         )
         hot = materialize(hot, "lengthened")
-        heavy = hot.select("prefix").distinct()
     return fit, hot.select("doc", "tkey", "lo", "words")
 
 
@@ -264,7 +291,9 @@ def repeats(docs: DataFrame, *, size: int = 20, most_bits: int = MOST_BITS, grou
     """doc, tkey, spans (array of lo, repeats): where windows repeat earlier ones.
 
     docs: doc (the order), tkey, text.  Bit i of repeats tells of the window
-    that starts at lo + i.  A prefix may hold a sixteenth of group_words.
+    that starts at lo + i.  A prefix may hold a quarter of group_words.  The two
+    filters have at most most_bits each; fuller ones let more through, which
+    costs time and changes nothing else.
     """
     if not PREFIX < size <= PREFIX + 30:
         raise ValueError(f"size is {size}, not {PREFIX + 1} to {PREFIX + 30}")
@@ -273,9 +302,16 @@ def repeats(docs: DataFrame, *, size: int = 20, most_bits: int = MOST_BITS, grou
     leaves = bloom_of(counts, "prefix", most_bits)
     total = counts.agg(F.sum("n")).first()[0] or 0
     groups = max(n_partitions(spark), -(-total * (size + 5) // group_words))
-    shipped = materialize(fragments(docs, size, leaves), "suffixes")
-    asked = shipped.where("words IS NOT NULL")
-    fit, same = lengthened(asked, counts, size, group_words // 16)
+    often = counts.where(F.col("n") * (size + 5) > group_words // 4)
+    shipped = materialize(fragments(docs, size, leaves, bloom_of(often, "prefix", most_bits)), "suffixes")
+    asked, gone, same = shipped.where("words IS NOT NULL"), shipped.where("words IS NULL"), None
+    columns = ["doc", "tkey", "lo", "n", "prefix", "words"]
+    fit = asked.where("NOT hot").select(columns)
+    if not often.isEmpty():
+        again = materialize(folded(asked.where("hot"), groups), "folded")
+        gone = gone.unionByName(again.where("words IS NULL"))
+        more, same = lengthened(again.where("words IS NOT NULL").select(columns), size, group_words // 4)
+        fit = fit.unionByName(more)
     dealt = fit.withColumn("grp", F.pmod(F.xxhash64("prefix"), F.lit(groups)).cast("int")).drop("prefix")
 
     def tree(table: pa.Table) -> pa.Table:
@@ -283,7 +319,7 @@ def repeats(docs: DataFrame, *, size: int = 20, most_bits: int = MOST_BITS, grou
 
     found = dealt.repartition(groups, "grp").groupBy("grp").applyInArrow(tree, "doc long, tkey long, lo int, repeats int")
     whole = (F.pow(F.lit(2.0), "n") - 1).cast("int").alias("repeats")
-    found = found.unionByName(shipped.where("words IS NULL").select("doc", "tkey", "lo", whole))
+    found = found.unionByName(gone.select("doc", "tkey", "lo", whole))
     if same is not None:
         first = same.groupBy("words").agg(F.min(F.struct("doc", "lo")).alias("first"))
         later = same.join(first, "words").where(F.struct("doc", "lo") != F.col("first"))
