@@ -28,8 +28,18 @@ def lines(rows: DataFrame) -> DataFrame:
     })
 
 
+def both_ends(edges: DataFrame, src: str, sources: DataFrame, dst: str, targets: DataFrame) -> DataFrame:
+    """The edges whose two ends are there (one column of keys each); dangling ones go."""
+    for column, nodes in ((src, sources), (dst, targets)):
+        keys = nodes.select(F.col(nodes.columns[0]).alias(column)).distinct()
+        edges = edges.join(keys, column, "left_semi")
+    return edges
+
+
 def line_edges(line: DataFrame) -> DataFrame:
-    return line.where("parent IS NOT NULL").select("parent_line_id", F.col("line_id").alias("child_line_id"))
+    """parent_line_id, child_line_id of the lines whose parent is a line too."""
+    edges = line.where("parent IS NOT NULL").select("parent_line_id", F.col("line_id").alias("child_line_id"))
+    return edges.join(line.select(F.col("line_id").alias("parent_line_id")).distinct(), "parent_line_id", "left_semi")
 
 
 def raw_parts(line: DataFrame) -> DataFrame:
@@ -128,11 +138,11 @@ def full_text(tables: dict[str, tuple[DataFrame, str]], word: str) -> DataFrame:
     return out
 
 
-def replacement_chain(edges: DataFrame, start: DataFrame, *, max_depth: int = 20) -> DataFrame:
-    """Parts that replaced others, step by step."""
+def replacement_chain(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """Parts that replaced others, step by step, as far as it goes."""
     from partloom.operators.hierarchy import walk
 
-    return walk(edges.select(F.col("from_part_id").alias("src"), F.col("to_part_id").alias("dst")), start, max_depth=max_depth)
+    return walk(edges.select(F.col("from_part_id").alias("src"), F.col("to_part_id").alias("dst")), start)
 
 
 # The fields that columns of sheets map to.

@@ -8,7 +8,8 @@ the levels exist and differ where levels jump:
 * by level: a row hangs below the last row of any smaller level.
 
 Both, and all ancestors of a row, come from running windows over the document,
-without recursion.
+without recursion, however deep they go: a few levels are looked at one by one in
+one pass, many by the bits of their numbers, in a pass for each bit.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_LEVELS = 32
+#: So many levels are looked at one by one.
+FEW_LEVELS = 64
 
 
 def _sofar(doc: str, order: str) -> Window:
@@ -39,26 +41,55 @@ def _last_at(depth: str, value: Column, k: int, window: Window) -> Column:
     return F.last(F.when(F.col(depth) == k, value), ignorenulls=True).over(window)
 
 
-def ancestors_by_stack(df: DataFrame, *, doc: str = "doc", order: str = "row_no", level: str = "level", max_levels: int = 12) -> DataFrame:
+def _top(df: DataFrame, level: str) -> int:
+    return df.agg(F.max(level)).first()[0] or 0
+
+
+def ancestors_by_stack(df: DataFrame, *, doc: str = "doc", order: str = "row_no", level: str = "level") -> DataFrame:
     """df with depth, ancestors (rows above, nearest first) and parent.
 
     The stack's entry at depth k is the last row of that depth, as depth never
-    grows by more than one.  Deeper rows than max_levels raise an error.
+    grows by more than one.  One aggregate tells how deep the stacks get.
     """
     out = effective_depth(df, doc=doc, order=order, level=level)
-    deep = F.raise_error(F.concat(F.lit(f"deeper than {max_levels} levels: "), F.col("depth").cast("string"))).cast("int")
-    out = out.withColumn("depth", F.when(F.col("depth") > max_levels, deep).otherwise(F.col("depth")))
+    top = _top(df, level)  # a stack is no higher than its rows' levels
+    if top > FEW_LEVELS:
+        top = _top(out, "depth")
     window = _before(doc, order)
-    at = [F.when(F.lit(k) < F.col("depth"), _last_at("depth", F.col(order), k, window)) for k in range(max_levels - 1, 0, -1)]
-    out = out.withColumn("ancestors", F.array_compact(F.array(*at)))
+    at = [F.when(F.lit(k) < F.col("depth"), _last_at("depth", F.col(order), k, window)) for k in range(top - 1, 0, -1)]
+    none = F.array().cast(f"array<{df.schema[order].dataType.simpleString()}>")
+    out = out.withColumn("ancestors", F.array_compact(F.array(*at)) if at else none)
     return out.withColumn("parent", F.get("ancestors", 0))
 
 
-def parent_by_level(df: DataFrame, *, doc: str = "doc", order: str = "row_no", level: str = "level", max_levels: int = MAX_LEVELS) -> DataFrame:
+def _nearest_smaller(df: DataFrame, name: str, *, doc: str, order: str, level: str, below: bool = False) -> DataFrame:
+    """df with name: the nearest row above (or below) of a smaller level, null without one.
+
+    A level is smaller if it agrees with the own one above some bit, which the
+    own one has and it hasn't.  So for each bit the rows that agree above it
+    stand together, and the nearest without the bit is one candidate.
+    """
+    bounds = df.agg(F.min(level), F.max(level)).first()
+    low, high = (0, 0) if bounds[0] is None else bounds
+    find, best = (F.min, F.least) if below else (F.max, F.greatest)
+    frame = (1, Window.unboundedFollowing) if below else (Window.unboundedPreceding, -1)
+    x = F.col(level) - low
+    if high - low < FEW_LEVELS:
+        window = Window.partitionBy(doc).orderBy(order).rowsBetween(*frame)
+        found = [F.when(F.lit(k) < x, find(F.when(x == k, F.col(order))).over(window)) for k in range(high - low)]
+    else:
+        found = []
+        for bit in range((high - low).bit_length()):
+            window = Window.partitionBy(doc, F.shiftright(x.cast("long"), bit + 1)).orderBy(order).rowsBetween(*frame)
+            has = F.shiftright(x.cast("long"), bit) % 2 == 1
+            found.append(F.when(has, find(F.when(~has, F.col(order))).over(window)))
+    nothing = F.lit(None).cast(df.schema[order].dataType)
+    return df.withColumn(name, best(nothing, nothing, *found))
+
+
+def parent_by_level(df: DataFrame, *, doc: str = "doc", order: str = "row_no", level: str = "level") -> DataFrame:
     """df with parent: the nearest row above of a smaller level."""
-    window = _before(doc, order)
-    above = [F.when(F.lit(k) < F.col(level), F.max(F.when(F.col(level) == k, F.col(order))).over(window)) for k in range(0, max_levels)]
-    return df.withColumn("parent", F.greatest(*above))
+    return _nearest_smaller(df, "parent", doc=doc, order=order, level=level)
 
 
 def explicit_parent(df: DataFrame, given: str, *, number: str = "part_no", level: str = "level") -> DataFrame:
@@ -80,22 +111,30 @@ def closure(df: DataFrame, *, keep: list[str] | None = None) -> DataFrame:
     return df.select("doc", "row_no", *(keep or []), F.posexplode(chain).alias("distance", "ancestor"))
 
 
-def walk(edges: DataFrame, start: DataFrame, *, max_depth: int = 100) -> DataFrame:
+def walk(edges: DataFrame, start: DataFrame, *, max_depth: int | None = None) -> DataFrame:
     """node, reached, distance from start (node) along edges (src, dst), the nearest way.
 
     For any graph: a round for each step, over checkpointed frontiers; a node
-    once reached isn't walked again, so cycles end.
+    once reached isn't walked again, so cycles end.  The walk goes on until
+    nothing new is reached, or for max_depth steps where that is asked for.
     """
     from partloom.session import checkpointed
 
     reached = checkpointed(start.select("node", F.col("node").alias("reached"), F.lit(0).alias("distance")).distinct())
-    frontier = reached
-    for step in range(1, max_depth + 1):
+    frontier, found, step = reached, [reached], 0
+    while max_depth is None or step < max_depth:
+        step += 1
         onward = frontier.join(edges, F.col("reached") == F.col("src")).select("node", F.col("dst").alias("reached"), F.lit(step).alias("distance")).distinct()
         frontier = checkpointed(onward.join(reached.select("node", "reached"), ["node", "reached"], "left_anti"))
         if frontier.isEmpty():
             break
-        reached = checkpointed(reached.unionByName(frontier))
+        found.append(frontier)
+        reached = found[0]
+        for part in found[1:]:
+            reached = reached.unionByName(part)
+        if len(found) == 8:  # few parts, each written once in eight rounds
+            found = [checkpointed(reached)]
+            reached = found[0]
     return reached
 
 
@@ -108,11 +147,11 @@ def paths(df: DataFrame, label: str, *, sep: str = " > ", width: int | None = No
     return df.join(steps.groupBy("doc", "row_no").agg(path.alias("bom_path")), ["doc", "row_no"])
 
 
-def subtree_end(df: DataFrame, *, doc: str = "doc", order: str = "row_no", level: str = "level", max_levels: int = MAX_LEVELS) -> DataFrame:
+def subtree_end(df: DataFrame, *, doc: str = "doc", order: str = "row_no", level: str = "level") -> DataFrame:
     """df with subtree_end: the next row of the same level or a smaller one, null at the end."""
-    after = Window.partitionBy(doc).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    ends = [F.when(F.lit(k) <= F.col(level), F.min(F.when(F.col(level) == k, F.col(order))).over(after)) for k in range(0, max_levels)]
-    return df.withColumn("subtree_end", F.least(*ends))
+    out = _nearest_smaller(df, "__smaller", doc=doc, order=order, level=level, below=True)
+    same = F.lead(order).over(Window.partitionBy(doc, level).orderBy(order))
+    return out.withColumn("subtree_end", F.least("__smaller", same)).drop("__smaller")
 
 
 def propagate(df: DataFrame, changed: str, *, doc: str = "doc", order: str = "row_no") -> DataFrame:

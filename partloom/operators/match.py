@@ -42,42 +42,70 @@ def first_rule(rows: DataFrame, rules: list[tuple[list[str], str]], text: Column
     return rows.withColumn(name, out)
 
 
-def keyword_candidates(rows: DataFrame, keywords: DataFrame, name: str) -> DataFrame:
-    """query, rows' columns, position: rows whose name holds a keyword of the query.
+def keyword_candidates(rows: DataFrame, keywords: DataFrame, name: str, *, block: int = 10_000) -> DataFrame:
+    """query, rows' columns, position: rows whose name holds a keyword of the query,
+    each with the position of its first keyword; rows that repeat each stay.
 
-    keywords: query, position, word.  They are collected by query into one row
-    each, and a row is kept with its first keyword.  The keywords are those of
-    requests, checked to be few; rows may be many.
+    keywords: query, position, word.  They are looked at in blocks of queries
+    with about ``block`` keywords, each block part of the expression; rows may be
+    many.
     """
-    few = keywords.limit(10_001).collect()
-    if len(few) > 10_000:
-        raise ValueError("more than 10,000 keywords")
-    words = F.array(*(F.struct(F.lit(r["query"]).alias("query"), F.lit(r["position"]).alias("position"), F.lit(r["word"].lower()).alias("word")) for r in few))
-    hits = F.filter(words, lambda k: F.contains(F.lower(F.col(name)), k["word"]))
-    found = rows.withColumn("__hit", F.explode(hits)).select(*rows.columns, "__hit.query", "__hit.position")
-    return found.groupBy("query", *rows.columns).agg(F.min("position").alias("position"))
-
-
-def either_contains(left: DataFrame, right: DataFrame, left_text: str, right_text: str, *, order: str) -> DataFrame:
-    """left with the first row of right (by order) whose text holds left's, or is held in it.
-
-    right is a list of assemblies of one product, broadcast only below 10,000 rows.
+    number = F.pmod(F.xxhash64("query"), F.lit(max(1, -(-keywords.count() // block))))
+    words = keywords.withColumn("__block", number)
+    out = None
+    for i in range(max(1, -(-keywords.count() // block))):
+        by_query: dict = {}
+        for r in words.where(F.col("__block") == i).orderBy("query", "position").collect():  # about block rows
+            by_query.setdefault(r["query"], []).append((r["position"], r["word"].lower()))
+        low = F.lower(F.col(name))
+        first = lambda pairs: F.array_min(F.filter(F.array(*(F.when(F.contains(low, F.lit(w)), F.lit(p)) for p, w in pairs)), lambda x: x.isNotNull()))
+        hits = [F.struct(F.lit(q).alias("query"), first(pairs).alias("position")) for q, pairs in by_query.items()]
+        if not hits:
+            hits = [F.struct(F.lit(None).cast(keywords.schema["query"].dataType).alias("query"), F.lit(None).cast(keywords.schema["position"].dataType).alias("position"))]
+        found = rows.withColumn("__hit", F.explode(F.filter(F.array(*hits), lambda x: x["position"].isNotNull())))
+        found = found.select("__hit.query", *rows.columns, "__hit.position")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def either_contains(left: DataFrame, right: DataFrame, left_text: str, right_text: str, *, order: str, block: int = 10_000) -> DataFrame:
+    """left with the first row of right (by order) whose text holds left's, or is held in it;
+    rows of left that repeat each stay.
+
+    right is a list of assemblies, broadcast in blocks of about ``block`` rows.
     """
-    if right.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 assemblies; match by tokens instead")
-    cond = F.contains(F.col(left_text), F.col(right_text)) | F.contains(F.col(right_text), F.col(left_text))
-    found = left.join(F.broadcast(right), cond & (F.col(left_text) != "") & (F.col(right_text) != ""), "left")
     others = [c for c in right.columns if c != order]
-    return found.groupBy(*left.columns).agg(F.min(order).alias(order), *(F.min_by(c, order).alias(c) for c in others))
+    blocks = max(1, -(-right.count() // block))
+    dealt = right.where(F.col(right_text) != "").withColumn("__block", F.pmod(F.xxhash64(order), F.lit(blocks)))
+    out, hits = left, []
+    for i in range(blocks):
+        side = dealt.where(F.col("__block") == i).agg(F.array_sort(F.collect_list(F.struct(order, *others))).alias(f"__side{i}"))
+        out = out.join(F.broadcast(side), F.lit(True))  # one row of about block assemblies
+        holds = lambda x: F.contains(F.col(left_text), x[right_text]) | F.contains(x[right_text], F.col(left_text))
+        hits.append(F.when(F.col(left_text) != "", F.get(F.filter(f"__side{i}", holds), 0)))
+        out = out.withColumn(f"__hit{i}", hits[-1]).drop(f"__side{i}")
+    hit = F.array_min(F.array_compact(F.array(*(F.col(f"__hit{i}") for i in range(blocks)))))
+    return out.withColumn("__hit", hit).select(*left.columns, F.col(f"__hit.{order}").alias(order), *(F.col(f"__hit.{c}").alias(c) for c in others))
 
 
 def best_by_tokens(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, text: str = "text", least: int = 1) -> DataFrame:
     """left_id, right_id, score: for each row of left the row of right that shares
-    most words; ties go to the smaller right_id.  Found through an index of words."""
-    a = left.select(left_id, F.explode(tokens(F.col(text))).alias("word"))
-    b = right.select(right_id, F.explode(tokens(F.col(text))).alias("word"))
-    scores = a.join(b, "word").groupBy(left_id, right_id).agg(F.count("*").alias("score")).where(F.col("score") >= least)
-    best = scores.groupBy(left_id).agg(F.max(F.struct("score", (-F.col(right_id)).alias("r"))).alias("best"))
+    most words, ``least`` at least; ties go to the smaller right_id.
+
+    Two sets that share so many words share one of either's rarest but least - 1,
+    so only these are looked up in an index of words; whole sets decide then.
+    """
+    a = left.select(left_id, tokens(F.col(text)).alias("wa"))
+    b = right.select(right_id, tokens(F.col(text)).alias("wb"))
+    words = b.select(right_id, F.explode("wb").alias("word"))
+    often = words.groupBy("word").agg(F.count("*").alias("n"))
+    asked = a.select(left_id, F.size("wa").alias("size"), F.explode("wa").alias("word")).join(often, "word", "left")
+    # words that right lacks count as the rarest: they find nothing and take up places
+    ranked = asked.groupBy(left_id).agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("x"))
+    rare = ranked.select(left_id, F.explode(F.slice("x.word", F.lit(1), F.greatest(F.col("size") - (least - 1), F.lit(0)))).alias("word"))
+    pairs = rare.join(words, "word").select(left_id, right_id).distinct()
+    scores = pairs.join(a, left_id).join(b, right_id).select(left_id, right_id, F.size(F.array_intersect("wa", "wb")).cast("long").alias("score"))
+    best = scores.where(F.col("score") >= least).groupBy(left_id).agg(F.max(F.struct("score", (-F.col(right_id)).alias("r"))).alias("best"))
     return best.select(left_id, (-F.col("best.r")).alias(right_id), F.col("best.score").alias("score"))
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from partloom.functions.text import blank_to_null, is_number, merge_text, part_no_strict
 from partloom.operators.classify import action_bucket
@@ -34,14 +37,32 @@ def last_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("__row")).select(*keys, "__row.*").select(*df.columns)
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """new's rows, and the old ones whose keys new doesn't have."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+def _folded(df: DataFrame, keys: list[str], order: str | None, fold: Callable) -> DataFrame:
+    """One row for each key; rows that tie by order are told apart by all their cells."""
+    cells = [c for c in df.columns if c not in (*keys, order)]
+    tie = [F.to_json(c) if isinstance(df.schema[c].dataType, MapType) else F.col(c) for c in cells]
+    if not tie and not order:
+        return df.distinct()
+    row = fold(F.struct(F.lit(0), *cells), F.struct(*([order] if order else []), *(x.alias(f"t{i}") for i, x in enumerate(tie))))
+    return df.groupBy(*keys).agg(row.alias("__row")).select(*keys, *(F.col(f"__row.{c}") for c in cells))
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], *, order: str | None = None) -> DataFrame:
+    """The last row of new for each key, and the old ones whose keys new doesn't have.
+
+    order is a column of new that isn't stored; of rows that tie, or without an
+    order, the greatest by all cells stays.
+    """
+    last = _folded(new, keys, order, F.max_by).select(*old.columns)
+    return old.join(last.select(*keys), keys, "left_anti").unionByName(last)
 
 
-def insert_new(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of new that a unique key lets in: none of old's, the first of its own."""
-    return new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti")
+def insert_new(old: DataFrame, new: DataFrame, keys: list[str], *, order: str | None = None) -> DataFrame:
+    """The rows of new that a unique key lets in: none of old's, the first of its
+    own by order, which isn't stored (of ties, or without an order, the least by
+    all cells)."""
+    first = _folded(new, keys, order, F.min_by)
+    return first.select(*(c for c in new.columns if c != order)).join(old.select(*keys), keys, "left_anti")
 
 
 def identity_key(*, l1: Column, act: Column, number: Column, name: Column, kind: Column, level: Column, row: Column) -> Column:

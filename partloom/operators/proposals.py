@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partloom.functions.text import merge_text, part_no_strict, path, path_prefixes
+from partloom.operators.ordering import row_numbers
 from partloom.operators.merge import LEVEL_SOURCE_RANK, TIER_RANK, first_wins, last_wins, rank
 
 
@@ -78,23 +79,29 @@ def top_values(rows: DataFrame, group: str, value: str, order: str, *, n: int =
 def match_base(parts: DataFrame, base: DataFrame) -> DataFrame:
     """parts (pid, part_no, name, hint) with base_row, confidence and method.
 
-    Four equal joins with falling confidence: number (better where the hinted path
+    Four keys with falling confidence: number (better where the hinted path
     agrees), name and path, name, path.  base: row_id, part_no, name, bom_path.
+    base is folded to its first row of each key before any join, so no join
+    meets more than one row of base for a part and a path.
     """
-    b = base.select("row_id", part_no_strict(F.col("part_no")).alias("bno"), merge_text(F.col("name")).alias("bname"), path(F.col("bom_path")).alias("bpath"))
-    p = parts.select("*", part_no_strict(F.col("part_no")).alias("kno"), merge_text(F.col("name")).alias("kname"), path(F.col("hint")).alias("khint"))
-    p = p.withColumn("prefixes", path_prefixes(F.col("khint")))
-    on_path = F.array_contains("prefixes", F.col("bpath"))
-    found = [
-        p.where("kno != ''").join(b, F.col("kno") == F.col("bno")).select("pid", "row_id", F.when((F.col("khint") != "") & on_path, 0.98).otherwise(0.95).alias("confidence"), F.lit("PART_NO_MATCH").alias("method"), F.lit(0).alias("step")),
-        p.where("kname != '' AND khint != ''").join(b, F.col("kname") == F.col("bname")).where(on_path).select("pid", "row_id", F.lit(0.85).alias("confidence"), F.lit("PART_NAME+PATH_PREFIX_MATCH").alias("method"), F.lit(1).alias("step")),
-        p.where("kname != ''").join(b, F.col("kname") == F.col("bname")).select("pid", "row_id", F.lit(0.70).alias("confidence"), F.lit("PART_NAME_MATCH").alias("method"), F.lit(2).alias("step")),
-        p.where("khint != ''").join(b, F.col("khint") == F.col("bpath")).select("pid", "row_id", F.lit(0.55).alias("confidence"), F.lit("PATH_MATCH_ONLY").alias("method"), F.lit(3).alias("step")),
-    ]
-    every = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
-    best = every.groupBy("pid").agg(F.min(F.struct("step", (-F.col("confidence")).alias("c"), "row_id", "method")).alias("x"))
-    out = parts.join(best, "pid", "left")
-    return out.select(*parts.columns, F.col("x.row_id").alias("base_row"), F.coalesce(-F.col("x.c"), F.lit(0.0)).alias("confidence"), F.coalesce("x.method", F.lit("NO_MATCH")).alias("method"))
+    b = base.select("row_id", part_no_strict(F.col("part_no")).alias("no"), merge_text(F.col("name")).alias("name"), path(F.col("bom_path")).alias("path"))
+    p = parts.select("pid", part_no_strict(F.col("part_no")).alias("kno"), merge_text(F.col("name")).alias("kname"), path(F.col("hint")).alias("khint"))
+
+    def first(keys: list[str], found: str) -> DataFrame:
+        filled = b.where(F.col(keys[0]) != "").groupBy(*keys).agg(F.min("row_id").alias(found))
+        return filled.select(*(F.col(k).alias(f"__{k}") for k in keys), found)
+
+    # a row for each beginning of the hint
+    steps = p.where("khint != ''").select("pid", "kno", "kname", F.explode(path_prefixes(F.col("khint"))).alias("step"))
+    along = steps.join(first(["no", "path"], "by_no_path"), (F.col("kno") == F.col("__no")) & (F.col("step") == F.col("__path")), "left").drop("__no", "__path")
+    along = along.join(first(["name", "path"], "by_name_path"), (F.col("kname") == F.col("__name")) & (F.col("step") == F.col("__path")), "left")
+    along = along.groupBy("pid").agg(F.min("by_no_path").alias("by_no_path"), F.min("by_name_path").alias("by_name_path"))
+    keyed = p.join(first(["no"], "by_no"), F.col("kno") == F.col("__no"), "left").join(first(["name"], "by_name"), F.col("kname") == F.col("__name"), "left")
+    keyed = keyed.join(first(["path"], "by_path"), F.col("khint") == F.col("__path"), "left").select("pid", "by_no", "by_name", "by_path").join(along, "pid", "left")
+    ways = [("by_no_path", 0.98, "PART_NO_MATCH"), ("by_no", 0.95, "PART_NO_MATCH"), ("by_name_path", 0.85, "PART_NAME+PATH_PREFIX_MATCH"), ("by_name", 0.70, "PART_NAME_MATCH"), ("by_path", 0.55, "PATH_MATCH_ONLY")]
+    best = F.coalesce(*(F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("row_id"), F.lit(confidence).alias("c"), F.lit(method).alias("method"))) for c, confidence, method in ways))
+    out = parts.join(keyed.select("pid", best.alias("x")), "pid", "left")
+    return out.select(*parts.columns, F.col("x.row_id").alias("base_row"), F.coalesce("x.c", F.lit(0.0)).alias("confidence"), F.coalesce("x.method", F.lit("NO_MATCH")).alias("method"))
 
 
 def compare(matched: DataFrame, base: DataFrame, fields: list[str]) -> DataFrame:
@@ -112,7 +119,7 @@ def removals(base: DataFrame, replaced: DataFrame, scopes: list[str]) -> DataFra
     p = path(F.col("bom_path"))
     inside = F.exists(F.array(*map(F.lit, scopes)), lambda s: F.startswith(p, s)) if scopes else F.lit(True)
     found = base.where(inside).withColumn("k", part_no_strict(F.col("part_no"))).join(gone, "k", "left_semi")
-    return found.select(F.format_string("R-%03d", F.row_number().over(Window.orderBy("row_id"))).alias("proposal_id"), "row_id")
+    return row_numbers(found.select("row_id"), "row_id").select(F.format_string("R-%03d", "number").alias("proposal_id"), "row_id")
 
 
 def merge_proposals(parts: DataFrame) -> DataFrame:

@@ -76,16 +76,26 @@ def impacted_assemblies(spark, sf):
     return graph.impacted_assemblies(tables["impact_edges"], tables["bom_lines"])
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS change_id WHERE FALSE")
+@query(f"WITH {BOM}, {KINDS} SELECT change_id FROM changes WHERE row_no % 7 = 0")
 def integrity_changes_without_line(spark, sf):
+    """Lines that were lost on the way are found by the records that need them."""
     tables = graph.build(bom_rows(spark, sf))
-    return graph.without_lines(tables["change_records"], tables["bom_lines"])
+    return graph.without_lines(tables["change_records"], tables["bom_lines"].where("row_no % 7 != 0"))
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS change_id WHERE FALSE")
+@query(f"WITH {BOM}, {KINDS} SELECT change_id FROM changes WHERE row_no % 11 = 0")
 def integrity_changes_without_direct_impact(spark, sf):
     tables = graph.build(bom_rows(spark, sf))
-    return graph.without_direct_impact(tables["change_records"], tables["impact_edges"])
+    lost = F.regexp_extract("change_id", ":([0-9]+):change$", 1).cast("int") % 11 == 0
+    return graph.without_direct_impact(tables["change_records"], tables["impact_edges"].where(~(lost & (F.col("distance") == 0))))
+
+
+@query(f"""WITH RECURSIVE {BOM}, {STACK} SELECT doc || ':line:' || parent AS parent_line_id, doc || ':line:' || row_no AS child_line_id FROM stack WHERE parent IS NOT NULL AND parent % 5 <> 0 AND row_no % 3 <> 0""")
+def edges_with_both_ends(spark, sf):
+    """Edges of a graph some of whose nodes weren't loaded."""
+    line = graph.lines(bom_rows(spark, sf))
+    edges = graph.line_edges(line)
+    return graph.both_ends(edges, "parent_line_id", line.where("row_no % 5 != 0").select("line_id"), "child_line_id", line.where("row_no % 3 != 0").select("line_id"))
 
 
 @query(f"""WITH RECURSIVE {BOM}, {STACK}, {CLIMB}, {KINDS}, {_RAW} SELECT 'bom_lines' AS label, count(*) AS n FROM lines UNION ALL SELECT 'bom_line_edges', count(*) FROM stack WHERE parent IS NOT NULL
@@ -103,9 +113,22 @@ def graph_full_text(spark, sf):
     return graph.full_text({"BomLine": (tables["bom_lines"], "line_id"), "Part": (tables["parts"], "part_id")}, "NEW0000001")
 
 
+@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT 'p' || o_custkey AS src, 'p' || (o_custkey + 1) AS dst FROM orders WHERE o_custkey % 60 <> 59 AND o_orderkey % 2 = 0 UNION SELECT 'p' || (c_custkey * 60 + 30), 'p' || (c_custkey * 60 + 10) FROM customer WHERE c_custkey % 2 = 0),
+    s AS (SELECT 'p' || c_custkey AS node FROM customer WHERE c_custkey % 20 = 0), w AS (SELECT node, node AS reached, 0 AS distance FROM s UNION SELECT w.node, e.dst, w.distance + 1 FROM w JOIN e ON e.src = w.reached WHERE w.distance < 90)
+    SELECT node, reached, CAST(min(distance) AS INTEGER) AS distance FROM w GROUP BY node, reached""")
+def replacement_chains(spark, sf):
+    """Chains of up to sixty replacements, some of which lead back."""
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    p = lambda x: F.concat(F.lit("p"), x.cast("string"))
+    on = o.where("o_custkey % 60 != 59 AND o_orderkey % 2 = 0").select(p(F.col("o_custkey")).alias("from_part_id"), p(F.col("o_custkey") + 1).alias("to_part_id"))
+    back = c.where("c_custkey % 2 = 0").select(p(F.col("c_custkey") * 60 + 30).alias("from_part_id"), p(F.col("c_custkey") * 60 + 10).alias("to_part_id"))
+    return graph.replacement_chain(on.unionByName(back).distinct(), c.where("c_custkey % 20 = 0").select(p(F.col("c_custkey")).alias("node")))
+
+
 @query(f"""WITH {BOM}, {KINDS} SELECT {part_id_sql('base_no')} AS node, {part_id_sql('base_no')} AS reached, 0 AS distance FROM changes WHERE kind = 'Change' AND base_ok AND new_ok AND base_no <> new_no
     UNION SELECT {part_id_sql('base_no')}, {part_id_sql('new_no')}, 1 FROM changes WHERE kind = 'Change' AND base_ok AND new_ok AND base_no <> new_no""")
-def replacement_chains(spark, sf):
+def part_history(spark, sf):
+    """What replaced each part that was replaced; new numbers aren't replaced again here."""
     edges = graph.build(bom_rows(spark, sf))["replacement_edges"]
     return graph.replacement_chain(edges, edges.selectExpr("from_part_id AS node"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from partloom.operators import graph
 from partloom.operators import hierarchy as h
 from partloom.plans.bom import BOM, CLIMB, KINDS, STACK, bom_rows
-from partloom.plans.registry import query
+from partloom.plans.registry import query, table
 
 
 @query(f"WITH RECURSIVE {BOM}, {STACK} SELECT doc, row_no, depth, parent FROM stack")
@@ -17,14 +17,14 @@ def stack_parents(spark, sf):
 
 @query(f"""WITH {BOM} SELECT doc, row_no, (SELECT max(a.row_no) FROM bom a WHERE a.doc = b.doc AND a.row_no < b.row_no AND a.level < b.level) AS parent FROM bom b""")
 def level_parents(spark, sf):
-    return h.parent_by_level(bom_rows(spark, sf), max_levels=8).select("doc", "row_no", "parent")
+    return h.parent_by_level(bom_rows(spark, sf)).select("doc", "row_no", "parent")
 
 
 @query(f"""WITH {BOM}, p AS (SELECT doc, row_no, level, qty, (SELECT max(a.row_no) FROM bom a WHERE a.doc = b.doc AND a.row_no < b.row_no AND a.level < b.level) AS parent FROM bom b)
     SELECT p.doc, p.row_no, CASE WHEN p.row_no % 9 = 0 THEN 'GIVEN' || p.row_no ELSE a.part_no END AS parent_no
     FROM p LEFT JOIN bom a ON a.doc = p.doc AND a.row_no = p.parent""")
 def explicit_parents(spark, sf):
-    rows = h.parent_by_level(bom_rows(spark, sf), max_levels=8)
+    rows = h.parent_by_level(bom_rows(spark, sf))
     given = F.when(F.col("row_no") % 9 == 0, F.concat(F.lit("GIVEN"), F.col("row_no").cast("string"))).otherwise("")
     return h.explicit_parent(rows.withColumn("given", given), "given").select("doc", "row_no", "parent_no")
 
@@ -50,7 +50,7 @@ def bom_paths(spark, sf):
 
 @query(f"WITH {BOM} SELECT doc, row_no, (SELECT min(a.row_no) FROM bom a WHERE a.doc = b.doc AND a.row_no > b.row_no AND a.level <= b.level) AS subtree_end FROM bom b")
 def subtree_ranges(spark, sf):
-    return h.subtree_end(bom_rows(spark, sf), max_levels=8).select("doc", "row_no", "subtree_end")
+    return h.subtree_end(bom_rows(spark, sf)).select("doc", "row_no", "subtree_end")
 
 
 @query(f"""WITH {BOM}, t AS (SELECT doc, row_no, coalesce((SELECT min(a.row_no) FROM bom a WHERE a.doc = b.doc AND a.row_no > b.row_no AND a.level <= b.level), 1152921504606846976) AS e, point, reason, new_no FROM bom b),
@@ -73,10 +73,10 @@ def missing_assemblies(spark, sf):
 
 
 @query(f"""WITH RECURSIVE {BOM}, {STACK}, {CLIMB} SELECT DISTINCT b.doc, b.row_no, b.level FROM bom m JOIN climb ON m.doc = climb.doc AND m.row_no = climb.row_no
-    JOIN bom b ON b.doc = climb.doc AND b.row_no = climb.ancestor WHERE m.row_no % 40 = 0 AND b.level <= 4""")
+    JOIN bom b ON b.doc = climb.doc AND b.row_no = climb.ancestor WHERE m.row_no % 20 = 0 AND b.level <= 4""")
 def tree_search(spark, sf):
     rows = h.ancestors_by_stack(bom_rows(spark, sf))
-    return h.search_tree(rows, F.col("row_no") % 40 == 0, max_level=4).select("doc", "row_no", "level")
+    return h.search_tree(rows, F.col("row_no") % 20 == 0, max_level=4).select("doc", "row_no", "level")
 
 
 @query(f"""WITH {BOM}, s AS (SELECT name, min(row_no) AS position FROM bom WHERE doc = 'Brand#11' GROUP BY name)
@@ -101,11 +101,33 @@ def fan_out(spark, sf):
     return rows.join(children, ["doc", "row_no"], "left").select("doc", "row_no", n.alias("child_count"), (n > 0).alias("is_assembly"))
 
 
-@query(f"""WITH RECURSIVE {BOM}, {STACK}, down AS (SELECT doc, row_no, row_no AS reached, 0 AS distance FROM stack WHERE row_no % 50 = 0
+@query(f"""WITH RECURSIVE {BOM}, {STACK}, down AS (SELECT doc, row_no, row_no AS reached, 0 AS distance FROM stack WHERE row_no % 20 = 0
     UNION ALL SELECT d.doc, d.row_no, s.row_no, d.distance + 1 FROM down d JOIN stack s ON s.doc = d.doc AND s.parent = d.reached)
     SELECT doc || '/' || row_no AS node, doc || '/' || reached AS reached, CAST(distance AS INTEGER) AS distance FROM down""")
 def descendants(spark, sf):
     key = lambda c: F.concat_ws("/", "doc", F.col(c).cast("string"))
     rows = h.ancestors_by_stack(bom_rows(spark, sf))
     edges = rows.where("parent IS NOT NULL").select(key("parent").alias("src"), key("row_no").alias("dst"))
-    return h.walk(edges, rows.where("row_no % 50 = 0").select(key("row_no").alias("node")))
+    return h.walk(edges, rows.where("row_no % 20 = 0").select(key("row_no").alias("node")))
+
+
+#: Levels up to 70, far beyond those that are looked at one by one.
+_DEEP = "deep AS (SELECT o_custkey % 97 AS doc, o_orderkey AS row_no, CAST(1 + (o_orderkey * 7 + o_custkey) % 70 AS INTEGER) AS level, o_orderkey % 13 = 0 AS changed FROM orders)"
+
+
+def _deep_rows(spark, sf):
+    o = table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    return o.select((F.col("o_custkey") % 97).alias("doc"), k.alias("row_no"), (1 + (k * 7 + F.col("o_custkey")) % 70).cast("int").alias("level"), (k % 13 == 0).alias("changed"))
+
+
+@query(f"""WITH {_DEEP}, p AS (SELECT b.doc, b.row_no, max(a.row_no) AS parent FROM deep b LEFT JOIN deep a ON a.doc = b.doc AND a.row_no < b.row_no AND a.level < b.level GROUP BY b.doc, b.row_no),
+    e AS (SELECT b.doc, b.row_no, min(a.row_no) AS subtree_end FROM deep b LEFT JOIN deep a ON a.doc = b.doc AND a.row_no > b.row_no AND a.level <= b.level GROUP BY b.doc, b.row_no),
+    n AS (SELECT *, sum(CASE WHEN changed THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY row_no) AS upto FROM deep)
+    SELECT p.doc, p.row_no, p.parent, e.subtree_end, coalesce(x.upto - CASE WHEN x.changed THEN 1 ELSE 0 END, (SELECT max(upto) FROM n m WHERE m.doc = p.doc)) > n.upto - CASE WHEN n.changed THEN 1 ELSE 0 END AS touched
+    FROM p JOIN e USING (doc, row_no) JOIN n USING (doc, row_no) LEFT JOIN n x ON x.doc = p.doc AND x.row_no = e.subtree_end""")
+def deep_levels(spark, sf):
+    """Parents, subtrees and propagation where levels go to 70."""
+    rows = _deep_rows(spark, sf)
+    ends = h.subtree_end(h.parent_by_level(rows)).select("doc", "row_no", "parent", "subtree_end")
+    return ends.join(h.propagate(rows, "changed").select("doc", "row_no", "touched"), ["doc", "row_no"])

@@ -56,17 +56,21 @@ def first_and_last_wins(spark, sf):
     return first.join(merge.last_wins(p, ["p_name"], "p_partkey").select("p_name", F.col("p_brand").alias("last_brand")), "p_name")
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'new' ELSE p_name END AS p_name FROM part UNION ALL SELECT p_partkey + 10000000, 'new' FROM part WHERE p_partkey % 30 = 0")
+@query("""WITH n AS (SELECT l_partkey AS p_partkey, arg_max(l_returnflag, (l_orderkey, l_linenumber)) AS p_name FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY l_partkey)
+    SELECT p_partkey, p_name FROM n UNION ALL SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM n)""")
 def keyed_upsert(spark, sf):
+    """A batch that repeats its keys: the last row of each counts."""
     p = table(spark, sf, "part").select("p_partkey", "p_name")
-    new = p.where("p_partkey % 3 = 0").unionByName(p.where("p_partkey % 30 = 0").withColumn("p_partkey", F.col("p_partkey") + 10_000_000)).withColumn("p_name", F.lit("new"))
-    return merge.upsert(p, new, ["p_partkey"])
+    new = table(spark, sf, "lineitem").where("l_partkey % 3 = 0").select(F.col("l_partkey").alias("p_partkey"), F.col("l_returnflag").alias("p_name"), F.struct("l_orderkey", "l_linenumber").alias("ord"))
+    return merge.upsert(p, new, ["p_partkey"], order="ord")
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("SELECT o_custkey, min(o_orderkey) AS first_order, arg_min(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) GROUP BY o_custkey")
 def insert_only_new(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id")
-    return merge.insert_new(table(spark, sf, "labels").select("doc_id"), docs.unionByName(docs), ["doc_id"])
+    """A batch that repeats its keys: the first row of each is let in."""
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.col("o_orderkey").alias("first_order"), "o_orderstatus")
+    known = table(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("o_custkey"))
+    return merge.insert_new(known, orders, ["o_custkey"], order="o_orderkey")
 
 
 @query("SELECT lang || CASE WHEN k > 1 THEN '__dup' || (k - 1) ELSE '' END AS id, doc_id FROM (SELECT lang || n_chars AS lang, doc_id, row_number() OVER (PARTITION BY lang || n_chars ORDER BY doc_id) AS k FROM documents)")
@@ -106,18 +110,18 @@ def representatives(spark, sf):
     return merge.representatives(rows).select("dkey", "action", "level", "merged")
 
 
-@query(f"""WITH {BOM}, l AS (SELECT l_orderkey, l_linenumber, CASE l_partkey % 3 WHEN 0 THEN 'AEC' || lpad(CAST(l_partkey AS VARCHAR), 8, '0') ELSE '' END AS no, CASE l_partkey % 3 WHEN 1 THEN (SELECT any_value(p_name) FROM part WHERE p_partkey = l_partkey) ELSE '' END AS nm FROM lineitem WHERE l_linenumber = 1),
+@query(f"""WITH {BOM}, l AS (SELECT l_orderkey, l_linenumber, CASE l_partkey % 3 WHEN 0 THEN 'AEC' || lpad(CAST(l_partkey AS VARCHAR), 8, '0') ELSE '' END AS no, CASE l_partkey % 3 WHEN 1 THEN (SELECT any_value(p_name) FROM part WHERE p_partkey = l_partkey) ELSE '' END AS nm FROM lineitem),
     byname AS (SELECT name, arg_min(raw_level, row_no) AS raw_level FROM bom GROUP BY name)
-    SELECT l_orderkey, CASE WHEN b.part_no IS NOT NULL THEN 'by_number' WHEN n.name IS NOT NULL THEN 'by_name' END AS found_by, coalesce(b.raw_level, n.raw_level) AS found_raw_level FROM l LEFT JOIN bom b ON b.part_no = l.no LEFT JOIN byname n ON n.name = l.nm""")
+    SELECT l_orderkey, l_linenumber, CASE WHEN b.part_no IS NOT NULL THEN 'by_number' WHEN n.name IS NOT NULL THEN 'by_name' END AS found_by, coalesce(b.raw_level, n.raw_level) AS found_raw_level FROM l LEFT JOIN bom b ON b.part_no = l.no LEFT JOIN byname n ON n.name = l.nm""")
 def waterfall_lookup(spark, sf):
     base = bom_rows(spark, sf).withColumn("ord", F.col("row_no"))
     names = base.select(F.col("row_no").alias("l_partkey"), "name")
     k = F.col("l_partkey") % 3
-    left = table(spark, sf, "lineitem").where("l_linenumber = 1").join(names, "l_partkey", "left").select(
-        "l_orderkey", F.when(k == 0, F.concat(F.lit("AEC"), F.lpad(F.col("l_partkey").cast("string"), 8, "0"))).otherwise("").alias("no"), F.when(k == 1, F.col("name")).otherwise("").alias("nm")
+    left = table(spark, sf, "lineitem").join(names, "l_partkey", "left").select(
+        "l_orderkey", "l_linenumber", F.when(k == 0, F.concat(F.lit("AEC"), F.lpad(F.col("l_partkey").cast("string"), 8, "0"))).otherwise("").alias("no"), F.when(k == 1, F.col("name")).otherwise("").alias("nm")
     )
     steps = [("by_number", F.col("no"), base, "part_no"), ("by_name", F.col("nm"), base, "name")]
-    return match.waterfall(left, steps, cells=["raw_level"]).select("l_orderkey", "found_by", "found_raw_level")
+    return match.waterfall(left, steps, cells=["raw_level"]).select("l_orderkey", "l_linenumber", "found_by", "found_raw_level")
 
 
 @query(f"""WITH {BOM} SELECT doc, row_no, CASE WHEN new_no = '' THEN base_no ELSE new_no END AS new_no, CASE WHEN reason = '' AND row_no % 2 = 0 AND point <> '' THEN point ELSE reason END AS reason,
@@ -285,9 +289,8 @@ def fill_down(spark, sf):
     return down(e, "event_type", ["user_id"], "event_id")
 
 
-@query("SELECT p_brand, CAST(len(list_distinct(list(upper(p_name)))) AS INTEGER) AS n_names, arg_min(p_name, p_partkey) AS first_name FROM part GROUP BY p_brand")
+@query("SELECT p_brand, CAST(count(DISTINCT upper(p_name)) AS BIGINT) AS n_names, arg_min(p_name, p_partkey) AS first_name FROM part GROUP BY p_brand")
 def module_summary(spark, sf):
-    """An ordered list of different names for each category."""
-    p = table(spark, sf, "part")
-    names = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", merge_text(F.col("p_name")).alias("m"), "p_name"))), lambda x: x["m"]))
-    return p.groupBy("p_brand").agg(F.size(names).alias("n_names"), F.min_by("p_name", "p_partkey").alias("first_name"))
+    """The different names of each category and the first of them."""
+    names = table(spark, sf, "part").groupBy("p_brand", merge_text(F.col("p_name")).alias("m")).agg(F.min(F.struct("p_partkey", "p_name")).alias("x"))
+    return names.groupBy("p_brand").agg(F.count("*").alias("n_names"), F.min("x")["p_name"].alias("first_name"))

@@ -70,16 +70,14 @@ def packaged_line_parser(spark, sf):
     line = F.when(F.col("level") == 1, F.concat(F.lit("[L1] "), "part_no", F.lit(" | Desc="), "name")).otherwise(
         F.concat(F.lit("- L1:x > L2:y | Base="), "base_no", F.lit(" New="), "new_no", F.lit(" | "), "name", F.lit(" | CHG="), "point", F.lit(" | RSN="), "reason")
     )
-    numbered = rows.select("doc", "row_no", line.alias("line"))
-    docs = numbered.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("row_no", "line"))).alias("x")).select("doc", "x.row_no", F.array_join("x.line", "\n").alias("text"))
-    parsed = retrieval.packaged_lines(docs, doc_id="doc").where("l1 != ''").join(docs.select("doc", F.col("row_no").alias("nos")), "doc")
-    return parsed.select("doc", F.get("nos", F.col("line_no")).alias("row_no"), "l1", "base_no", "new_no", F.col("change").alias("chg"), F.col("reason").alias("rsn"))
+    parsed = retrieval.parsed_lines(rows.select("doc", "row_no", line.alias("line")), doc_id="doc", line_no="row_no").where("l1 != ''")
+    return parsed.select("doc", "row_no", "l1", "base_no", "new_no", F.col("change").alias("chg"), F.col("reason").alias("rsn"))
 
 
-@query("""WITH k(query, position, word) AS (VALUES ('a', 0, 'ring'), ('a', 1, 'red'), ('b', 0, 'Widget')) SELECT query, p_partkey, p_name, CAST(min(position) AS INTEGER) AS position FROM part JOIN k ON contains(lower(p_name), lower(word)) GROUP BY query, p_partkey, p_name""")
+@query("""WITH k(query, position, word) AS (VALUES ('a', 0, 'ring'), ('a', 1, 'red'), ('b', 0, 'Widget')) SELECT query, p_brand, p_name, CAST(min(position) AS INTEGER) AS position FROM part JOIN k ON contains(lower(p_name), lower(word)) GROUP BY query, p_partkey, p_brand, p_name""")
 def keyword_candidates(spark, sf):
     words = spark.createDataFrame([("a", 0, "ring"), ("a", 1, "red"), ("b", 0, "Widget")], "query string, position int, word string")
-    return match.keyword_candidates(table(spark, sf, "part").select("p_partkey", "p_name"), words, "p_name")
+    return match.keyword_candidates(table(spark, sf, "part").select("p_brand", "p_name"), words, "p_name")  # rows repeat
 
 
 @query("""SELECT p_partkey, CASE WHEN contains(p_name, 'ring') OR contains(p_name, 'bolt') THEN 'fastening' WHEN contains(p_name, 'red') THEN 'colour' WHEN contains(p_name, 'i') THEN 'other' END AS rule FROM part""")
@@ -87,9 +85,9 @@ def first_rule_match(spark, sf):
     return match.first_rule(table(spark, sf, "part").select("p_partkey", "p_name"), [(["ring", "bolt"], "fastening"), (["red"], "colour"), (["i"], "other")], F.col("p_name")).select("p_partkey", "rule")
 
 
-@query("""WITH l AS (SELECT DISTINCT p_name AS described FROM part), r AS (SELECT n_nationkey AS ord, lower(substr(n_name, 1, 2)) AS l1 FROM nation) SELECT described, CAST(min(ord) AS INTEGER) AS ord, arg_min(l1, ord) AS l1 FROM l LEFT JOIN r ON contains(described, l1) OR contains(l1, described) GROUP BY described""")
+@query("""WITH l AS (SELECT p_partkey, p_name AS described FROM part), r AS (SELECT n_nationkey AS ord, lower(substr(n_name, 1, 2)) AS l1 FROM nation) SELECT described, CAST(min(ord) AS INTEGER) AS ord, arg_min(l1, ord) AS l1 FROM l LEFT JOIN r ON contains(described, l1) OR contains(l1, described) GROUP BY p_partkey, described""")
 def assembly_by_substring(spark, sf):
-    left = table(spark, sf, "part").select(F.col("p_name").alias("described")).distinct()
+    left = table(spark, sf, "part").select(F.col("p_name").alias("described"))  # rows repeat
     right = table(spark, sf, "nation").select(F.col("n_nationkey").alias("ord"), F.lower(F.substring("n_name", 1, 2)).alias("l1"))
     return match.either_contains(left, right, "described", "l1", order="ord")
 

@@ -32,10 +32,13 @@ def ship(spark: SparkSession) -> SparkSession:
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the folder that all of the cluster sees.
 
-    That is the one of spark.checkpoint.dir; where none is set, as in tests, a
-    temporary one.
+    That is the one of spark.checkpoint.dir; where none is set and the master is
+    local, as in tests, a temporary one.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="partloom-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir is unset; name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="partloom-"))
     return df.checkpoint()

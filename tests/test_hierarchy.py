@@ -37,7 +37,7 @@ def test_both_parents(spark):
     rows = random_rows(1)
     df = spark.createDataFrame(rows, "doc string, row_no int, level int, changed boolean")
     stack = {(r.doc, r.row_no): (r.depth, r.parent, r.ancestors) for r in h.ancestors_by_stack(df).collect()}
-    level = {(r.doc, r.row_no): r.parent for r in h.parent_by_level(df, max_levels=8).collect()}
+    level = {(r.doc, r.row_no): r.parent for r in h.parent_by_level(df).collect()}
     differ = 0
     for d, xs in docs_of(rows).items():
         levels = [x for x, _ in xs]
@@ -51,15 +51,29 @@ def test_both_parents(spark):
 def test_level_jumps(spark):
     df = spark.createDataFrame([("a", i, x) for i, x in enumerate([1, 3, 5, 3])], "doc string, row_no int, level int")
     assert [r.parent for r in h.ancestors_by_stack(df).orderBy("row_no").collect()] == [None, 0, 1, 1]
-    assert [r.parent for r in h.parent_by_level(df, max_levels=8).orderBy("row_no").collect()] == [None, 0, 1, 0]
-
-
-def test_too_deep_is_an_error(spark):
-    import pytest
-
-    df = spark.createDataFrame([("a", i, i + 1) for i in range(5)], "doc string, row_no int, level int")
-    with pytest.raises(Exception, match="deeper than 3"):
-        h.ancestors_by_stack(df, max_levels=3).collect()
+    assert [r.parent for r in h.parent_by_level(df).orderBy("row_no").collect()] == [None, 0, 1, 0]
+
+
+def test_any_depth(spark):
+    """Levels up to 60, beyond 64, negative ones and chains of 150 against the plain rules."""
+    r = random.Random(3)
+    sheets = [[r.randint(1, 60) for _ in range(80)] for _ in range(6)] + [[r.randint(-3, 200) for _ in range(80)] for _ in range(4)] + [list(range(1, 151))]
+    for part in (sheets[:6], sheets[6:10], sheets[10:]):
+        rows = [(f"d{d}", i, x, i % 9 == 4) for d, xs in enumerate(part) for i, x in enumerate(xs)]
+        df = spark.createDataFrame(rows, "doc string, row_no int, level int, changed boolean")
+        parent = {(x.doc, x.row_no): x.parent for x in h.parent_by_level(df).collect()}
+        end = {(x.doc, x.row_no): x.subtree_end for x in h.subtree_end(df).collect()}
+        touched = {(x.doc, x.row_no): x.touched for x in h.propagate(df, "changed").collect()}
+        for d, xs in enumerate(part):
+            for i, want in enumerate(by_level(xs)):
+                assert parent[f"d{d}", i] == want
+                last = next((j for j in range(i + 1, len(xs)) if xs[j] <= xs[i]), None)
+                assert end[f"d{d}", i] == last
+                assert touched[f"d{d}", i] == any(j % 9 == 4 for j in range(i, len(xs) if last is None else last))
+        if min(min(xs) for xs in part) > 0:
+            stack = {(x.doc, x.row_no): (x.depth, x.parent, x.ancestors) for x in h.ancestors_by_stack(df).collect()}
+            for d, xs in enumerate(part):
+                assert [stack[f"d{d}", i] for i in range(len(xs))] == by_stack(xs)
 
 
 def test_propagation(spark):
@@ -80,6 +94,22 @@ def test_walk_ends_on_cycles(spark):
     assert got == {("a", 0), ("b", 1), ("c", 2), ("d", 3)}
 
 
+def test_walk_has_no_depth_limit(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(130)], "src int, dst int").coalesce(1)
+    start = spark.createDataFrame([(0,)], "node int")
+    assert h.walk(edges, start).count() == 131
+    assert h.walk(edges, start, max_depth=3).count() == 4
+
+
+def test_row_numbers(spark):
+    from partloom.operators.ordering import row_numbers
+
+    df = spark.range(0, 1000, 3).repartition(7)
+    got = row_numbers(df, "id").collect()
+    assert {r.number: r.id for r in got} == {i + 1: 3 * i for i in range(334)}
+    assert row_numbers(df.where("false"), "id").count() == 0
+
+
 def test_paths_are_cut(spark):
     df = spark.createDataFrame([("a", 0, 1, "long name"), ("a", 1, 2, "part")], "doc string, row_no int, level int, name string")
     got = h.paths(h.ancestors_by_stack(df), "name", width=4).orderBy("row_no").collect()
