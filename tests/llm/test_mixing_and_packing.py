@@ -189,6 +189,43 @@ def test_encoder_is_the_tokenizer():
             assert [g.tolist() for g in got] == [[*w.ids, 1] for w in want]
 
 
+def test_scores_by_the_formula():
+    """BM25 term by term, and every pick of a window the best that is left."""
+    import math
+
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(10, 80, rng.integers(3, 60)).astype(np.uint16) for _ in range(40)]
+    stats = packing.Statistics.of(docs)
+    index = packing.Bm25(docs, stats, None)
+    mean, df = np.mean([len(d) for d in docs]), {t: sum(t in d for d in docs) for t in range(80)}
+
+    def score(q, d):
+        total = 0.0
+        for t in set(q.tolist()) & set(d.tolist()):
+            tf = int((d == t).sum())
+            total += math.log(1 + (len(docs) - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+        return total
+
+    for i in range(0, 40, 7):
+        assert np.allclose(index.scores(i), [score(docs[i], d) for d in docs], rtol=1e-4)
+    unused = np.ones(40, bool)
+    unused[::3] = False
+    index.keep(unused)
+    assert np.allclose(index.scores(5), [score(docs[5], d) if u else 0 for d, u in zip(docs, unused, strict=True)], rtol=1e-4)
+    used, rest = set(), None
+    for window in packing.windows(docs, size=128):
+        seed = window[0][0]
+        assert rest is None or seed == rest
+        taken = [d for d, start, _ in window[1:] if start == 0]
+        used |= {seed}
+        for d in taken:
+            left = [score(docs[seed], docs[x]) for x in range(40) if x not in used]
+            assert score(docs[seed], docs[d]) >= max(left) * (1 - 1e-4)
+            used |= {d}
+        d, start, n = window[-1]
+        rest = d if start + n < len(docs[d]) else None
+
+
 def test_neighbours_share_words():
     rng = np.random.default_rng(1)
     topics = [rng.permutation(2000)[:60] + 100 for _ in range(8)]
