@@ -1,18 +1,24 @@
 """Near-duplicate detection with ProbMinHash.
 
-A document is its set of five-word shingles, however often each occurs.  Every
-shingle has an exponential process of arrivals, all at one rate; each arrival
-goes to the next place of the shingle's own order of registers, and a register
-keeps the earliest.  A shingle stops as soon as its next arrival is behind all
-registers.  At one rate two signatures agree in a register with the probability
-of the sets' Jaccard similarity, which is what decides a link.  Bands of
-registers give candidates; pairs are verified on their whole shingle sets.
-
-Documents with equal shingle sets are one node.  In each bucket of a band the
-most connected node is the centre, and the others are verified against it
+A document is its five-word shingles, weighted by how often each occurs.  Every
+shingle has an exponential process of arrivals at the rate of its weight; each
+arrival goes to the next place of the shingle's own order of registers, and a
+register keeps the earliest.  A shingle stops as soon as its next arrival is
+behind all registers.  Two signatures agree in a register with the probability
+Jaccard similarity of the weighted shingles.
+
+A document is signed by its counts and, where a shingle repeats, by the set of
+its shingles too (all weights one, where the probability Jaccard similarity is
+the plain one), so that a block that is repeated a hundred times neither hides
+what else two texts share nor is lost beside it.  A link is a similarity of 0.8 in
+either reading, computed exactly on the whole shingles of pairs that bands of
+registers propose; where no shingle repeats, both are one.
+
+Documents with equal weighted shingles are one node.  In each bucket of a band
+the most connected node is the centre, and the others are verified against it
 alone.  What that leaves open, nodes of a bucket that are still in different
-classes, is compared pair by pair within the bucket, by sizes and parities first, which
-no link fails, then whole sets, and gives only links, so no link within a bucket
+classes, is compared pair by pair within the bucket: by sizes and parities,
+which no link fails, and what is left by whole sets.  So no link within a bucket
 is lost, while a large group of copies or near-copies costs one comparison for
 each member.
 """
@@ -23,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +37,7 @@ from partloom.llm.blooms import MOST_BITS, bloom_of
 from partloom.llm.common import materialize, small_batches, text_key
 from partloom.llm.words import Bloom, gathered, mix, one_array, run_codes, word_codes
 
-REGISTERS = 389  # a prime, so that every step walks through all registers
+REGISTERS = 193  # a prime, so that every step walks through all registers
 BANDS, ROWS = 32, 6
 PARITIES = 1536  # bits of a set's parities, 64 to a long
 
@@ -84,35 +91,48 @@ def prob_minhash(row: np.ndarray, element: np.ndarray, weight: np.ndarray, n: in
     return winner.reshape(n, m)
 
 
-_SIGNED = "doc_id long, tkey long, row long, key long, n int, node long, check long, bands array<long>, bits array<long>"
+_SIGNED = "doc_id long, tkey long, row long, key long, n int, repeats boolean, node binary, bands array<long>, bits array<long>"
+
+
+def band_codes(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
+    sig = prob_minhash(row, shingle, weight, k)
+    band = np.zeros((k, BANDS), np.uint64)
+    for r in range(ROWS):
+        band = mix(band * np.uint64(31) + sig[:, r : BANDS * ROWS : ROWS] + np.arange(BANDS, dtype=np.uint64))
+    return band
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """A row for each of docs: n shingles, node and check (two codes of the whole
-    set), the codes of its bands and the set's parities."""
+    """A row for each of docs: n shingles, whether one repeats, node (a code of all
+    shingles and their counts), the codes of its bands and the set's parities."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in gathered(batches, 2_000_000):
             k = table.num_rows
-            row, shingle, _ = shingles(*word_codes(one_array(table["text"])), size)
+            row, shingle, count = shingles(*word_codes(one_array(table["text"])), size)
             n = np.bincount(row, minlength=k)
-            sig = prob_minhash(row, shingle, np.ones(len(row)), k)
-            band = np.zeros((k, BANDS), np.uint64)
-            for r in range(ROWS):
-                band = mix(band * np.uint64(31) + sig[:, r : BANDS * ROWS : ROWS] + np.arange(BANDS, dtype=np.uint64))
+            unit = band_codes(row, shingle, np.ones(len(row)), k)
+            repeats = np.bincount(row[count > 1], minlength=k) > 0
+            # those with repeats once more, by their counts
+            at = np.flatnonzero(repeats[row])
+            place = np.cumsum(repeats) - 1
+            counted = band_codes(place[row[at]], shingle[at], count[at].astype(np.float64), int(repeats.sum()))
+            widths = np.where(repeats, 2 * BANDS, BANDS)
+            ends = np.concatenate([[0], np.cumsum(widths)])
+            bands = np.empty(ends[-1], np.uint64)
+            bands[(ends[:-1, None] + np.arange(BANDS)).ravel()] = unit.ravel()
+            bands[(ends[:-1][repeats, None] + np.arange(BANDS, 2 * BANDS)).ravel()] = counted.ravel()
             bits = parities(row, shingle, k)
-            node, check = set_codes(row, shingle, k)
-            offsets = lambda width: pa.array(np.arange(k + 1, dtype=np.int32) * width)
             yield pa.RecordBatch.from_arrays(
                 [
                     *(one_array(table[c]) for c in ("doc_id", "tkey", "row", "key")),
                     pa.array(n.astype(np.int32)),
-                    pa.array(node.view(np.int64)),
-                    pa.array(check.view(np.int64)),
-                    pa.ListArray.from_arrays(offsets(BANDS), pa.array(band.view(np.int64).ravel())),
-                    pa.ListArray.from_arrays(offsets(PARITIES // 64), pa.array(bits.ravel())),
+                    pa.array(repeats),
+                    set_codes(row, shingle, count, k),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands.view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * (PARITIES // 64)), pa.array(bits.ravel())),
                 ],
-                ["doc_id", "tkey", "row", "key", "n", "node", "check", "bands", "bits"],
+                ["doc_id", "tkey", "row", "key", "n", "repeats", "node", "bands", "bits"],
             )
 
     return docs.select("doc_id", "tkey", "row", "key", "text").mapInArrow(sign, _SIGNED)
@@ -125,29 +145,50 @@ def parities(row: np.ndarray, shingle: np.ndarray, k: int) -> np.ndarray:
     return np.packbits(odd.reshape(k, PARITIES), axis=1).view(np.int64)
 
 
-def set_codes(row: np.ndarray, shingle: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two codes of each of k whole sets."""
+def set_codes(row: np.ndarray, shingle: np.ndarray, count: np.ndarray, k: int) -> pa.Array:
+    """Two 64-bit codes, in sixteen bytes, of each of k documents' shingles and counts."""
     sums = np.zeros((2, k), np.uint64)
-    np.add.at(sums[0], row, mix(shingle))
-    np.add.at(sums[1], row, mix(shingle ^ np.uint64(0xC3C3C3C3)))
-    return mix(sums[0] ^ np.bincount(row, minlength=k).astype(np.uint64)), mix(sums[1])
+    said = mix(shingle + mix(count.astype(np.uint64)))
+    np.add.at(sums[0], row, said)
+    np.add.at(sums[1], row, mix(said ^ np.uint64(0xC3C3C3C3)))
+    both = np.stack([mix(sums[0] ^ np.bincount(row, minlength=k).astype(np.uint64)), mix(sums[1])], axis=1)
+    return pa.array([both[i].tobytes() for i in range(k)], pa.binary())
 
 
 def shingle_sets(docs: DataFrame, keys: Bloom, size: int) -> DataFrame:
-    """node, shingles (sorted) of the documents whose key the filter has."""
+    """node, shingles (sorted), counts (null where all are one) of the documents whose key the filter has."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in gathered(batches, 2_000_000):
             own = one_array(table["key"]).to_numpy(zero_copy_only=False)
             table = table.filter(pa.array(keys.has(own.view(np.uint64)))).combine_chunks()
             if k := table.num_rows:
-                row, shingle, _ = shingles(*word_codes(one_array(table["text"])), size)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=k))])
-                sets = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(shingle.view(np.int64)))
-                node, _ = set_codes(row, shingle, k)
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), sets], ["node", "shingles"])
-
-    return docs.select("key", "text").mapInArrow(extract, "node long, shingles array<long>")
+                row, shingle, count = shingles(*word_codes(one_array(table["text"])), size)
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=k))]), pa.int32())
+                once = np.bincount(row[count > 1], minlength=k) == 0
+                sets = pa.ListArray.from_arrays(ends, pa.array(shingle.view(np.int64)))
+                counts = pc.if_else(pa.array(once), pa.scalar(None, pa.list_(pa.int32())), pa.ListArray.from_arrays(ends, pa.array(count.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays([set_codes(row, shingle, count, k), sets, counts], ["node", "shingles", "counts"])
+
+    return docs.select("key", "text").mapInArrow(extract, "node binary, shingles array<long>, counts array<int>")
+
+
+def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
+    """Of two sorted sets with weights: for each shared element one over the sum,
+    over all elements, of the larger of the two sides' weights by its own."""
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    if not len(i):
+        return 0.0
+    x, y = wa[i].astype(float), wb[j].astype(float)
+    order = np.argsort(x / y)
+    x, y = x[order], y[order]
+    ratio = x / y
+    # elements of a ratio as large or larger count by x, smaller ones by y
+    first = np.searchsorted(ratio, ratio, side="left")
+    upto_y = np.concatenate([[0.0], np.cumsum(y)])[first]
+    from_x = x.sum() - np.concatenate([[0.0], np.cumsum(x)])[first]
+    only_a, only_b = wa.sum() - x.sum(), wb.sum() - y.sum()
+    return float((1 / ((only_a + from_x) / x + (only_b + upto_y) / y)).sum())
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -178,23 +219,34 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = materialize(labels.join(hook, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
 
 
-def _similar(a: str, b: str, least: float) -> Column:
-    """Two sets' Jaccard similarity is least or more."""
-    both = F.size(F.array_intersect(a, b))
-    return both >= least * (F.size(a) + F.size(b) - both)
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """a, b of the pairs whose sets are similar."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").where(_similar("sa", "sb", least)).select("a", "b")
+    """a, b of the pairs that are similar, by their sets or by their counts."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"), F.col("counts").alias(f"c{x}"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    plain = both >= least * (F.size("sa") + F.size("sb") - both)
+    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").withColumn("plain", plain)
+    joined = joined.where("plain OR ca IS NOT NULL OR cb IS NOT NULL")
+    # only pairs that counts may link go on with their sets
+    carried = [F.when(~F.col("plain"), F.col(c)).alias(c) for c in ("sa", "ca", "sb", "cb")]
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = batch["plain"].to_numpy(zero_copy_only=False).copy()
+            for i in np.flatnonzero(~linked):
+                sets_of = [batch[c][int(i)].values.to_numpy() for c in ("sa", "sb")]
+                counts = [batch[c][int(i)].values for c in ("ca", "cb")]
+                weights = [np.ones(len(s)) if c is None else c.to_numpy() for s, c in zip(sets_of, counts, strict=True)]
+                linked[i] = probability_jaccard(sets_of[0], weights[0], sets_of[1], weights[1]) >= least - 1e-9
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(linked))
+
+    return joined.select("a", "b", "plain", *carried).mapInArrow(decide, "a binary, b binary")
 
 
 def _alike(least: float) -> Column:
     """Of rows x and y: sizes and parities allow the similarity; never false for a link.
 
-    A parity that differs has a shingle of its own that only one set holds, so
+    Where a shingle repeats, counts may link what sets don't, so all are
+    allowed.  A parity that differs has a shingle of its own that only one set holds, so
     at least so many shingles are not shared; of sizes that add up to n, a
     similarity leaves room for (1 - least) / (1 + least) * n of them.
     """
@@ -203,15 +255,16 @@ def _alike(least: float) -> Column:
         differ = differ + F.bit_count(F.get("x.bits", i).bitwiseXOR(F.get("y.bits", i)))
     sizes = F.least("x.n", "y.n") + 1e-6 >= least * F.greatest("x.n", "y.n")
     # a hair of slack for rounding
-    return sizes & (differ * (1 + least) <= (1 - least) * (F.col("x.n") + F.col("y.n")) + 1e-6)
+    return F.col("x.repeats") | F.col("y.repeats") | sizes & (differ * (1 + least) <= (1 - least) * (F.col("x.n") + F.col("y.n")) + 1e-6)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
     """doc_id, tkey, class_id, class_size, n_shingles, kept for every row of docs.
 
-    Two documents are linked if the Jaccard similarity of their sets of
-    ``size``-word shingles is ``least`` or more; classes are what links connect.
-    class_id is the smallest identifier of the class, and its row is kept (null
+    Two documents are linked if the probability Jaccard similarity of their
+    ``size``-word shingles is ``least`` or more, weighted by their counts or with
+    all weights one (which is the plain Jaccard similarity of the sets); classes
+    are what links connect.  class_id is the smallest identifier of the class, and its row is kept (null
     comes last; of rows that repeat it, one).  A document of fewer words is one
     shingle; one without words, or with a null text, is a class of its own.
     Other columns are not read; an empty table gives an empty result.
@@ -226,12 +279,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ).withColumn("key", F.xxhash64("doc_id", "tkey"))
     signed = materialize(signatures(rows, size), "signatures")
     at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    # nodes: documents with the same shingles; the two codes and n tell sets apart
-    nodes = signed.where("n > 0").groupBy("node", "check", "n").agg(
-        F.min("key").alias("doc_key"), F.first("bands").alias("bands"), F.first("bits").alias("bits")
+    # nodes: documents with the same shingles as often
+    nodes = signed.where("n > 0").groupBy("node").agg(
+        F.min("key").alias("doc_key"), F.first("n").alias("n"), F.first("repeats").alias("repeats"), F.first("bands").alias("bands"), F.first("bits").alias("bits")
     )
     nodes = materialize(nodes, "nodes")
-    banded = nodes.select("node", F.explode("bands").alias("key"))
+    banded = nodes.select("node", F.explode(F.array_distinct("bands")).alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     members = materialize(banded.join(shared, "key"), "members")
     degree = members.groupBy("node").agg(F.sum("members").alias("degree"))
@@ -250,14 +303,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # what is still apart within a bucket
     open_to = members.select("key", "node").join(labels, "node")
     apart = open_to.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("key")
-    still = open_to.join(apart, "key").join(nodes.select("node", "n", "bits", "bands"), "node").join(sets, "node")
+    still = open_to.join(apart, "key").join(nodes.select("node", "n", "repeats", "bits"), "node")
     still = materialize(still, "open")
     pairs = still.alias("x").join(still.alias("y"), F.col("x.key") == F.col("y.key"))
-    # of the buckets that two nodes share, the first one compares them
-    once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")
     apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
-    second = pairs.where(apart & _alike(least) & once & _similar("x.shingles", "y.shingles", least))
-    second = second.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    left = pairs.where(apart & _alike(least)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    second = _verified(materialize(left, "open-pairs"), sets, least)
     linked = materialize(first.unionByName(second), "all-links")
     labels = components(wanted, linked)
 
@@ -281,7 +332,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs' own columns: one row of each class of near-duplicates."""
+    """docs' own columns: one row of each class of near-duplicates.
+
+    That of the smallest identifier, null last; rows without words each stay,
+    but of rows that repeat identifier and text one.  An empty table gives an
+    empty one.
+    """
     kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__tkey")).distinct()
     keyed = docs.withColumn("__key", text_key(F.col("text")))
     joined = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__tkey")))

@@ -1,6 +1,7 @@
 """Near-duplicates against all pairs, and what the signatures estimate."""
 
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,12 +10,17 @@ from partloom.llm import minhash
 from partloom.llm.words import mix
 
 
+def by_counts(x, y):
+    """The probability Jaccard similarity by its definition."""
+    return sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in {*x, *y}) for i in x if i in y)
+
+
 def classes(docs, least=0.8):
     """Identifier and text to the smallest identifier of its class, by all pairs of texts."""
     sets = {}
     for d, t in docs:
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
-        sets[d, t] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else None
+        sets[d, t] = Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else None
     keys = list(sets)
     up = {k: k for k in keys}
 
@@ -26,7 +32,7 @@ def classes(docs, least=0.8):
     for i, a in enumerate(keys):
         for b in keys[:i]:
             x, y = sets[a], sets[b]
-            if x and y and len(x & y) >= least * len(x | y):
+            if x and y and (len(x.keys() & y.keys()) >= least * len(x.keys() | y.keys()) or max(*x.values(), *y.values()) > 1 and by_counts(x, y) >= least - 1e-9):
                 up[find(a)] = find(b)
     small = {}
     for k in keys:
@@ -73,6 +79,49 @@ def test_repeated_lines_lose_no_link(spark, times):
     assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()} == {d: c for (d, _), c in want.items()}
 
 
+def test_edits_in_repeated_lines(spark):
+    """Texts of one line many times over, with a few words changed: alike by their
+    counts, not as sets; and others that only share a line that each repeats a little."""
+    line = [f"l{i}" for i in range(25)]
+    texts = [" ".join(line * 40)]
+    for k in range(6):
+        w = line * 40
+        for j in range(3):
+            w[(k * 131 + j * 317) % 1000] = f"edit{k}x{j}"
+        texts.append(" ".join(w))
+    texts += [" ".join(line * 2 + [f"own{k}x{i}" for i in range(60)]) for k in range(4)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want, _ = classes(list(enumerate(texts)))
+    assert set(want.values()) == {0, 7, 8, 9, 10}
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()} == {d: c for (d, _), c in want.items()}
+
+
+def test_probability_jaccard_by_definition():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        x = {int(k): int(rng.integers(1, 5)) for k in rng.choice(30, rng.integers(1, 20), replace=False)}
+        y = {int(k): int(rng.integers(1, 5)) for k in rng.choice(30, rng.integers(1, 20), replace=False)}
+        a, b = np.array(sorted(x)), np.array(sorted(y))
+        got = minhash.probability_jaccard(a, np.array([x[k] for k in a]), b, np.array([y[k] for k in b]))
+        assert got == pytest.approx(by_counts(x, y))
+        ones = minhash.probability_jaccard(a, np.ones(len(a)), b, np.ones(len(b)))
+        assert ones == pytest.approx(len(x.keys() & y.keys()) / len(x.keys() | y.keys()))
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9, 0.95])
+def test_recall_by_similarity(spark, similarity):
+    """Every one of many pairs of a similarity just above is linked."""
+    n, texts = 200, []
+    own = int(n * (1 - similarity) / (1 + similarity) / 2) * 2  # words that each has for itself
+    for k in range(150):
+        shared = [f"s{k}x{i}" for i in range(n + 4)]
+        for side in "ab":
+            texts.append(" ".join(shared + [f"{side}{k}x{i}" for i in range(own // 2)]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()}
+    assert all(got[2 * k] == got[2 * k + 1] == 2 * k for k in range(150))
+
+
 def test_parities_never_refuse_a_link():
     """The parities that differ are at most the shingles that only one set has."""
     for n, own in [(3, 1), (40, 4), (300, 30), (5000, 600)]:
