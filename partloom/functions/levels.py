@@ -101,3 +101,20 @@ def ui_text(c: Column, forbidden: list[str]) -> Column:
 def numbered(items: Column) -> Column:
     """An array as numbered lines."""
     return F.array_join(F.transform(items, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
+
+
+def depth_or_zero(c: Column) -> Column:
+    """The digits at the end, zero without any."""
+    return F.coalesce(F.regexp_extract(strip(F.coalesce(c, F.lit(""))), r"(\d+)\s*$", 1).try_cast("int"), F.lit(0))
+
+
+def is_working_row(c: Column) -> Column:
+    """Not one of the levels that mark a substitute or a query (*S*, *Q*)."""
+    level = F.upper(strip(F.coalesce(c, F.lit(""))))
+    return ~(F.startswith(level, F.lit("*S*")) | F.startswith(level, F.lit("*Q*")))
+
+
+def dot_depth(c: Column) -> Column:
+    """For sorting: the dots of a level that starts with one, behind all others without."""
+    text = F.coalesce(c, F.lit(""))
+    return F.when(F.startswith(text, F.lit(".")), F.length(text) - F.length(F.replace(text, F.lit("."), F.lit("")))).otherwise(998)

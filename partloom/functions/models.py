@@ -11,6 +11,12 @@ from partloom.functions.text import blank_to_null
 REFERENCE_TRIGGERS = ["최초", "first", "최근", "트렌드", "camera", "카메라", "led", "하네스", "화각", "옵셋"]
 
 
+# How documents write a development grade, in order: behind its
+# label, before its suffix, in brackets, alone.
+GRADE_PATTERNS = [r"(?i)(?:개발\s*등급|등급)\s*[:/ ]*\s*([ABCD])\b", r"(?i)(?<![A-Z0-9])([ABCD])\s*급(?![A-Za-z0-9가-힣])", r"(?i)\(([ABCD])\)", r"(?i)^\s*([ABCD])\s*$"]
+EUROPE_WORDS = ["EU", "유럽", "EUROPE", "GLOBAL", "글로벌"]
+
+
 def core9(c: Column) -> Column:
     """The nine-place code of one token: without a channel letter in front of W
     or L, and of a longer one the first eight places and the last."""
@@ -55,8 +61,7 @@ def places(code: Column) -> Column:
 def grade(c: Column) -> Column:
     """A development grade A to D: behind its label, before its suffix, in brackets, alone."""
     text = F.coalesce(c, F.lit(""))
-    patterns = [r"(?i)(?:개발\s*등급|등급)\s*[:/ ]*\s*([ABCD])\b", r"(?i)(?<![A-Z0-9])([ABCD])\s*급(?![A-Za-z0-9가-힣])", r"(?i)\(([ABCD])\)", r"(?i)^\s*([ABCD])\s*$"]
-    return F.upper(F.coalesce(*(blank_to_null(F.regexp_extract(text, p, 1)) for p in patterns), F.lit("")))
+    return F.upper(F.coalesce(*(blank_to_null(F.regexp_extract(text, p, 1)) for p in GRADE_PATTERNS), F.lit("")))
 
 
 def search_prefix(code: Column, dev_grade: Column) -> Column:
@@ -96,3 +101,39 @@ def policy(text: Column, dev_grade: Column, changes: Column) -> Column:
         F.substring(code, 1, 1).alias("product_gate"),
         asks_for_reference(changes).alias("secondary"),
     )
+
+
+def said_model(c: Column) -> Column:
+    """The first token of what someone says that is a code once its channel letter
+    is gone and a longer one is cut to eight places and the last."""
+    found = F.regexp_extract_all(F.upper(F.coalesce(c, F.lit(""))), F.lit(r"\b([KC]?[WL][A-Z0-9]{7,14})\b"), 1)
+    bare = lambda s: F.when((F.length(s) >= 10) & s.rlike("^[KC][WL]"), F.substring(s, 2, 64)).otherwise(s)
+    cut = lambda s: F.when(F.length(s) > 9, F.concat(F.substring(s, 1, 8), F.substring(s, -1, 1))).otherwise(s)
+    codes = F.filter(F.transform(found, lambda s: cut(bare(s))), lambda s: (F.length(s) == 9) & s.rlike("^[WL]"))
+    return F.coalesce(F.get(codes, 0), F.lit(""))
+
+
+def document_model_and_grade(c: Column) -> tuple[Column, Column]:
+    """The first nine-place code of a document and its grade: labelled or in brackets, whichever comes first."""
+    text = F.coalesce(c, F.lit(""))
+    both = r"(?i)(?:개발\s*등급|등급)\s*[:/ ]\s*([ABCD])\b|\(([ABCD])\)"
+    return nine_places(text), F.upper(F.concat(F.regexp_extract(text, both, 1), F.regexp_extract(text, both, 2)))
+
+
+def oven_size(capacity: Column, region: Column, product: Column, kind: Column) -> Column:
+    """A size class from a code's capacity places, by product and region."""
+    val = F.coalesce(F.when(capacity.rlike(r"^\d+$"), capacity.try_cast("int")), F.lit(0))
+    product, kind = F.upper(F.coalesce(product, F.lit(""))), F.upper(F.coalesce(kind, F.lit("")))
+    area = F.upper(F.coalesce(region, F.lit("")))
+    europe = F.exists(F.array(*map(F.lit, EUROPE_WORDS)), lambda w: F.contains(area, w))
+    oven = F.when(europe, F.when(val.between(65, 80), "24").otherwise("UNKNOWN")).when(val <= 30, "24").when(val <= 60, "30").otherwise("30+")
+    return (
+        F.when((product == "W") & kind.isin("S", "D", "C"), oven).when(product == "M", F.when(val <= 25, "SMALL").when(val <= 32, "MEDIUM").otherwise("LARGE"))
+        .when(product.isin("C", "H") & (val > 0), val.cast("string")).otherwise("UNKNOWN")
+    )
+
+
+def said_size(c: Column) -> Column:
+    """The inches that a text speaks of."""
+    text = F.coalesce(c, F.lit(""))
+    return F.coalesce(F.regexp_extract(text, r"(\d{2})\s*인치", 1).try_cast("int"), F.regexp_extract(text, r"\b(24|30|27|36)\b", 1).try_cast("int"))

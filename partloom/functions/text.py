@@ -23,6 +23,10 @@ REFERENCES = [
 NO_NUMBER_YET = ["채번필요", "(채번필요)", "(채번 필요)", "채번 필요", "TBD", "N/A", "NAN", ""]
 PLACEHOLDER_WORDS = ["CONTROLLER", "ASSEMBLY", "ASSY", "PANEL", "SUB", "MODULE", "PART"]
 
+#: Words that tell an explanation from a product type.
+EXPLAINING_WORDS = ["동일 사업부", "다르면", "으로 봄", "EX:", "예:", "정의", "설명", "기준", "참고", "해당"]
+EXPLAINING_SIGNS = [".", "!", "?", ";", "(ex", "예)"]
+
 #: Every kind of white space, with the separators U+001C to U+001F.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 
@@ -269,3 +273,44 @@ def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays of different words."""
     both = F.size(F.array_intersect(a, b))
     return both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1))
+
+
+def product_type(c: Column) -> Column:
+    """A product type as written; blank where the cell explains rather than names."""
+    text = F.regexp_replace(squeeze(F.coalesce(c, F.lit(""))), r"^[ \-:\t]+|[ \-:\t]+$", "")
+    long = (F.contains(text, F.lit(" ")) & (F.length(text) > 24)) | (F.length(text) > 40)
+    bad = contains_any(F.upper(text), [w.upper() for w in EXPLAINING_WORDS]) | contains_any(text, EXPLAINING_SIGNS)
+    return F.when(bad | long, "").otherwise(text)
+
+
+def product_by_model(c: Column) -> Column:
+    """The product type that a model's first letter stands for."""
+    first = F.substring(F.upper(strip(F.coalesce(c, F.lit("")))), 1, 1)
+    return F.when(first == "W", "Built-in Oven").when(first == "M", "Microwave Oven").otherwise("Oven/Microwave")
+
+
+def first_step(c: Column) -> Column:
+    """The first step of a path."""
+    return F.trim(F.get(F.split(F.coalesce(c, F.lit("")), ">"), 0))
+
+
+def vector_text(c: Column, digits: int = 6) -> Column:
+    """An array of numbers as "[x,y]" with fixed digits."""
+    return F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: F.format_string(f"%.{digits}f", x.cast("double"))), ","), F.lit("]"))
+
+
+def sparse_text(c: Column, size: int, digits: int = 6) -> Column:
+    """A map from places (from 0) to weights as "{place:weight,...}/size", places from 1 on in order; none of weight 0."""
+    entries = F.filter(F.array_sort(F.map_entries(c)), lambda e: e["value"] != 0)
+    return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.format_string(f"%d:%.{digits}f", e["key"] + 1, e["value"].cast("double"))), ","), F.lit(f"}}/{size}"))
+
+
+def all_blank(*cs: Column) -> Column:
+    """No cell holds more than white space."""
+    return F.forall(F.array(*cs), lambda c: clean_cell(c).isNull())
+
+
+def is_noise_change(module: Column, description: Column) -> Column:
+    """Change points that are check boxes or of a test's table."""
+    compact = F.regexp_replace(F.upper(F.coalesce(description, F.lit(""))), SPACE, "")
+    return F.contains(F.coalesce(module, F.lit("")), F.lit("과전압")) | compact.isin("O", "X", "(O,X)", "OX")

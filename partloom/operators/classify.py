@@ -283,3 +283,60 @@ def guess_change(text: Column) -> Column:
     """신규, 삭제 or 변경 from a change point's words."""
     low = F.lower(F.coalesce(text, F.lit("")))
     return first_hit(low, [("신규", ["신규", "추가", "new", "add"]), ("삭제", ["삭제", "제거", "delete", "remove"])], "변경")
+
+
+# The words of the modules that a change point may belong to, and those that weigh more.
+MODULE_WORDS = [
+    ("Door Assembly", ["DOOR", "CAMERA", "HARNESS", "HINGE", "TRAY", "FRAME"], ["HARNESS", "TRAY", "HINGE", "CAMERA"]),
+    ("Cavity", ["CAVITY", "CONV", "FAN", "MOTOR", "BLADE", "INLET", "OUTLET", "AIR"], ["CONV", "FAN", "MOTOR", "BLADE"]),
+    ("Controller Assembly", ["CONTROLLER", "LCD", "PANEL", "PCB", "UI", "OS", "S/W", "SW"], ["LCD", "PCB", "PANEL", "UI", "OS"]),
+]
+
+
+def module_by_words(text: Column, *, least: int = 3) -> Column:
+    """The module whose words a change point has most of, two points each and two
+    more for a strong one; of equal ones the first, blank below ``least``."""
+    scope = merge_text(text)
+    points = lambda words: sum((F.contains(scope, F.lit(w)).cast("int") * 2 for w in words), F.lit(0))
+    scores = [(m, points(words) + F.when(contains_any(scope, strong), 2).otherwise(0)) for m, words, strong in MODULE_WORDS]
+    top = F.greatest(*(x for _, x in scores))
+    out = F.lit("")
+    for m, x in reversed(scores):
+        out = F.when((x == top) & (top >= least), m).otherwise(out)
+    return out
+
+
+def change_point_meta(kind: Column, base_no: Column, new_no: Column, shared: Column, concern: Column, description: Column) -> tuple[Column, Column]:
+    """What a list shows of a change point: its type and a remark."""
+    from partloom.functions.text import is_real_part_no
+
+    base, new = is_real_part_no(base_no), is_real_part_no(new_no)
+    differ = base & new & (base_no != new_no)
+    arrow = F.concat(F.lit("Base: "), base_no, F.lit(" → New: "), new_no)
+    pending = (kind == "NEW") & (~new | contains_any(F.coalesce(description, F.lit("")), ["품번추가", "채번"]))
+    label = (
+        F.when(shared, F.when(kind == "NEW", "신규(품번확정) · 공용").when(kind == "Changing", "변경 · 공용").otherwise("공용"))
+        .when(pending, "신규(채번필요)").when(kind == "Changing", F.when(differ, "변경(대체/사양)").otherwise("변경(구조/형상)"))
+        .when(kind == "NEW", "신규(품번확정)").otherwise("")
+    )
+    remark = (
+        F.when(shared, F.when(kind == "NEW", F.when(new, F.concat(F.lit("공용품 P/N: "), new_no)).otherwise("공용품 | 품번 확인 필요")).when((kind == "Changing") & differ, F.concat(arrow, F.lit(" (공용)"))).otherwise("공용품"))
+        .when(pending, "채번 필요").when(kind == "Changing", F.when(differ, arrow).otherwise("")).when((kind == "NEW") & new, F.concat(F.lit("P/N: "), new_no)).otherwise("")
+    )
+    said = F.coalesce(concern, F.lit(""))
+    more = F.concat(F.lit("확인필요: "), said)
+    return (
+        F.when(said == "", label).when(label == "", "확인필요").otherwise(F.concat(label, F.lit(" · 확인필요"))),
+        F.when(said == "", remark).when(remark == "", more).otherwise(F.concat(remark, F.lit(" | "), more)),
+    )
+
+
+def review_flag(confidence: Column, in_base: Column) -> Column:
+    """Why a part is asked about."""
+    return F.when(F.coalesce(confidence, F.lit(0.0)) < 0.5, "낮은 확신도").when(~F.coalesce(in_base, F.lit(False)), "신규").otherwise("모델 차이")
+
+
+def review_tags(confidence: Column, in_base: Column, past_reason: Column) -> Column:
+    """The marks that a part gets for review."""
+    past = F.when(F.coalesce(past_reason, F.lit("")) != "", F.concat(F.lit("🚫 "), F.substring(past_reason, 1, 20)))
+    return F.array_compact(F.array(F.when(confidence < 0.5, "⚠️ 낮은 확신도"), F.when(~in_base, "🆕 신규"), past))

@@ -106,3 +106,94 @@ def mentions(texts: DataFrame, parts: DataFrame, *, text_id: str = "text_id") ->
     words = texts.select(text_id, F.explode(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit("([A-Z0-9]{5,})"), 1))).alias("number"))
     known = parts.select(part_no_strict(F.col("number")).alias("number"), F.col("number").alias("part")).distinct()
     return words.join(known, "number").select(text_id, "part")
+
+
+def named_parts(texts: DataFrame, parts: DataFrame, *, text_id: str = "text_id") -> DataFrame:
+    """text_id, part: parts that a text names: by their number, else by a word of
+    three signs or more of their name."""
+    from partloom.functions.text import tokens
+
+    by_number = mentions(texts, parts, text_id=text_id).withColumn("way", F.lit(0))
+    long = lambda c: F.filter(tokens(c), lambda w: F.length(w) >= 3)
+    said = texts.select(text_id, F.explode(long(F.col("text"))).alias("word"))
+    words = parts.select(F.col("number").alias("part"), F.explode(long(F.col("name"))).alias("word")).distinct()
+    by_name = said.join(words, "word").select(text_id, "part").distinct().withColumn("way", F.lit(1))
+    every = by_number.unionByName(by_name)
+    first = every.groupBy(text_id).agg(F.min("way").alias("way"))
+    return every.join(first, [text_id, "way"]).select(text_id, "part").distinct()
+
+
+def past_exclusions(parts: DataFrame, log: DataFrame) -> DataFrame:
+    """parts (with name) and past_reason: of the exclusions of a part whose name
+    equals theirs, holds it or is held in it, the latest one's reason.
+
+    log: ord, action, part_name, reason.  Only the last exclusion of each name counts.
+    """
+    from partloom.operators.match import either_contains
+
+    gone = log.where("action = '제외'").select(F.upper(F.regexp_replace(F.coalesce("part_name", F.lit("")), r"\s+", "")).alias("k"), F.col("reason").alias("past_reason"), (-F.col("ord")).alias("back"))
+    last = gone.where("k != ''").groupBy("k").agg(F.min("back").alias("back"), F.min_by("past_reason", "back").alias("past_reason"))
+    keyed = parts.withColumn("__k", F.upper(F.regexp_replace(F.coalesce("name", F.lit("")), r"\s+", "")))
+    found = either_contains(keyed, last.select("back", F.col("k"), "past_reason"), "__k", "k", order="back")
+    return found.select(*parts.columns, "past_reason")
+
+
+def handle(parts: DataFrame, events: DataFrame) -> DataFrame:
+    """A review's parts after events that each speak of one part or of all.
+
+    parts: pid, number, name, action, sourcing, display_no.  events: ord, pid
+    (null for all), intent (EXCLUDE, SOURCING, BULK, RECHECK, others change
+    nothing), value (the new sourcing or action).  Of the events of one intent
+    the last counts.  A bulk event settles what is open; a part that is excluded
+    stays so.
+    """
+    own = events.where(F.col("pid").isNotNull()).groupBy("pid").agg(
+        F.bool_or(F.col("intent") == "EXCLUDE").alias("__out"), F.max_by(F.when(F.col("intent") == "SOURCING", F.col("value")), F.when(F.col("intent") == "SOURCING", F.col("ord"))).alias("__src"),
+        F.bool_or(F.col("intent") == "RECHECK").alias("recheck"),
+    )
+    bulk = events.where("intent = 'BULK'").agg(F.max_by("value", "ord").alias("__bulk"))
+    joined = parts.join(own, "pid", "left").join(F.broadcast(bulk), F.lit(True))  # one row
+    is_open = F.upper(F.coalesce("action", F.lit(""))).isin("CHECK", "PENDING", "")
+    has = ~F.coalesce("number", F.lit("")).isin("", "(채번 필요)")
+    action = F.when(F.col("__out"), "EXCLUDE").when(is_open & F.col("__bulk").isNotNull(), F.col("__bulk")).otherwise(F.col("action"))
+    shown = F.when((F.col("__src") == "공용검토") & has, F.col("number")).when(F.col("__src") == "신규", "(채번 필요)").otherwise(F.col("display_no"))
+    why = F.when((F.col("__src") == "신규") & has, F.concat(F.lit("참고: "), F.col("number"))).otherwise("")
+    return joined.select(
+        "pid", "number", "name", action.alias("action"), F.coalesce("__src", "sourcing").alias("sourcing"), shown.alias("display_no"), why.alias("sourcing_reason"),
+        F.coalesce("recheck", F.lit(False)).alias("recheck"),
+    )
+
+
+def apply_to_proposals(parts: DataFrame, decisions: DataFrame) -> DataFrame:
+    """parts (pid, number, name, action, level, qty) after decisions (pid, decision,
+    replace_with, replace_name): what goes is excluded, a replacement is added."""
+    d = decisions.select(F.col("pid").alias("__p"), "decision", "replace_with", "replace_name")
+    joined = parts.join(d, F.col("pid") == F.col("__p"), "left")
+    gone = F.col("decision").isin("제외", "교체")
+    edited = joined.select("pid", "number", "name", F.when(gone, "EXCLUDE").otherwise(F.col("action")).alias("action"), "level", "qty", F.lit("").alias("tier"))
+    to = lambda c, other: F.coalesce(F.when(F.col(c) != "", F.col(c)), other)
+    added = joined.where("decision = '교체'").select(
+        "pid", to("replace_with", F.lit("(채번 필요)")).alias("number"), to("replace_name", F.col("name")).alias("name"), F.lit("ADD").alias("action"),
+        "level", F.coalesce(F.when(F.col("qty") != "", F.col("qty")), F.lit("1")).alias("qty"), F.lit("USER").alias("tier"),
+    )
+    return edited.unionByName(added)
+
+
+def added_part(text: Column) -> Column:
+    """parent, name of a part that a text asks to add ("Door 하위에 Gasket 추가해줘")."""
+    below, alone = r"(.+?)\s*(?:하위에|밑에|아래에)\s*(.+?)\s*(?:추가|넣어)", r"(.+?)\s*(?:추가해|넣어줘|추가로|넣어)"
+    hit = text.rlike(below)
+    return F.struct(F.when(hit, F.trim(F.regexp_extract(text, below, 1))).otherwise("").alias("parent"), F.when(hit, F.trim(F.regexp_extract(text, below, 2))).otherwise(F.trim(F.regexp_extract(text, alone, 1))).alias("name"))
+
+
+def route(messages: DataFrame, *, text: str = "text", pending: str = "pending", n: str = "n") -> DataFrame:
+    """messages' columns, handled_as and value: a pending question's answer first,
+    else the intent of the words, with what it asks for."""
+    from partloom.operators.classify import user_intent
+
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    answers = _has(low, DROP_ALL + KEEP_ALL) | (F.size(F.regexp_extract_all(low, F.lit(r"(\d+)"), 1)) > 0) & _has(low, DROP + KEEP)
+    intent = F.when(F.col(pending) & (F.col(n) > 0) & answers, "ANSWER").otherwise(user_intent(F.col(text)))
+    sourcing = F.when(F.contains(low, F.lit("공용")), "공용검토").when(_has(low, ["신규", "채번"]), "신규")
+    bulk = F.when(_has(low, ["변경", "시방"]), "MODIFY").when(F.contains(low, F.lit("삭제")), "REMOVE").otherwise("ADD")
+    return messages.withColumn("handled_as", intent).withColumn("value", F.when(F.col("handled_as") == "SOURCING", sourcing).when(F.col("handled_as") == "BULK", bulk))

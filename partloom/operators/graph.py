@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partloom.functions.levels import impact_kind
@@ -174,3 +174,58 @@ def source_columns(headers: DataFrame) -> DataFrame:
     known = [n for n, _ in CANONICAL_FIELDS]
     field = F.when(F.col("field").isin(known), F.col("field")).otherwise("")
     return headers.select(F.concat_ws(":", "document_id", F.lit("col"), F.col("column_index").cast("string")).alias("source_column_id"), "document_id", "raw_column_name", "column_index", field.alias("canonical_field_key"))
+
+
+def impact_path(impact: DataFrame, line: DataFrame, changes: DataFrame) -> DataFrame:
+    """change_id, distance, impacted_line_id, name of some changes (change_id): the line and all above it."""
+    found = impact.join(changes.select("change_id").distinct(), "change_id", "left_semi")
+    return found.join(line.select(F.col("line_id").alias("impacted_line_id"), "name"), "impacted_line_id").select("change_id", "distance", "impacted_line_id", "name")
+
+
+def raw_rows(line: DataFrame, wanted: DataFrame, names: list[str]) -> DataFrame:
+    """line_id, raw_json of some lines (line_id): all their cells, as they came."""
+    from partloom.functions.text import row_json
+
+    return line.join(wanted.select("line_id").distinct(), "line_id", "left_semi").select("line_id", row_json(names).alias("raw_json"))
+
+
+def similar_changes(found: DataFrame, changes: DataFrame, wanted: DataFrame, *, k: int = 5) -> DataFrame:
+    """query, change_id, score: past changes near a request (query, change_id, score
+    of a search), the score raised for an equal kind and document; k of each."""
+    from pyspark.sql import Window
+
+    cells = changes.select("change_id", "kind", "doc")
+    scored = found.join(cells, "change_id").join(wanted.select("query", F.col("kind").alias("__kind"), F.col("doc").alias("__doc")), "query")
+    score = F.round(F.col("score") + F.when(F.col("kind") == F.col("__kind"), 0.2).otherwise(0.0) + F.when(F.col("doc") == F.col("__doc"), 0.1).otherwise(0.0), 6)
+    ranked = scored.select("query", "change_id", score.alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "change_id"))
+    return ranked.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
+
+
+def subtree_impact(closure: DataFrame, changes: DataFrame, roots: DataFrame, *, depth: int = 6) -> DataFrame:
+    """doc, row_no, n_lines, n_changes below each root (doc, row_no), down to a depth.
+
+    closure: doc, row_no, ancestor, distance; changes: doc, row_no.
+    """
+    below = closure.where(F.col("distance") <= depth).join(roots.select("doc", F.col("row_no").alias("ancestor")), ["doc", "ancestor"], "left_semi")
+    hit = changes.groupBy("doc", "row_no").agg(F.count("*").alias("n"))
+    return below.join(hit, ["doc", "row_no"], "left").groupBy("doc", F.col("ancestor").alias("row_no")).agg(F.count("*").alias("n_lines"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_changes"))
+
+
+def feature_paths(changes: DataFrame, impact: DataFrame, line: DataFrame, feature: Column) -> DataFrame:
+    """feature, doc, name, n_changes: which assemblies the changes of a feature reach."""
+    marked = changes.withColumn("feature", feature).where("feature != ''").select("change_id", "feature")
+    reached = impact.where("distance > 0").join(marked, "change_id").join(line.select(F.col("line_id").alias("impacted_line_id"), "doc", "name"), "impacted_line_id")
+    return reached.groupBy("feature", "doc", "name").agg(F.countDistinct("change_id").alias("n_changes"))
+
+
+def build_all(rows: DataFrame, sheets: DataFrame, headers: DataFrame, spark) -> dict[str, DataFrame]:
+    """All fifteen tables: the lines', the documents', the columns' and the fields'.
+
+    sheets: doc too, for the edges from documents and cases to their lines.
+    """
+    tables = build(rows) | document_tables(sheets)
+    keys = sheets.select("doc", document_id(F.col("file"), F.col("sheet")).alias("document_id")).join(tables["document_case_edges"], "document_id")
+    own = tables["bom_lines"].select("line_id", "doc").join(keys, "doc")
+    contains = own.select(F.col("document_id").alias("from_id"), "line_id").unionByName(own.select(F.col("case_id").alias("from_id"), "line_id"))
+    return tables | {"contains_line": contains, "source_columns": source_columns(headers), "canonical_fields": spark.createDataFrame(CANONICAL_FIELDS, "key string, type string")}

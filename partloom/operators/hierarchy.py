@@ -202,3 +202,19 @@ def reorder(parts: DataFrame, skeleton: DataFrame, key: str) -> DataFrame:
     """parts with position: the order of the skeleton's first row of the key; unknown keys behind, in their own order."""
     first = skeleton.groupBy(key).agg(F.min("row_no").alias("position"))
     return parts.join(first, key, "left").withColumn("position", F.coalesce("position", F.lit(999_999)))
+
+
+def module_paths(df: DataFrame, *, doc: str = "doc", order: str = "row_no", module: str = "module", level: str = "level") -> DataFrame:
+    """df with bom_path: the modules of the stack down to each row's own; a row
+    without a module has none and leaves the stack as it is."""
+    named = df.where(F.trim(F.coalesce(F.col(module), F.lit(""))) != "").select(
+        F.col(doc).alias("doc"), F.col(order).alias("row_no"), F.greatest(F.col(level), F.lit(1)).alias("level"), F.trim(module).alias("__module")
+    )
+    found = paths(ancestors_by_stack(named), "__module").select(F.col("doc").alias("__d"), F.col("row_no").alias("__r"), "bom_path")
+    joined = df.join(found, (F.col(doc) == F.col("__d")) & (F.col(order) == F.col("__r")), "left").drop("__d", "__r")
+    return joined.withColumn("bom_path", F.coalesce("bom_path", F.lit("")))
+
+
+def children(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, children (in order) of some nodes along edges (src, dst)."""
+    return nodes.join(edges, F.col("node") == F.col("src")).groupBy("node").agg(F.array_sort(F.collect_set("dst")).alias("children"))

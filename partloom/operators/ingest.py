@@ -66,3 +66,35 @@ def pending(rows: DataFrame) -> DataFrame:
 def page_after(rows: DataFrame, key: str, last: int, n: int) -> DataFrame:
     """The next n rows by key."""
     return rows.where(F.col(key) > last).orderBy(key).limit(n)
+
+
+def load_once(files: DataFrame, rows: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """The rows of files none of whose rows fails a check, and a log of every file
+    (file, n_rows, failed, status): a file is loaded whole or not at all."""
+    bad = F.coalesce(*(F.when(~F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in checks.items()))
+    flags = rows.withColumn("__bad", bad).groupBy("file").agg(F.count("*").alias("n_rows"), F.min("__bad").alias("failed"))
+    log = files.select("file").join(flags, "file", "left").select(
+        "file", F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows"), "failed", F.when(F.col("failed").isNotNull(), "failed").when(F.col("n_rows") > 0, "completed").otherwise("skipped").alias("status")
+    )
+    return rows.join(log.where("status = 'completed'").select("file"), "file", "left_semi"), log
+
+
+def union_first(frames: list[DataFrame], key: str) -> DataFrame:
+    """Rows of several tables with whatever columns they have, the first table's row for each key."""
+    every = None
+    for i, df in enumerate(frames):
+        part = df.withColumn("__table", F.lit(i))
+        every = part if every is None else every.unionByName(part, allowMissingColumns=True)
+    others = [c for c in every.columns if c not in (key, "__table")]
+    row = F.min_by(F.struct(F.lit(0), *others), F.struct("__table", *others)).alias("__row")
+    return every.where(F.coalesce(F.col(key).cast("string"), F.lit("")) != "").groupBy(key).agg(row).select(key, *(F.col(f"__row.{c}") for c in others))
+
+
+def unless_loaded(have: DataFrame, new: DataFrame) -> DataFrame:
+    """new, or nothing if anything is loaded already."""
+    return new.where("false") if not have.isEmpty() else new
+
+
+def evolved(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of both, under the columns of both; what a table lacks is null there."""
+    return old.unionByName(new, allowMissingColumns=True)

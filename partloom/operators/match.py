@@ -113,3 +113,21 @@ def rerank(docs: DataFrame, query: str, k: int, *, text: str = "text", doc_id: s
     """The k documents most like a query by their sets of words."""
     words = tokens(F.lit(query))
     return docs.select(doc_id, F.round(jaccard(tokens(F.col(text)), words), 6).alias("score")).orderBy(F.desc("score"), doc_id).limit(k)
+
+
+def catalogue_rules(rows: DataFrame, rules: DataFrame, name: str, cells: list[str], *, most: int = 10_000) -> DataFrame:
+    """rows with the cells of the first rule (by position) one of whose words a name holds.
+
+    rules: position, words (array) and cells; a catalogue of ``most`` rules at
+    most goes along in one row, a larger one in several.
+    """
+    n = max(1, -(-rules.count() // most))
+    out = rows
+    for i in range(n):
+        part = rules.where(F.pmod(F.xxhash64("position"), F.lit(n)) == i)
+        side = part.agg(F.array_sort(F.collect_list(F.struct("position", *cells, "words"))).alias(f"__rules{i}"))
+        out = out.join(F.broadcast(side), F.lit(True))  # one row
+        holds = lambda r: F.exists(r["words"], lambda w: F.contains(F.col(name), w))
+        out = out.withColumn(f"__hit{i}", F.get(F.filter(f"__rules{i}", holds), 0)).drop(f"__rules{i}")
+    hit = F.array_min(F.array_compact(F.array(*(F.col(f"__hit{i}") for i in range(n)))))
+    return out.withColumn("__hit", hit).select(*rows.columns, *(F.col(f"__hit.{c}").alias(c) for c in cells))

@@ -149,11 +149,50 @@ def untouched_children(base: DataFrame, changed: DataFrame) -> DataFrame:
     return keyed.join(numbers, ["parent", "__no"], "left_anti").join(names, ["parent", "__name"], "left_anti").select(base.columns)
 
 
-def recheck_scores(parts: DataFrame, words: Column, tokens_of: Column) -> DataFrame:
-    """parts with a score above 0: shared words, shallow levels, tiers and actions."""
-    shared = F.size(F.array_intersect(tokens_of, words))
-    score = shared * 10 + F.when(F.col("depth") <= 2, 1).otherwise(0) * 5 + rank(F.col("tier"), TIER_RANK, 0) * 3 + F.col("action").isin("ADD", "MODIFY").cast("int") * 2
-    return parts.withColumn("score", score).where("score > 0")
+def recheck_scores(parts: DataFrame, asked: DataFrame) -> DataFrame:
+    """query, pid, score: other parts that may take the place of one asked about,
+    by shared words of their names (ten each), equal level, tier and action.
+
+    Both: l1, part_no, name, level, tier, action, source_doc; asked: query too,
+    parts: pid too.  Parts of another assembly, of the same number or from the
+    same source document don't count, nor do scores of 0.  Pairs meet within an
+    assembly; asked is a request's parts.
+    """
+    from partloom.functions.text import tokens
+
+    a = asked.select("query", merge_text(F.col("l1")).alias("g"), *(F.col(c).alias(f"a_{c}") for c in ("part_no", "name", "level", "tier", "action", "source_doc")))
+    found = parts.withColumn("g", merge_text(F.col("l1"))).join(a, "g")
+    no, source = part_no_strict, merge_text
+    other = (no(F.col("part_no")) == "") | (no(F.col("a_part_no")) == "") | (no(F.col("part_no")) != no(F.col("a_part_no")))
+    elsewhere = (source(F.col("source_doc")) == "") | (source(F.col("a_source_doc")) == "") | (source(F.col("source_doc")) != source(F.col("a_source_doc")))
+    shared = F.size(F.array_intersect(tokens(F.col("name")), tokens(F.col("a_name"))))
+    same = lambda c: (merge_text(F.col(c)) == merge_text(F.col(f"a_{c}"))).cast("int")
+    level = F.when(F.trim(F.coalesce("a_level", F.lit(""))) == "", 0).otherwise((F.trim("level") == F.trim("a_level")).cast("int"))
+    score = shared * 10 + level * 5 + same("tier") * 3 + same("action") * 2
+    return found.where(other & elsewhere).select("query", "pid", score.alias("score")).where("score > 0")
+
+
+def merge_part_lists(parts: DataFrame, *, blanks: tuple[str, ...] = ("rsn", "chg", "source_doc", "sourcing", "qty")) -> DataFrame:
+    """One row for each identity, in order of its first: the strongest tier, the
+    level of the best source, and each blank cell from the first row that fills it."""
+    filled = lambda c: F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) != "", F.col(c))
+    tier, source = rank(merge_text(F.col("tier")), TIER_RANK, 0), rank(merge_text(F.col("level_source")), LEVEL_SOURCE_RANK, 0)
+    return parts.groupBy("identity").agg(
+        F.min("ord").alias("ord"), F.max_by("tier", F.struct(tier, -F.col("ord"))).alias("tier"),
+        F.coalesce(F.max_by(filled("level"), F.when(filled("level").isNotNull(), F.struct(source, -F.col("ord")))), F.lit("")).alias("level"),
+        F.max_by("level_source", F.struct(source, -F.col("ord"))).alias("level_source"),
+        *(F.coalesce(F.min_by(filled(c), F.when(filled(c).isNotNull(), F.col("ord"))), F.lit("")).alias(c) for c in blanks),
+    )
+
+
+def group_confidence(parts: DataFrame, group: str) -> DataFrame:
+    """group, n_changed, n_core, confidence (changed by core parts, two digits), models (three at most)."""
+    core, changed = F.col("tier").isin("CORE", "CORE_GROUP"), F.col("action") != "KEEP"
+    share = F.count_if(changed) / F.greatest(F.count_if(core), F.lit(1))
+    return parts.groupBy(group).agg(
+        F.count_if(changed).alias("n_changed"), F.count_if(core).alias("n_core"), F.round(share, 2).alias("confidence"),
+        F.slice(F.array_sort(F.collect_set("model")), 1, 3).alias("models"), F.bool_or(F.col("action") == "ADD").alias("has_add"),
+    )
 
 
 def first_of_list(parts: DataFrame) -> DataFrame:

@@ -9,47 +9,62 @@ from partloom.operators import match, retrieval
 from partloom.plans.bom import BOM, bom_rows
 from partloom.plans.registry import query, table
 
-_Q = "the of and on be"
-_WEIGHTS = {"the": 1.0, "of": 0.5, "ation": 2.0, "en": 1.5, "la": 1.0}
-_WSQL = ", ".join(f"('{w}', {v})" for w, v in _WEIGHTS.items())
-_DENSE = "SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS distance FROM embeddings"
-_SPARSE = f"""SELECT doc_id, round(sum((1 + ln(n)) * v), 6) AS score FROM (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS w FROM documents) GROUP BY doc_id, w) JOIN (VALUES {_WSQL}) AS q(word, v) ON w = word GROUP BY doc_id"""
+# Queries: every row whose identifier is divisible by 20, against all rows.
+_DENSE = "d AS (SELECT q.vec_id AS query, e.vec_id, round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) + 0.0 AS distance FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)"
+_WORDS = "w AS (SELECT doc_id, w, 1 + ln(count(*)) AS x FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS w FROM documents) WHERE w <> '' GROUP BY doc_id, w)"
+_SPARSE = "s AS (SELECT q.doc_id AS query, d.doc_id, round(sum(q.x * d.x), 6) AS score FROM w q JOIN w d ON q.w = d.w WHERE q.doc_id % 20 = 0 GROUP BY 1, 2)"
+_SETS = "t AS (SELECT doc_id, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9가-힣\\s]+', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: w <> '')) AS w FROM documents)"
 
 
-def _vector(spark, sf):
-    row = table(spark, sf, "embeddings").where("vec_id = 0").select("embedding").first()
-    return [float(x) for x in row[0]]
+def _asked(spark, sf):
+    return table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding")
 
 
-@query(f"SELECT vec_id, distance, CAST(row_number() OVER (ORDER BY distance, vec_id) AS INTEGER) AS rank FROM ({_DENSE}) ORDER BY distance, vec_id LIMIT 50")
+@query(f"WITH {_DENSE} SELECT query, vec_id, distance, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) AS k FROM d) WHERE k <= 50")
 def dense_top_k(spark, sf):
-    return retrieval.dense_top(table(spark, sf, "embeddings"), _vector(spark, sf), 50)
+    return retrieval.nearest_each(table(spark, sf, "embeddings"), _asked(spark, sf), 50)
 
 
-@query(f"SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM ({_SPARSE}) ORDER BY score DESC, doc_id LIMIT 50")
+@query(f"WITH {_WORDS}, {_SPARSE} SELECT query, doc_id, score, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS k FROM s) WHERE k <= 50")
 def sparse_top_k(spark, sf):
-    return retrieval.sparse_top(table(spark, sf, "documents"), _WEIGHTS, 50)
+    words = retrieval.weighed_words(table(spark, sf, "documents"))
+    return retrieval.sparse_each(words, words.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query"), 50)
 
 
-@query(f"""WITH d AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY distance, vec_id) AS rank FROM (SELECT * FROM ({_DENSE}) ORDER BY distance, vec_id LIMIT 50)), s AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT * FROM ({_SPARSE}) ORDER BY score DESC, doc_id LIMIT 50))
-    SELECT doc_id, round(sum(1.0 / (60 + rank)::DOUBLE), 9) AS score, count(*) AS n_lists FROM (SELECT * FROM d UNION ALL SELECT * FROM s) GROUP BY doc_id ORDER BY 2 DESC, doc_id LIMIT 10""")
+@query(f"""WITH {_WORDS}, en AS (SELECT doc_id FROM documents WHERE lang = 'en'),
+    d AS (SELECT q.vec_id AS query, e.vec_id AS doc_id, round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance FROM embeddings e JOIN en ON e.vec_id = en.doc_id, embeddings q JOIN documents t ON t.doc_id = q.vec_id WHERE q.vec_id % 20 = 0),
+    s AS (SELECT q.doc_id AS query, d.doc_id, round(sum(q.x * d.x), 6) AS score FROM w q JOIN w d ON q.w = d.w JOIN en ON en.doc_id = d.doc_id WHERE q.doc_id % 20 = 0 GROUP BY 1, 2),
+    r AS (SELECT query, doc_id, row_number() OVER (PARTITION BY query ORDER BY distance, doc_id) AS rank FROM d UNION ALL SELECT query, doc_id, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) FROM s),
+    f AS (SELECT query, doc_id, round(sum(1.0 / (60 + rank)::DOUBLE), 9) AS score, count(*) AS n_lists FROM r WHERE rank <= 50 GROUP BY query, doc_id)
+    SELECT query, f.doc_id, score, n_lists, documents.source, documents.n_chars FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS k FROM f) f JOIN documents ON documents.doc_id = f.doc_id WHERE k <= 10""")
 def hybrid_search(spark, sf):
-    dense = retrieval.dense_top(table(spark, sf, "embeddings"), _vector(spark, sf), 50).withColumnRenamed("vec_id", "doc_id")
-    return retrieval.fuse([dense, retrieval.sparse_top(table(spark, sf, "documents"), _WEIGHTS, 50)], 10)
+    """Both searches over the rows that filters keep, fused, with the rows' cells."""
+    docs, vectors = table(spark, sf, "documents"), table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    queries = vectors.where("doc_id % 20 = 0").join(docs.select("doc_id", "text"), "doc_id").withColumnRenamed("doc_id", "query")
+    return retrieval.hybrid_each(docs, vectors, queries, filters={"lang": ["en", ""], "source": None}, cells=["source", "n_chars"])
 
 
-@query(f"""WITH d AS ({_DENSE}), c AS (SELECT count(*) FILTER (WHERE 1 - distance >= 0.9) AS a, count(*) FILTER (WHERE 1 - distance >= 0.5) AS b, count(*) FILTER (WHERE 1 - distance >= 0.1) AS c FROM d), t AS (SELECT CASE WHEN a >= 22 THEN 0.9 WHEN b >= 22 THEN 0.5 WHEN c >= 22 THEN 0.1 END AS cut FROM c)
-    SELECT vec_id, round(1 - distance, 6) AS score FROM d, t WHERE cut IS NOT NULL AND round(1 - distance, 6) >= cut UNION ALL SELECT * FROM (SELECT vec_id, round(1 - distance, 6) AS score FROM d, t WHERE cut IS NULL ORDER BY 2 DESC, vec_id LIMIT 22)""")
+@query(f"""WITH {_DENSE}, v AS (SELECT query, vec_id, round(1 - distance, 6) AS score FROM d), c AS (SELECT query, count(*) FILTER (WHERE score >= 0.9) AS a, count(*) FILTER (WHERE score >= 0.5) AS b, count(*) FILTER (WHERE score >= 0.1) AS c FROM v GROUP BY query),
+    t AS (SELECT query, CASE WHEN a >= 22 THEN 0.9 WHEN b >= 22 THEN 0.5 WHEN c >= 22 THEN 0.1 END AS cut FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS k FROM v)
+    SELECT k.query, vec_id, score FROM k JOIN t ON t.query = k.query WHERE CASE WHEN cut IS NULL THEN k <= 22 ELSE score >= cut END""")
 def relaxed_threshold(spark, sf):
-    q = F.array(*(F.lit(x) for x in _vector(spark, sf)))
-    scored = table(spark, sf, "embeddings").select("vec_id", F.round(1 - F.round(retrieval.cosine_distance(F.col("embedding"), q), 6), 6).alias("score"))
-    return retrieval.relaxed(scored, enough=22, cuts=(0.9, 0.5, 0.1), doc_id="vec_id").select("vec_id", "score")
+    return retrieval.above_each(table(spark, sf, "embeddings"), _asked(spark, sf), enough=22, cuts=(0.9, 0.5, 0.1))
 
 
-@query(f"""WITH d AS (SELECT doc_id, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9가-힣\\s]+', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: w <> '')) AS w FROM documents), q AS (SELECT string_split('{_Q}', ' ') AS q)
-    SELECT doc_id, round(len(list_intersect(w, q))::DOUBLE / greatest(len(w) + len(q) - len(list_intersect(w, q)), 1), 6) AS score FROM d, q ORDER BY score DESC, doc_id LIMIT 20""")
+@query(f"""WITH {_SETS}, s AS (SELECT q.doc_id AS query, d.doc_id, len(list_intersect(d.w, q.w)) AS n, len(d.w) + len(q.w) AS m FROM t d, t q WHERE q.doc_id % 20 = 0), r AS (SELECT query, doc_id, round(n::DOUBLE / (m - n), 6) AS score FROM s WHERE n > 0)
+    SELECT query, doc_id, score, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS k FROM r) WHERE k <= 20""")
 def jaccard_rerank(spark, sf):
-    return match.rerank(table(spark, sf, "documents"), _Q, 20)
+    docs = table(spark, sf, "documents")
+    return retrieval.jaccard_each(docs, docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query"), "text"), 20)
+
+
+@query("""WITH a AS (SELECT doc_id, n_chars AS score, 0 AS stage FROM documents WHERE lang = 'fr' AND doc_id % 7 = 0 ORDER BY n_chars DESC, doc_id LIMIT 14), b0 AS (SELECT doc_id, n_chars AS score, 1 AS stage FROM documents WHERE lang = 'fr' ORDER BY n_chars DESC, doc_id LIMIT 20),
+    b AS (SELECT * FROM a UNION ALL SELECT * FROM b0 WHERE (SELECT count(*) FROM a) < 22 AND doc_id NOT IN (SELECT doc_id FROM a)), c0 AS (SELECT doc_id, n_chars AS score, 2 AS stage FROM documents ORDER BY n_chars DESC, doc_id LIMIT 44)
+    SELECT doc_id, score, CAST(stage AS INTEGER) AS stage FROM b UNION ALL SELECT doc_id, score, CAST(stage AS INTEGER) FROM c0 WHERE (SELECT count(*) FROM b) < 22 AND doc_id NOT IN (SELECT doc_id FROM b)""")
+def relaxed_filters(spark, sf):
+    docs = table(spark, sf, "documents").withColumn("score", F.col("n_chars"))
+    narrow = retrieval.where({"lang": "fr"})
+    return retrieval.relaxed_filters(docs, [(narrow & (F.col("doc_id") % 7 == 0), 14), (narrow, 20), (retrieval.where({}), 44)], enough=22)
 
 
 @query("""WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - 16), 112)) AS start FROM d)
