@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from partloom.functions.text import merge_text, part_no_strict, reason_key
 from partloom.operators import classify, merge, proposals
+from partloom.session import checkpointed
 
 
 def changed_parts(lines: DataFrame, *, core: list[str], target: list[str]) -> DataFrame:
@@ -40,7 +41,7 @@ def propose(lines: DataFrame, base: DataFrame, *, core: list[str], target: list[
     identity, l1, part_no, name, action, tier, level, level_source, sourcing,
     in_base, rsn, chg, source_doc, merged.
     """
-    parts = changed_parts(lines, core=core, target=target).drop("sourcing", "qty")
+    parts = checkpointed(changed_parts(lines, core=core, target=target).drop("sourcing", "qty"))
     mapped = proposals.map_to_base(parts, base)
     levelled = proposals.estimate_levels(mapped.withColumn("level", F.coalesce("level", F.lit(""))))
     source = F.when(F.col("level_estimated"), "ESTIMATED").otherwise(F.col("level_source"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,20 +18,25 @@ def recover_tiers(parts: DataFrame, *, least: int = 16, share: float = 0.4) -> D
     belong to a kept set: of one reason, then of one assembly in one document, and
     if too few are kept after that, of any assembly with a kept part."""
     keyed = F.coalesce(F.col("rsn_key"), F.lit("")) != ""
+    real = ~F.lower(F.trim(F.coalesce(F.col("rsn"), F.lit("")))).isin("", "nan")
     is_in = lambda *t: F.col("tier").isin(*t)
     # flags of groups come from aggregates, so a hot reason is never one task's rows
-    def flag(df: DataFrame, keys: list[str], cond: Column, name: str) -> DataFrame:
-        agg = df.groupBy(*keys).agg(F.bool_or(cond).alias(name)).where(name)
-        return df.join(agg, keys, "left").withColumn(name, F.coalesce(name, F.lit(False)))
-
-    out = flag(parts, ["rsn_key"], is_in("CORE", "CASCADE"), "__passed")
-    out = out.withColumn("tier", F.when(is_in("EXCLUDE") & keyed & F.col("__passed"), "CASCADE").otherwise(F.col("tier")))
-    out = flag(out, ["rsn_key"], is_in("CORE"), "__core")
-    out = out.withColumn("tier", F.when(is_in("CASCADE") & keyed & F.col("__core"), "CORE_GROUP").otherwise(F.col("tier")))
-    out = flag(out, ["doc", "l1"], is_in("CORE", "CORE_GROUP"), "__near")
-    real = ~F.lower(F.trim(F.coalesce(F.col("rsn"), F.lit("")))).isin("", "nan")
+    def flags(df: DataFrame, keys: list[str], **conditions: Column) -> DataFrame:
+        agg = df.groupBy(*keys).agg(*(F.bool_or(c).alias(n) for n, c in conditions.items()))
+        agg = agg.where(" OR ".join(conditions)).select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), *conditions)
+        same = [F.col(k) == F.col(f"__k{i}") for i, k in enumerate(keys)]
+        out = df.join(agg, reduce(and_, same), "left").drop(*(f"__k{i}" for i in range(len(keys))))
+        return out.withColumns({n: F.coalesce(n, F.lit(False)) for n in conditions})
+
+    # a set of one reason that holds a CORE part is raised as a whole, any other that passed joins it
+    out = flags(parts.where(keyed), ["rsn_key"], __passed=is_in("CORE", "CASCADE"), __core=is_in("CORE"))
+    out = out.unionByName(parts.where(~keyed).withColumns({"__passed": F.lit(False), "__core": F.lit(False)}))
+    raised = F.when(is_in("EXCLUDE") & F.col("__passed"), "CASCADE").otherwise(F.col("tier"))
+    out = out.withColumn("tier", raised)
+    out = out.withColumn("tier", F.when(is_in("CASCADE") & F.col("__core"), "CORE_GROUP").otherwise(F.col("tier")))
+    # of an assembly that has a kept part: raising its others doesn't change that
+    out = flags(out, ["doc", "l1"], __near=is_in("CORE", "CORE_GROUP"), __kept=~is_in("EXCLUDE"))
     out = out.withColumn("tier", F.when(is_in("EXCLUDE") & F.col("__near") & real, "CASCADE").otherwise(F.col("tier")))
-    out = flag(out, ["doc", "l1"], ~is_in("EXCLUDE"), "__kept")
     few = out.agg((F.count_if(~is_in("EXCLUDE")) < F.greatest(F.lit(least), F.floor(F.count("*") * share))).alias("__few"))
     out = out.join(F.broadcast(few), F.lit(True))  # one row
     tier = F.when(F.col("__few") & is_in("EXCLUDE") & F.col("__kept") & real, "CASCADE").otherwise(F.col("tier"))

@@ -113,15 +113,15 @@ def graph_full_text(spark, sf):
     return graph.full_text({"BomLine": (tables["bom_lines"], "line_id"), "Part": (tables["parts"], "part_id")}, "NEW0000001")
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT 'p' || o_custkey AS src, 'p' || (o_custkey + 1) AS dst FROM orders WHERE o_custkey % 60 <> 59 AND o_orderkey % 2 = 0 UNION SELECT 'p' || (c_custkey * 60 + 30), 'p' || (c_custkey * 60 + 10) FROM customer WHERE c_custkey % 2 = 0),
+@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT 'p' || o_custkey AS src, 'p' || (o_custkey + 1) AS dst FROM orders WHERE o_custkey % 30 <> 29 AND o_orderkey % 2 = 0 UNION SELECT 'p' || (c_custkey * 30 + 15), 'p' || (c_custkey * 30 + 5) FROM customer WHERE c_custkey % 2 = 0),
     s AS (SELECT 'p' || c_custkey AS node FROM customer WHERE c_custkey % 20 = 0), w AS (SELECT node, node AS reached, 0 AS distance FROM s UNION SELECT w.node, e.dst, w.distance + 1 FROM w JOIN e ON e.src = w.reached WHERE w.distance < 90)
     SELECT node, reached, CAST(min(distance) AS INTEGER) AS distance FROM w GROUP BY node, reached""")
 def replacement_chains(spark, sf):
-    """Chains of up to sixty replacements, some of which lead back."""
+    """Chains of up to thirty replacements, some of which lead back."""
     o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
     p = lambda x: F.concat(F.lit("p"), x.cast("string"))
-    on = o.where("o_custkey % 60 != 59 AND o_orderkey % 2 = 0").select(p(F.col("o_custkey")).alias("from_part_id"), p(F.col("o_custkey") + 1).alias("to_part_id"))
-    back = c.where("c_custkey % 2 = 0").select(p(F.col("c_custkey") * 60 + 30).alias("from_part_id"), p(F.col("c_custkey") * 60 + 10).alias("to_part_id"))
+    on = o.where("o_custkey % 30 != 29 AND o_orderkey % 2 = 0").select(p(F.col("o_custkey")).alias("from_part_id"), p(F.col("o_custkey") + 1).alias("to_part_id"))
+    back = c.where("c_custkey % 2 = 0").select(p(F.col("c_custkey") * 30 + 15).alias("from_part_id"), p(F.col("c_custkey") * 30 + 5).alias("to_part_id"))
     return graph.replacement_chain(on.unionByName(back).distinct(), c.where("c_custkey % 20 = 0").select(p(F.col("c_custkey")).alias("node")))
 
 

@@ -149,3 +149,105 @@ def master_columns(spark, sf):
     kind = c.part_type(pick(["MainAssembly", "PCBPart", "CircuitComponentPart", "MaterialPart", "BoxPart", "FastenerPart", "SoftwarePart", "", "", "", "", "", ""]), pick(["", "", "", "", "", "", "", "mold a", "Press", "cutting", "Extrusion", "diecasting", "other"]))
     change = c.change_type(pick(["추가", "Delete", "", "변경(시방)", "확인"]), pick(["", "", "▲ 상위 Assy", "", ""]), F.col("p_size") % 2 == 0)
     return table(spark, sf, "part").select("p_partkey", kind.alias("part_type"), c.mold(kind).alias("mold"), change.alias("change_type"), c.in_house(pick(["F", "Q", ""])).alias("in_house"))
+
+
+_CELLS = ["W", "Oven (ex one)", "built-in oven - ", "a very long text that explains itself well", "동일 사업부 기준", "M8", "x.y", "  Oven/Micro wave\t:", "", "30+"]
+_CSQL = "[" + ", ".join("'" + w.replace("\t", " ") + "'" for w in _CELLS) + "]"
+_PT = "CASE WHEN ({bad}) OR (contains(t, ' ') AND length(t) > 24) OR length(t) > 40 THEN '' ELSE t END"
+_BAD = " OR ".join([*(f"contains(upper(t), '{w.upper()}')" for w in text.EXPLAINING_WORDS), *(f"contains(t, '{w}')" for w in text.EXPLAINING_SIGNS)])
+
+
+@query(f"""WITH v AS (SELECT o_orderkey AS id, ({_CSQL})[CAST(o_orderkey % 10 AS INTEGER) + 1] || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END AS x FROM orders), t AS (SELECT id, x, trim(regexp_replace(x, '\\s+', ' ', 'g'), ' -:') AS t FROM v)
+    SELECT id, {_PT.format(bad=_BAD)} AS product_type, CASE upper(substr(trim(x), 1, 1)) WHEN 'W' THEN 'Built-in Oven' WHEN 'M' THEN 'Microwave Oven' ELSE 'Oven/Microwave' END AS by_model,
+    CASE WHEN contains(x, '과전압') OR upper(replace(x, ' ', '')) IN ('O', 'X', '(O,X)', 'OX') THEN TRUE ELSE FALSE END AS noise FROM t""")
+def product_types(spark, sf):
+    k = F.col("o_orderkey")
+    x = F.concat(F.get(F.array(*(F.lit(w.replace("\t", " ")) for w in _CELLS)), (k % 10).cast("int")), F.when(k % 3 == 0, "").otherwise(F.col("o_orderstatus")))
+    noise = text.is_noise_change(F.lit(""), x) | text.is_noise_change(x, F.lit(""))
+    return table(spark, sf, "orders").select(k.alias("id"), text.product_type(x).alias("product_type"), text.product_by_model(x).alias("by_model"), noise.alias("noise"))
+
+
+@query(f"""WITH {BOM}, v AS (SELECT row_no, CASE row_no % 4 WHEN 0 THEN raw_level WHEN 1 THEN '*S*' || raw_level WHEN 2 THEN CAST(level AS VARCHAR) ELSE ' ' || raw_level || ' x' END AS x, level FROM bom)
+    SELECT row_no, CASE WHEN row_no % 4 = 3 THEN 0 ELSE level END AS by_end, row_no % 4 <> 1 AS working, CASE WHEN row_no % 4 = 0 THEN level ELSE 998 END AS dots, CASE row_no % 4 WHEN 0 THEN level WHEN 1 THEN level WHEN 2 THEN level ELSE level END AS digits FROM v""")
+def level_marks(spark, sf):
+    k, raw = F.col("row_no"), F.col("raw_level")
+    x = F.when(k % 4 == 0, raw).when(k % 4 == 1, F.concat(F.lit("*S*"), raw)).when(k % 4 == 2, F.col("level").cast("string")).otherwise(F.concat(F.lit(" "), raw, F.lit(" x")))
+    return bom_rows(spark, sf).select("row_no", levels.depth_or_zero(x).alias("by_end"), levels.is_working_row(x).alias("working"), levels.dot_depth(x).alias("dots"), levels.depth_or_one(F.regexp_replace(x, " x$", "")).alias("digits"))
+
+
+_SIZES = ["EU", "US", "유럽 2", "Australia"]
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 6 = 5 THEN 'ab' ELSE CAST(c_custkey % 95 AS VARCHAR) END AS cap, ({'[' + ', '.join(f"'{w}'" for w in _SIZES) + ']'})[CAST(c_custkey % 4 AS INTEGER) + 1] AS region, (['W', 'm', 'C', 'X'])[CAST(c_custkey % 4 AS INTEGER) + 1] AS p, (['S', 'T'])[CAST((c_custkey // 4) % 2 AS INTEGER) + 1] AS k FROM customer),
+    v AS (SELECT *, CASE WHEN regexp_full_match(cap, '[0-9]+') THEN cap::INT ELSE 0 END AS n, contains(upper(region), 'EU') OR contains(region, '유럽') AS eu FROM c)
+    SELECT id, CASE WHEN p = 'W' AND k = 'S' THEN CASE WHEN eu THEN CASE WHEN n BETWEEN 65 AND 80 THEN '24' ELSE 'UNKNOWN' END WHEN n <= 30 THEN '24' WHEN n <= 60 THEN '30' ELSE '30+' END WHEN p = 'm' THEN CASE WHEN n <= 25 THEN 'SMALL' WHEN n <= 32 THEN 'MEDIUM' ELSE 'LARGE' END WHEN p = 'C' AND n > 0 THEN CAST(n AS VARCHAR) ELSE 'UNKNOWN' END AS size,
+    CASE WHEN id % 3 = 0 THEN CAST(10 + n % 90 AS INTEGER) WHEN id % 3 = 1 AND n IN (24, 30, 27, 36) THEN CAST(n AS INTEGER) END AS said FROM v""")
+def oven_sizes(spark, sf):
+    k = F.col("c_custkey")
+    pick = lambda words, by: F.get(F.array(*map(F.lit, words)), (by % len(words)).cast("int"))
+    cap = F.when(k % 6 == 5, "ab").otherwise((k % 95).cast("string"))
+    n = F.when(k % 6 == 5, 0).otherwise(k % 95)
+    said = F.when(k % 3 == 0, F.concat((10 + n % 90).cast("string"), F.lit(" 인치 24"))).when(k % 3 == 1, F.concat(F.lit("size "), n.cast("string"), F.lit(" in"))).otherwise("none")
+    size = models.oven_size(cap, pick(_SIZES, k), pick(["W", "m", "C", "X"], k), pick(["S", "T"], F.floor(k / 4)))
+    return table(spark, sf, "customer").select(k.alias("id"), size.alias("size"), models.said_size(said).alias("said"))
+
+
+@query(f"""WITH t AS (SELECT c_custkey AS id, ({_CLIST})[CAST(c_custkey % 8 AS INTEGER) + 1] AS x, (['등급: ', '개발 등급/', '(', 'grade '])[CAST(c_custkey % 4 AS INTEGER) + 1] || (['A', 'b', 'D', 'E', 'C'])[CAST(c_custkey % 5 AS INTEGER) + 1] || ')' AS g FROM customer),
+    u AS (SELECT *, upper(x) AS u, regexp_matches(upper(x), '^[KC]?[WL][A-Z0-9]{{7,14}}$') AS ok FROM t), s AS (SELECT *, CASE WHEN length(u) >= 10 AND regexp_matches(u, '^[KC][WL]') THEN substr(u, 2) ELSE u END AS b FROM u), c AS (SELECT *, CASE WHEN length(b) > 9 THEN substr(b, 1, 8) || right(b, 1) ELSE b END AS c FROM s)
+    SELECT id, CASE WHEN ok AND length(c) = 9 AND regexp_matches(c, '^[WL]') THEN c ELSE '' END AS said, CASE WHEN regexp_full_match(u, '[WL][A-Z0-9]{{8}}') THEN u ELSE '' END AS document_model, CASE WHEN id % 5 = 3 OR id % 4 = 3 THEN '' ELSE upper((['A', 'b', 'D', 'E', 'C'])[CAST(id % 5 AS INTEGER) + 1]) END AS document_grade FROM c""")
+def spoken_models(spark, sf):
+    k = F.col("c_custkey")
+    pick = lambda words: F.get(F.array(*map(F.lit, words)), (k % len(words)).cast("int"))
+    x, g = pick(_CODES), F.concat(pick(["등급: ", "개발 등급/", "(", "grade "]), pick(["A", "b", "D", "E", "C"]), F.lit(")"))
+    model, grade = models.document_model_and_grade(F.concat(F.lit("for "), x, F.lit(" / "), g))
+    return table(spark, sf, "customer").select(k.alias("id"), models.said_model(F.concat(F.lit("the "), x, F.lit(" now"))).alias("said"), model.alias("document_model"), grade.alias("document_grade"))
+
+
+@query("""SELECT vec_id, '[' || array_to_string(list_transform(embedding[1:3], lambda x: printf('%.6f', x::DOUBLE)), ',') || ']' AS dense, '{' || (2 + vec_id % 5) || ':1.500000,' || (9 + vec_id % 5) || ':0.250000}/100' AS sparse FROM embeddings""")
+def vector_texts(spark, sf):
+    k = (F.col("vec_id") % 5).cast("int")
+    weights = F.map_from_arrays(F.array(k + 8, k + 1, k + 3), F.array(F.lit(0.25), F.lit(1.5), F.lit(0.0)))
+    return table(spark, sf, "embeddings").select("vec_id", text.vector_text(F.slice("embedding", 1, 3)).alias("dense"), text.sparse_text(weights, 100).alias("sparse"))
+
+
+_SPLIT = "list_filter(list_transform(regexp_split_to_array(x, '[\n•]'), lambda t: trim(regexp_replace(t, '\s+', ' ', 'g'))), lambda t: t <> '')"
+
+
+@query(f"""WITH v AS (SELECT o_orderkey AS id, ' a  b' || chr(10) || '•' || o_orderpriority || chr(10) || chr(10) || 'z' || o_custkey AS x, o_orderkey % 2 = 0 AS even FROM orders)
+    SELECT id, array_to_string({_SPLIT}, '|') AS lines, array_to_string(list_transform(list_zip({_SPLIT}, range(1, 9)), lambda p: CASE WHEN p[1] IS NULL THEN NULL ELSE p[2] || '. ' || p[1] END), '|') AS numbered,
+    CASE WHEN even THEN '{{"k":1}}' ELSE 'plain' END AS fenced, CASE WHEN even THEN 'x' END AS unwrapped, md5('s|' || substr(x, 1, 600)) AS uid FROM v""")
+def text_helpers(spark, sf):
+    k = F.col("o_orderkey")
+    x = F.concat(F.lit(" a  b\n•"), "o_orderpriority", F.lit("\n\nz"), F.col("o_custkey").cast("string"))
+    said = F.when(k % 2 == 0, F.lit('so: ```json\n{"k":1} \n``` end')).otherwise(" plain ")
+    wrapped = F.when(k % 2 == 0, text.wrap_json(F.lit("x"))).otherwise("x")
+    numbered = F.replace(levels.numbered(text.lines(x)), F.lit("\n"), F.lit("|"))
+    return table(spark, sf, "orders").select(k.alias("id"), F.array_join(text.lines(x), "|").alias("lines"), numbered.alias("numbered"), text.json_in_fence(said).alias("fenced"), text.unwrap_json(wrapped).alias("unwrapped"), text.stable_uid(F.lit("s"), x).alias("uid"))
+
+
+_REMARKS = ["참고: ABC12345", "🟡 참고 : ab12c9", "ref: XY12345", "Ref. QQ9999", "none", "참고 abc"]
+_NOS = ["AEC12345678", "채번필요", "TBD", "PANEL ASSY", "ABCDEF", "a-1", "", "NEED 123456", "N/A", "x1y2z3"]
+
+
+@query(f"""WITH v AS (SELECT s_suppkey AS id, ({'[' + ', '.join(f"'{w}'" for w in _REMARKS) + ']'})[CAST(s_suppkey % 6 AS INTEGER) + 1] AS r, ({'[' + ', '.join(f"'{w}'" for w in _NOS) + ']'})[CAST(s_suppkey % 10 AS INTEGER) + 1] AS n FROM supplier), w AS (SELECT *, upper(n) AS u, regexp_replace(upper(n), '[^A-Z0-9]', '', 'g') AS s FROM v)
+    SELECT id, coalesce(nullif(regexp_extract(r, '(?i)(?:참고\s*[:：]|ref\s*[:：]|ref\.)\s*([A-Z0-9]{{5,}})', 1), ''), '') AS referenced, u NOT IN ('채번필요', '(채번필요)', '(채번 필요)', '채번 필요', 'TBD', 'N/A', 'NAN', '') AND length(s) >= 5 AS is_real,
+    n <> '' AND (s = '' OR regexp_matches(u, 'CONTROLLER|ASSEMBLY|ASSY|PANEL|SUB|MODULE|PART') OR regexp_full_match(s, '[A-Z]+')) AS placeholder, CASE WHEN n <> '' AND NOT regexp_matches(u, '채번|TBD|NEED|미정') AND s <> '' THEN s ELSE 'FALLBACK9' END AS first_real, regexp_full_match(n, '[A-Z]{{2,5}}[0-9]{{5,12}}') AS looks FROM w""")
+def part_number_tests(spark, sf):
+    k = F.col("s_suppkey")
+    pick = lambda words: F.get(F.array(*map(F.lit, words)), (k % len(words)).cast("int"))
+    n = pick(_NOS)
+    return table(spark, sf, "supplier").select(k.alias("id"), text.referenced_part_no(pick(_REMARKS)).alias("referenced"), text.is_real_part_no(n).alias("is_real"), text.is_placeholder_part_no(n).alias("placeholder"), text.real_part_no(n, F.lit("fallback-9")).alias("first_real"), text.looks_like_part_no(n).alias("looks"))
+
+
+_FRAGMENTS = ["good | bad thing |  x", "bad", "", "one|two"]
+_MATERIALS = ["Sheet,Steel 1mm", "door", "절연 테이프", ""]
+
+
+@query(f"""WITH v AS (SELECT p_partkey AS id, ({'[' + ', '.join(f"'{w}'" for w in _FRAGMENTS) + ']'})[CAST(p_partkey % 4 AS INTEGER) + 1] AS f, ({'[' + ', '.join(f"'{w}'" for w in _MATERIALS) + ']'})[CAST(p_partkey % 4 AS INTEGER) + 1] AS m, p_size, p_name FROM part)
+    SELECT id, array_to_string(list_filter(list_transform(string_split(f, '|'), lambda t: trim(t)), lambda t: t <> '' AND NOT contains(t, 'bad')), ' | ') AS kept, contains(lower(m), 'sheet,steel') OR contains(m, '테이프') AS material,
+    CASE WHEN contains(f, 'bad') THEN '' ELSE trim(regexp_replace(f, '\s+', ' ', 'g')) END AS shown, CASE WHEN p_size % 3 = 0 THEN '' WHEN p_size % 3 = 1 THEN CAST(p_size AS VARCHAR) ELSE p_size || '.5' END AS plain, CASE WHEN p_size / 50.0 > 0 AND p_size / 50.0 < 1 THEN round(1 - p_size / 50.0, 6) ELSE 0.7 END::DOUBLE AS similarity FROM v""")
+def cell_helpers(spark, sf):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    pick = lambda words: F.get(F.array(*map(F.lit, words)), (k % len(words)).cast("int"))
+    number = F.when(size % 3 == 1, size.cast("double")).when(size % 3 == 2, size + 0.5)
+    return table(spark, sf, "part").select(k.alias("id"), text.without_fragments(pick(_FRAGMENTS), ["bad"]).alias("kept"), c.is_material(pick(_MATERIALS)).alias("material"), levels.ui_text(pick(_FRAGMENTS), ["bad"]).alias("shown"), levels.plain_number(number).alias("plain"), F.round(levels.distance_to_similarity(size / 50.0), 6).alias("similarity"))

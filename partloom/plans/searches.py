@@ -33,7 +33,7 @@ def sparse_top_k(spark, sf):
 
 @query(f"""WITH {_WORDS}, en AS (SELECT doc_id FROM documents WHERE lang = 'en'),
     d AS (SELECT q.vec_id AS query, e.vec_id AS doc_id, round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance FROM embeddings e JOIN en ON e.vec_id = en.doc_id, embeddings q JOIN documents t ON t.doc_id = q.vec_id WHERE q.vec_id % 20 = 0),
-    s AS (SELECT q.doc_id AS query, d.doc_id, round(sum(q.x * d.x), 6) AS score FROM w q JOIN w d ON q.w = d.w JOIN en ON en.doc_id = d.doc_id WHERE q.doc_id % 20 = 0 GROUP BY 1, 2),
+    s AS (SELECT q.doc_id AS query, d.doc_id, round(sum(q.x * d.x), 6) AS score FROM w q JOIN w d ON q.w = d.w JOIN en ON en.doc_id = d.doc_id WHERE q.doc_id % 20 = 0 AND q.doc_id IN (SELECT vec_id FROM embeddings) GROUP BY 1, 2),
     r AS (SELECT query, doc_id, row_number() OVER (PARTITION BY query ORDER BY distance, doc_id) AS rank FROM d UNION ALL SELECT query, doc_id, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) FROM s),
     f AS (SELECT query, doc_id, round(sum(1.0 / (60 + rank)::DOUBLE), 9) AS score, count(*) AS n_lists FROM r WHERE rank <= 50 GROUP BY query, doc_id)
     SELECT query, f.doc_id, score, n_lists, documents.source, documents.n_chars FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS k FROM f) f JOIN documents ON documents.doc_id = f.doc_id WHERE k <= 10""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -30,7 +31,7 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder that all of the cluster sees.
+    """df, computed once and kept as a table in the folder that all of the cluster sees.
 
     That is the one of spark.checkpoint.dir; where none is set and the master is
     local, as in tests, a temporary one.
@@ -41,4 +42,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise ValueError("spark.checkpoint.dir is unset; name a folder that driver and executors share")
         sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="partloom-"))
-    return df.checkpoint()
+    path = f"{sc.getCheckpointDir().rstrip('/')}/partloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
