@@ -206,7 +206,7 @@ def arc_archives(pages: DataFrame, *, records: int = 256) -> DataFrame:
                 head = b"HTTP/1.0 200 OK\r\nContent-Type: text/html\r\n%sContent-Length: %d\r\n\r\n" % (tag, len(payload))
                 rows.append((url or "-", "0.0.0.0", "20000101000000", "text/html", head + payload))
             said = hashlib.sha1(b"\0".join(x for url, *_, block in rows for x in (url.encode(), block))).hexdigest()
-            name = f"{said}-{TaskContext.get().partitionId():06d}-{number:06d}"
+            name = f"{said[:16]}{said[-1]}-{TaskContext.get().partitionId():x}-{number:x}"
             data = write_arc(name, b"12"[int(said[-1], 16) % 2 :][:1], rows)
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary())], ["archive", "data"])
 
