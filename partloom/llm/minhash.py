@@ -1,18 +1,17 @@
 """Near-duplicate detection with ProbMinHash.
 
-A document is its five-word shingles, weighted by how often each occurs.  Every
-shingle has an exponential process of arrivals at the rate of its weight; each
-arrival goes to the next place of the shingle's own order of registers, and a
-register keeps the earliest.  A shingle stops as soon as its next arrival is
-behind all registers.  Two signatures agree in a register with the probability
-Jaccard similarity of the weighted shingles.
-
-A document is signed by its counts and, where a shingle repeats, by the set of
-its shingles too (all weights one, where the probability Jaccard similarity is
-the plain one), so that a block that is repeated a hundred times neither hides
-what else two texts share nor is lost beside it.  A link is a similarity of 0.8 in
-either reading, computed exactly on the whole shingles of pairs that bands of
-registers propose; where no shingle repeats, both are one.
+A document is its five-word shingles with weights.  Every shingle has an
+exponential process of arrivals at the rate of its weight; each arrival goes to
+the next place of the shingle's own order of registers, and a register keeps the
+earliest.  A shingle stops as soon as its next arrival is behind all registers.
+Two signatures agree in a register with the probability Jaccard similarity of
+the weighted shingles.  Bands of registers propose pairs, which are verified by
+the same similarity, computed exactly on their whole shingles.
+
+Weights are one, where the probability Jaccard similarity is the plain one of the
+sets of shingles, or with by_counts how often each shingle occurs.  Either way
+what is signed is what decides: weights by counts would miss links between sets
+that a block which one text repeats a hundred times outweighs.
 
 Documents with equal weighted shingles are one node.  In each bucket of a band
 the most connected node is the centre, and the others are verified against it
@@ -102,35 +101,32 @@ def band_codes(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, k: int)
     return band
 
 
-def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """A row for each of docs: n shingles, whether one repeats, node (a code of all
-    shingles and their counts), the codes of its bands and the set's parities."""
+def _weighted(texts: pa.Array, size: int, by_counts: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    row, shingle, count = shingles(*word_codes(texts), size)
+    return row, shingle, count if by_counts else np.ones(len(row), np.int64)
+
+
+def signatures(docs: DataFrame, size: int, by_counts: bool) -> DataFrame:
+    """A row for each of docs: n shingles, whether one weighs more than one, node
+    (a code of all shingles and their weights), the codes of its bands and the
+    set's parities."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in gathered(batches, 2_000_000):
             k = table.num_rows
-            row, shingle, count = shingles(*word_codes(one_array(table["text"])), size)
+            row, shingle, weight = _weighted(one_array(table["text"]), size, by_counts)
             n = np.bincount(row, minlength=k)
-            unit = band_codes(row, shingle, np.ones(len(row)), k)
-            repeats = np.bincount(row[count > 1], minlength=k) > 0
-            # those with repeats once more, by their counts
-            at = np.flatnonzero(repeats[row])
-            place = np.cumsum(repeats) - 1
-            counted = band_codes(place[row[at]], shingle[at], count[at].astype(np.float64), int(repeats.sum()))
-            widths = np.where(repeats, 2 * BANDS, BANDS)
-            ends = np.concatenate([[0], np.cumsum(widths)])
-            bands = np.empty(ends[-1], np.uint64)
-            bands[(ends[:-1, None] + np.arange(BANDS)).ravel()] = unit.ravel()
-            bands[(ends[:-1][repeats, None] + np.arange(BANDS, 2 * BANDS)).ravel()] = counted.ravel()
+            band = band_codes(row, shingle, weight.astype(np.float64), k)
             bits = parities(row, shingle, k)
+            lists = lambda x, width: pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * width), pa.array(x.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(
                 [
                     *(one_array(table[c]) for c in ("doc_id", "tkey", "row", "key")),
                     pa.array(n.astype(np.int32)),
-                    pa.array(repeats),
-                    set_codes(row, shingle, count, k),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands.view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * (PARITIES // 64)), pa.array(bits.ravel())),
+                    pa.array(np.bincount(row[weight > 1], minlength=k) > 0),
+                    set_codes(row, shingle, weight, k),
+                    lists(band, BANDS),
+                    lists(bits, PARITIES // 64),
                 ],
                 ["doc_id", "tkey", "row", "key", "n", "repeats", "node", "bands", "bits"],
             )
@@ -146,7 +142,7 @@ def parities(row: np.ndarray, shingle: np.ndarray, k: int) -> np.ndarray:
 
 
 def set_codes(row: np.ndarray, shingle: np.ndarray, count: np.ndarray, k: int) -> pa.Array:
-    """Two 64-bit codes, in sixteen bytes, of each of k documents' shingles and counts."""
+    """Two 64-bit codes, in sixteen bytes, of each of k documents' shingles and weights."""
     sums = np.zeros((2, k), np.uint64)
     said = mix(shingle + mix(count.astype(np.uint64)))
     np.add.at(sums[0], row, said)
@@ -155,15 +151,15 @@ def set_codes(row: np.ndarray, shingle: np.ndarray, count: np.ndarray, k: int) -
     return pa.array([both[i].tobytes() for i in range(k)], pa.binary())
 
 
-def shingle_sets(docs: DataFrame, keys: Bloom, size: int) -> DataFrame:
-    """node, shingles (sorted), counts (null where all are one) of the documents whose key the filter has."""
+def shingle_sets(docs: DataFrame, keys: Bloom, size: int, by_counts: bool) -> DataFrame:
+    """node, shingles (sorted), counts (null where all weights are one) of the documents whose key the filter has."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in gathered(batches, 2_000_000):
             own = one_array(table["key"]).to_numpy(zero_copy_only=False)
             table = table.filter(pa.array(keys.has(own.view(np.uint64)))).combine_chunks()
             if k := table.num_rows:
-                row, shingle, count = shingles(*word_codes(one_array(table["text"])), size)
+                row, shingle, count = _weighted(one_array(table["text"]), size, by_counts)
                 ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=k))]), pa.int32())
                 once = np.bincount(row[count > 1], minlength=k) == 0
                 sets = pa.ListArray.from_arrays(ends, pa.array(shingle.view(np.int64)))
@@ -219,19 +215,21 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = materialize(labels.join(hook, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """a, b of the pairs that are similar, by their sets or by their counts."""
+def _verified(pairs: DataFrame, sets: DataFrame, least: float, by_counts: bool) -> DataFrame:
+    """a, b of the pairs that are similar."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"), F.col("counts").alias(f"c{x}"))
     both = F.size(F.array_intersect("sa", "sb"))
     plain = both >= least * (F.size("sa") + F.size("sb") - both)
-    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").withColumn("plain", plain)
-    joined = joined.where("plain OR ca IS NOT NULL OR cb IS NOT NULL")
-    # only pairs that counts may link go on with their sets
-    carried = [F.when(~F.col("plain"), F.col(c)).alias(c) for c in ("sa", "ca", "sb", "cb")]
+    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    ones = F.col("ca").isNull() & F.col("cb").isNull()
+    if not by_counts:
+        return joined.where(plain).select("a", "b")
+    joined = joined.withColumn("ones", ones).where(~F.col("ones") | plain)
+    carried = [F.when(~F.col("ones"), F.col(c)).alias(c) for c in ("sa", "ca", "sb", "cb")]
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = batch["plain"].to_numpy(zero_copy_only=False).copy()
+            linked = batch["ones"].to_numpy(zero_copy_only=False).copy()
             for i in np.flatnonzero(~linked):
                 sets_of = [batch[c][int(i)].values.to_numpy() for c in ("sa", "sb")]
                 counts = [batch[c][int(i)].values for c in ("ca", "cb")]
@@ -239,13 +237,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 linked[i] = probability_jaccard(sets_of[0], weights[0], sets_of[1], weights[1]) >= least - 1e-9
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(linked))
 
-    return joined.select("a", "b", "plain", *carried).mapInArrow(decide, "a binary, b binary")
+    return joined.select("a", "b", "ones", *carried).mapInArrow(decide, "a binary, b binary")
 
 
 def _alike(least: float) -> Column:
     """Of rows x and y: sizes and parities allow the similarity; never false for a link.
 
-    Where a shingle repeats, counts may link what sets don't, so all are
+    Where weights are more than one, sets don't bound the similarity, so all are
     allowed.  A parity that differs has a shingle of its own that only one set holds, so
     at least so many shingles are not shared; of sizes that add up to n, a
     similarity leaves room for (1 - least) / (1 + least) * n of them.
@@ -258,13 +256,13 @@ def _alike(least: float) -> Column:
     return F.col("x.repeats") | F.col("y.repeats") | sizes & (differ * (1 + least) <= (1 - least) * (F.col("x.n") + F.col("y.n")) + 1e-6)
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, by_counts: bool = False) -> DataFrame:
     """doc_id, tkey, class_id, class_size, n_shingles, kept for every row of docs.
 
     Two documents are linked if the probability Jaccard similarity of their
-    ``size``-word shingles is ``least`` or more, weighted by their counts or with
-    all weights one (which is the plain Jaccard similarity of the sets); classes
-    are what links connect.  class_id is the smallest identifier of the class, and its row is kept (null
+    ``size``-word shingles is ``least`` or more, all weights one (which is the plain
+    Jaccard similarity of the sets) or with by_counts weighted by how often each
+    occurs; classes are what links connect.  class_id is the smallest identifier of the class, and its row is kept (null
     comes last; of rows that repeat it, one).  A document of fewer words is one
     shingle; one without words, or with a null text, is a class of its own.
     Other columns are not read; an empty table gives an empty result.
@@ -277,14 +275,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         F.monotonically_increasing_id().alias("row"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     ).withColumn("key", F.xxhash64("doc_id", "tkey"))
-    signed = materialize(signatures(rows, size), "signatures")
+    signed = materialize(signatures(rows, size, by_counts), "signatures")
     at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    # nodes: documents with the same shingles as often
+    # nodes: documents with the same weighted shingles
     nodes = signed.where("n > 0").groupBy("node").agg(
         F.min("key").alias("doc_key"), F.first("n").alias("n"), F.first("repeats").alias("repeats"), F.first("bands").alias("bands"), F.first("bits").alias("bits")
     )
     nodes = materialize(nodes, "nodes")
-    banded = nodes.select("node", F.explode(F.array_distinct("bands")).alias("key"))
+    banded = nodes.select("node", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     members = materialize(banded.join(shared, "key"), "members")
     degree = members.groupBy("node").agg(F.sum("members").alias("degree"))
@@ -295,9 +293,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     wanted = members.select("node").distinct().join(nodes.select("node", "doc_key"), "node")
     wanted = materialize(wanted, "candidates")
-    sets = shingle_sets(rows, bloom_of(wanted, "doc_key", MOST_BITS), size)
+    sets = shingle_sets(rows, bloom_of(wanted, "doc_key", MOST_BITS), size, by_counts)
     sets = materialize(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingles")
-    first = materialize(_verified(to_centre, sets, least), "links")
+    first = materialize(_verified(to_centre, sets, least, by_counts), "links")
     labels = components(wanted, first)
 
     # what is still apart within a bucket
@@ -308,7 +306,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     pairs = still.alias("x").join(still.alias("y"), F.col("x.key") == F.col("y.key"))
     apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
     left = pairs.where(apart & _alike(least)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    second = _verified(materialize(left, "open-pairs"), sets, least)
+    second = _verified(materialize(left, "open-pairs"), sets, least, by_counts)
     linked = materialize(first.unionByName(second), "all-links")
     labels = components(wanted, linked)
 

@@ -15,7 +15,7 @@ def by_counts(x, y):
     return sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in {*x, *y}) for i in x if i in y)
 
 
-def classes(docs, least=0.8):
+def classes(docs, least=0.8, counted=False):
     """Identifier and text to the smallest identifier of its class, by all pairs of texts."""
     sets = {}
     for d, t in docs:
@@ -32,7 +32,7 @@ def classes(docs, least=0.8):
     for i, a in enumerate(keys):
         for b in keys[:i]:
             x, y = sets[a], sets[b]
-            if x and y and (len(x.keys() & y.keys()) >= least * len(x.keys() | y.keys()) or max(*x.values(), *y.values()) > 1 and by_counts(x, y) >= least - 1e-9):
+            if x and y and (by_counts(x, y) >= least - 1e-9 if counted else len(x.keys() & y.keys()) >= least * len(x.keys() | y.keys())):
                 up[find(a)] = find(b)
     small = {}
     for k in keys:
@@ -42,12 +42,15 @@ def classes(docs, least=0.8):
     return {k: least_of[find(k)] if sets[k] else k[0] for k in keys}, n_classes
 
 
+@pytest.mark.parametrize("counted", [False, True])
 @pytest.mark.parametrize("which", ["odd_docs", "some_docs"])
-def test_against_all_pairs(which, request):
+def test_against_all_pairs(which, counted, request):
     docs = request.getfixturevalue(which)
-    want, n_classes = classes([(r.doc_id, r.text) for r in docs.collect()])
+    if counted:
+        docs = docs.where("coalesce(length(text), 0) < 20000")
+    want, n_classes = classes([(r.doc_id, r.text) for r in docs.collect()], counted=counted)
     keyed = docs.select("doc_id", "text").collect()
-    got = minhash.near_duplicates(docs).collect()
+    got = minhash.near_duplicates(docs, by_counts=counted).collect()
     assert sorted((str(d), str(want[d, t])) for d, t in keyed) == sorted((str(r.doc_id), str(r.class_id)) for r in got)
     kept = sum(r.kept for r in got)
     without = sum(1 for d, t in keyed if not (t or "").strip(" \t\n\r\x0b\x0c"))
@@ -91,9 +94,10 @@ def test_edits_in_repeated_lines(spark):
         texts.append(" ".join(w))
     texts += [" ".join(line * 2 + [f"own{k}x{i}" for i in range(60)]) for k in range(4)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    want, _ = classes(list(enumerate(texts)))
+    want, _ = classes(list(enumerate(texts)), counted=True)
     assert set(want.values()) == {0, 7, 8, 9, 10}
-    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()} == {d: c for (d, _), c in want.items()}
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df, by_counts=True).collect()} == {d: c for (d, _), c in want.items()}
+    assert len({r.class_id for r in minhash.near_duplicates(df).collect()}) == len(texts)
 
 
 def test_probability_jaccard_by_definition():
