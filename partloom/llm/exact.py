@@ -1,53 +1,85 @@
 """Exact dedup: a tree merge of sorted digest runs.
 
-Every input partition becomes one sorted run of (digest, smallest identifier,
-count).  Runs meet in binomial rounds: in round r the runs whose numbers agree
-above bit ``bits * r`` go to one place, cut into digest shards so that no task
-ever holds more than its shard, and are merged there in digest order.  Equal
-digests fold into one entry at every level, so a group of copies, however
-large, reaches a merge as at most ``2 ** bits`` entries.
+Every input partition becomes sorted runs of (digest, length, second hash,
+smallest identifier, count), each cut into blocks by digest shard: a block is one
+row, whose entries stand in order.  Runs meet in binomial rounds: in round r the
+blocks of one shard whose run numbers agree above bit ``bits * r`` go to one
+place and are merged there, several ways at once, without being sorted anew.
+Entries whose digest, length and second hash all agree fold into one with the
+smallest identifier at every level, so a group of copies, however large, reaches
+a merge as one entry from each run.  Shards are so many that no block outgrows a
+task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partloom.llm.common import SPACES, materialize, n_partitions, small_batches
 
-_KEY = ["digest", "n_bytes", "check"]
-_RUN = "run int, shard int, digest string, n_bytes long, check long, no_id int, id long, row long, n long"
+#: An entry's cells in the order that sorts it; the first three tell texts apart.
+_CELLS = {"digest": pa.binary(), "n_bytes": pa.int64(), "check": pa.int64(), "no_id": pa.int32(), "id": pa.int64(), "row": pa.int64(), "n": pa.int64()}
+_SQL = {pa.binary(): "binary", pa.int64(): "long", pa.int32(): "int"}
+_BLOCK = "run int, shard int, " + ", ".join(f"{c} array<{_SQL[t]}>" for c, t in _CELLS.items())
+SHARD_ENTRIES = 100_000
+RUN_ENTRIES = 50_000
 
 
-def _sorted_run(batches: Iterator[pd.DataFrame], rows: int = 50_000) -> Iterator[pd.DataFrame]:
-    """A partition's rows as sorted runs with an entry for each digest; a run
-    covers a bounded number of rows, so a worker's memory is bounded too."""
+def folded(entries: Iterable[tuple]) -> list[tuple]:
+    """Of entries in order, the first of each text with the count of all."""
+    out = []
+    for _, same in groupby(entries, key=lambda e: e[:3]):
+        first, *rest = same
+        out.append((*first[:-1], first[-1] + sum(e[-1] for e in rest)))
+    return out
 
-    def run(parts: list[pd.DataFrame]) -> pd.DataFrame:
-        whole = pd.concat(parts, ignore_index=True).sort_values([*_KEY, "no_id", "id", "row"])
-        counts = whole.groupby(_KEY, sort=False)["n"].transform("sum")
-        return whole.assign(n=counts).drop_duplicates(_KEY)
 
-    parts: list[pd.DataFrame] = []
-    for pdf in batches:
-        parts.append(pdf)
-        if sum(map(len, parts)) >= rows:
-            yield run(parts)
-            parts = []
-    if parts:
-        yield run(parts)
+def _block(run: int, shard: int, entries: list[tuple]) -> list[pa.Array]:
+    cells = zip(*entries, strict=True)
+    return [pa.array([run], pa.int32()), pa.array([shard], pa.int32()), *(pa.array([list(x)], pa.list_(t)) for x, t in zip(cells, _CELLS.values(), strict=True))]
+
+
+def sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of a bounded number of rows as blocks by shard."""
+
+    def blocks(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        run = table["run"][0].as_py()
+        entries = sorted(zip(*(table[c].to_pylist() for c in ("shard", *_CELLS)), strict=True))
+        for shard, own in groupby(entries, key=lambda e: e[0]):
+            yield pa.RecordBatch.from_arrays(_block(run, shard, folded(e[1:] for e in own)), ["run", "shard", *_CELLS])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= RUN_ENTRIES:
+            yield from blocks(held)
+            held = []
+    if held:
+        yield from blocks(held)
+
+
+def merged(table: pa.Table) -> pa.Table:
+    """The blocks of one shard as one."""
+    blocks = [list(zip(*(table[c][i].as_py() for c in _CELLS), strict=True)) for i in range(table.num_rows)]
+    arrays = _block(table["run"][0].as_py(), table["shard"][0].as_py(), folded(heapq.merge(*blocks)))
+    return pa.Table.from_arrays(arrays, ["run", "shard", *_CELLS])
 
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bits: int = 3) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs.
 
     Texts are equal when identical after every run of ASCII white space has
-    become one space; a null text is an empty one.  A match takes the SHA-256,
-    the length and a second hash of the normalised text.  The row with the
-    smallest identifier stays; a null identifier sorts last; of rows that
+    become one space; a null text is an empty one.  Equality is verified by the
+    SHA-256, the length and a second hash of the normalised text.  The row with
+    the smallest identifier stays; a null identifier sorts last; of rows that
     repeat identifier and text exactly one stays.  Other columns are not read,
     whatever their names.  An empty table gives an empty result.
     """
@@ -63,36 +95,34 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         F.monotonically_increasing_id().alias("row"),
     )
     rows = materialize(rows, "digests")
-    shards = n_partitions(spark)
-    n_runs = (rows.agg(F.max("run")).first()[0] or 0) + 1
+    last, n = rows.agg(F.max("run"), F.count("*")).first()
+    n_runs = (last or 0) + 1
+    shards = max(n_partitions(spark), -(-n // SHARD_ENTRIES))
     level = rows.select(
         "run",
         F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int").alias("shard"),
-        *_KEY,
+        F.unhex("digest").alias("digest"),
+        "n_bytes",
+        "check",
         F.col("doc_id").isNull().cast("int").alias("no_id"),
         F.coalesce("doc_id", F.lit(0)).alias("id"),
         "row",
         F.lit(1).cast("long").alias("n"),
-    ).mapInPandas(_sorted_run, _RUN)
+    ).mapInArrow(sorted_runs, _BLOCK)
     while True:
-        level = (
-            level.withColumn("run", F.shiftright("run", bits))
-            .repartition(shards, "shard", "run")
-            .sortWithinPartitions("shard", "run", *_KEY)
-            .groupBy("shard", "run", *_KEY)
-            .agg(F.min(F.struct("no_id", "id", "row")).alias("least"), F.sum("n").alias("n"))
-            .select("run", "shard", *_KEY, "least.*", "n")
-        )
+        level = level.withColumn("run", F.shiftright("run", bits)).groupBy("shard", "run").applyInArrow(merged, _BLOCK)
         n_runs = -(-n_runs // (1 << bits))
         if n_runs <= 1:
             break
-    groups = level.select(
-        *_KEY,
-        F.when(F.col("no_id") == 0, F.col("id")).alias("keep_id"),
-        F.col("row").alias("keep_row"),
-        F.col("n").alias("group_size"),
+    groups = level.select(F.explode(F.arrays_zip(*_CELLS)).alias("e")).select(
+        F.lower(F.hex("e.digest")).alias("digest"),
+        "e.n_bytes",
+        "e.check",
+        F.when(F.col("e.no_id") == 0, F.col("e.id")).alias("keep_id"),
+        F.col("e.row").alias("keep_row"),
+        F.col("e.n").alias("group_size"),
     )
-    return rows.join(groups, _KEY).select(
+    return rows.join(groups, ["digest", "n_bytes", "check"]).select(
         "doc_id",
         "keep_id",
         "group_size",

@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
 from partloom.llm import exact, line_dedup
@@ -33,6 +34,25 @@ def test_exact(which, bits, request):
     assert set(kept.values()) == {1}
 
 
+def test_merges_of_runs():
+    """Several sorted runs become one, equal digests one entry with the least identifier;
+    digests that collide but for the second hash or the length stay apart."""
+    import random
+
+    rng = random.Random(1)
+    runs, want = [], defaultdict(list)
+    for r in range(5):
+        entries = []
+        for i in range(40):
+            key = (bytes([rng.randrange(4)]) * 32, rng.randrange(2), rng.randrange(2))
+            entries.append((*key, int(rng.random() < 0.2), rng.randrange(9), r * 100 + i, rng.randint(1, 3)))
+            want[key].append(entries[-1])
+        runs.append(exact.folded(sorted(entries)))
+    batches = [pa.RecordBatch.from_arrays(exact._block(r, 7, e), ["run", "shard", *exact._CELLS]) for r, e in enumerate(runs)]
+    got = exact.merged(pa.Table.from_batches(batches)).to_pylist()[0]
+    assert list(zip(*(got[c] for c in exact._CELLS), strict=True)) == [(*min(want[k])[:-1], sum(e[-1] for e in want[k])) for k in sorted(want)]
+
+
 def test_exact_empty(no_docs):
     assert exact.exact_dedup(no_docs).collect() == []
 
