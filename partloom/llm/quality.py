@@ -5,6 +5,8 @@ target texts (labelled as good), one of the whole raw corpus.  A document's
 log importance weight is the log ratio of its likelihoods, as a mean over its
 n-grams times a fixed length, so that long texts don't win by length.  Gumbel
 noise on the log weights and a top-k make the resampling without replacement.
+The cut that sets k is chosen on labelled documents weighed by a target model
+that didn't see them.
 """
 
 from __future__ import annotations
@@ -43,36 +45,45 @@ def ngrams(text: str, buckets: int, codes: dict[str, int]) -> np.ndarray:
     return (np.concatenate([h, pairs]) % np.uint64(buckets)).astype(np.int64)
 
 
+FOLDS = 4
+
+
 def ngram_counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket, target, raw: n-gram counts over documents with target true, and over all."""
+    """bucket, part, n: n-gram counts over target documents (true target) of each fold
+    (parts 0 to FOLDS - 1), and over all documents (part FOLDS)."""
     small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals, codes = np.zeros((2, buckets), np.int64), _Codes()
+        totals, codes = np.zeros((FOLDS + 1, buckets), np.int64), _Codes()
         for batch in batches:
-            for text, target in zip(batch["text"].to_pylist(), batch["target"].to_pylist(), strict=True):
+            for text, target, fold in zip(*(batch[c].to_pylist() for c in ("text", "target", "fold")), strict=True):
                 counts = np.bincount(ngrams(text, buckets, codes), minlength=buckets)
-                totals[1] += counts
+                totals[FOLDS] += counts
                 if target:
-                    totals[0] += counts
+                    totals[fold] += counts
             if len(codes) > 300_000:
                 codes.clear()
-        if totals[1].any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array(totals[0]), pa.array(totals[1])], ["bucket", "target", "raw"])
+        part, bucket = np.nonzero(totals)
+        if len(part):
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(part), pa.array(totals[part, bucket])], ["bucket", "part", "n"])
 
-    counts = docs.select("text", "target").mapInArrow(count, "bucket long, target long, raw long")
-    return counts.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
+    counts = docs.select("text", "target", "fold").mapInArrow(count, "bucket long, part long, n long")
+    return counts.groupBy("bucket", "part").agg(F.sum("n").alias("n"))
 
 
 def log_ratios(counts: DataFrame, buckets: int, alpha: float = 1.0) -> np.ndarray:
-    """log(target / raw) by bucket; all zero without target texts."""
-    table = np.zeros((2, buckets))
-    for bucket, target, raw in counts.collect():  # a row for each bucket
-        table[:, bucket] = target, raw
-    if not table[0].any():
-        return np.zeros(buckets)
-    logs = np.log(table + alpha) - np.log(table.sum(axis=1, keepdims=True) + alpha * buckets)
-    return logs[0] - logs[1]
+    """log(target / raw) by bucket: a row for each fold, by the target documents of
+    the others, and one by all; a row without target texts is zero."""
+    table = np.zeros((FOLDS + 1, buckets))
+    for bucket, part, n in counts.collect():  # at most a row for each bucket and part
+        table[part, bucket] = n
+    log = lambda x: np.log(x + alpha) - np.log(x.sum() + alpha * buckets)
+    target = table[:FOLDS].sum(axis=0)
+    out = np.zeros((FOLDS + 1, buckets))
+    for i, seen in enumerate([*(target - table[:FOLDS]), target]):
+        if seen.any():
+            out[i] = log(seen) - log(table[FOLDS])
+    return out
 
 
 def _cut(scores: list[tuple[float, bool]], cost: float) -> float:
@@ -107,8 +118,8 @@ def resample(
     """doc_id, tkey, n_ngrams, log_weight, score, kept for every row of docs.
 
     The target model and the cut are fitted on at most max_labelled labelled
-    documents (labels: doc_id, quality; 1 is good); the raw model counts every
-    document.  k, unless given, is the number of documents whose log weight
+    documents (labels: doc_id, quality; 1 is good), the cut on their weights out
+    of fold; the raw model counts every document.  k, unless given, is the number of documents whose log weight
     reaches the cut that separates labelled good from bad best, a good one
     lost costing good_cost bad ones kept.  score is the log weight with Gumbel
     noise from a seeded hash of the identifier; kept are the k largest and
@@ -123,26 +134,29 @@ def resample(
     )
     sample = materialize(sample.select(F.col("doc_id").alias("labelled"), (F.col("quality") > 0).alias("target")), "quality-labels")
     marked = rows.join(F.broadcast(sample), F.col("doc_id") == F.col("labelled"), "left").drop("labelled")
+    marked = marked.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int"))
     table = spark.sparkContext.broadcast(log_ratios(ngram_counts(marked, buckets), buckets))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, ratios = _Codes(), table.value
         for batch in batches:
             found = [ngrams(t, buckets, codes) for t in batch["text"].to_pylist()]
-            weights = [length * float(ratios[x].sum()) / (len(x) + shrink) for x in found]
+            weight = lambda x, part: length * float(ratios[part][x].sum()) / (len(x) + shrink)
+            weights = [weight(x, FOLDS) for x in found]
+            held = [None if t is None else weight(x, f) for x, t, f in zip(found, batch["target"].to_pylist(), batch["fold"].to_pylist(), strict=True)]
             if len(codes) > 300_000:
                 codes.clear()
-            columns = [batch["doc_id"], batch["tkey"], batch["target"], pa.array([len(x) for x in found], pa.int64()), pa.array(weights, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tkey", "target", "n_ngrams", "log_weight"])
+            columns = [batch["doc_id"], batch["tkey"], batch["target"], pa.array([len(x) for x in found], pa.int64()), pa.array(weights, pa.float64()), pa.array(held, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tkey", "target", "n_ngrams", "log_weight", "held"])
 
-    scored = marked.select("doc_id", "tkey", "target", "text").mapInArrow(
-        weigh, "doc_id long, tkey long, target boolean, n_ngrams long, log_weight double"
+    scored = marked.select("doc_id", "tkey", "target", "fold", "text").mapInArrow(
+        weigh, "doc_id long, tkey long, target boolean, n_ngrams long, log_weight double, held double"
     )
     noise = -F.log(-F.log(uniform("doc_id", "tkey", seed=seed + 1)))
     scored = materialize(scored.withColumn("score", F.col("log_weight") + noise), "quality-scores")
     if k is None:
         # at most max_labelled identifiers; rows that repeat one count once
-        known = scored.where(F.col("target").isNotNull()).groupBy("doc_id").agg(F.min("log_weight"), F.first("target")).drop("doc_id")
+        known = scored.where(F.col("target").isNotNull()).groupBy("doc_id").agg(F.min("held"), F.first("target")).drop("doc_id")
         cut = _cut([tuple(r) for r in known.collect()], good_cost)
         k = scored.where(F.col("log_weight") >= F.lit(float(cut))).count()
     least = kth_largest(scored, "score", k)
