@@ -61,7 +61,9 @@ def labelled_cells(cells: DataFrame, aliases: DataFrame, *, rows: int = 20, cols
     """Cells that name a field: exactly, or with an alias of four signs or more inside."""
     near = cells.where((F.col("row_idx") <= rows) & (F.col("col_idx") < cols)).withColumn("cell_key", header_key(F.col("value"))).where("cell_key != ''")
     match = (F.col("cell_key") == F.col("alias_key")) | ((F.length("alias_key") >= 4) & F.contains("cell_key", F.col("alias_key")))
-    found = near.join(F.broadcast(aliases), match)  # the alias table is fixed
+    if aliases.limit(10_001).count() > 10_000:
+        raise ValueError("more than 10,000 aliases; a header's names are fixed words")
+    found = near.join(F.broadcast(aliases), match)  # checked above
     order = F.struct((F.col("cell_key") != F.col("alias_key")).alias("inexact"), "position")
     return found.groupBy("file_id", "sheet", "row_idx", "col_idx").agg(F.min_by("field", order).alias("field"), F.min_by("position", order).alias("position"))
 

@@ -11,6 +11,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -77,17 +78,22 @@ def sheet_cells(content: bytes) -> Iterator[tuple]:
                 yield name, i, None, None, None, f"{type(e).__name__}: {e}"
 
 
-def _read(of, columns: list[str]):
+def _read(of, columns: list[str], batch: int = 10_000):
+    """Rows of each file in batches, so that a large one isn't a list first."""
+
+    def rows(path: str, content: bytes) -> Iterator[tuple]:
+        try:
+            for r in of(content):
+                yield (path, *r)
+        except (zipfile.BadZipFile, KeyError, ET.ParseError) as e:
+            yield (path, *[None] * (len(columns) - 2), f"{type(e).__name__}: {e}")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                try:
-                    rows = list(of(content))
-                except (zipfile.BadZipFile, KeyError, ET.ParseError) as e:
-                    rows = [(*[None] * (len(columns) - 2), f"{type(e).__name__}: {e}")]
-                out = pd.DataFrame([(path, *r) for r in rows], columns=columns, dtype=object)
-                if len(out):
-                    yield out
+                found = rows(path, content)
+                while part := list(islice(found, batch)):
+                    yield pd.DataFrame(part, columns=columns, dtype=object)
 
     return run
 

@@ -93,6 +93,39 @@ def test_csv_round_trip_and_manifest(spark, tmp_path):
     assert [r.name for r in sinks.missing_files(spark, ["a.csv", "b.csv"], present).collect()] == ["b.csv"]
 
 
+def test_long_sheets_come_in_batches():
+    read = ooxml._read(lambda content: ((i, None) for i in range(25)), ["path", "n", "error"], batch=10)
+    import pandas as pd
+
+    got = list(read(iter([pd.DataFrame({"path": ["a", "b"], "content": [b"", b""]})])))
+    assert [len(x) for x in got] == [10, 10, 5] * 2
+
+
+def test_upserts_fold_their_batch(spark):
+    """Of rows that repeat a key within a batch the last one by order is stored, and the first is let in."""
+    from partloom.operators import merge
+
+    old = spark.createDataFrame([(1, "old"), (2, "old")], "k int, v string")
+    new = spark.createDataFrame([(1, "b", 2), (1, "a", 1), (3, "x", 5), (3, "y", 4)], "k int, v string, ord int")
+    assert sorted(map(tuple, merge.upsert(old, new, ["k"], order="ord").collect())) == [(1, "b"), (2, "old"), (3, "x")]
+    assert sorted(map(tuple, merge.insert_new(old, new, ["k"], order="ord").collect())) == [(3, "y")]
+
+
+def test_repeated_rows_stay(spark):
+    from partloom.operators import match
+
+    rows = spark.createDataFrame([("red ring",), ("red ring",), ("bolt",)], "name string")
+    words = spark.createDataFrame([("q", 1, "ring"), ("q", 0, "red"), ("r", 0, "BOLT")], "query string, position int, word string")
+    want = [("q", "red ring", 0), ("q", "red ring", 0), ("r", "bolt", 0)]
+    for block in (1, 100):
+        assert sorted(map(tuple, match.keyword_candidates(rows, words, "name", block=block).collect())) == want
+    right = spark.createDataFrame([(5, "ring"), (3, "red"), (9, "the bolt")], "ord int, l1 string")
+    for block in (1, 100):
+        got = match.either_contains(rows, right, "name", "l1", order="ord", block=block).collect()
+        assert sorted(map(tuple, got)) == [("bolt", 9, "the bolt"), ("red ring", 3, "red"), ("red ring", 3, "red")]
+    assert match.keyword_candidates(rows, words.where("false"), "name").count() == 0
+
+
 def test_files_register_once(spark, tmp_path):
     for name, data in (("a", b"1"), ("b", b"1"), ("c", b"2")):
         (tmp_path / f"{name}.bin").write_bytes(data)
