@@ -209,3 +209,13 @@ def drop_blank_rows(df: DataFrame) -> DataFrame:
     """Rows with any cell, blanks for nulls in text columns."""
     text = [f.name for f in df.schema if f.dataType.simpleString() == "string"]
     return df.na.drop("all").na.fill("", subset=text)
+
+
+def first_sheet(cells: DataFrame) -> DataFrame:
+    """cells (with sheet_idx) of each file's first sheet."""
+    return cells.where("sheet_idx = 0")
+
+
+def header_at(cells: DataFrame, row: int) -> DataFrame:
+    """file_id, sheet, header_row of sheets whose header's place is known."""
+    return cells.select("file_id", "sheet").distinct().withColumn("header_row", F.lit(row))
