@@ -27,19 +27,21 @@ def group_decisions(answers: DataFrame, *, text: str = "text", n: str = "n") ->
     low = F.lower(t)
     numbered = F.regexp_extract_all(t, F.lit(r"(\d+)\s*번"), 1)
     nums = F.transform(F.when(F.size(numbered) > 0, numbered).otherwise(F.regexp_extract_all(t, F.lit(r"(\d+)"), 1)), lambda x: x.try_cast("int"))
-    rows = answers.withColumn("__nums", nums).withColumn("num", F.explode(F.sequence(F.lit(1), F.col(n)))).where(F.col(n) > 0)
-    named = F.array_contains("__nums", F.col("num"))
-    some = F.size("__nums") > 0
+    swap = r"(?i)(\d+)번.*?([A-Z]{2,3}\d{8,12}).*?(?:바꿔|교체|대체|변경)"
+    # what an answer says is read once, before it is dealt to its questions
+    said = F.struct(
+        nums.alias("nums"), _has(low, DROP_ALL).alias("drop_all"), _has(low, KEEP_ALL).alias("keep_all"), F.contains(low, F.lit("만 유지")).alias("only"), _has(low, DROP).alias("drop"), _has(low, KEEP).alias("keep"),
+        F.regexp_extract(t, swap, 1).try_cast("int").alias("swapped"), F.upper(F.regexp_extract(t, swap, 2)).alias("number"),
+    )
+    rows = answers.withColumn("__said", said).withColumn("num", F.explode(F.sequence(F.lit(1), F.col(n)))).where(F.col(n) > 0)
+    s = F.col("__said")
+    named, some = F.array_contains(s["nums"], F.col("num")), F.size(s["nums"]) > 0
     decision = (
-        F.when(_has(low, DROP_ALL), "제외").when(_has(low, KEEP_ALL), "유지")
-        .when(some & F.contains(low, F.lit("만 유지")), F.when(named, "유지").otherwise("제외"))
-        .when(some & _has(low, DROP), F.when(named, "제외").otherwise("유지"))
-        .when(some & _has(low, KEEP), F.when(named, "유지").otherwise("제외"))
+        F.when(s["drop_all"], "제외").when(s["keep_all"], "유지").when(some & s["only"], F.when(named, "유지").otherwise("제외"))
+        .when(some & s["drop"], F.when(named, "제외").otherwise("유지")).when(some & s["keep"], F.when(named, "유지").otherwise("제외"))
     )
-    replaced = F.regexp_extract(t, r"(?i)(\d+)번.*?([A-Z]{2,3}\d{8,12}).*?(?:바꿔|교체|대체|변경)", 1).try_cast("int") == F.col("num")
-    number = F.upper(F.regexp_extract(t, r"(?i)\d+번.*?([A-Z]{2,3}\d{8,12}).*?(?:바꿔|교체|대체|변경)", 1))
-    out = rows.withColumn("decision", F.when(decision.isNotNull() & replaced, "교체").otherwise(decision)).where("decision IS NOT NULL")
-    return out.withColumn("replace_with", F.when(F.col("decision") == "교체", number)).drop("__nums")
+    out = rows.withColumn("decision", F.when(decision.isNotNull() & (s["swapped"] == F.col("num")), "교체").otherwise(decision)).where("decision IS NOT NULL")
+    return out.withColumn("replace_with", F.when(F.col("decision") == "교체", s["number"])).drop("__said")
 
 
 def current(events: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from partloom.functions.text import merge_text
 from partloom.operators import feedback, ingest, match, merge, proposals
 from partloom.plans.bom import BOM, bom_rows
-from partloom.plans.registry import query, table
+from partloom.plans.registry import any_of, query, table
 
 
 @query("SELECT 'part' AS t, count(*) AS n FROM part UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem")
@@ -218,14 +218,18 @@ def feedback_current(spark, sf):
     return feedback.current(e.select("user_id", "event_type", "event_id", "value", "ord"), ["user_id", "event_type"], "ord").drop("ord")
 
 
-_ANSWERS = ["다 빼", "모두 유지", "2번만 유지", "1번 3번 빼고 나머지 유지", "2, 3 삭제", "1번은 그대로", "모르겠어", "2번을 ABC12345678 로 교체 하고 2번 빼"]
-_TRUTH = ["제외,제외,제외", "유지,유지,유지", "제외,유지,제외", "제외,유지,제외", "유지,제외,제외", "유지,제외,제외", "", "유지,교체,유지"]
+_ANSWERS = ["다 빼", "모두 유지", "2번만 유지", "1번 3번 빼고 나머지 유지", "2, 3 삭제", "1번은 그대로", "모르겠어", "2번을 ABC12345678 로 교체 하고 2번 빼", "맞아", "3번 XY123456789 로 변경하고 3번은 그대로", "1, 2 제외"]
 
 
-@query(f"""WITH a AS (SELECT conv_id * 100 + turn AS id, ({'[' + ', '.join(f"'{t}'" for t in _TRUTH) + ']'})[CAST(turn % 8 AS INTEGER) + 1] AS t FROM conversations), u AS (SELECT id, unnest(string_split(t, ',')) AS decision, generate_subscripts(string_split(t, ','), 1) AS num FROM a WHERE t <> '')
-    SELECT id, CAST(num AS INTEGER) AS num, decision, CASE WHEN decision = '교체' THEN 'ABC12345678' END AS replace_with FROM u""")
+@query(f"""WITH a AS (SELECT conv_id * 100 + turn AS id, trim(regexp_replace(({'[' + ', '.join(f"'{t}'" for t in _ANSWERS) + ']'})[CAST((turn + conv_id) % 11 AS INTEGER) + 1] || '  ' || role, ' +', ' ', 'g')) AS t FROM conversations),
+    b AS (SELECT id, t, lower(t) AS low, CASE WHEN regexp_matches(t, '[0-9]+\\s*번') THEN regexp_extract_all(t, '([0-9]+)\\s*번', 1) ELSE regexp_extract_all(t, '([0-9]+)', 1) END AS nums, regexp_extract(t, '(?i)([0-9]+)번.*?([A-Z]{{2,3}}[0-9]{{8,12}}).*?(?:바꿔|교체|대체|변경)', 1) AS who, upper(regexp_extract(t, '(?i)([0-9]+)번.*?([A-Z]{{2,3}}[0-9]{{8,12}}).*?(?:바꿔|교체|대체|변경)', 2)) AS no FROM a),
+    c AS (SELECT *, unnest([1, 2, 3]) AS num FROM b), d AS (SELECT *, list_contains(nums, CAST(num AS VARCHAR)) AS named, len(nums) > 0 AS any_no FROM c),
+    e AS (SELECT *, CASE WHEN {any_of('low', feedback.DROP_ALL)} THEN '제외' WHEN {any_of('low', feedback.KEEP_ALL)} THEN '유지' WHEN any_no AND contains(low, '만 유지') THEN CASE WHEN named THEN '유지' ELSE '제외' END WHEN any_no AND {any_of('low', feedback.DROP)} THEN CASE WHEN named THEN '제외' ELSE '유지' END WHEN any_no AND {any_of('low', feedback.KEEP)} THEN CASE WHEN named THEN '유지' ELSE '제외' END END AS said FROM d),
+    f AS (SELECT *, CASE WHEN who = CAST(num AS VARCHAR) THEN '교체' ELSE said END AS decision FROM e WHERE said IS NOT NULL)
+    SELECT id, CAST(num AS INTEGER) AS num, decision, CASE WHEN decision = '교체' THEN no END AS replace_with FROM f""")
 def feedback_answers(spark, sf):
-    answers = table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.get(F.array(*map(F.lit, _ANSWERS)), (F.col("turn") % 8).cast("int")).alias("text"), F.lit(3).alias("n"))
+    said = F.get(F.array(*map(F.lit, _ANSWERS)), ((F.col("turn") + F.col("conv_id")) % 11).cast("int"))
+    answers = table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.concat(said, F.lit("  "), "role").alias("text"), F.lit(3).alias("n"))
     return feedback.group_decisions(answers).select("id", "num", "decision", "replace_with")
 
 

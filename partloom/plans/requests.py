@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from partloom.operators import agent, classify, graph, packaging
 from partloom.plans.bom import BOM, CLIMB, KINDS, STACK, bom_rows
-from partloom.plans.registry import query, table
+from partloom.plans.registry import any_of, query, table
 
 _ANY = lambda words: f"len(list_filter([{', '.join(repr(w) for w in words)}], lambda w: contains(lower(concat_ws(' ', part_type, name, point, reason)), w))) > 0"
 _DOMAIN = f"CASE WHEN {_ANY(classify.CONSUMABLE_WORDS)} THEN 'C' WHEN {_ANY(classify.PRINT_WORDS)} THEN 'P' WHEN {_ANY(classify.ELECTRIC_WORDS)} THEN 'E' WHEN {_ANY(classify.MECHANIC_WORDS)} THEN 'M' ELSE 'U' END"
@@ -30,11 +30,16 @@ def assembly_documents(spark, sf):
     return packaging.assembly_documents(bom_rows(spark, sf)).select("doc", "chunk_seq", "domain", "n_parts")
 
 
-@query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'Door Assembly' WHEN 1 THEN 'Rear Panel Assembly' WHEN 2 THEN 'Door Assembly' WHEN 3 THEN 'Motor Assembly' ELSE 'Controller Assembly' END AS target,
-    CAST(CASE c_custkey % 5 WHEN 0 THEN 12 WHEN 1 THEN 8 WHEN 2 THEN 6 WHEN 3 THEN 11 ELSE 9 END AS INTEGER) AS n_words, CASE c_custkey % 5 WHEN 0 THEN 'ADD' WHEN 3 THEN 'REPLACE' ELSE 'MODIFY' END AS action, TRUE AS is_valid FROM customer""")
+_ASKS = ["카메라 추가", "Rear cover", "스토퍼 변경", "AC motor → BLDC motor", "button", "도어", "LCD"]
+_CASES = lambda of: "CASE " + " ".join(f"WHEN {any_of('x', hints)} THEN {of(rule)}" for hints, *rule in agent.EXPANSIONS if hints) + f" ELSE {of(agent.EXPANSIONS[-1][1:])} END"
+
+
+@query(f"""WITH t AS (SELECT c_custkey, lower(({'[' + ', '.join(f"'{w}'" for w in _ASKS) + ']'})[CAST(c_custkey % 7 AS INTEGER) + 1] || CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN ' panel' WHEN 2 THEN ' of ' || c_name ELSE ' Stopper' END) AS x FROM customer)
+    SELECT c_custkey, {_CASES(lambda r: f"'{r[0]}'")} AS target, CAST({_CASES(lambda r: str(len(r[1]) + len(r[2])))} AS INTEGER) AS n_words, {_CASES(lambda r: f"'{r[3]}'")} AS action, TRUE AS is_valid FROM t""")
 def request_expansion(spark, sf):
-    words = ["카메라 추가", "Rear cover", "스토퍼 변경", "AC motor → BLDC motor", "button"]
-    e = agent.expand(F.get(F.array(*map(F.lit, words)), (F.col("c_custkey") % 5).cast("int")))
+    k = F.col("c_custkey")
+    more = F.when(k % 4 == 0, "").when(k % 4 == 1, " panel").when(k % 4 == 2, F.concat(F.lit(" of "), "c_name")).otherwise(" Stopper")
+    e = agent.expand(F.concat(F.get(F.array(*map(F.lit, _ASKS)), (k % 7).cast("int")), more))
     return table(spark, sf, "customer").select("c_custkey", e["target_assembly"].alias("target"), F.size(F.concat(e["synonyms"], e["related_keywords"])).alias("n_words"), e["action"].alias("action"), agent.verify(e)["is_valid"].alias("is_valid"))
 
 

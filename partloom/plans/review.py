@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from partloom.functions.text import row_json
 from partloom.operators import classify, feedback, merge, proposals
 from partloom.plans.bom import BOM, bom_rows
-from partloom.plans.registry import query, table
+from partloom.plans.registry import any_of, query, table
 
 _EVENTS = """ev AS (SELECT event_id AS ord, CASE WHEN event_id % 50 = 0 THEN NULL ELSE 1 + event_id % 3000 END AS pid, CASE WHEN event_id % 50 = 0 THEN 'BULK' ELSE (['EXCLUDE', 'SOURCING', 'SOURCING', 'RECHECK', 'QUERY', 'UNKNOWN', 'QUERY'])[CAST(event_id % 7 AS INTEGER) + 1] END AS intent,
     CASE WHEN event_id % 50 = 0 THEN CASE WHEN event_id % 100 = 0 THEN 'MODIFY' ELSE 'ADD' END WHEN event_id % 2 = 0 THEN '공용검토' ELSE '신규' END AS value FROM events)"""
@@ -68,16 +68,12 @@ def named_parts(spark, sf):
     return feedback.named_parts(said, rows.select(F.col("part_no").alias("number"), "name"))
 
 
-def _contains_any(c: str, words: list[str]) -> str:
-    return "(" + " OR ".join(f"contains({c}, '{w.lower()}')" for w in words) + ")"
-
-
 _SAYINGS = ["이거 빼줘", "나머지 확정 변경", "1번 3번 빼", "하네스 공용으로", "다 유지", "신규로 채번", "2번만 유지", "왜", "다시 찾아", "ok"]
-_ROUTE = " ".join(f"WHEN {_contains_any('x', words)} THEN '{label}'" for label, words in classify.INTENTS)
+_ROUTE = " ".join(f"WHEN {any_of('x', words)} THEN '{label}'" for label, words in classify.INTENTS)
 
 
 @query(f"""WITH m AS (SELECT conv_id * 100 + turn AS id, lower(({'[' + ', '.join(f"'{w}'" for w in _SAYINGS) + ']'})[CAST((conv_id + turn) % 10 AS INTEGER) + 1] || CASE WHEN turn % 3 = 0 THEN '' ELSE ' ' || substr(role, 1, 4) END) AS x, turn % 2 = 0 AS pending FROM conversations),
-    h AS (SELECT id, x, CASE WHEN pending AND ({_contains_any('x', feedback.DROP_ALL + feedback.KEEP_ALL)} OR (regexp_matches(x, '[0-9]') AND {_contains_any('x', feedback.DROP + feedback.KEEP)})) THEN 'ANSWER' {_ROUTE} ELSE 'UNKNOWN' END AS handled_as FROM m)
+    h AS (SELECT id, x, CASE WHEN pending AND ({any_of('x', feedback.DROP_ALL + feedback.KEEP_ALL)} OR (regexp_matches(x, '[0-9]') AND {any_of('x', feedback.DROP + feedback.KEEP)})) THEN 'ANSWER' {_ROUTE} ELSE 'UNKNOWN' END AS handled_as FROM m)
     SELECT id, handled_as, CASE handled_as WHEN 'SOURCING' THEN CASE WHEN contains(x, '공용') THEN '공용검토' WHEN contains(x, '신규') OR contains(x, '채번') THEN '신규' END WHEN 'BULK' THEN CASE WHEN contains(x, '변경') OR contains(x, '시방') THEN 'MODIFY' WHEN contains(x, '삭제') THEN 'REMOVE' ELSE 'ADD' END END AS value FROM h""")
 def message_routing(spark, sf):
     turn = F.col("turn")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from partloom.functions import levels, models, text
 from partloom.operators import classify as c
 from partloom.plans.bom import BOM, bom_rows
-from partloom.plans.registry import query, table
+from partloom.plans.registry import any_of, first_of, query, table
 
 _ODD = ["  Conv. Motor  ASSY ", "nan", "", "A B　C", "EAU65078502 / 카메라 모듈 적용", "abc-12.3 x", "M1 / D (사우디)", "EBR12345678;AGM00000001", "←", "X", "도어 frame, LED", "None"]
 _LIST = "[" + ", ".join("'" + w + "'" for w in _ODD) + "]"
@@ -107,26 +107,29 @@ _FILES = ["북유럽_A.xlsx", "유럽 B.xlsx", "UAE 120V 60Hz.xlsx", "호주.xls
 _FLIST = "[" + ", ".join(f"'{w}'" for w in _FILES) + "]"
 
 
-@query(f"""WITH f AS (SELECT s_suppkey AS id, ({_FLIST})[CAST(s_suppkey % 6 AS INTEGER) + 1] AS x, s_suppkey % 6 AS k FROM supplier)
-    SELECT id, (['북유럽', '유럽', 'UAE', '호주', NULL, '포르투갈/그리스'])[CAST(k AS INTEGER) + 1] AS region, (['EU', 'EU', 'US', 'UNKNOWN', 'UNKNOWN', 'UNKNOWN'])[CAST(k AS INTEGER) + 1] AS tag,
-    (['유럽', '유럽', '미국', '글로벌', '글로벌', '글로벌'])[CAST(k AS INTEGER) + 1] AS name, k <> 2 AS fits_europe FROM f""")
+@query(f"""WITH f AS (SELECT s_suppkey AS id, ({_FLIST})[CAST(s_suppkey % 6 AS INTEGER) + 1] || CASE s_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN ' 북미' WHEN 2 THEN ' 230V' ELSE ' ' || s_name END AS x FROM supplier), l AS (SELECT *, lower(x) AS low FROM f),
+    t AS (SELECT *, CASE WHEN {any_of('low', c.US_WORDS)} AND {any_of('low', c.EU_WORDS)} THEN 'GLOBAL' WHEN {any_of('low', c.US_WORDS)} THEN 'US' WHEN {any_of('low', c.EU_WORDS)} THEN 'EU' ELSE 'UNKNOWN' END AS tag FROM l)
+    SELECT id, {first_of('x', [(label, [word]) for word, label in c.REGIONS], 'NULL')} AS region, tag, CASE tag WHEN 'EU' THEN '유럽' WHEN 'US' THEN '미국' ELSE '글로벌' END AS name, tag <> 'US' AS fits_europe FROM t""")
 def regions(spark, sf):
-    x = F.get(F.array(*map(F.lit, _FILES)), (F.col("s_suppkey") % 6).cast("int"))
+    k = F.col("s_suppkey")
+    more = F.when(k % 4 == 0, "").when(k % 4 == 1, " 북미").when(k % 4 == 2, " 230V").otherwise(F.concat(F.lit(" "), "s_name"))
+    x = F.concat(F.get(F.array(*map(F.lit, _FILES)), (k % 6).cast("int")), more)
     tag = c.region_tag(x)
-    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), c.region(x).alias("region"), tag.alias("tag"), c.region_name(F.lit(""), x).alias("name"), c.region_fits(F.lit("유럽"), tag).alias("fits_europe"))
+    return table(spark, sf, "supplier").select(k.alias("id"), c.region(x).alias("region"), tag.alias("tag"), c.region_name(F.lit(""), x).alias("name"), c.region_fits(F.lit("유럽"), tag).alias("fits_europe"))
 
 
 _SAID = ["이거 빼줘", "나머지 확정", "왜 이래", "공용으로 해줘", "밑으로 옮겨", "다시 찾아", "추가해", "hello", "도어에 카메라 추가", "led 삭제"]
 _SLIST = "[" + ", ".join(f"'{w}'" for w in _SAID) + "]"
 
 
-@query(f"""WITH t AS (SELECT event_id AS id, ({_SLIST})[CAST(event_id % 10 AS INTEGER) + 1] AS x, event_id % 10 AS k FROM events)
-    SELECT id, (['EXCLUDE', 'BULK', 'QUERY', 'SOURCING', 'MOVE', 'RECHECK', 'ADD', 'UNKNOWN', 'UNKNOWN', 'UNKNOWN'])[CAST(k AS INTEGER) + 1] AS intent,
-    CASE WHEN k IN (6, 8) THEN 'ADD' WHEN k = 9 THEN 'REMOVE' ELSE 'MODIFY' END AS action, CASE WHEN k = 8 THEN 'DOOR' ELSE '' END AS target_object, CASE k WHEN 8 THEN 'CAMERA' WHEN 9 THEN 'LED' ELSE '' END AS main_part,
-    CASE WHEN k IN (6, 8) THEN '신규' WHEN k = 9 THEN '삭제' ELSE '변경' END AS guess FROM t""")
+@query(f"""WITH t AS (SELECT event_id AS id, lower(({_SLIST})[CAST(event_id % 10 AS INTEGER) + 1] || ' ' || event_type || CASE event_id % 3 WHEN 0 THEN ' Cavity' WHEN 1 THEN ' wire 신규' ELSE '' END) AS x FROM events)
+    SELECT id, {first_of('x', c.INTENTS, "'UNKNOWN'")} AS intent, {first_of('x', c.ACTIONS, "'MODIFY'")} AS action, {first_of('x', c.OBJECTS, "''")} AS target_object, {first_of('x', c.MAIN_PARTS, "''")} AS main_part,
+    {first_of('x', [('신규', ['신규', '추가', 'new', 'add']), ('삭제', ['삭제', '제거', 'delete', 'remove'])], "'변경'")} AS guess FROM t""")
 def intents(spark, sf):
-    x = F.get(F.array(*map(F.lit, _SAID)), (F.col("event_id") % 10).cast("int"))
-    return table(spark, sf, "events").select(F.col("event_id").alias("id"), c.user_intent(x).alias("intent"), c.change_intent(x)["action"].alias("action"), c.change_intent(x)["target_object"].alias("target_object"), c.change_intent(x)["main_part"].alias("main_part"), c.guess_change(x).alias("guess"))
+    k = F.col("event_id")
+    said = F.get(F.array(*map(F.lit, _SAID)), (k % 10).cast("int"))
+    x = F.concat(said, F.lit(" "), "event_type", F.when(k % 3 == 0, " Cavity").when(k % 3 == 1, " wire 신규").otherwise(""))
+    return table(spark, sf, "events").select(k.alias("id"), c.user_intent(x).alias("intent"), c.change_intent(x)["action"].alias("action"), c.change_intent(x)["target_object"].alias("target_object"), c.change_intent(x)["main_part"].alias("main_part"), c.guess_change(x).alias("guess"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE l_linestatus WHEN 'O' THEN CASE WHEN l_returnflag = 'R' THEN '' WHEN l_returnflag = 'A' THEN '공용검토' ELSE '신규' END ELSE CASE WHEN l_returnflag = 'R' THEN '' WHEN l_returnflag = 'A' THEN '공용검토' WHEN l_partkey % 2 = 0 THEN '' ELSE '참고품번' END END AS by_base,
@@ -141,14 +144,25 @@ def sourcing(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", by_base.alias("by_base"), by_name.alias("by_name"), c.action_bucket(act).alias("bucket"))
 
 
-@query("""SELECT p_partkey, (['Assy', '회로', '전장', '원재료', '인쇄물', '체결', 'S/W', '사출', '판금', '절삭', '압출', '주조', '기타'])[CAST(p_partkey % 13 AS INTEGER) + 1] AS part_type, CASE WHEN p_partkey % 13 = 7 THEN '○' ELSE 'X' END AS mold,
-    (['NEW', '삭제', CASE WHEN p_size % 2 = 0 THEN 'NEW' ELSE 'Changing' END, 'Changing', 'Common'])[CAST(p_partkey % 5 AS INTEGER) + 1] AS change_type, (['○', 'X', ''])[CAST(p_partkey % 3 AS INTEGER) + 1] AS in_house FROM part""")
+_TYPES = ["MainAssembly", "PCBPart", "CircuitComponentPart", "MaterialPart", "BoxPart", "FastenerPart", "SoftwarePart", "sub assembly x", "", "", "pcbpart", "Manualpart", ""]
+_SPECS = ["", "mold a", "Press", "cutting", "Extrusion", "diecasting", "other", "complex 1", "a mold"]
+_NOTES = ["", "▲ 상위 Assy 추가", "n"]
+_CHANGES = ["추가", "Delete", "", "변경(시방)", "확인", "삭제"]
+_SQL_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+@query(f"""WITH v AS (SELECT p_partkey, upper(({_SQL_LIST(_TYPES)})[CAST(p_partkey % 13 AS INTEGER) + 1]) AS t, upper(({_SQL_LIST(_SPECS)})[CAST(p_partkey % 9 AS INTEGER) + 1]) AS s, ({_SQL_LIST(_CHANGES)})[CAST(p_partkey % 6 AS INTEGER) + 1] AS c, ({_SQL_LIST(_NOTES)})[CAST(p_size % 3 AS INTEGER) + 1] AS n, p_size, substr(p_name, 1, 1) AS u FROM part),
+    k AS (SELECT *, CASE WHEN contains(t, 'ASSEMBLY') THEN 'Assy' WHEN t = 'PCBPART' THEN '회로' WHEN t = 'CIRCUITCOMPONENTPART' THEN '전장' WHEN t = 'MATERIALPART' THEN '원재료' WHEN t IN ('LABELPART', 'MANUALPART', 'BOXPART') THEN '인쇄물' WHEN t = 'FASTENERPART' THEN '체결' WHEN t = 'SOFTWAREPART' THEN 'S/W'
+        WHEN starts_with(s, 'MOLD') THEN '사출' WHEN regexp_matches(s, '^(PRESS|BENDING|COMPLEX)') THEN '판금' WHEN starts_with(s, 'CUTTING') THEN '절삭' WHEN starts_with(s, 'EXTRUSION') THEN '압출' WHEN starts_with(s, 'DIECASTING') THEN '주조' ELSE '기타' END AS part_type FROM v)
+    SELECT p_partkey, part_type, CASE WHEN part_type = '사출' THEN '○' ELSE 'X' END AS mold, CASE WHEN c = '추가' THEN 'NEW' WHEN c IN ('삭제', 'Delete') THEN '삭제' WHEN contains(n, '▲ 상위 Assy') THEN CASE WHEN p_size % 2 = 0 THEN 'NEW' ELSE 'Changing' END WHEN c = '변경(시방)' THEN 'Changing' ELSE 'Common' END AS change_type,
+    CASE WHEN upper(u) IN ('F', 'P', 'T') THEN '○' WHEN upper(u) IN ('Q', 'D', 'G', 'M', 'R', 'S', 'X') THEN 'X' ELSE '' END AS in_house FROM k""")
 def master_columns(spark, sf):
     k = F.col("p_partkey")
-    pick = lambda words: F.get(F.array(*map(F.lit, words)), (k % len(words)).cast("int"))
-    kind = c.part_type(pick(["MainAssembly", "PCBPart", "CircuitComponentPart", "MaterialPart", "BoxPart", "FastenerPart", "SoftwarePart", "", "", "", "", "", ""]), pick(["", "", "", "", "", "", "", "mold a", "Press", "cutting", "Extrusion", "diecasting", "other"]))
-    change = c.change_type(pick(["추가", "Delete", "", "변경(시방)", "확인"]), pick(["", "", "▲ 상위 Assy", "", ""]), F.col("p_size") % 2 == 0)
-    return table(spark, sf, "part").select("p_partkey", kind.alias("part_type"), c.mold(kind).alias("mold"), change.alias("change_type"), c.in_house(pick(["F", "Q", ""])).alias("in_house"))
+    pick = lambda words, by=k: F.get(F.array(*map(F.lit, words)), (by % len(words)).cast("int"))
+    kind = c.part_type(pick(_TYPES), pick(_SPECS))
+    change = c.change_type(pick(_CHANGES), pick(_NOTES, F.col("p_size")), F.col("p_size") % 2 == 0)
+    uit = F.upper(F.substring("p_name", 1, 1))
+    return table(spark, sf, "part").select("p_partkey", kind.alias("part_type"), c.mold(kind).alias("mold"), change.alias("change_type"), c.in_house(uit).alias("in_house"))
 
 
 _CELLS = ["W", "Oven (ex one)", "built-in oven - ", "a very long text that explains itself well", "동일 사업부 기준", "M8", "x.y", "  Oven/Micro wave\t:", "", "30+"]
@@ -210,7 +224,7 @@ def vector_texts(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", text.vector_text(F.slice("embedding", 1, 3)).alias("dense"), text.sparse_text(weights, 100).alias("sparse"))
 
 
-_SPLIT = "list_filter(list_transform(regexp_split_to_array(x, '[\n•]'), lambda t: trim(regexp_replace(t, '\s+', ' ', 'g'))), lambda t: t <> '')"
+_SPLIT = "list_filter(list_transform(regexp_split_to_array(x, '[\n•]'), lambda t: trim(regexp_replace(t, '\\s+', ' ', 'g'))), lambda t: t <> '')"
 
 
 @query(f"""WITH v AS (SELECT o_orderkey AS id, ' a  b' || chr(10) || '•' || o_orderpriority || chr(10) || chr(10) || 'z' || o_custkey AS x, o_orderkey % 2 = 0 AS even FROM orders)
@@ -230,7 +244,7 @@ _NOS = ["AEC12345678", "채번필요", "TBD", "PANEL ASSY", "ABCDEF", "a-1", "",
 
 
 @query(f"""WITH v AS (SELECT s_suppkey AS id, ({'[' + ', '.join(f"'{w}'" for w in _REMARKS) + ']'})[CAST(s_suppkey % 6 AS INTEGER) + 1] AS r, ({'[' + ', '.join(f"'{w}'" for w in _NOS) + ']'})[CAST(s_suppkey % 10 AS INTEGER) + 1] AS n FROM supplier), w AS (SELECT *, upper(n) AS u, regexp_replace(upper(n), '[^A-Z0-9]', '', 'g') AS s FROM v)
-    SELECT id, coalesce(nullif(regexp_extract(r, '(?i)(?:참고\s*[:：]|ref\s*[:：]|ref\.)\s*([A-Z0-9]{{5,}})', 1), ''), '') AS referenced, u NOT IN ('채번필요', '(채번필요)', '(채번 필요)', '채번 필요', 'TBD', 'N/A', 'NAN', '') AND length(s) >= 5 AS is_real,
+    SELECT id, coalesce(nullif(regexp_extract(r, '(?i)(?:참고\\s*[:：]|ref\\s*[:：]|ref\.)\\s*([A-Z0-9]{{5,}})', 1), ''), '') AS referenced, u NOT IN ('채번필요', '(채번필요)', '(채번 필요)', '채번 필요', 'TBD', 'N/A', 'NAN', '') AND length(s) >= 5 AS is_real,
     n <> '' AND (s = '' OR regexp_matches(u, 'CONTROLLER|ASSEMBLY|ASSY|PANEL|SUB|MODULE|PART') OR regexp_full_match(s, '[A-Z]+')) AS placeholder, CASE WHEN n <> '' AND NOT regexp_matches(u, '채번|TBD|NEED|미정') AND s <> '' THEN s ELSE 'FALLBACK9' END AS first_real, regexp_full_match(n, '[A-Z]{{2,5}}[0-9]{{5,12}}') AS looks FROM w""")
 def part_number_tests(spark, sf):
     k = F.col("s_suppkey")
@@ -245,7 +259,7 @@ _MATERIALS = ["Sheet,Steel 1mm", "door", "절연 테이프", ""]
 
 @query(f"""WITH v AS (SELECT p_partkey AS id, ({'[' + ', '.join(f"'{w}'" for w in _FRAGMENTS) + ']'})[CAST(p_partkey % 4 AS INTEGER) + 1] AS f, ({'[' + ', '.join(f"'{w}'" for w in _MATERIALS) + ']'})[CAST(p_partkey % 4 AS INTEGER) + 1] AS m, p_size, p_name FROM part)
     SELECT id, array_to_string(list_filter(list_transform(string_split(f, '|'), lambda t: trim(t)), lambda t: t <> '' AND NOT contains(t, 'bad')), ' | ') AS kept, contains(lower(m), 'sheet,steel') OR contains(m, '테이프') AS material,
-    CASE WHEN contains(f, 'bad') THEN '' ELSE trim(regexp_replace(f, '\s+', ' ', 'g')) END AS shown, CASE WHEN p_size % 3 = 0 THEN '' WHEN p_size % 3 = 1 THEN CAST(p_size AS VARCHAR) ELSE p_size || '.5' END AS plain, CASE WHEN p_size / 50.0 > 0 AND p_size / 50.0 < 1 THEN round(1 - p_size / 50.0, 6) ELSE 0.7 END::DOUBLE AS similarity FROM v""")
+    CASE WHEN contains(f, 'bad') THEN '' ELSE trim(regexp_replace(f, '\\s+', ' ', 'g')) END AS shown, CASE WHEN p_size % 3 = 0 THEN '' WHEN p_size % 3 = 1 THEN CAST(p_size AS VARCHAR) ELSE p_size || '.5' END AS plain, CASE WHEN p_size / 50.0 > 0 AND p_size / 50.0 < 1 THEN round(1 - p_size / 50.0, 6) ELSE 0.7 END::DOUBLE AS similarity FROM v""")
 def cell_helpers(spark, sf):
     k, size = F.col("p_partkey"), F.col("p_size")
     pick = lambda words: F.get(F.array(*map(F.lit, words)), (k % len(words)).cast("int"))
