@@ -244,7 +244,7 @@ _NOS = ["AEC12345678", "채번필요", "TBD", "PANEL ASSY", "ABCDEF", "a-1", "",
 
 
 @query(f"""WITH v AS (SELECT s_suppkey AS id, ({'[' + ', '.join(f"'{w}'" for w in _REMARKS) + ']'})[CAST(s_suppkey % 6 AS INTEGER) + 1] AS r, ({'[' + ', '.join(f"'{w}'" for w in _NOS) + ']'})[CAST(s_suppkey % 10 AS INTEGER) + 1] AS n FROM supplier), w AS (SELECT *, upper(n) AS u, regexp_replace(upper(n), '[^A-Z0-9]', '', 'g') AS s FROM v)
-    SELECT id, coalesce(nullif(regexp_extract(r, '(?i)(?:참고\\s*[:：]|ref\\s*[:：]|ref\.)\\s*([A-Z0-9]{{5,}})', 1), ''), '') AS referenced, u NOT IN ('채번필요', '(채번필요)', '(채번 필요)', '채번 필요', 'TBD', 'N/A', 'NAN', '') AND length(s) >= 5 AS is_real,
+    SELECT id, coalesce(nullif(regexp_extract(r, '(?i)(?:참고\\s*[:：]|ref\\s*[:：]|ref\\.)\\s*([A-Z0-9]{{5,}})', 1), ''), '') AS referenced, u NOT IN ('채번필요', '(채번필요)', '(채번 필요)', '채번 필요', 'TBD', 'N/A', 'NAN', '') AND length(s) >= 5 AS is_real,
     n <> '' AND (s = '' OR regexp_matches(u, 'CONTROLLER|ASSEMBLY|ASSY|PANEL|SUB|MODULE|PART') OR regexp_full_match(s, '[A-Z]+')) AS placeholder, CASE WHEN n <> '' AND NOT regexp_matches(u, '채번|TBD|NEED|미정') AND s <> '' THEN s ELSE 'FALLBACK9' END AS first_real, regexp_full_match(n, '[A-Z]{{2,5}}[0-9]{{5,12}}') AS looks FROM w""")
 def part_number_tests(spark, sf):
     k = F.col("s_suppkey")
