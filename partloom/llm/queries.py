@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from partloom.llm import exact, line_dedup, media, minhash, mixing, packing, quality, substring, toxicity, warc
+from partloom.llm import exact, filter_audit, line_dedup, media, minhash, mixing, packing, periodic, quality, substring, toxicity, warc
 from partloom.llm.common import table
 
 
@@ -55,6 +56,25 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(periodic.plant_runs(table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.select(
+        "doc_id",
+        "n_runs",
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
@@ -66,6 +86,8 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL = {
@@ -135,4 +157,90 @@ ORACLE_SQL = {
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = min(doc_id) OVER g AS kept, text_sha256
         FROM n WINDOW g AS (PARTITION BY text_sha256)""",
+    "op12_periodic_runs": r"""
+        WITH b AS (
+            SELECT doc_id, coalesce(text, '') AS text, list_concat([4294967295], flatten(list_transform(
+                       string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c), 0, 0, 0, 0, 0, 0, 0]))) AS bits
+            FROM documents
+        ), h AS (
+            SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+                   xor(CAST(list_reduce(bits, lambda s, x: xor(xor(s, x) >> 1, 3988292384 * (xor(s, x) & 1))) AS BIGINT), 4294967295) AS h
+            FROM b
+        ), g AS (
+            SELECT doc_id, words, len(words) AS n, h % 10 = 0 AND len(words) > 0 AS planted,
+                   CASE WHEN len(words) > 0 THEN (h // 10) % len(words) ELSE 0 END AS a, 3 + (h // 10) % 8 AS parts
+            FROM h
+        ), w AS (
+            SELECT doc_id, n, i, words[1 + CASE WHEN planted AND i >= a THEN a + (i - a) % (1 + (n - a) // parts) ELSE i END] AS word
+            FROM (SELECT *, unnest(range(0, n)) AS i FROM g)
+        ), e AS (
+            SELECT x.doc_id, y.i - x.i AS period, x.i
+            FROM w AS x JOIN w AS y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+        ), s AS (
+            SELECT doc_id, period, i, i - row_number() OVER (PARTITION BY doc_id, period ORDER BY i) AS island FROM e
+        ), r AS (
+            SELECT doc_id, start, length, min(period) AS period
+            FROM (SELECT doc_id, period, min(i) AS start, count(*) + period AS length FROM s GROUP BY doc_id, period, island)
+            WHERE length >= greatest(6, 4 * period)
+            GROUP BY doc_id, start, length
+        ), f AS (
+            SELECT doc_id, count(*) AS n_runs,
+                   string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS said,
+                   min({'less': -(CAST(length AS DOUBLE) / period), 'start': start, 'period': period, 'length': length}) AS best
+            FROM r GROUP BY doc_id
+        ), k AS (
+            SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.i) AS kept
+            FROM w ANTI JOIN (
+                SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r
+            ) AS c ON w.doc_id = c.doc_id AND w.i = c.i
+            GROUP BY w.doc_id
+        )
+        SELECT g.doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period,
+               1000 * best.length // best.period AS exponent_milli,
+               sha256(coalesce(said, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+        FROM g LEFT JOIN f ON g.doc_id = f.doc_id LEFT JOIN k ON g.doc_id = k.doc_id""",
+    "op13_filter_audit": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+            FROM documents
+        ), l AS (
+            SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id
+        ), f AS (
+            SELECT doc_id, part,
+                   CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+                   || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+                   || CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text) THEN 'C' ELSE '' END
+                   || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+                   || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+            FROM d
+        ), c AS (
+            SELECT part, fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+            FROM f LEFT JOIN l ON f.doc_id = l.doc_id GROUP BY ALL
+        ), x(l) AS (
+            VALUES ('A'), ('B'), ('C'), ('D'), ('E')
+        ), o AS (
+            SELECT v.l || w.l || x.l || y.l || z.l AS filter_order
+            FROM x AS v, x AS w, x, x AS y, x AS z
+            WHERE len(list_distinct([v.l, w.l, x.l, y.l, z.l])) = 5
+        ), s AS (
+            SELECT part, fails, good, toxic, n, filter_order, step, substr(filter_order, step, 1) AS letter,
+                   CASE WHEN fails = '' THEN 6
+                        ELSE list_min(list_transform(string_split(fails, ''), lambda i: instr(filter_order, i))) END AS first
+            FROM c, o, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)
+        ), r AS (
+            SELECT part, filter_order, step, letter,
+                   sum(CASE WHEN first > step THEN n ELSE 0 END) AS kept,
+                   sum(CASE WHEN first = step THEN n ELSE 0 END) AS removed,
+                   sum(CASE WHEN first < step AND contains(fails, letter) THEN n ELSE 0 END) AS redundant,
+                   sum(CASE WHEN fails = letter THEN n ELSE 0 END) AS unique_fails,
+                   sum(CASE WHEN first = step AND good THEN n ELSE 0 END) AS good_lost,
+                   sum(CASE WHEN first = step AND toxic THEN n ELSE 0 END) AS toxic_lost
+            FROM s GROUP BY part, filter_order, step, letter
+        )
+        SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+               CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+               CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+        FROM r""",
 }

@@ -84,3 +84,18 @@ class Bloom:
     def has(self, codes: np.ndarray) -> np.ndarray:
         at = self._probes(codes)
         return ((self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
+
+
+def word_places(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words, of each word of all texts its place among these, and
+    each text's number of words: equal places are equal words, no codes involved."""
+    split = pc.ascii_split_whitespace(texts)
+    lengths = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = split.flatten().dictionary_encode()
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    empty = pc.index(coded.dictionary, pa.scalar("", coded.dictionary.type)).as_py()
+    if empty >= 0:  # beside leading and trailing white space
+        real = at != empty
+        ends = np.concatenate([[0], np.cumsum(real)])[np.concatenate([[0], np.cumsum(lengths)])]
+        lengths, at = np.diff(ends), at[real]
+    return coded.dictionary, at, lengths
