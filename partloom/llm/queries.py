@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partloom.llm import exact, filter_audit, line_dedup, media, minhash, mixing, packing, periodic, quality, substring, toxicity, warc
+from partloom.llm import exact, filter_audit, line_dedup, media, minhash, mixing, ngram_join, packing, periodic, quality, substring, toxicity, warc
 from partloom.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents")).drop("component_size")
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic.periodic_runs(periodic.plant_runs(table(spark, sf_dir, "documents")))
     line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
@@ -86,6 +90,7 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_ngram_join": op11_ngram_join,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_filter_audit": op13_filter_audit,
 }
@@ -157,6 +162,34 @@ ORACLE_SQL = {
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = min(doc_id) OVER g AS kept, text_sha256
         FROM n WINDOW g AS (PARTITION BY text_sha256)""",
+    "op11_ngram_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+            FROM documents
+        ), s AS (
+            SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN []
+                       WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+                       ELSE list_distinct(list_transform(range(0, len(words) - 2), lambda i: words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3]))
+                       END) AS shingle
+            FROM w
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), both_sides AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k
+            FROM s AS x JOIN s AS y ON x.shingle = y.shingle AND x.doc_id != y.doc_id
+            GROUP BY x.doc_id, y.doc_id
+        ), links AS (
+            SELECT a, b FROM both_sides JOIN n AS x ON a = x.doc_id JOIN n AS y ON b = y.doc_id
+            WHERE 100 * k >= 90 * (x.n + y.n - k)
+        ), reach(doc_id, b) AS (
+            SELECT doc_id, doc_id FROM documents
+            UNION
+            SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.b = links.a
+        )
+        SELECT w.doc_id, coalesce(n, 0) AS n_shingles, component_id
+        FROM w LEFT JOIN n ON w.doc_id = n.doc_id
+        JOIN (SELECT doc_id, min(b) AS component_id FROM reach GROUP BY doc_id) AS r ON w.doc_id = r.doc_id""",
     "op12_periodic_runs": r"""
         WITH b AS (
             SELECT doc_id, coalesce(text, '') AS text, list_concat([4294967295], flatten(list_transform(
