@@ -12,11 +12,14 @@ the smaller of its two m.
 Counts come from one sketch of all texts, whose size is fixed.  They decide
 the order and the cost alone: with any order the results are the same.
 
-Documents with equal sets are one node.  Of the nodes that share a prefix shingle
-the most connected is the centre, and the others are compared with it alone;
-then nodes that share a shingle and are still in different components are
-compared with each other.  So no link between components is lost, while a large
-group of copies or near copies costs one comparison for each member.
+Documents with equal sets are one node.  Nodes meet in buckets: those that share a
+prefix shingle and are of like size, in classes so wide that sets that link are
+in one class or in two next to each other.  Of a bucket's nodes the most connected is
+the centre, and the others are compared with it alone; then nodes of a bucket
+that are still in different components are compared with each other.  So no link
+between components is lost, while a large group of copies or near copies costs one
+comparison for each member.  Before whole sets are compared, a pair passes tests that no
+link fails: sizes, parities of the sets, shared prefix shingles.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from partloom.llm.blooms import bloom_of
 from partloom.llm.common import materialize, small_batches, text_key
-from partloom.llm.minhash import PARITIES, components, parities, set_codes
+from partloom.llm.minhash import components, set_codes
 from partloom.llm.words import Bloom, gathered, mix, one_array, run_codes, word_codes
 
 #: The sketch's cells, 8 MB whatever the input.
@@ -105,6 +108,15 @@ def estimates(sketch: np.ndarray) -> np.ndarray:
     return np.maximum(1, sketch - (total - sketch) // (len(sketch) - 1)).astype(np.uint32)
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """Longs whose bits say whether an odd number of a set's shingles fall on them, about as
+    many bits as shingles: a power of two, so that a longer one folds onto a shorter one."""
+    width = 1 << max(6, (len(own) - 1).bit_length())
+    at = (mix(own ^ np.uint64(0x3C3C3C3C)) & np.uint64(width - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=width) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def needed(n: int, percent: int) -> int:
     """The least overlap of a set of n shingles with one that it links to."""
     return -(-percent * n // 100)
@@ -144,6 +156,7 @@ def signed_sets(docs: DataFrame, counts: np.ndarray, size: int, percent: int) ->
             sets = list(shingle_sets(one_array(table["text"]), size))
             n = np.array([len(s) for s in sets], np.int64)
             row, flat = np.repeat(np.arange(k), n), np.concatenate(sets)
+            bits = [parities(s) for s in sets]
             prefixes = [adaptive_prefix(s, shared.value, percent) if len(s) else (s, 1) for s in sets]
             ends = np.concatenate([[0], np.cumsum([len(p) for p, _ in prefixes])])
             yield pa.RecordBatch.from_arrays(
@@ -154,7 +167,7 @@ def signed_sets(docs: DataFrame, counts: np.ndarray, size: int, percent: int) ->
                     set_codes(row, flat, np.ones(len(flat), np.int64), k),
                     pa.array([m for _, m in prefixes], pa.int32()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([p for p, _ in prefixes]).view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * (PARITIES // 64)), pa.array(parities(row, flat, k).ravel())),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(b) for b in bits])]), pa.int32()), pa.array(np.concatenate(bits))),
                 ],
                 ["doc_id", "key", "n", "node", "m", "prefix", "bits"],
             )
@@ -186,11 +199,33 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     A parity that differs has a shingle that only one of the two sets holds.
     """
     of = lambda side, name: F.col(f"{side}.{name}")
-    differ = F.lit(0)
-    for i in range(PARITIES // 64):
-        differ = differ + F.bit_count(F.get(of(x, "bits"), i).bitwiseXOR(F.get(of(y, "bits"), i)))
-    sizes = F.least(of(x, "n"), of(y, "n")) * 100 >= F.greatest(of(x, "n"), of(y, "n")) * percent
-    return sizes & (differ * (100 + percent) <= (of(x, "n") + of(y, "n")) * (100 - percent))
+    width = F.least(F.size(of(x, "bits")), F.size(of(y, "bits")))
+    fold = lambda bits: F.when(F.size(bits) == width, bits).otherwise(F.zip_with(F.slice(bits, F.lit(1), width), F.slice(bits, width + 1, width), lambda p, q: p.bitwiseXOR(q)))
+    differ = F.aggregate(F.zip_with(fold(of(x, "bits")), fold(of(y, "bits")), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, d: n + d)
+    n = of(x, "n").cast("long") + of(y, "n")
+    # sizes further apart than twice can't be folded in one step, nor link
+    return _sizes(of(x, "n"), of(y, "n"), percent) & (differ * (100 + percent) <= n * (100 - percent))
+
+
+def _sizes(x: Column, y: Column, percent: int) -> Column:
+    return F.least(x, y).cast("long") * 100 >= F.greatest(x, y).cast("long") * percent
+
+
+def _buckets(nodes: DataFrame, percent: int) -> DataFrame:
+    """token, class, node, n, own of the nodes that share a prefix shingle with another
+    one of like size.
+
+    Sets that link have sizes of at least percent to 100, so they are of one class or
+    of two next to each other: each node stands in its own class and in the next one.
+    """
+    postings = nodes.select("node", "n", F.explode("prefix").alias("token"))
+    shared = postings.groupBy("token").agg(F.count("*").alias("nodes")).where("nodes > 1").select("token")
+    own = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(min(percent, 99) / 100)) + 1e-9).cast("int")
+    members = postings.join(shared, "token").withColumn("own", own).select("token", "node", "n", "own", F.explode(F.array(own, own + 1)).alias("class"))
+    members = materialize(members, "join-members")
+    # of a class, or some of it and some of the one before
+    alike = members.groupBy("token", "class").agg(F.count("*").alias("nodes"), F.max("own").alias("top")).where("nodes > 1 AND top = class").select("token", "class")
+    return materialize(members.join(alike, ["token", "class"]), "join-buckets")
 
 
 def _probable(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -233,25 +268,26 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     signed = materialize(signed_sets(rows, estimates(count_sketch(rows, size)), size, percent), "join-signed")
     nodes = signed.where("n > 0").groupBy("node").agg(F.min("key").alias("doc_key"), *(F.first(c).alias(c) for c in ("n", "m", "prefix", "bits")))
     nodes = materialize(nodes, "join-nodes")
-    postings = nodes.select("node", F.explode("prefix").alias("token"))
-    shared = postings.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
-    members = materialize(postings.join(shared, "token"), "join-members")
+    buckets = _buckets(nodes, percent)
 
-    degree = members.groupBy("node").agg(F.sum("members").alias("degree"))
-    centres = members.join(degree, "node").groupBy("token").agg(F.max(F.struct("degree", "node"))["node"].alias("b"))
-    to_centre = members.join(centres, "token").where("node != b").select(F.col("node").alias("a"), "b").distinct()
+    degree = buckets.groupBy("token", "class").agg(F.count("*").alias("nodes"))
+    degree = buckets.join(degree, ["token", "class"]).groupBy("node").agg(F.sum("nodes").alias("degree"))
+    centres = buckets.join(degree, "node").groupBy("token", "class").agg(F.max(F.struct("degree", "node", "n")).alias("centre"))
+    to_centre = buckets.join(centres, ["token", "class"]).where((F.col("node") != F.col("centre.node")) & _sizes(F.col("n"), F.col("centre.n"), percent))
+    to_centre = to_centre.select(F.col("node").alias("a"), F.col("centre.node").alias("b")).distinct()
     first = materialize(_probable(to_centre, nodes, percent), "join-pairs")
     links = materialize(_linked(rows, first, nodes, size, percent), "join-links")
-    met = materialize(members.select("node").distinct(), "join-met")
+    met = materialize(buckets.select("node").distinct(), "join-met")
     labels = components(met, links)
 
-    # nodes that share a shingle and are still apart
-    named = members.select("token", "node").join(labels, "node")
-    apart = named.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("token")
-    still = materialize(named.join(apart, "token").join(nodes.select("node", "n", "m", "bits"), "node"), "join-open")
-    pairs = still.alias("x").join(still.alias("y"), F.col("x.token") == F.col("y.token"))
-    pairs = pairs.where((F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & _may_link("x", "y", percent))
-    # every prefix shingle that such a pair shares is among these tokens
+    # nodes of a bucket that are still apart
+    named = buckets.join(labels, "node")
+    apart = named.groupBy("token", "class").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("token", "class")
+    still = materialize(named.join(apart, ["token", "class"]).join(nodes.select("node", "m", "bits"), "node"), "join-open")
+    pairs = still.alias("x").join(still.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.class") == F.col("y.class")))
+    once = F.greatest("x.own", "y.own") == F.col("x.class")  # two of the class before meet there
+    pairs = pairs.where((F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & once & _may_link("x", "y", percent))
+    # every prefix shingle that such a pair shares has a bucket of both
     matches = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("matches"), F.first(F.least("x.m", "y.m")).alias("least"))
     second = materialize(matches.where("matches >= least").select("a", "b"), "join-open-pairs")
     if not second.isEmpty():

@@ -105,6 +105,23 @@ def test_prefixes_of_links_share_enough():
     assert linked > 100
 
 
+@pytest.mark.parametrize("percent", [60, 90])
+def test_tests_pass_all_links(percent, spark):
+    """Sizes, classes and parities, of sets of all sizes."""
+    rng = np.random.default_rng(5)
+    rows, linked = [], []
+    for i in range(300):
+        x = np.unique(rng.integers(0, 1 << 62, int(2 ** rng.uniform(0, 11))).astype(np.uint64))
+        y = np.unique(np.concatenate([rng.choice(x, max(1, int(len(x) * rng.uniform(0.7, 1))), replace=False), rng.integers(0, 1 << 62, rng.integers(0, 1 + len(x) // 8)).astype(np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        linked.append(100 * both >= percent * (len(x) + len(y) - both))
+        rows.append((i, (len(x), ngram_join.parities(x).tolist()), (len(y), ngram_join.parities(y).tolist())))
+    df = spark.createDataFrame(rows, "i int, x struct<n: int, bits: array<long>>, y struct<n: int, bits: array<long>>")
+    passed = {r.i for r in df.where(ngram_join._may_link("x", "y", percent)).collect()}
+    assert {i for i, is_link in enumerate(linked) if is_link} <= passed
+    assert 50 < sum(linked) and len(passed) < 290
+
+
 def test_sketch_counts_all(some_docs):
     rows = some_docs.select("text")
     sketch = ngram_join.count_sketch(rows, 3)
