@@ -16,7 +16,7 @@ KEEP = ["유지", "그대로", "맞아"]
 CHANGE_TARGETS = ["도어", "카메라", "센서", "컨트롤러", "하네스", "모터", "팬", "히터", "패널", "포장", "라벨"]
 
 
-def _has(text: Column, words: list[str]) -> Column:
+def has_any(text: Column, words: list[str]) -> Column:
     return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
 
 
@@ -30,7 +30,7 @@ def group_decisions(answers: DataFrame, *, text: str = "text", n: str = "n") ->
     swap = r"(?i)(\d+)번.*?([A-Z]{2,3}\d{8,12}).*?(?:바꿔|교체|대체|변경)"
     # what an answer says is read once, before it is dealt to its questions
     said = F.struct(
-        nums.alias("nums"), _has(low, DROP_ALL).alias("drop_all"), _has(low, KEEP_ALL).alias("keep_all"), F.contains(low, F.lit("만 유지")).alias("only"), _has(low, DROP).alias("drop"), _has(low, KEEP).alias("keep"),
+        nums.alias("nums"), has_any(low, DROP_ALL).alias("drop_all"), has_any(low, KEEP_ALL).alias("keep_all"), F.contains(low, F.lit("만 유지")).alias("only"), has_any(low, DROP).alias("drop"), has_any(low, KEEP).alias("keep"),
         F.regexp_extract(t, swap, 1).try_cast("int").alias("swapped"), F.upper(F.regexp_extract(t, swap, 2)).alias("number"),
     )
     rows = answers.withColumn("__said", said).withColumn("num", F.explode(F.sequence(F.lit(1), F.col(n)))).where(F.col(n) > 0)
@@ -86,7 +86,7 @@ def queue_signature(questions: DataFrame) -> DataFrame:
 
 
 def nearness(path: Column, name: Column, words: list[str]) -> Column:
-    return F.when(_has(F.lower(path), words), 0).when(_has(F.lower(name), words), 1).otherwise(2)
+    return F.when(has_any(F.lower(path), words), 0).when(has_any(F.lower(name), words), 1).otherwise(2)
 
 
 def change_targets(text: Column) -> Column:
@@ -103,26 +103,29 @@ def replacement_copy(part: dict[str, Column], new: dict[str, Column]) -> list[Co
     return [F.coalesce(F.when(new[c] != "", new[c]), part[c]).alias(c) if c in new else part[c].alias(c) for c in part]
 
 
-def mentions(texts: DataFrame, parts: DataFrame, *, text_id: str = "text_id") -> DataFrame:
-    """text_id, part: parts whose number a text holds as a word of five signs or more."""
-    words = texts.select(text_id, F.explode(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit("([A-Z0-9]{5,})"), 1))).alias("number"))
-    known = parts.select(part_no_strict(F.col("number")).alias("number"), F.col("number").alias("part")).distinct()
-    return words.join(known, "number").select(text_id, "part")
+def named_parts(texts: DataFrame, parts: DataFrame, *, text_id: str = "text_id", scope: str | None = None) -> DataFrame:
+    """text_id, part, way: the parts that a text names.
 
+    For each part: 'part_no' if the text, signs left out, holds its number (five
+    signs or more), else 'part_name' if it holds a word of its name.  With scope, a
+    column of both, texts speak of the parts of their own scope alone.
+    """
+    from partloom.operators.contains import holding
+    from partloom.operators.sessions import bare_text, name_words
+
+    scopes = [scope] if scope else []
+    said = texts.select(text_id, *scopes, bare_text(F.col("text")).alias("bare"), F.upper(F.coalesce("text", F.lit(""))).alias("upper"))
+    known = parts.select(F.col("number").alias("part"), *scopes, part_no_strict(F.col("number")).alias("bare_no"), F.explode_outer(name_words(F.col("name"))).alias("word")).distinct()
 
-def named_parts(texts: DataFrame, parts: DataFrame, *, text_id: str = "text_id") -> DataFrame:
-    """text_id, part: parts that a text names: by their number, else by a word of
-    three signs or more of their name."""
-    from partloom.functions.text import tokens
+    def found(text: str, pattern: str) -> DataFrame:
+        keyed = known.where(F.length("bare_no") >= 5) if pattern == "bare_no" else known.where("word IS NOT NULL")
+        hits = holding(said, keyed, text, pattern).withColumnsRenamed({"text": text, "pattern": pattern})
+        named = keyed.select("part", *scopes, pattern).distinct()
+        return hits.join(said.select(text_id, *scopes, text), text).join(named, [pattern, *scopes]).select(text_id, "part").distinct()
 
-    by_number = mentions(texts, parts, text_id=text_id).withColumn("way", F.lit(0))
-    long = lambda c: F.filter(tokens(c), lambda w: F.length(w) >= 3)
-    said = texts.select(text_id, F.explode(long(F.col("text"))).alias("word"))
-    words = parts.select(F.col("number").alias("part"), F.explode(long(F.col("name"))).alias("word")).distinct()
-    by_name = said.join(words, "word").select(text_id, "part").distinct().withColumn("way", F.lit(1))
-    every = by_number.unionByName(by_name)
-    first = every.groupBy(text_id).agg(F.min("way").alias("way"))
-    return every.join(first, [text_id, "way"]).select(text_id, "part").distinct()
+    by_number = found("bare", "bare_no")
+    by_name = found("upper", "word").join(by_number, [text_id, "part"], "left_anti")
+    return by_number.withColumn("way", F.lit("part_no")).unionByName(by_name.withColumn("way", F.lit("part_name")))
 
 
 def past_exclusions(parts: DataFrame, log: DataFrame) -> DataFrame:
@@ -194,8 +197,8 @@ def route(messages: DataFrame, *, text: str = "text", pending: str = "pending",
     from partloom.operators.classify import user_intent
 
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    answers = _has(low, DROP_ALL + KEEP_ALL) | (F.size(F.regexp_extract_all(low, F.lit(r"(\d+)"), 1)) > 0) & _has(low, DROP + KEEP)
+    answers = has_any(low, DROP_ALL + KEEP_ALL) | (F.size(F.regexp_extract_all(low, F.lit(r"(\d+)"), 1)) > 0) & has_any(low, DROP + KEEP)
     intent = F.when(F.col(pending) & (F.col(n) > 0) & answers, "ANSWER").otherwise(user_intent(F.col(text)))
-    sourcing = F.when(F.contains(low, F.lit("공용")), "공용검토").when(_has(low, ["신규", "채번"]), "신규")
-    bulk = F.when(_has(low, ["변경", "시방"]), "MODIFY").when(F.contains(low, F.lit("삭제")), "REMOVE").otherwise("ADD")
+    sourcing = F.when(F.contains(low, F.lit("공용")), "공용검토").when(has_any(low, ["신규", "채번"]), "신규")
+    bulk = F.when(has_any(low, ["변경", "시방"]), "MODIFY").when(F.contains(low, F.lit("삭제")), "REMOVE").otherwise("ADD")
     return messages.withColumn("handled_as", intent).withColumn("value", F.when(F.col("handled_as") == "SOURCING", sourcing).when(F.col("handled_as") == "BULK", bulk))

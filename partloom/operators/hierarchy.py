@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from partloom.session import checkpointed
+
 #: So many levels are looked at one by one.
 FEW_LEVELS = 64
 
@@ -111,31 +113,147 @@ def closure(df: DataFrame, *, keep: list[str] | None = None) -> DataFrame:
     return df.select("doc", "row_no", *(keep or []), F.posexplode(chain).alias("distance", "ancestor"))
 
 
+def _merged(*parts: DataFrame) -> DataFrame:
+    """node, reached and the smallest distance of several such tables."""
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.groupBy("node", "reached").agg(F.min("distance").alias("distance"))
+
+
+class Jumps:
+    """Where 1, 2, 4, … steps lead in a graph each of whose nodes leads to one other at most.
+
+    A table (src, dst) for each power of two, made when it is first asked for.
+    """
+
+    def __init__(self, edges: DataFrame) -> None:
+        self.tables = [checkpointed(edges.select("src", "dst"))]
+
+    def at(self, k: int) -> DataFrame:
+        while len(self.tables) <= k:
+            last = self.tables[-1]
+            onward = last.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
+            self.tables.append(checkpointed(last.join(onward, "dst").select("src", F.col("next").alias("dst"))))
+        return self.tables[k]
+
+    def follow(self, pairs: DataFrame) -> DataFrame:
+        """pairs (node, reached, distance) and all that lies on the way from each reached one.
+
+        A chain of n steps takes about log2(n) rounds; a cycle ends when a round
+        finds nothing new.
+        """
+        k = 0
+        while True:
+            jump = self.at(k)
+            onward = pairs.join(jump, F.col("reached") == F.col("src")).select("node", F.col("dst").alias("reached"), (F.col("distance") + (1 << k)).alias("distance"))
+            new = checkpointed(onward.join(pairs.select("node", "reached"), ["node", "reached"], "left_anti"))
+            if new.isEmpty():
+                return pairs
+            pairs, k = checkpointed(_merged(pairs, new)), k + 1
+
+
 def walk(edges: DataFrame, start: DataFrame, *, max_depth: int | None = None) -> DataFrame:
     """node, reached, distance from start (node) along edges (src, dst), the nearest way.
 
-    For any graph: a round for each step, over checkpointed frontiers; a node
-    once reached isn't walked again, so cycles end.  The walk goes on until
-    nothing new is reached, or for max_depth steps where that is asked for.
+    For any graph.  Stretches without branches are followed by jumps that double,
+    so they take rounds by the logarithm of their length; each branching on the way is a
+    round more.  What is reached again by no nearer way isn't followed, so cycles
+    end.  With max_depth the walk goes step by step and stops there.
     """
-    from partloom.session import checkpointed
-
     reached = checkpointed(start.select("node", F.col("node").alias("reached"), F.lit(0).alias("distance")).distinct())
-    frontier, found, step = reached, [reached], 0
-    while max_depth is None or step < max_depth:
-        step += 1
-        onward = frontier.join(edges, F.col("reached") == F.col("src")).select("node", F.col("dst").alias("reached"), F.lit(step).alias("distance")).distinct()
-        frontier = checkpointed(onward.join(reached.select("node", "reached"), ["node", "reached"], "left_anti"))
+    if max_depth is not None:
+        frontier = reached
+        for step in range(1, max_depth + 1):
+            onward = frontier.join(edges, F.col("reached") == F.col("src")).select("node", F.col("dst").alias("reached"), F.lit(step).alias("distance")).distinct()
+            frontier = checkpointed(onward.join(reached.select("node", "reached"), ["node", "reached"], "left_anti"))
+            if frontier.isEmpty():
+                break
+            reached = checkpointed(reached.unionByName(frontier))
+        return reached
+    edges = checkpointed(edges.select("src", "dst").distinct())
+    branching = edges.groupBy("src").count().where("count > 1").select("src")
+    jumps = Jumps(edges.join(branching, "src", "left_anti"))
+    forks = checkpointed(edges.join(branching, "src", "left_semi"))
+    frontier = reached
+    while True:
+        frontier = jumps.follow(frontier)
+        onward = frontier.join(forks, F.col("reached") == F.col("src")).select("node", F.col("dst").alias("reached"), (F.col("distance") + 1).alias("distance"))
+        reached = checkpointed(_merged(reached, frontier))
+        known = reached.select("node", "reached", F.col("distance").alias("known"))
+        nearer = _merged(onward).join(known, ["node", "reached"], "left").where("known IS NULL OR distance < known").drop("known")
+        frontier = checkpointed(nearer)
         if frontier.isEmpty():
+            return reached
+
+
+def chain_ends(edges: DataFrame) -> DataFrame:
+    """node, last, length, cyclic of every node of a graph (src, dst) each of whose nodes
+    leads to one other at most: the end of its chain and the steps to it; null, and
+    cyclic, for a chain that comes back to itself.
+
+    Pointers double, so n nodes take log2(n) rounds at most.  Of several ways on, the
+    smallest is taken.
+    """
+    edges = edges.groupBy("src").agg(F.min("dst").alias("dst"))
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    first = nodes.join(edges, F.col("node") == F.col("src"), "left")
+    ends = checkpointed(first.select("node", F.coalesce("dst", "node").alias("last"), F.when(F.col("dst").isNull(), 0).otherwise(1).cast("long").alias("length"), F.col("dst").isNull().alias("done")))
+    n, steps = ends.count(), 1
+    while steps <= n:
+        onward = ends.select(F.col("node").alias("last"), F.col("last").alias("next"), F.col("length").alias("more"), F.col("done").alias("ended"))
+        moved = ends.join(onward, "last").select("node", F.col("next").alias("last"), (F.col("length") + F.col("more")).alias("length"), F.col("ended").alias("done"))
+        ends, steps = checkpointed(moved), 2 * steps
+        if ends.where("NOT done").isEmpty():
             break
-        found.append(frontier)
-        reached = found[0]
-        for part in found[1:]:
-            reached = reached.unionByName(part)
-        if len(found) == 8:  # few parts, each written once in eight rounds
-            found = [checkpointed(reached)]
-            reached = found[0]
-    return reached
+    known = lambda c: F.when(F.col("done"), F.col(c)).alias(c)
+    return ends.select("node", known("last"), known("length"), (~F.col("done")).alias("cyclic"))
+
+
+def _nested(rows: DataFrame, by: list[str], order: str, depth: str, opening: Column, closing: str) -> DataFrame:
+    """by, json: each tree's rows in order of a walk from the top down, as nested text.
+
+    What a row closes follows from the depth of the next one, so any depth takes one
+    window and one aggregate.  A tree is one value, so its rows fit in a task.
+    """
+    following = F.lead(depth).over(Window.partitionBy(*by).orderBy(order))
+    after = rows.withColumn("__next", following)
+    # the last row closes everything, one before a child nothing
+    closed = F.col(depth) - F.coalesce("__next", F.lit(1)) + 1
+    comma = F.when(F.col("__next") <= F.col(depth), ",").otherwise("")
+    pieces = after.withColumn("__text", F.concat(opening, F.repeat(F.lit(closing), closed.cast("int")), comma))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("__text").alias("t")))), lambda x: x["t"]), "")
+    return pieces.groupBy(*by).agg(whole.alias("json"))
+
+
+def nested_tree(rows: DataFrame, cells: list[str]) -> DataFrame:
+    """doc, json: each document's tree as one nested value, a list of nodes with cells
+    and children.
+
+    rows: doc, row_no, depth (one more than its parent's, 1 at the top, as
+    ancestors_by_stack has it) and cells.
+    """
+    node = F.to_json(F.struct(*cells), {"ignoreNullFields": "false"})
+    opening = F.concat(F.expr("left(%s, length(%s) - 1)" % (("__node",) * 2)), F.lit(',"children":['))
+    out = _nested(rows.withColumn("__node", node), ["doc"], "row_no", "depth", opening, "]}")
+    return out.select("doc", F.concat(F.lit("["), "json", F.lit("]")).alias("json"))
+
+
+def tree_of_paths(paths_: DataFrame, *, by: str = "doc", order: str = "ord", path: str = "path", sep: str = " > ") -> DataFrame:
+    """by, json: the paths of each group as one nested object of names; equal beginnings
+    are one node, and names stand in the order in which they came first."""
+    steps = F.filter(F.transform(F.split(F.coalesce(F.col(path), F.lit("")), F.lit(sep)), lambda x: F.trim(x)), lambda x: x != "")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size("__s")), lambda i: F.slice("__s", F.lit(1), i))
+    seen = paths_.select(by, order, steps.alias("__s")).where(F.size("__s") > 0).select(by, order, F.explode(prefixes).alias("p"))
+    nodes = seen.groupBy(by, "p").agg(F.min(order).alias("first"))
+    # a node comes after its parent, its place among others is that of its first path
+    above = nodes.select(by, "p", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.slice("p", F.lit(1), i))).alias("at", "q"))
+    ranks = above.join(nodes.select(by, F.col("p").alias("q"), F.col("first").alias("f")), [by, "q"])
+    key = F.transform(F.array_sort(F.collect_list(F.struct("at", "f", F.element_at("q", -1).alias("n")))), lambda x: F.struct(x["f"], x["n"]))
+    placed = ranks.groupBy(by, "p").agg(key.alias("__key")).withColumn("depth", F.size("p"))
+    quoted = F.expr("substring(to_json(array(element_at(p, -1))), 2, length(to_json(array(element_at(p, -1)))) - 2)")
+    out = _nested(placed, [by], "__key", "depth", F.concat(quoted, F.lit(":{")), "}")
+    return out.select(by, F.concat(F.lit("{"), "json", F.lit("}")).alias("json"))
 
 
 def paths(df: DataFrame, label: str, *, sep: str = " > ", width: int | None = None) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partloom.functions.text import jaccard, tokens
+from partloom.operators.contains import holding
 from partloom.operators.merge import first_wins
+from partloom.session import checkpointed
 
 
 def waterfall(left: DataFrame, steps: list[tuple[str, Column, DataFrame, str]], *, cells: list[str]) -> DataFrame:
@@ -42,50 +44,30 @@ def first_rule(rows: DataFrame, rules: list[tuple[list[str], str]], text: Column
     return rows.withColumn(name, out)
 
 
-def keyword_candidates(rows: DataFrame, keywords: DataFrame, name: str, *, block: int = 10_000) -> DataFrame:
+def keyword_candidates(rows: DataFrame, keywords: DataFrame, name: str) -> DataFrame:
     """query, rows' columns, position: rows whose name holds a keyword of the query,
-    each with the position of its first keyword; rows that repeat each stay.
+    whatever its case, each with the position of its first keyword; rows that repeat each stay.
 
-    keywords: query, position, word.  They are looked at in blocks of queries
-    with about ``block`` keywords, each block part of the expression; rows may be
-    many.
+    keywords: query, position, word; both tables may be of any size.
     """
-    number = F.pmod(F.xxhash64("query"), F.lit(max(1, -(-keywords.count() // block))))
-    words = keywords.withColumn("__block", number)
-    out = None
-    for i in range(max(1, -(-keywords.count() // block))):
-        by_query: dict = {}
-        for r in words.where(F.col("__block") == i).orderBy("query", "position").collect():  # about block rows
-            by_query.setdefault(r["query"], []).append((r["position"], r["word"].lower()))
-        low = F.lower(F.col(name))
-        first = lambda pairs: F.array_min(F.filter(F.array(*(F.when(F.contains(low, F.lit(w)), F.lit(p)) for p, w in pairs)), lambda x: x.isNotNull()))
-        hits = [F.struct(F.lit(q).alias("query"), first(pairs).alias("position")) for q, pairs in by_query.items()]
-        if not hits:
-            hits = [F.struct(F.lit(None).cast(keywords.schema["query"].dataType).alias("query"), F.lit(None).cast(keywords.schema["position"].dataType).alias("position"))]
-        found = rows.withColumn("__hit", F.explode(F.filter(F.array(*hits), lambda x: x["position"].isNotNull())))
-        found = found.select("__hit.query", *rows.columns, "__hit.position")
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def either_contains(left: DataFrame, right: DataFrame, left_text: str, right_text: str, *, order: str, block: int = 10_000) -> DataFrame:
-    """left with the first row of right (by order) whose text holds left's, or is held in it;
-    rows of left that repeat each stay.
+    found = holding(rows, keywords, name, "word", any_case=True)
+    first = found.join(keywords.select("query", "position", F.col("word").alias("pattern")), "pattern").groupBy("query", "text").agg(F.min("position").alias("position"))
+    first = checkpointed(first.withColumnRenamed("text", "__text"))
+    return rows.join(first, F.col(name) == F.col("__text")).select("query", *(rows[c] for c in rows.columns), "position")
 
-    right is a list of assemblies, broadcast in blocks of about ``block`` rows.
-    """
+
+def either_contains(left: DataFrame, right: DataFrame, left_text: str, right_text: str, *, order: str) -> DataFrame:
+    """left with the first row of right (by order) whose text holds left's, or is held in it;
+    rows of left that repeat each stay, with nulls where there is none.  Empty texts hold nothing."""
     others = [c for c in right.columns if c != order]
-    blocks = max(1, -(-right.count() // block))
-    dealt = right.where(F.col(right_text) != "").withColumn("__block", F.pmod(F.xxhash64(order), F.lit(blocks)))
-    out, hits = left, []
-    for i in range(blocks):
-        side = dealt.where(F.col("__block") == i).agg(F.array_sort(F.collect_list(F.struct(order, *others))).alias(f"__side{i}"))
-        out = out.join(F.broadcast(side), F.lit(True))  # one row of about block assemblies
-        holds = lambda x: F.contains(F.col(left_text), x[right_text]) | F.contains(x[right_text], F.col(left_text))
-        hits.append(F.when(F.col(left_text) != "", F.get(F.filter(f"__side{i}", holds), 0)))
-        out = out.withColumn(f"__hit{i}", hits[-1]).drop(f"__side{i}")
-    hit = F.array_min(F.array_compact(F.array(*(F.col(f"__hit{i}") for i in range(blocks)))))
-    return out.withColumn("__hit", hit).select(*left.columns, F.col(f"__hit.{order}").alias(order), *(F.col(f"__hit.{c}").alias(c) for c in others))
+    own = left.where(F.col(left_text) != "").select(F.col(left_text).alias("own")).distinct()
+    other = right.where(F.col(right_text) != "")
+    pairs = holding(own, other, "own", right_text).select(F.col("text").alias("own"), F.col("pattern").alias("other"))
+    pairs = pairs.unionByName(holding(other, own, right_text, "own").select(F.col("pattern").alias("own"), F.col("text").alias("other"))).distinct()
+    best = other.groupBy(F.col(right_text).alias("other")).agg(F.min(F.struct(order, *others)).alias("hit"))
+    hits = checkpointed(pairs.join(best, "other").groupBy("own").agg(F.min("hit").alias("__hit")).withColumnRenamed("own", "__own"))
+    out = left.join(hits, F.col(left_text) == F.col("__own"), "left")
+    return out.select(*(left[c] for c in left.columns), F.col(f"__hit.{order}").alias(order), *(F.col(f"__hit.{c}").alias(c) for c in others))
 
 
 def best_by_tokens(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, text: str = "text", least: int = 1) -> DataFrame:
@@ -115,19 +97,14 @@ def rerank(docs: DataFrame, query: str, k: int, *, text: str = "text", doc_id: s
     return docs.select(doc_id, F.round(jaccard(tokens(F.col(text)), words), 6).alias("score")).orderBy(F.desc("score"), doc_id).limit(k)
 
 
-def catalogue_rules(rows: DataFrame, rules: DataFrame, name: str, cells: list[str], *, most: int = 10_000) -> DataFrame:
-    """rows with the cells of the first rule (by position) one of whose words a name holds.
+def catalogue_rules(rows: DataFrame, rules: DataFrame, name: str, cells: list[str]) -> DataFrame:
+    """rows with the cells of the first rule (by position) one of whose words a name
+    holds, nulls where there is none; rows that repeat each stay.
 
-    rules: position, words (array) and cells; a catalogue of ``most`` rules at
-    most goes along in one row, a larger one in several.
+    rules: position, words (array) and cells, of any number.
     """
-    n = max(1, -(-rules.count() // most))
-    out = rows
-    for i in range(n):
-        part = rules.where(F.pmod(F.xxhash64("position"), F.lit(n)) == i)
-        side = part.agg(F.array_sort(F.collect_list(F.struct("position", *cells, "words"))).alias(f"__rules{i}"))
-        out = out.join(F.broadcast(side), F.lit(True))  # one row
-        holds = lambda r: F.exists(r["words"], lambda w: F.contains(F.col(name), w))
-        out = out.withColumn(f"__hit{i}", F.get(F.filter(f"__rules{i}", holds), 0)).drop(f"__rules{i}")
-    hit = F.array_min(F.array_compact(F.array(*(F.col(f"__hit{i}") for i in range(n)))))
-    return out.withColumn("__hit", hit).select(*rows.columns, *(F.col(f"__hit.{c}").alias(c) for c in cells))
+    words = rules.select("position", *cells, F.explode("words").alias("word"))
+    found = holding(rows, words, name, "word").join(words.withColumnRenamed("word", "pattern"), "pattern")
+    best = checkpointed(found.groupBy("text").agg(F.min(F.struct("position", *cells)).alias("__hit")).withColumnRenamed("text", "__text"))
+    out = rows.join(best, F.col(name) == F.col("__text"), "left")
+    return out.select(*(rows[c] for c in rows.columns), *(F.col(f"__hit.{c}").alias(c) for c in cells))

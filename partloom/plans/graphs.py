@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from partloom.operators import graph
+from partloom.operators import fulltext, graph
 from partloom.plans.bom import BOM, CLIMB, KINDS, STACK, bom_rows, part_id_sql
 from partloom.plans.registry import query, table
 
@@ -113,6 +113,47 @@ def graph_full_text(spark, sf):
     return graph.full_text({"BomLine": (tables["bom_lines"], "line_id"), "Part": (tables["parts"], "part_id")}, "NEW0000001")
 
 
+def _sheets(spark, sf):
+    event = F.when(F.col("s_suppkey") % 2 == 0, "PP")
+    return table(spark, sf, "supplier").select(F.col("s_name").alias("file"), F.lit("Master").alias("sheet"), F.concat(F.lit("M"), F.col("s_nationkey").cast("string")).alias("base_model"), F.lit("WSED7613B").alias("new_model"), event.alias("event"))
+
+
+_DOCS = """d AS (SELECT *, 'doc:' || substr(sha1(s_name || '|Master'), 1, 24) AS document_id, 'M' || s_nationkey AS base_model, CASE WHEN s_suppkey % 2 = 0 THEN 'PP' ELSE '' END AS event FROM supplier),
+    e AS (SELECT *, 'case:' || substr(sha1(base_model || '|WSED7613B|' || event || '|' || document_id), 1, 24) AS case_id FROM d)"""
+
+
+def search_nodes(spark, sf):
+    """The four labels that are searched, with the columns that hold their texts."""
+    tables = graph.build(bom_rows(spark, sf)) | graph.document_tables(_sheets(spark, sf))
+    line = tables["bom_lines"]
+    changes = tables["change_records"].join(line.select("line_id", "point", "reason"), "line_id")
+    return fulltext.nodes_of({
+        "BomLine": (line, "line_id", ["search_text", "point", "reason"]), "Part": (tables["parts"], "part_id", ["search_text"]),
+        "ReviewCase": (tables["review_cases"], "case_id", ["search_text"]), "ChangeRecord": (changes, "change_id", ["kind", "base_no", "new_no", "point", "reason"]),
+    })
+
+
+@query(f"""WITH {BOM}, {KINDS}, {_RAW}, {_DOCS}, node AS (
+        SELECT 'BomLine' AS label, line_id AS id, concat_ws(' ', doc, row_no, level, part_type, base_no, new_no, effective_no, name, kind, point, reason) AS text FROM lines
+        UNION ALL SELECT 'Part', part_id, concat_ws(' ', canonical_no, name, part_type) FROM parts
+        UNION ALL SELECT 'ReviewCase', case_id, concat_ws(' ', s_name, 'Master', base_model, 'WSED7613B', event) FROM e
+        UNION ALL SELECT 'ChangeRecord', change_id, concat_ws(' ', kind, base_no, new_no, point, reason) FROM changes
+    ), word AS (
+        SELECT label, id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS words FROM node
+    ), size AS (SELECT label, count(*) AS n, avg(len(words)) AS mean FROM word GROUP BY label
+    ), post AS (SELECT label, id, term, len(any_value(words)) AS length, count(*) AS tf FROM (SELECT *, unnest(words) AS term FROM word) GROUP BY label, id, term
+    ), freq AS (SELECT label, term, count(*) AS df FROM post GROUP BY label, term
+    ), weight AS (SELECT label, id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * length / mean)) AS weight FROM post JOIN freq USING (label, term) JOIN size USING (label)
+    ), asked AS (
+        SELECT row_no AS query, unnest(list_distinct(regexp_split_to_array(lower(concat_ws(' ', part_no, name, point, reason)), '[^\\p{{L}}\\p{{N}}]+'))) AS term FROM bom WHERE row_no % 20 = 0
+    ), score AS (SELECT query, label, id, round(sum(weight), 6) AS score FROM asked JOIN weight USING (term) GROUP BY query, label, id)
+    SELECT query, label, id, score, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY score DESC, id) AS k FROM score) WHERE k <= 10""")
+def full_text_top_k(spark, sf):
+    """Every row with a number divisible by 20 asks the four labels with its words."""
+    queries = bom_rows(spark, sf).where("row_no % 20 = 0").select(F.col("row_no").alias("query"), F.concat_ws(" ", "part_no", "name", "point", "reason").alias("text"))
+    return fulltext.search(fulltext.build_index(search_nodes(spark, sf)), queries, 10)
+
+
 @query(f"""WITH RECURSIVE e AS (SELECT DISTINCT 'p' || o_custkey AS src, 'p' || (o_custkey + 1) AS dst FROM orders WHERE o_custkey % 30 <> 29 AND o_orderkey % 2 = 0 UNION SELECT 'p' || (c_custkey * 30 + 15), 'p' || (c_custkey * 30 + 5) FROM customer WHERE c_custkey % 2 = 0),
     s AS (SELECT 'p' || c_custkey AS node FROM customer WHERE c_custkey % 20 = 0), w AS (SELECT node, node AS reached, 0 AS distance FROM s UNION SELECT w.node, e.dst, w.distance + 1 FROM w JOIN e ON e.src = w.reached WHERE w.distance < 90)
     SELECT node, reached, CAST(min(distance) AS INTEGER) AS distance FROM w GROUP BY node, reached""")
@@ -133,15 +174,6 @@ def part_history(spark, sf):
     return graph.replacement_chain(edges, edges.selectExpr("from_part_id AS node"))
 
 
-def _sheets(spark, sf):
-    event = F.when(F.col("s_suppkey") % 2 == 0, "PP")
-    return table(spark, sf, "supplier").select(F.col("s_name").alias("file"), F.lit("Master").alias("sheet"), F.concat(F.lit("M"), F.col("s_nationkey").cast("string")).alias("base_model"), F.lit("WSED7613B").alias("new_model"), event.alias("event"))
-
-
-_DOCS = """d AS (SELECT *, 'doc:' || substr(sha1(s_name || '|Master'), 1, 24) AS document_id, 'M' || s_nationkey AS base_model, CASE WHEN s_suppkey % 2 = 0 THEN 'PP' ELSE '' END AS event FROM supplier),
-    e AS (SELECT *, 'case:' || substr(sha1(base_model || '|WSED7613B|' || event || '|' || document_id), 1, 24) AS case_id FROM d)"""
-
-
 @query(f"WITH {_DOCS} SELECT document_id, s_name AS file_name, 'Master' AS sheet_name FROM e")
 def source_documents(spark, sf):
     return graph.document_tables(_sheets(spark, sf))["source_documents"]

@@ -131,3 +131,53 @@ def deep_levels(spark, sf):
     rows = _deep_rows(spark, sf)
     ends = h.subtree_end(h.parent_by_level(rows)).select("doc", "row_no", "parent", "subtree_end")
     return ends.join(h.propagate(rows, "changed").select("doc", "row_no", "touched"), ["doc", "row_no"])
+
+
+#: Chains of up to 5,000 steps; every third one comes back to its middle.
+_CHAINS = "e AS (SELECT o_orderkey AS src, CASE WHEN o_orderkey % 15000 = 9999 THEN o_orderkey - 3000 ELSE o_orderkey + 1 END AS dst FROM orders WHERE o_orderkey % 15000 = 9999 OR (o_orderkey % 5000 <> 4999 AND o_orderkey + 1 IN (SELECT o_orderkey FROM orders)))"
+
+
+def _chain_edges(spark, sf):
+    k = F.col("o_orderkey")
+    orders = table(spark, sf, "orders").select("o_orderkey")
+    back = orders.where(k % 15000 == 9999).select(k.alias("src"), (k - 3000).alias("dst"))
+    on = orders.where("o_orderkey % 5000 != 4999").select(k.alias("src"), (k + 1).alias("dst")).join(orders.select(k.alias("dst")), "dst", "left_semi")
+    return on.select("src", "dst").unionByName(back)
+
+
+@query(f"""WITH RECURSIVE {_CHAINS}, w AS (SELECT o_orderkey AS node, o_orderkey AS reached, 0 AS length FROM orders WHERE o_orderkey % 20 = 0 AND o_orderkey IN (SELECT src FROM e UNION SELECT dst FROM e)
+        UNION ALL SELECT node, dst, length + 1 FROM w JOIN e ON src = reached WHERE length < 10000),
+    s AS (SELECT node, bool_and(reached IN (SELECT src FROM e)) AS cyclic, arg_max(reached, length) AS last, max(length) AS length FROM w GROUP BY node)
+    SELECT node, CASE WHEN NOT cyclic THEN last END AS last, CASE WHEN NOT cyclic THEN CAST(length AS BIGINT) END AS length, cyclic FROM s""")
+def chain_ends(spark, sf):
+    """Where each chain of replacements ends, after how many steps."""
+    return h.chain_ends(_chain_edges(spark, sf)).where("node % 20 = 0")
+
+
+@query(f"""WITH RECURSIVE {_CHAINS}, w AS (SELECT o_orderkey AS node, o_orderkey AS reached, 0 AS distance FROM orders WHERE o_orderkey % 2500 = 0
+        UNION ALL SELECT node, dst, distance + 1 FROM w JOIN e ON src = reached WHERE distance < 6000)
+    SELECT node, reached, CAST(min(distance) AS INTEGER) AS distance FROM w GROUP BY node, reached""")
+def long_chains(spark, sf):
+    """All that lies on the way, thousands of steps in some rounds."""
+    start = table(spark, sf, "orders").where("o_orderkey % 2500 = 0").select(F.col("o_orderkey").alias("node"))
+    return h.walk(_chain_edges(spark, sf), start)
+
+
+@query(f"""WITH RECURSIVE {BOM}, {STACK}, n AS (SELECT s.doc, s.row_no, s.depth, row_number() OVER (PARTITION BY s.doc ORDER BY s.row_no) AS rn, '{{"row_no":' || s.row_no || ',"name":"' || name || '","children":[' AS opening FROM stack s JOIN bom b ON b.doc = s.doc AND b.row_no = s.row_no),
+    t AS (SELECT doc, rn, depth, '[' || opening AS text FROM n WHERE rn = 1 UNION ALL
+        SELECT n.doc, n.rn, n.depth, t.text || CASE WHEN n.depth > t.depth THEN '' ELSE repeat(']}}', t.depth - n.depth + 1) || ',' END || n.opening FROM t JOIN n ON n.doc = t.doc AND n.rn = t.rn + 1)
+    SELECT doc, arg_max(text || repeat(']}}', depth) || ']', rn) AS json FROM t GROUP BY doc""")
+def nested_trees(spark, sf):
+    """Each document's tree as one nested value."""
+    return h.nested_tree(h.ancestors_by_stack(bom_rows(spark, sf)), ["row_no", "name"])
+
+
+@query("""WITH p AS (SELECT p_brand AS doc, p_partkey AS ord, p_type AS a, split_part(p_name, ' ', 1) AS b, split_part(p_name, ' ', 2) AS c FROM part),
+    c AS (SELECT doc, a, b, c, min(ord) AS ord FROM p GROUP BY doc, a, b, c), b AS (SELECT doc, a, b, min(ord) AS ord, string_agg('"' || c || '":{}', ',' ORDER BY ord) AS j FROM c GROUP BY doc, a, b),
+    a AS (SELECT doc, a, min(ord) AS ord, string_agg('"' || b || '":{' || j || '}', ',' ORDER BY ord) AS j FROM b GROUP BY doc, a)
+    SELECT doc, '{' || string_agg('"' || a || '":{' || j || '}', ',' ORDER BY ord) || '}' AS json FROM a GROUP BY doc""")
+def path_trees(spark, sf):
+    """Paths as nested objects, names in the order in which they came."""
+    words = F.split("p_name", " ")
+    path = F.concat_ws(" > ", "p_type", F.get(words, 0), F.get(words, 1))
+    return h.tree_of_paths(table(spark, sf, "part").select(F.col("p_brand").alias("doc"), F.col("p_partkey").alias("ord"), path.alias("path")))

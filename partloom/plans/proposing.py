@@ -56,7 +56,7 @@ def rule_catalogue(spark, sf):
     n = table(spark, sf, "nation")
     word = lambda at: F.lower(F.substring("n_name", at, 2))
     rules = n.select(F.col("n_nationkey").alias("position"), F.array(word(1), word(3)).alias("words"), F.col("n_name").alias("change_point"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("reason"))
-    return match.catalogue_rules(table(spark, sf, "part").select("p_partkey", "p_name"), rules, "p_name", ["change_point", "reason"], most=10)
+    return match.catalogue_rules(table(spark, sf, "part").select("p_partkey", "p_name"), rules, "p_name", ["change_point", "reason"])
 
 
 _POINTS = lambda m: " + ".join(f"2 * contains(x, '{w}')::INT" for w in m[1]) + " + CASE WHEN " + " OR ".join(f"contains(x, '{w}')" for w in m[2]) + " THEN 2 ELSE 0 END"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from partloom.operators import agent, classify, graph, packaging
+from partloom.operators import agent, classify, encode, graph, packaging
 from partloom.plans.bom import BOM, CLIMB, KINDS, STACK, bom_rows
 from partloom.plans.registry import any_of, query, table
 
@@ -51,3 +51,20 @@ def change_hotspots(spark, sf):
     hit = tables["impact_edges"].where("distance BETWEEN 1 AND 6").join(line, "impacted_line_id")
     out = hit.groupBy("part_type").agg(F.countDistinct("change_id").alias("n_changes"), F.countDistinct("impacted_line_id").alias("n_assemblies"))
     return out.withColumn("per_assembly", F.round(F.col("n_changes") / F.col("n_assemblies"), 4))
+
+
+@query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS words FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 2 = 0)),
+    p AS (SELECT doc_id, i // 200 AS win, words[i + 1] AS word, least(200, len(words) - 200 * (i // 200)) AS size FROM (SELECT *, unnest(range(0, len(words))) AS i FROM w)),
+    c AS (SELECT doc_id, win, size, word, count(*) AS n, ('0x' || substr(md5(word), 1, 16))::UBIGINT AS h FROM p GROUP BY doc_id, win, size, word),
+    v AS (SELECT doc_id, win, size, CAST(h % 16 AS BIGINT) AS place, sum(CASE WHEN h >= 9223372036854775808 THEN n ELSE -n END)::DOUBLE AS x FROM c GROUP BY doc_id, win, size, h % 16),
+    y AS (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY doc_id, win)) AS norm FROM v), z AS (SELECT doc_id, place, sum(CASE WHEN norm > 0 THEN size * x / norm ELSE 0 END) AS z FROM y GROUP BY doc_id, place),
+    d AS (SELECT doc_id, place, z, sqrt(sum(z * z) OVER (PARTITION BY doc_id)) AS norm FROM z), l AS (SELECT doc_id, win, CAST(h % 1009 AS BIGINT) AS place, 1 + ln(sum(n)) AS x FROM c GROUP BY doc_id, win, h % 1009)
+    SELECT doc_id, 'dense' AS head, place, round(z / norm, 4) AS weight FROM d WHERE norm > 0 AND round(z / norm, 4) <> 0 UNION ALL SELECT doc_id, 'lexical', place, round(max(x), 4) FROM l GROUP BY doc_id, place""")
+def encoder_backfill(spark, sf):
+    """Both heads for the documents that have no vector yet, long ones in windows."""
+    have = table(spark, sf, "embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").alias("doc_id"), "embedding")
+    docs = table(spark, sf, "documents").select("doc_id", "text").join(have, "doc_id", "left")
+    found = encode.backfill(docs, lambda: encode.hashed_encoder(16, 1009), key="doc_id", text="text", most=200, budget=4096)
+    dense = found.select("doc_id", F.lit("dense").alias("head"), F.posexplode("embedding").alias("place", "x")).withColumn("weight", F.round(F.col("x").cast("double"), 4)).where("weight != 0")
+    lexical = found.select("doc_id", F.lit("lexical").alias("head"), F.explode("lexical").alias("place", "x")).withColumn("weight", F.round(F.col("x").cast("double"), 4))
+    return dense.unionByName(lexical).select("doc_id", "head", F.col("place").cast("long").alias("place"), "weight")

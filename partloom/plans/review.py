@@ -55,17 +55,16 @@ def past_exclusions(spark, sf):
     return feedback.past_exclusions(bom_rows(spark, sf).select("row_no", "name"), log)
 
 
-_TOK = lambda c: f"list_filter(list_distinct(string_split(lower({c}), ' ')), lambda w: length(w) >= 3)"
-
-
-@query(f"""WITH {BOM}, t AS (SELECT row_no AS text_id, CASE WHEN row_no % 40 = 0 THEN 'the part ' || lower(part_no) || ' or so' ELSE name END AS x FROM bom WHERE row_no % 20 = 0), w AS (SELECT text_id, unnest({_TOK('x')}) AS w FROM t), p AS (SELECT DISTINCT part_no AS part, unnest({_TOK('name')}) AS w FROM bom)
-    SELECT text_id, part_no AS part FROM t JOIN bom ON text_id % 40 = 0 AND part_no = upper(split_part(x, ' ', 3)) UNION ALL SELECT DISTINCT text_id, part FROM w JOIN p ON w.w = p.w WHERE text_id % 40 <> 0""")
+@query(f"""WITH {BOM}, t AS (SELECT row_no AS text_id, upper(CASE row_no % 60 WHEN 0 THEN 'the part ' || left(lower(part_no), 3) || '-' || substr(part_no, 4) || ' or so' WHEN 20 THEN 'x' || part_no || 'y and the ' || name ELSE name END) AS x FROM bom WHERE row_no % 20 = 0),
+    s AS (SELECT text_id, x, regexp_replace(x, '[^A-Z0-9가-힣]', '', 'g') AS bare FROM t), p AS (SELECT part_no AS part, list_filter(string_split(upper(name), ' '), lambda w: length(w) >= 2 AND w NOT IN ('ASS', 'ASSY', 'THE', 'FOR')) AS words FROM bom)
+    SELECT text_id, part, CASE WHEN contains(bare, part) THEN 'part_no' ELSE 'part_name' END AS way FROM s, p WHERE contains(bare, part) OR len(list_filter(words, lambda w: contains(x, w))) > 0""")
 def named_parts(spark, sf):
     """Parts that a text names by number, else by a word of their names."""
     rows = bom_rows(spark, sf)
     k = F.col("row_no")
-    said = rows.where("row_no % 20 = 0").select(k.alias("text_id"), F.when(k % 40 == 0, F.concat(F.lit("the part "), F.lower("part_no"), F.lit(" or so"))).otherwise(F.col("name")).alias("text"))
-    return feedback.named_parts(said, rows.select(F.col("part_no").alias("number"), "name"))
+    spelt = F.concat(F.lit("the part "), F.lower(F.substring("part_no", 1, 3)), F.lit("-"), F.substring("part_no", 4, 20), F.lit(" or so"))
+    text = F.when(k % 60 == 0, spelt).when(k % 60 == 20, F.concat(F.lit("x"), "part_no", F.lit("y and the "), "name")).otherwise(F.col("name"))
+    return feedback.named_parts(rows.where("row_no % 20 = 0").select(k.alias("text_id"), text.alias("text")), rows.select(F.col("part_no").alias("number"), "name"))
 
 
 _SAYINGS = ["이거 빼줘", "나머지 확정 변경", "1번 3번 빼", "하네스 공용으로", "다 유지", "신규로 채번", "2번만 유지", "왜", "다시 찾아", "ok"]

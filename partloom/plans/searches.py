@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from partloom.functions.text import tokens
-from partloom.operators import match, retrieval
+from partloom.operators import contains, match, retrieval, vectors
 from partloom.plans.bom import BOM, bom_rows
 from partloom.plans.registry import query, table
 
@@ -25,6 +25,28 @@ def dense_top_k(spark, sf):
     return retrieval.nearest_each(table(spark, sf, "embeddings"), _asked(spark, sf), 50)
 
 
+@query(f"WITH {_DENSE} SELECT query, vec_id, distance, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) AS k FROM d) WHERE k <= 50")
+def vector_index_exact(spark, sf):
+    """The index asked until no list can have anything nearer."""
+    index = vectors.build_vector_index(table(spark, sf, "embeddings"))
+    return vectors.search_vectors(index, _asked(spark, sf), 50, exact=True)
+
+
+@query(f"""WITH {_DENSE}, f AS (SELECT d.* FROM d JOIN documents ON doc_id = vec_id WHERE lang = 'de') SELECT query, vec_id, distance, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) AS k FROM f) WHERE k <= 10""")
+def vector_index_filtered(spark, sf):
+    """A filter on a column that the index keeps holds before the search."""
+    rows = table(spark, sf, "embeddings").join(table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "lang"), "vec_id")
+    index = vectors.build_vector_index(rows, keep=["lang"])
+    return vectors.search_vectors(index, _asked(spark, sf), 10, where=F.col("lang") == "de", exact=True)
+
+
+@query()
+def vector_index_top_k(spark, sf):
+    """Some lists only: its recall is measured in the tests."""
+    index = vectors.build_vector_index(table(spark, sf, "embeddings"))
+    return vectors.search_vectors(index, _asked(spark, sf), 50, probes=12)
+
+
 @query(f"WITH {_WORDS}, {_SPARSE} SELECT query, doc_id, score, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS k FROM s) WHERE k <= 50")
 def sparse_top_k(spark, sf):
     words = retrieval.weighed_words(table(spark, sf, "documents"))
@@ -95,6 +117,25 @@ def keyword_candidates(spark, sf):
     return match.keyword_candidates(table(spark, sf, "part").select("p_brand", "p_name"), words, "p_name")  # rows repeat
 
 
+@query(f"WITH {BOM} SELECT b.part_no AS text, CAST(p_partkey AS VARCHAR) AS pattern FROM bom b JOIN part ON contains(b.part_no, CAST(p_partkey AS VARCHAR))")
+def substring_matches(spark, sf):
+    """As many patterns as rows: which numbers hold which keys."""
+    keys = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("key"))
+    return contains.holding(bom_rows(spark, sf), keys, "part_no", "key")
+
+
+_ILIKE = "'%' || right('000' || CAST(row_no AS VARCHAR), 3) || '%' || replace(upper(name), ' ', '_') || '%'"
+
+
+@query(f"""WITH {BOM}, t AS (SELECT DISTINCT concat_ws(' | ', doc, part_no, name, point) AS text FROM bom), p AS (SELECT DISTINCT {_ILIKE} AS pattern FROM bom)
+    SELECT text, pattern FROM t JOIN p ON text ILIKE pattern""")
+def ilike_matches(spark, sf):
+    """A pattern from each row, against all rows."""
+    rows = bom_rows(spark, sf)
+    patterns = rows.select(F.expr(_ILIKE.replace("VARCHAR", "STRING")).alias("pattern"))
+    return contains.matching(rows.select(F.concat_ws(" | ", "doc", "part_no", "name", "point").alias("text")), patterns, "text", "pattern")
+
+
 @query("""SELECT p_partkey, CASE WHEN contains(p_name, 'ring') OR contains(p_name, 'bolt') THEN 'fastening' WHEN contains(p_name, 'red') THEN 'colour' WHEN contains(p_name, 'i') THEN 'other' END AS rule FROM part""")
 def first_rule_match(spark, sf):
     return match.first_rule(table(spark, sf, "part").select("p_partkey", "p_name"), [(["ring", "bolt"], "fastening"), (["red"], "colour"), (["i"], "other")], F.col("p_name")).select("p_partkey", "rule")

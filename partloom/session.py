@@ -30,18 +30,23 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept as a table in the folder that all of the cluster sees.
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder's path below the one that all of the cluster sees.
 
     That is the one of spark.checkpoint.dir; where none is set and the master is
     local, as in tests, a temporary one.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise ValueError("spark.checkpoint.dir is unset; name a folder that driver and executors share")
         sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="partloom-"))
-    path = f"{sc.getCheckpointDir().rstrip('/')}/partloom-{uuid.uuid4().hex}"
+    return f"{sc.getCheckpointDir().rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and kept as a table in a shared folder."""
+    path = shared_folder(df.sparkSession, "partloom")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

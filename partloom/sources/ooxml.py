@@ -12,6 +12,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from itertools import islice
+from typing import BinaryIO
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -38,11 +39,26 @@ def _column(reference: str) -> int:
     return n - 1
 
 
+def _elements(z: zipfile.ZipFile, part: str, tag: str) -> Iterator[ET.Element]:
+    """A part's elements of one tag, each forgotten when the next one comes."""
+    with z.open(part) as f:
+        above: list[ET.Element] = []
+        for event, e in ET.iterparse(f, ("start", "end")):
+            if event == "start":
+                above.append(e)
+                continue
+            above.pop()
+            if e.tag == tag:
+                yield e
+                e.clear()
+                if above:
+                    above[-1].remove(e)
+
+
 def _texts(z: zipfile.ZipFile) -> list[str]:
     if "xl/sharedStrings.xml" not in z.namelist():
         return []
-    root = ET.fromstring(z.read("xl/sharedStrings.xml"))
-    return ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in root.iter(f"{_S}si")]
+    return ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in _elements(z, "xl/sharedStrings.xml", f"{_S}si")]
 
 
 def _targets(z: zipfile.ZipFile, part: str) -> dict[str, str]:
@@ -51,30 +67,49 @@ def _targets(z: zipfile.ZipFile, part: str) -> dict[str, str]:
     return {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read(part))}
 
 
+def sheet_parts(z: zipfile.ZipFile) -> list[tuple[str, str | None]]:
+    """The name of every sheet of a workbook and its part, None where that is not told."""
+    targets, out = _targets(z, "xl/_rels/workbook.xml.rels"), []
+    for sheet in ET.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet"):
+        target = (targets.get(sheet.get(f"{_R}id")) or "").lstrip("/")
+        out.append((sheet.get("name"), (target if target.startswith("xl/") else f"xl/{target}") if target else None))
+    return out
+
+
+def part_cells(z: zipfile.ZipFile, part: str, texts: list[str], last_row: int | None = None) -> Iterator[tuple[int, int, str]]:
+    """row_idx, col_idx, value of a sheet's cells that aren't empty, read as a stream down to last_row."""
+    for row in _elements(z, part, f"{_S}row"):
+        number = int(row.get("r"))
+        if last_row is not None and number > last_row:
+            return
+        for c in row.iter(f"{_S}c"):
+            kind, v = c.get("t"), c.find(f"{_S}v")
+            if kind == "inlineStr":
+                value = "".join(t.text or "" for t in c.iter(f"{_S}t"))
+            elif v is None or v.text is None:
+                continue
+            elif kind == "s":
+                value = texts[int(v.text)]
+            elif kind == "b":
+                value = "TRUE" if v.text == "1" else "FALSE"
+            else:
+                value = v.text
+            yield number, _column(c.get("r")), value
+
+
+#: What a damaged part may raise.
+UNREADABLE = (zipfile.BadZipFile, KeyError, ET.ParseError, ValueError, IndexError)
+
+
 def sheet_cells(content: bytes) -> Iterator[tuple]:
     """sheet, sheet_idx, row_idx, col_idx, value, error of every cell that isn't empty."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        texts, targets = _texts(z), _targets(z, "xl/_rels/workbook.xml.rels")
-        for i, sheet in enumerate(ET.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet")):
-            name = sheet.get("name")
+        texts = _texts(z)
+        for i, (name, part) in enumerate(sheet_parts(z)):
             try:
-                target = targets[sheet.get(f"{_R}id")].lstrip("/")
-                root = ET.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}"))
-                for row in root.iter(f"{_S}row"):
-                    for c in row.iter(f"{_S}c"):
-                        kind, v = c.get("t"), c.find(f"{_S}v")
-                        if kind == "inlineStr":
-                            value = "".join(t.text or "" for t in c.iter(f"{_S}t"))
-                        elif v is None or v.text is None:
-                            continue
-                        elif kind == "s":
-                            value = texts[int(v.text)]
-                        elif kind == "b":
-                            value = "TRUE" if v.text == "1" else "FALSE"
-                        else:
-                            value = v.text
-                        yield name, i, int(row.get("r")), _column(c.get("r")), value, None
-            except (KeyError, ET.ParseError, ValueError, IndexError) as e:
+                for row, column, value in part_cells(z, part or "", texts):
+                    yield name, i, row, column, value, None
+            except UNREADABLE as e:
                 yield name, i, None, None, None, f"{type(e).__name__}: {e}"
 
 
@@ -119,12 +154,14 @@ def _paragraphs(body: ET.Element) -> Iterator[tuple[str, bool]]:
             yield text.strip(), bold
 
 
-def slide_texts(content: bytes) -> Iterator[tuple]:
-    """slide, shape, kind, row, col, text, bold, error of all paragraphs and table cells."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
+def slide_texts(content: bytes | BinaryIO, slides: set[int] | None = None) -> Iterator[tuple]:
+    """slide, shape, kind, row, col, text, bold, error of all paragraphs and table cells, of some slides or all."""
+    with zipfile.ZipFile(io.BytesIO(content) if isinstance(content, bytes) else content) as z:
         found = [re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n) for n in z.namelist()]
         for m in sorted(filter(None, found), key=lambda m: int(m[1])):
             slide = int(m[1])
+            if slides is not None and slide not in slides:
+                continue
             try:
                 root = ET.fromstring(z.read(m[0]))
                 shapes = [e for e in root.iter() if e.tag in (f"{_P}sp", f"{_P}graphicFrame")]

@@ -30,3 +30,24 @@ def test_backfill(spark):
     got = encode.backfill(rows, load, key="k", force=True).collect()
     assert sorted(r.k for r in got) == [1, 3]
     assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-5 for r in got)
+    assert all(x > 0 for r in got for x in r.lexical.values())
+
+
+def test_long_texts_are_encoded_in_windows():
+    calls = []
+
+    def load(texts):
+        calls.append([len(t.split()) for t in texts])
+        return encode.hashed_encoder(8)(texts)
+
+    texts = ["a b c d e f g", "x", "y z", "a a", "p q r s t u v w x y z"]
+    dense, sparse = encode.encode_texts(texts, load, most=4, budget=8)
+    assert all(max(c) * len(c) <= 8 and max(c) <= 4 for c in calls)
+    assert sum(map(sum, calls)) == sum(len(t.split()) for t in texts)
+    parts = encode.hashed_encoder(8)(["a b c d", "e f g"])
+    both = [4 * x + 3 * y for x, y in zip(*parts[0], strict=True)]
+    norm = sum(x * x for x in both) ** 0.5
+    assert all(abs(x - y / norm) < 1e-9 for x, y in zip(dense[0], both, strict=True))
+    assert sparse[0] == parts[1][0] | parts[1][1]
+    assert dense[1] == encode.hashed_encoder(8)(["x"])[0][0]
+    assert list(encode.by_length([], 5)) == [] and sorted(sum(encode.by_length([9, 1, 9], 5), [])) == [0, 1, 2]

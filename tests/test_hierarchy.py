@@ -95,12 +95,66 @@ def test_walk_ends_on_cycles(spark):
 
 
 def test_walk_has_no_depth_limit(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "src int, dst int").coalesce(1)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(130)], "src int, dst int").coalesce(1)
     start = spark.createDataFrame([(0,)], "node int")
-    assert h.walk(edges, start).count() == 61
+    got = {(r.reached, r.distance) for r in h.walk(edges, start).collect()}
+    assert got == {(i, i) for i in range(131)}
     assert h.walk(edges, start, max_depth=3).count() == 4
 
 
+def test_jumps_double(spark):
+    """A chain of 5,000 steps takes 14 rounds."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(5000)], "src int, dst int").coalesce(1)
+    jumps = h.Jumps(edges)
+    got = jumps.follow(spark.createDataFrame([(0, 0, 0)], "node int, reached int, distance int"))
+    assert {(r.reached, r.distance) for r in got.collect()} == {(i, i) for i in range(5001)}
+    assert len(jumps.tables) <= 15
+
+
+def test_walk_over_forks_and_cycles(spark):
+    """Against a search step by step: stretches, forks, ways of different length, cycles."""
+    import random
+
+    rng = random.Random(4)
+    pairs = [(i, i + 1) for i in range(60)] + [(60, 30), (10, 70), (70, 71), (71, 40), (5, 90), (90, 5)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(6)]
+    to = {}
+    for a, b in pairs:
+        to.setdefault(a, set()).add(b)
+    want = set()
+    for s in (0, 35, 200):
+        seen, level, d = {s}, {s}, 0
+        while level:
+            want |= {(s, x, d) for x in level}
+            level = {y for x in level for y in to.get(x, ())} - seen
+            seen |= level
+            d += 1
+    start = spark.createDataFrame([(0,), (35,), (200,)], "node int")
+    got = h.walk(spark.createDataFrame(pairs, "src int, dst int").coalesce(1), start)
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_chain_ends(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (8, 9), (9, 8)], "src int, dst int").coalesce(1)
+    got = {tuple(r) for r in h.chain_ends(edges).collect()}
+    assert got == {(1, 3, 2, False), (2, 3, 1, False), (3, 3, 0, False), (7, None, None, True), (8, None, None, True), (9, None, None, True)}
+    assert h.chain_ends(edges.where("false")).count() == 0
+
+
+def test_nested_values(spark):
+    import json
+
+    rows = spark.createDataFrame([("d", 1, 1, 'a "x"'), ("d", 2, 2, "b"), ("d", 3, 5, None), ("d", 4, 1, "c"), ("e", 1, 3, "alone")], "doc string, row_no int, level int, name string")
+    got = {r.doc: json.loads(r.json) for r in h.nested_tree(h.ancestors_by_stack(rows), ["name"]).collect()}
+    leaf = lambda n: {"name": n, "children": []}
+    assert got["d"] == [{"name": 'a "x"', "children": [{"name": "b", "children": [leaf(None)]}]}, leaf("c")]
+    assert got["e"] == [leaf("alone")]
+    paths = spark.createDataFrame([("g", 1, "b > c"), ("g", 2, "a"), ("g", 3, "b > d > e"), ("g", 4, " b > c > z "), ("g", 5, ""), ("g", 6, None)], "doc string, ord int, path string")
+    tree = h.tree_of_paths(paths).collect()
+    assert [(r.doc, json.loads(r.json)) for r in tree] == [("g", {"b": {"c": {"z": {}}, "d": {"e": {}}}, "a": {}})]
+    assert list(json.loads(tree[0].json)) == ["b", "a"]
+    assert h.nested_tree(h.ancestors_by_stack(rows.where("false")), ["name"]).count() == 0
+
+
 def test_row_numbers(spark):
     from partloom.operators.ordering import row_numbers
 

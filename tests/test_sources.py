@@ -117,12 +117,10 @@ def test_repeated_rows_stay(spark):
     rows = spark.createDataFrame([("red ring",), ("red ring",), ("bolt",)], "name string")
     words = spark.createDataFrame([("q", 1, "ring"), ("q", 0, "red"), ("r", 0, "BOLT")], "query string, position int, word string")
     want = [("q", "red ring", 0), ("q", "red ring", 0), ("r", "bolt", 0)]
-    for block in (1, 100):
-        assert sorted(map(tuple, match.keyword_candidates(rows, words, "name", block=block).collect())) == want
+    assert sorted(map(tuple, match.keyword_candidates(rows, words, "name").collect())) == want
     right = spark.createDataFrame([(5, "ring"), (3, "red"), (9, "the bolt")], "ord int, l1 string")
-    for block in (1, 100):
-        got = match.either_contains(rows, right, "name", "l1", order="ord", block=block).collect()
-        assert sorted(map(tuple, got)) == [("bolt", 9, "the bolt"), ("red ring", 3, "red"), ("red ring", 3, "red")]
+    got = match.either_contains(rows, right, "name", "l1", order="ord").collect()
+    assert sorted(map(tuple, got)) == [("bolt", 9, "the bolt"), ("red ring", 3, "red"), ("red ring", 3, "red")]
     assert match.keyword_candidates(rows, words.where("false"), "name").count() == 0
 
 
