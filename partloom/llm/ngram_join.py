@@ -230,10 +230,15 @@ def _buckets(nodes: DataFrame, percent: int) -> DataFrame:
 
 def _probable(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """a, b of the pairs that may link and share enough of their prefixes."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.struct("n", "m", "prefix", "bits").alias(f"of_{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def beside(pairs: DataFrame, *cells: str) -> DataFrame:
+        side = lambda x: nodes.select(F.col("node").alias(x), F.struct(*cells).alias(f"of_{x}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b")
+
+    # the short parities first: few pairs need the prefixes
+    like = materialize(beside(pairs, "n", "bits").where(_may_link("of_a", "of_b", percent)).select("a", "b"), "join-like")
     matches = F.size(F.array_intersect("of_a.prefix", "of_b.prefix")) >= F.least("of_a.m", "of_b.m")
-    return joined.where(_may_link("of_a", "of_b", percent) & matches).select("a", "b")
+    return beside(like, "m", "prefix").where(matches).select("a", "b")
 
 
 def _linked(rows: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -270,24 +275,26 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     nodes = materialize(nodes, "join-nodes")
     buckets = _buckets(nodes, percent)
 
-    degree = buckets.groupBy("token", "class").agg(F.count("*").alias("nodes"))
-    degree = buckets.join(degree, ["token", "class"]).groupBy("node").agg(F.sum("nodes").alias("degree"))
-    centres = buckets.join(degree, "node").groupBy("token", "class").agg(F.max(F.struct("degree", "node", "n")).alias("centre"))
-    to_centre = buckets.join(centres, ["token", "class"]).where((F.col("node") != F.col("centre.node")) & _sizes(F.col("n"), F.col("centre.n"), percent))
-    to_centre = to_centre.select(F.col("node").alias("a"), F.col("centre.node").alias("b")).distinct()
+    sizes = buckets.groupBy("token", "class").agg(F.count("*").alias("nodes"))
+    degree = buckets.join(sizes, ["token", "class"]).groupBy("node").agg(F.sum("nodes").alias("degree"))
+    centres = buckets.join(degree, "node").groupBy("token", "class").agg(F.max(F.struct("degree", "node", "n")).alias("centre"), F.count("*").alias("nodes"))
+    others = buckets.join(centres, ["token", "class"]).where(F.col("node") != F.col("centre.node"))
+    others = others.select("token", "class", "node", "n", "own", F.col("centre.node").alias("b"), F.col("centre.n").alias("bn"), (F.col("nodes") > 2).alias("more"))
+    others = materialize(others, "join-others")
+    to_centre = others.where(_sizes(F.col("n"), F.col("bn"), percent)).select(F.col("node").alias("a"), "b").distinct()
     first = materialize(_probable(to_centre, nodes, percent), "join-pairs")
     links = materialize(_linked(rows, first, nodes, size, percent), "join-links")
     met = materialize(buckets.select("node").distinct(), "join-met")
     labels = components(met, links)
 
-    # nodes of a bucket that are still apart
-    named = buckets.join(labels, "node")
+    # nodes of a bucket that are still apart; what there is with its centre is known
+    named = others.where("more").select("token", "class", "node", "n", "own").join(labels, "node")
     apart = named.groupBy("token", "class").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("token", "class")
     still = materialize(named.join(apart, ["token", "class"]).join(nodes.select("node", "m", "bits"), "node"), "join-open")
     pairs = still.alias("x").join(still.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.class") == F.col("y.class")))
     once = F.greatest("x.own", "y.own") == F.col("x.class")  # two of the class before meet there
     pairs = pairs.where((F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & once & _may_link("x", "y", percent))
-    # every prefix shingle that such a pair shares has a bucket of both
+    # such a pair has met no centre together, so all buckets of both are among these
     matches = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("matches"), F.first(F.least("x.m", "y.m")).alias("least"))
     second = materialize(matches.where("matches >= least").select("a", "b"), "join-open-pairs")
     if not second.isEmpty():
