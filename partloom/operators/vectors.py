@@ -102,7 +102,8 @@ def _to_centroids(queries: DataFrame, centroids: np.ndarray, vector: str) -> Dat
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                away = np.sqrt(np.maximum(0, 2 - 2 * _unit(pa.chunked_array([batch[vector]])) @ centroids.T))
+                unit = _unit(pa.chunked_array([batch[vector]]))
+                away = np.sqrt(np.maximum(0, 2 - 2 * unit @ centroids.T)) if len(centroids) else np.empty((len(unit), 0))
                 order = np.argsort(away, axis=1, kind="stable")
                 ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(centroids))
                 cells = pa.StructArray.from_arrays([pa.array(order.astype(np.int32).ravel()), pa.array(np.take_along_axis(away, order, 1).ravel())], ["list", "away"])
