@@ -81,7 +81,11 @@ def resolve_base(parts: DataFrame, base: DataFrame, secondary: DataFrame, remark
 def second_proposals(scores: DataFrame, *, k: int = 8) -> DataFrame:
     """proposal_id, query, pid, score: the k best other parts of each request, numbered through."""
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "pid"))
-    best = scores.withColumn("rank", rank).where(F.col("rank") <= k)
+    return numbered_proposals(scores.withColumn("rank", rank).where(F.col("rank") <= k))
+
+
+def numbered_proposals(best: DataFrame) -> DataFrame:
+    """proposal_id, query, pid, score of ranked ones (query, pid, score, rank), numbered through."""
     return row_numbers(best, "query", "rank").select(F.format_string("RR-%03d", "number").alias("proposal_id"), "query", "pid", "score")
 
 

@@ -44,8 +44,10 @@ def workbook_records(spark, sf):
     first = workbooks.sheets(spark, folder).where("row_idx <= 50")
     labelled = layout.labelled_cells(first, aliases)
     headers = layout.header_rows(labelled)
-    names = [r["sheet"] for r in headers.select("sheet").distinct().limit(1000).collect()]
-    cells = workbooks.sheets(spark, folder).where(F.col("sheet").isin(names))
+    names = [r["sheet"] for r in headers.select("sheet").distinct().limit(1001).collect()]
+    cells = workbooks.sheets(spark, folder)
+    if len(names) <= 1000:  # else other sheets are read too, and their rows go in the join with headers
+        cells = cells.where(F.col("sheet").isin(names))
     return layout.records(cells, headers, layout.column_map(labelled, headers), _FIELDS).select(F.element_at(F.split("file_id", "/"), -1).alias("file"), *_FIELDS)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from partloom.operators import classify, engine, graph, hierarchy, match
+from partloom.operators import classify, engine, fulltext, graph, hierarchy, match
 from partloom.plans.bom import BOM, CLIMB, KINDS, STACK, bom_rows
 from partloom.plans.registry import query, table
 
@@ -83,14 +83,19 @@ def raw_line_lookup(spark, sf):
     return graph.raw_rows(line, line.where("row_no % 20 = 0"), ["name", "part_type"])
 
 
-@query(f"""WITH {BOM}, {KINDS}, w AS (SELECT row_no AS query, kind, doc FROM changes WHERE row_no % 20 = 1), s AS (SELECT w.query, c.change_id, round(1.0 / (1 + abs(c.row_no - w.query)) + CASE WHEN c.kind = w.kind THEN 0.2 ELSE 0 END + CASE WHEN c.doc = w.doc THEN 0.1 ELSE 0 END, 6) AS score FROM changes c JOIN w ON abs(c.row_no - w.query) <= 40)
+@query(f"""WITH {BOM}, {KINDS}, t AS (SELECT change_id AS id, row_no, kind, doc, list_filter(regexp_split_to_array(lower(concat_ws(' ', name, point, reason)), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS words FROM changes),
+    z AS (SELECT count(*) AS n, avg(len(words)) AS mean FROM t), p AS (SELECT id, term, len(any_value(words)) AS length, count(*) AS tf FROM (SELECT id, words, unnest(words) AS term FROM t) GROUP BY id, term), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+    g AS (SELECT id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * length / mean)) AS weight FROM p JOIN f USING (term), z),
+    w AS (SELECT row_no AS query, kind, doc, unnest(list_distinct(regexp_split_to_array(lower(concat_ws(' ', name, point, reason)), '[^\\p{{L}}\\p{{N}}]+'))) AS term FROM lines WHERE row_no % 20 = 0), m AS (SELECT query, any_value(kind) AS kind, any_value(doc) AS doc, id, round(sum(weight), 6) AS score FROM w JOIN g USING (term) GROUP BY query, id),
+    k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS k FROM m), s AS (SELECT query, k.id AS change_id, round(score + CASE WHEN t.kind = k.kind THEN 0.2 ELSE 0 END + CASE WHEN t.doc = k.doc THEN 0.1 ELSE 0 END, 6) AS score FROM k JOIN t ON t.id = k.id WHERE k <= 50)
     SELECT query, change_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, change_id) AS k FROM s) WHERE k <= 5""")
 def similar_changes(spark, sf):
-    """What a search found, raised where kind and document agree; the search here is nearness of rows."""
-    changes = graph.build(bom_rows(spark, sf))["change_records"]
-    wanted = changes.where("row_no % 20 = 1").select(F.col("row_no").alias("query"), "kind", "doc")
-    near = wanted.select("query", F.explode(F.sequence(F.col("query") - 40, F.col("query") + 40)).alias("row_no"))
-    found = near.join(changes.select("row_no", "change_id"), "row_no").select("query", "change_id", (1.0 / (1 + F.abs(F.col("row_no") - F.col("query")))).alias("score"))
+    """What the full-text index finds for each request's words, raised where kind and document agree."""
+    tables = graph.build(bom_rows(spark, sf))
+    changes = tables["change_records"].join(tables["bom_lines"].select("line_id", "name", "point", "reason"), "line_id")
+    index = fulltext.build_index(fulltext.nodes_of({"ChangeRecord": (changes, "change_id", ["name", "point", "reason"])}))
+    wanted = tables["bom_lines"].where("row_no % 20 = 0").select(F.col("row_no").alias("query"), "kind", "doc", F.concat_ws(" ", "name", "point", "reason").alias("text"))
+    found = fulltext.search(index, wanted, 50).select("query", F.col("id").alias("change_id"), "score")
     return graph.similar_changes(found, changes, wanted)
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from partloom.functions.text import tokens
-from partloom.operators import contains, match, retrieval, vectors
+from partloom.operators import contains, evidence, match, retrieval, vectors
 from partloom.plans.bom import BOM, bom_rows
 from partloom.plans.registry import query, table
 
@@ -89,6 +90,35 @@ def relaxed_filters(spark, sf):
     return retrieval.relaxed_filters(docs, [(narrow & (F.col("doc_id") % 7 == 0), 14), (narrow, 20), (retrieval.where({}), 44)], enough=22)
 
 
+_PLACED = "p AS (SELECT vec_id, embedding, lang, source FROM embeddings JOIN documents ON doc_id = vec_id), q AS (SELECT vec_id AS query, embedding, lang, source FROM p WHERE vec_id % 20 = 0), x AS (SELECT query, p.vec_id, round(1 - round(1 - list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6), 6) AS score, round(1 - list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS d, p.lang = q.lang AS l, p.source = q.source AS s FROM p, q)"
+_TOP = lambda where, k: f"(SELECT query, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, vec_id) AS k FROM x WHERE {where}) WHERE k <= {k})"
+
+
+@query(f"""WITH {_PLACED}, a AS {_TOP('l AND s', 14)}, an AS (SELECT query, count(*) AS n FROM a GROUP BY query), b0 AS {_TOP('l', 20)},
+    b AS (SELECT *, 0 AS stage FROM a UNION ALL SELECT b0.*, 1 FROM b0 LEFT JOIN an ON an.query = b0.query WHERE coalesce(n, 0) < 22 AND NOT EXISTS (SELECT 1 FROM a WHERE a.query = b0.query AND a.vec_id = b0.vec_id)),
+    bn AS (SELECT query, count(*) AS n FROM b GROUP BY query), c0 AS {_TOP('TRUE', 44)}
+    SELECT query, vec_id, score, stage FROM b UNION ALL SELECT c0.*, 2 FROM c0 LEFT JOIN bn ON bn.query = c0.query WHERE coalesce(n, 0) < 22 AND NOT EXISTS (SELECT 1 FROM b WHERE b.query = c0.query AND b.vec_id = c0.vec_id)""")
+def relaxed_search(spark, sf):
+    """Every request by its own language and source, then by its language, then by nothing."""
+    rows = table(spark, sf, "embeddings").join(table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "lang", "source"), "vec_id")
+    asked = rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query")
+    return retrieval.relaxed_search(rows, asked, [(["lang", "source"], 14), (["lang"], 20), ([], 44)], enough=22)
+
+
+@query(f"""WITH {_DENSE}, n AS (SELECT query, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) AS k FROM d WHERE vec_id <> query) WHERE k <= 40), {_SETS},
+    s AS (SELECT n.query, n.vec_id AS doc_id, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS m FROM n JOIN t a ON a.doc_id = n.query JOIN t b ON b.doc_id = n.vec_id), r AS (SELECT query, doc_id, round(i::DOUBLE / greatest(m - i, 1), 6) AS score FROM s),
+    k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS k FROM r), p AS (SELECT *, row_number() OVER (ORDER BY query, k) AS n FROM k WHERE k <= 8)
+    SELECT 'RR-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS proposal_id, query, doc_id AS pid, score FROM p""")
+def second_search(spark, sf):
+    """Other evidence for each request: forty neighbours, the eight of them that share most words, numbered through."""
+    docs, asked = table(spark, sf, "documents"), _asked(spark, sf)
+    near = retrieval.nearest_each(table(spark, sf, "embeddings"), asked, 41).where("vec_id != query")
+    kept = near.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("rank"))).where("place <= 40").select("query", F.col("vec_id").alias("doc_id"))
+    texts = asked.select("query").join(docs.select(F.col("doc_id").alias("query"), "text"), "query")
+    best = retrieval.reranked(kept, docs, texts, 8)
+    return evidence.numbered_proposals(best.withColumnRenamed("doc_id", "pid"))
+
+
 @query("""WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - 16), 112)) AS start FROM d)
     SELECT doc_id, CAST(start // 112 AS INTEGER) AS chunk, CAST(len(w[start + 1 : start + 128]) AS INTEGER) AS n_tokens, array_to_string(w[start + 1 : start + 128], ' ') AS chunk_text FROM s""")
 def overlap_windows(spark, sf):
@@ -157,8 +187,6 @@ def best_by_tokens(spark, sf):
 @query("""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents ORDER BY n_chars DESC, doc_id LIMIT 30), b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 40)
     SELECT doc_id, CAST(min(stage) AS INTEGER) AS stage, CAST(arg_min(rank, stage) AS INTEGER) AS rank FROM (SELECT *, 0 AS stage FROM a UNION ALL SELECT *, 1 FROM b) GROUP BY doc_id""")
 def first_seen_union(spark, sf):
-    from pyspark.sql import Window
-
     d = table(spark, sf, "documents")
     a = d.orderBy(F.desc("n_chars"), "doc_id").limit(30).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")))
     b = d.where("lang = 'en'").orderBy("doc_id").limit(40).withColumn("rank", F.row_number().over(Window.orderBy("doc_id")))
