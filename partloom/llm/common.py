@@ -66,6 +66,22 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of an operator's own that no column of df has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def column_of(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def text_key(text: Column) -> Column:
     """Tells rows apart that repeat an id with another text; null has one too."""
     return F.xxhash64(text.isNull(), text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.common import materialize, text_key
+from partloom.llm.common import column_of, materialize, text_key, unused_names
 
 
 def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
@@ -17,10 +17,10 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     position) stays; the lines of every later one are removed, overlapping
     windows merged.
     """
-    lines = F.split(F.col(text_col), "\n", -1)
+    lines = F.split(column_of(text_col), "\n", -1)
     window = lambda i: F.array_join(F.slice("lines", i + 1, F.lit(size)), "\n")
     windows = (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("tkey"), lines.alias("lines"))
+        docs.select(column_of(id_col).cast("long").alias("doc_id"), text_key(column_of(text_col)).alias("tkey"), lines.alias("lines"))
         .where(F.size("lines") >= size)
         .select("doc_id", "tkey", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("lines") - size), window)).alias("pos", "w"))
         .where(F.col("w").rlike(r"\S"))
@@ -45,24 +45,21 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     A null text stays null with no lines; a text of fewer lines than a window
     stays as it is; a text all of whose lines repeat becomes empty, and its row
     stays.  Rows that repeat identifier and text are one document and are cut
-    alike.  Columns of docs named n_lines or n_removed are replaced; others
-    come through, whatever their names.
+    alike.  An empty table gives an empty one.  Columns of docs named n_lines or
+    n_removed are replaced; others come through, whatever their names.
     """
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    kept_columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    key, doc, tkey, gone, parts = unused_names(docs, "key", "id", "tkey", "removed", "lines")
     cut = repeated_lines(docs, id_col=id_col, text_col=text_col, size=size)
-    cut = cut.select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__tkey"), F.col("removed").alias("__removed"))
-    key = text_key(F.col(text_col))
-    out = docs.select(*own, key.alias("__key")).join(
-        cut, (F.col(id_col).cast("long").eqNullSafe(F.col("__id"))) & (F.col("__key") == F.col("__tkey")), "left"
-    )
-    lines = F.split(F.col(text_col), "\n", -1)
-    n = F.coalesce(F.size(lines), F.lit(0))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__removed")
-    text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n")
-    )
-    return out.withColumn("__lines", lines).select(
-        *[text.alias(c) if c == text_col else c for c in own],
-        F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__removed"), F.lit(0)).cast("long").alias("n_removed"),
+    cut = cut.select(F.col("doc_id").alias(doc), F.col("tkey").alias(tkey), F.col("removed").alias(gone))
+    text = column_of(text_col)
+    lines = F.split(text, "\n", -1)
+    rows = docs.select(*(column_of(c) for c in kept_columns), text_key(text).alias(key), lines.alias(parts))
+    out = rows.join(cut, column_of(id_col).cast("long").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(tkey)), "left")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
+    left = F.when(F.col(gone).isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+    return out.select(
+        *(left.alias(c) if c == text_col else column_of(c) for c in kept_columns),
+        F.when(text.isNull(), 0).otherwise(F.coalesce(F.size(parts), F.lit(0))).cast("long").alias("n_lines"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"),
     )

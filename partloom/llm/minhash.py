@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partloom.llm.blooms import MOST_BITS, bloom_of
-from partloom.llm.common import materialize, small_batches, text_key
+from partloom.llm.common import column_of, materialize, small_batches, text_key, unused_names
 from partloom.llm.words import Bloom, gathered, mix, one_array, run_codes, word_codes
 
 REGISTERS = 193  # a prime, so that every step walks through all registers
@@ -336,9 +336,10 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     but of rows that repeat identifier and text one.  An empty table gives an
     empty one.
     """
-    kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__tkey")).distinct()
-    keyed = docs.withColumn("__key", text_key(F.col("text")))
-    joined = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__tkey")))
+    doc, tkey, key, rank = unused_names(docs, "id", "tkey", "key", "rank")
+    kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias(doc), F.col("tkey").alias(tkey)).distinct()
+    keyed = docs.withColumn(key, text_key(F.col("text")))
+    joined = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(tkey)))
     # of rows that repeat identifier and text one is kept
-    rank = F.row_number().over(Window.partitionBy("__id", "__tkey").orderBy("__key"))
-    return joined.withColumn("__rank", rank).where("__rank = 1").select(*docs.columns)
+    number = F.row_number().over(Window.partitionBy(doc, tkey).orderBy(key))
+    return joined.withColumn(rank, number).where(F.col(rank) == 1).select(*map(column_of, docs.columns))

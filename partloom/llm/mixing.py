@@ -21,7 +21,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from partloom.llm.common import SPACES, WORDS, materialize
+from partloom.llm.common import SPACES, WORDS, column_of, materialize, unused_names
 
 Source = str | None
 
@@ -255,9 +255,10 @@ def take_mix(docs: DataFrame, *, seed: int = 0) -> DataFrame:
     source of its own; rows that repeat each other each have copies of their
     own.  An empty table gives an empty result.
     """
-    row = "__mix_row"
+    row, name, times, copy = unused_names(docs, "row", "taken", "copies", "copy")
     tagged = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "tagged")
-    mixed = mix_rows(_holdings(tagged.withColumn("row", F.col(row))), seed=seed).rows
-    taken = mixed.where("copies > 0").select(F.col("row").alias("__taken"), F.sequence(F.lit(1), "copies").alias("__copies"))
-    joined = tagged.join(taken, F.col(row) == F.col("__taken"))
-    return joined.withColumn("__copy", F.explode("__copies")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    held = tagged.select(F.col(row).alias("row"), "doc_id", "source", "text")
+    mixed = mix_rows(_holdings(held), seed=seed).rows
+    taken = mixed.where("copies > 0").select(F.col("row").alias(name), F.sequence(F.lit(1), "copies").alias(times))
+    joined = tagged.join(taken, F.col(row) == F.col(name))
+    return joined.withColumn(copy, F.explode(times)).select(*map(column_of, docs.columns))

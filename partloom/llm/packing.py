@@ -274,6 +274,12 @@ def _powers(window: list[tuple[int, int, int]], total: int) -> Iterator[list[tup
             yield part
 
 
+def sequence_number(shard: int, k: int) -> int:
+    """A shard's k-th sequence.  A partition has at most 4,096 shards; 2**27
+    partitions and 2**24 sequences of a shard stay within 63 bits."""
+    return shard << 24 | k
+
+
 def pack(
     docs: DataFrame,
     tokenizer: str,
@@ -288,7 +294,7 @@ def pack(
 
     tokenizer is the path of a tokenizers file of at most 65,536 ids that drops
     white space.  A query has all terms of its document, or so many that weigh
-    most.  sequence_id >> 32 tells shards apart.  A null text is an empty one and has the end id alone.  Rows
+    most.  sequence_id >> 24 tells shards apart.  A null text is an empty one and has the end id alone.  Rows
     that repeat an identifier are documents of their own.  with_ids adds the
     piece's ids.  An empty table gives an empty result; other columns are not
     read.
@@ -343,7 +349,7 @@ def pack(
             offset = 0
             for i, start, n in window:
                 piece = ids[i][start : start + n].astype("<u4")
-                row = (names[i], start, n, zlib.crc32(piece.tobytes()), len(ids[i]), number << 32 | k, offset)
+                row = (names[i], start, n, zlib.crc32(piece.tobytes()), len(ids[i]), sequence_number(number, k), offset)
                 out.append((*row, piece.astype(np.int32)) if with_ids else row)
                 offset += n
         kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids

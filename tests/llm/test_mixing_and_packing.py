@@ -241,6 +241,14 @@ def test_neighbours_come_from_all_documents(spark):
     rare = ["zebra", "quartz", "violin", "walrus", "cactus", "anchor", "pepper", "magnet", "saddle", "turnip", "goblet", "lantern"]
     texts = [" ".join([*rng.choice(common, 120), *rng.permutation([rare[k % 12]] * 9), *rng.choice(common, 120)]) for k in range(24)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    shard = {r.doc_id: r.sequence_id >> 32 for r in packing.pack(df, tokenizer_path(), shard_bytes=6000).collect()}
+    shard = {r.doc_id: r.sequence_id >> 24 for r in packing.pack(df, tokenizer_path(), shard_bytes=6000).collect()}
     assert len(set(shard.values())) > 3
     assert sum(shard[k] == shard[k + 12] for k in range(12)) >= 8
+
+
+def test_sequence_numbers_of_many_partitions():
+    import pyarrow as pa
+
+    far = packing.sequence_number(((600_000 << 12) | 4095), (1 << 24) - 1)
+    assert pa.array([far], pa.int64())[0].as_py() == far
+    assert packing.sequence_number((1 << 39) - 1, 0) < 1 << 63
