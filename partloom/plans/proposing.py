@@ -40,7 +40,7 @@ def _engine(spark, sf):
 
 @query(f"WITH {_ENGINE} SELECT identity, l1, part_no, name, act2 AS action, tier, level, level_source, sourcing, in_base, merged FROM parts")
 def proposed_parts(spark, sf):
-    return _engine(spark, sf)[0].drop("rsn", "chg", "source_doc")
+    return _engine(spark, sf)[0].drop("rsn", "chg", "source_doc", "ord")
 
 
 @query(f"""WITH {_ENGINE}, z AS (SELECT upper(l1) AS l1, count(DISTINCT regexp_replace(part_no, '[^A-Z0-9]', '', 'g')) AS n_parts, count(DISTINCT CASE WHEN tier IN ('CORE', 'CORE_GROUP') THEN regexp_replace(part_no, '[^A-Z0-9]', '', 'g') END) AS n_core, array_to_string(list_sort(list(DISTINCT act2)), ' | ') AS change_summary, max(CASE WHEN in_base THEN 0.9 ELSE 0.6 END)::DOUBLE AS confidence FROM parts GROUP BY 1)
@@ -49,6 +49,41 @@ def proposals(spark, sf):
     return _engine(spark, sf)[1]
 
 
+def _whole(spark, sf):
+    """The run against a base list with an assembly for most brands, and regions told by a part's number."""
+    rows = bom_rows(spark, sf)
+    k = F.col("row_no")
+    top = F.concat(F.lit("TOP"), "doc")
+    heads = rows.where("doc NOT LIKE '%3'").groupBy("doc").agg(F.min("row_no").alias("row_no")).select(top.alias("part_no"), F.concat(F.upper("doc"), F.lit(" ASSY")).alias("name"), F.lit(".1").alias("level"), F.lit("").alias("parent"), (k - 1_000_000_000).alias("ord"))
+    base = heads.unionByName(rows.where("row_no % 2 = 0").select("part_no", "name", F.lit("..2").alias("level"), top.alias("parent"), k.alias("ord")))
+    digit = F.substring("part_no", -1, 1)
+    hint = F.when(digit == "1", "유럽 EU").when(digit == "2", "미국 북미").otherwise("")
+    return engine.whole_proposals(_engine(spark, sf)[0], base, region="미국", hint=hint)
+
+
+_WHOLE = f"""{_ENGINE}, kept AS (SELECT * FROM parts WHERE right(part_no, 1) <> '1'), grp AS (SELECT l1, min(ord) AS first, count(*) AS n_changed FROM kept WHERE tier IN ('CORE', 'CORE_GROUP') GROUP BY l1),
+    head AS (SELECT 'TOP' || doc AS no, upper(doc) || ' ASSY' AS name, min(row_no) AS ord FROM bom WHERE doc NOT LIKE '%3' GROUP BY doc),
+    hit AS (SELECT l1, arg_min(no, ord) AS no, arg_min(name, ord) AS name FROM grp JOIN head ON contains(name, upper(l1)) OR contains(upper(l1), name) GROUP BY l1),
+    top AS (SELECT grp.*, no IS NOT NULL AS in_base, coalesce(no, '') AS top_no, coalesce(name, l1) AS top_name, 'P-' || lpad(CAST(row_number() OVER (ORDER BY first) AS VARCHAR), 3, '0') AS proposal_id FROM grp LEFT JOIN hit USING (l1)),
+    own AS (SELECT kept.*, proposal_id, top_no FROM kept JOIN top USING (l1)), held AS (SELECT 'TOP' || doc AS top_no, part_no, name, row_no FROM bom WHERE row_no % 2 = 0)"""
+
+
+@query(f"""WITH {_WHOLE}
+    SELECT proposal_id, CASE WHEN tier IN ('CORE', 'CORE_GROUP') THEN 'changed' ELSE 'indirect' END AS list, part_no, name, act2 AS action, tier, level,
+        coalesce((SELECT min(row_no) FROM held WHERE held.top_no = own.top_no AND held.part_no = own.part_no), (SELECT min(row_no) FROM held WHERE held.top_no = own.top_no AND upper(held.name) = upper(own.name)), 999999) AS position FROM own
+    UNION ALL SELECT proposal_id, 'existing', h.part_no, h.name, 'KEEP', '', '..2', row_no FROM held h JOIN top ON top.in_base AND top.top_no = h.top_no
+    WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.l1 = top.l1 AND (own.part_no = h.part_no OR upper(own.name) = upper(h.name)))""")
+def whole_run_parts(spark, sf):
+    """Changed, indirect and existing parts of every proposed assembly, in the base list's order."""
+    return _whole(spark, sf)[0]
+
+
+@query(f"""WITH {_WHOLE}, s AS (SELECT proposal_id, array_to_string(list_sort(list(DISTINCT j.doc)), ',') AS source_docs FROM own JOIN j USING (identity) GROUP BY proposal_id)
+    SELECT proposal_id, l1, top_no, top_name, in_base, FALSE AS skip, n_changed, round_even(n_changed::DOUBLE / (SELECT count(*) FROM kept WHERE tier IN ('CORE', 'CORE_GROUP')), 2) AS confidence, source_docs FROM top JOIN s USING (proposal_id)""")
+def whole_run_proposals(spark, sf):
+    return _whole(spark, sf)[1].withColumn("source_docs", F.array_join("source_docs", ","))
+
+
 @query("""WITH r AS (SELECT n_nationkey AS position, [lower(substr(n_name, 1, 2)), lower(substr(n_name, 3, 2))] AS words, n_name AS change_point, 'R' || n_regionkey AS reason FROM nation)
     SELECT p_partkey, p_name, arg_min(change_point, position) AS change_point, arg_min(reason, position) AS reason FROM part LEFT JOIN r ON contains(p_name, words[1]) OR contains(p_name, words[2]) GROUP BY p_partkey, p_name""")
 def rule_catalogue(spark, sf):
