@@ -134,7 +134,7 @@ def deep_levels(spark, sf):
 
 
 #: Chains of up to 5,000 steps; every third one comes back to its middle.
-_CHAINS = "e AS (SELECT o_orderkey AS src, CASE WHEN o_orderkey % 15000 = 9999 THEN o_orderkey - 3000 ELSE o_orderkey + 1 END AS dst FROM orders WHERE o_orderkey % 15000 = 9999 OR (o_orderkey % 5000 <> 4999 AND o_orderkey + 1 IN (SELECT o_orderkey FROM orders)))"
+_CHAINS = "e AS MATERIALIZED (SELECT o_orderkey AS src, CASE WHEN o_orderkey % 15000 = 9999 THEN o_orderkey - 3000 ELSE o_orderkey + 1 END AS dst FROM orders WHERE o_orderkey % 15000 = 9999 OR (o_orderkey % 5000 <> 4999 AND o_orderkey + 1 IN (SELECT o_orderkey FROM orders)))"
 
 
 def _chain_edges(spark, sf):

@@ -8,7 +8,11 @@ from partloom.plans.catalogue import ORACLE_SQL, QUERIES
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, name):
-    against_duckdb(QUERIES[name](spark, SF), ORACLE_SQL[name])
+    found = QUERIES[name](spark, SF)
+    if name in ORACLE_SQL:
+        against_duckdb(found, ORACLE_SQL[name])
+    else:  # an approximate search, whose recall test_searches measures
+        assert name == "vector_index_top_k" and found.count() > 0
 
 
 def test_entry(spark):
