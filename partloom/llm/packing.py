@@ -3,9 +3,9 @@
 Documents are tokenized once, and the statistics of BM25 are counted over all of
 them.  They are sorted by their rarest terms that occur elsewhere, so that those
 that share them lie together, and cut into shards of a bounded number of bytes.
-A seed document opens a window; all its terms ask for its best unused neighbours
-within the shard, by the weights that they have in the whole table, and these
-fill the window greedily.  The one that doesn't fit is cut, and its rest
+A seed document opens a window; all its terms ask the shard's inverted index for
+its best unused neighbours, by the weights that they have in the whole table, and
+these fill the window greedily.  The one that doesn't fit is cut, and its rest
 opens the next window, so windows are full but for the shard's last, which is
 cut into powers of two.
 """
@@ -166,30 +166,46 @@ def _flat(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Bm25:
-    """Weights of the terms of a shard's documents; scores add those that a query has."""
+    """An inverted index of a shard's documents: of each term the documents that have
+    it, with their weights.
+
+    A term that an eighth of the documents have is a row with a weight for every one of
+    them, any other one a list.  A query adds up its own terms' rows and lists.
+    """
 
     def __init__(self, docs: list[np.ndarray], stats: Statistics, query_terms: int | None, k1: float = 1.2, b: float = 0.75) -> None:
         self.n, self.stats, self.query_terms = len(docs), stats, query_terms
         ids, sizes = _flat(docs)
         found, tf = np.unique(_keyed(ids, sizes), return_counts=True)
-        self.terms = (found & 0xFFFF).astype(np.intp)
-        self.n_terms = np.bincount(found >> 16, minlength=self.n)
-        self.starts = np.cumsum(self.n_terms) - self.n_terms
-        self.asked = np.split(self.terms, self.starts[1:]) if docs else []
+        terms = (found & 0xFFFF).astype(np.intp)
+        n_terms = np.bincount(found >> 16, minlength=self.n)
+        self.own_starts = np.cumsum(n_terms) - n_terms
+        self.asked = np.split(terms, self.own_starts[1:]) if docs else []
         norm = k1 * (1 - b + b * sizes.astype(np.float32) / np.float32(stats.mean))
         tf = tf.astype(np.float32)
-        self.weights = stats.idf[self.terms] * tf * (k1 + 1) / (tf + np.repeat(norm, self.n_terms))
-        self.own, self.own_starts = self.weights, self.starts
+        self.own = stats.idf[terms] * tf * (k1 + 1) / (tf + np.repeat(norm, n_terms))
+        of = np.repeat(np.arange(self.n), n_terms)
+        common = np.flatnonzero(8 * np.bincount(terms, minlength=1 << 16) >= max(self.n, 1))
+        self.row = np.full(1 << 16, -1)
+        self.row[common] = np.arange(len(common))
+        in_row = self.row[terms] >= 0
+        self.rows = np.zeros((len(common), self.n), np.float32)
+        self.rows[self.row[terms[in_row]], of[in_row]] = self.own[in_row]
+        listed = np.flatnonzero(~in_row)
+        listed = listed[np.argsort(terms[listed].astype(np.uint16), kind="stable")]
         self.places = np.arange(self.n)
-        self.room = np.empty(len(self.terms), np.float32)
+        self._lists(terms[listed], of[listed], self.own[listed])
+
+    def _lists(self, terms: np.ndarray, docs: np.ndarray, weights: np.ndarray) -> None:
+        self.terms, self.docs, self.weights = terms, docs, weights
+        self.first = np.searchsorted(terms, np.arange((1 << 16) + 1))
 
     def keep(self, unused: np.ndarray) -> None:
-        """Drop the documents that are used from those that are scored."""
+        """Drop the documents that are used from rows and lists."""
         on = unused[self.places]
-        rows = np.repeat(on, self.n_terms)
-        self.terms, self.weights = self.terms[rows], self.weights[rows]
-        self.places, self.n_terms = self.places[on], self.n_terms[on]
-        self.starts = np.cumsum(self.n_terms) - self.n_terms
+        self.places, self.rows = self.places[on], self.rows[:, on]
+        on = unused[self.docs]
+        self._lists(self.terms[on], self.docs[on], self.weights[on])
 
     def scores(self, doc: int) -> np.ndarray:
         """Of every document that is kept; others have 0."""
@@ -197,14 +213,13 @@ class Bm25:
         if self.query_terms is not None and len(asked) > self.query_terms:
             at = self.own_starts[doc]
             asked = asked[np.argpartition(self.own[at : at + len(asked)], -self.query_terms)[-self.query_terms :]]
-        query = np.zeros(1 << 16, np.float32)
-        query[asked] = 1
-        out = np.zeros(self.n, np.float32)
-        if len(self.places):  # every document has a term
-            room = self.room[: len(self.terms)]
-            query.take(self.terms, mode="clip", out=room)
-            np.multiply(room, self.weights, out=room)
-            out[self.places] = np.add.reduceat(room, self.starts)
+        row = self.row[asked]
+        asked = asked[row < 0]
+        begin = self.first[asked]
+        size = self.first[asked + 1] - begin
+        at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        out = np.bincount(self.docs[at], self.weights[at], minlength=self.n).astype(np.float32)
+        out[self.places] += self.rows[row[row >= 0]].sum(axis=0)
         return out
 
 
