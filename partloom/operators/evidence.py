@@ -120,3 +120,12 @@ def slide_metadata(lines: DataFrame) -> DataFrame:
     best = F.struct(F.when(F.col("name") == "product_type", -points).otherwise(0), F.when(F.col("name") == "product_type", F.length("value")).otherwise(0), "ord", "value")
     first = found.groupBy("file", "name").agg(F.min(best)["value"].alias("value"))
     return first.groupBy("file").agg(*(F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in SLIDE_LABELS))
+
+
+def module_lists(points: DataFrame) -> DataFrame:
+    """module, category, texts: the different change points of each module and category
+    in the order in which they came.  points: module, category, ord, text; a module's
+    change points are a deck's, so a list stays short."""
+    first = points.where(F.trim(F.coalesce("text", F.lit(""))) != "").groupBy("module", "category", "text").agg(F.min("ord").alias("ord"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"])
+    return first.groupBy("module", "category").agg(texts.alias("texts"))

@@ -15,6 +15,11 @@ def fingerprints(files: DataFrame) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("file_hash"), F.col("length").alias("file_size"))
 
 
+def design_fingerprints(files: DataFrame) -> DataFrame:
+    """name, sha1, n_bytes of design documents (path, content)."""
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha1("content").alias("sha1"), F.octet_length("content").cast("long").alias("n_bytes"))
+
+
 def register(known: DataFrame, files: DataFrame) -> DataFrame:
     """The files whose content isn't known yet, each content once."""
     return insert_new(known, files, ["file_hash"])

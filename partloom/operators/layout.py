@@ -219,3 +219,11 @@ def first_sheet(cells: DataFrame) -> DataFrame:
 def header_at(cells: DataFrame, row: int) -> DataFrame:
     """file_id, sheet, header_row of sheets whose header's place is known."""
     return cells.select("file_id", "sheet").distinct().withColumn("header_row", F.lit(row))
+
+
+def records_from(cells: DataFrame, first_row: int, columns: dict[str, int]) -> DataFrame:
+    """file_id, sheet, row_idx and a column for each place of a sheet without a header:
+    its rows from first_row on, but for blank ones."""
+    below = cells.where(F.col("row_idx") >= first_row).groupBy("file_id", "sheet", "row_idx")
+    out = below.agg(*(F.max(F.when(F.col("col_idx") == i, F.col("value"))).alias(name) for name, i in columns.items()))
+    return out.where(F.coalesce(*(F.nullif(F.col(name), F.lit("")) for name in columns)).isNotNull())

@@ -194,11 +194,11 @@ def merge_part_lists(parts: DataFrame, *, blanks: tuple[str, ...] = ("rsn", "chg
 
 
 def group_confidence(parts: DataFrame, group: str) -> DataFrame:
-    """group, n_changed, n_core, confidence (changed by core parts, two digits), models (three at most)."""
+    """group, n_changed, n_core, confidence (changed by core parts, two digits, halves to even), models (three at most)."""
     core, changed = F.col("tier").isin("CORE", "CORE_GROUP"), F.col("action") != "KEEP"
     share = F.count_if(changed) / F.greatest(F.count_if(core), F.lit(1))
     return parts.groupBy(group).agg(
-        F.count_if(changed).alias("n_changed"), F.count_if(core).alias("n_core"), F.round(share, 2).alias("confidence"),
+        F.count_if(changed).alias("n_changed"), F.count_if(core).alias("n_core"), F.bround(share, 2).alias("confidence"),
         F.slice(F.array_sort(F.collect_set("model")), 1, 3).alias("models"), F.bool_or(F.col("action") == "ADD").alias("has_add"),
     )
 

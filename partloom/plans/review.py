@@ -112,7 +112,7 @@ def part_list_merge(spark, sf):
 
 
 @query("""WITH p AS (SELECT l_suppkey, (['CORE', 'CASCADE', 'CORE_GROUP', ''])[CAST(l_partkey % 4 AS INTEGER) + 1] AS tier, (['KEEP', 'ADD', 'MODIFY'])[CAST(l_orderkey % 3 AS INTEGER) + 1] AS action, 'm' || (l_partkey % 7) AS model FROM lineitem)
-    SELECT l_suppkey, count(*) FILTER (WHERE action <> 'KEEP') AS n_changed, count(*) FILTER (WHERE tier IN ('CORE', 'CORE_GROUP')) AS n_core, round(count(*) FILTER (WHERE action <> 'KEEP')::DOUBLE / greatest(count(*) FILTER (WHERE tier IN ('CORE', 'CORE_GROUP')), 1), 2) AS confidence,
+    SELECT l_suppkey, count(*) FILTER (WHERE action <> 'KEEP') AS n_changed, count(*) FILTER (WHERE tier IN ('CORE', 'CORE_GROUP')) AS n_core, round_even(count(*) FILTER (WHERE action <> 'KEEP')::DOUBLE / greatest(count(*) FILTER (WHERE tier IN ('CORE', 'CORE_GROUP')), 1), 2) AS confidence,
     array_to_string(list_sort(list(DISTINCT model))[1:3], ',') AS models, bool_or(action = 'ADD') AS has_add FROM p GROUP BY l_suppkey""")
 def group_confidence(spark, sf):
     pick = lambda words, by: F.get(F.array(*map(F.lit, words)), (F.col(by) % len(words)).cast("int"))

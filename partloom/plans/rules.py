@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from partloom.functions import levels, models, text
-from partloom.operators import agent, classify, feedback, ingest, layout
+from partloom.operators import agent, classify, evidence, feedback, ingest, layout
 from partloom.plans.bom import BOM, bom_rows
 from partloom.plans.registry import query, table
 from partloom.sources import sinks
@@ -179,3 +179,35 @@ def cell_changes(spark, sf):
     SELECT '{"total":' || (SELECT count(*) FROM orders) || ',"sheets":[' || string_agg('{"o_orderpriority":"' || o_orderpriority || '","rows":' || n || '}', ',' ORDER BY o_orderpriority) || ']}' AS json FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority)""")
 def sheet_manifest(spark, sf):
     return sinks.manifest(table(spark, sf, "orders"), ["o_orderpriority"])
+
+
+@query("SELECT 'd' || doc_id AS name, sha1(coalesce(text, '')) AS sha1, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents")
+def design_fingerprints(spark, sf):
+    files = table(spark, sf, "documents").select(F.concat(F.lit("/x/d"), F.col("doc_id").cast("string")).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    return ingest.design_fingerprints(files)
+
+
+@query(f"""WITH {BOM}, f AS (SELECT doc AS module, part_type AS category, point AS text, min(row_no) AS ord FROM bom WHERE trim(point) <> '' GROUP BY doc, part_type, point)
+    SELECT module, category, string_agg(text, ' / ' ORDER BY ord) AS texts FROM f GROUP BY module, category""")
+def module_lists(spark, sf):
+    """Change points of each module and category, each once, in order."""
+    points = bom_rows(spark, sf).select(F.col("doc").alias("module"), F.col("part_type").alias("category"), F.col("row_no").alias("ord"), F.col("point").alias("text"))
+    return evidence.module_lists(points).withColumn("texts", F.array_join("texts", " / "))
+
+
+@query(f"WITH {BOM} SELECT doc AS file_id, CAST(row_no + 1 AS INTEGER) AS row_idx, raw_level AS level, nullif(new_no, '') AS number, name FROM bom WHERE row_no + 1 >= 10")
+def positional_records(spark, sf):
+    """A sheet without a header, read from row 10 on by the places of its columns."""
+    rows = bom_rows(spark, sf)
+    cell = lambda i, v: F.struct(F.lit(i).alias("col_idx"), v.alias("value"))
+    cells = F.array(cell(1, F.col("raw_level")), cell(3, F.when(F.col("new_no") != "", F.col("new_no"))), cell(4, F.col("name")))
+    sheet = rows.select(F.col("doc").alias("file_id"), F.lit("Master").alias("sheet"), (F.col("row_no") + 1).cast("int").alias("row_idx"), F.explode(cells).alias("c")).select("file_id", "sheet", "row_idx", "c.*")
+    return layout.records_from(sheet, 10, {"level": 1, "number": 3, "name": 4}).drop("sheet")
+
+
+@query(f"""WITH {BOM} SELECT row_no AS id, name AS text, '{{"level":' || level || ',"type":"' || part_type || '"}}' AS place, CASE WHEN row_no % 3 = 0 THEN '' ELSE qty END AS qty, '["' || base_no || '","' || new_no || '"]' AS numbers FROM bom""")
+def document_meta(spark, sf):
+    """Cells as a document's meta: nulls are blank, what is nested is JSON."""
+    rows = bom_rows(spark, sf).select(F.col("row_no").alias("id"), F.col("name").alias("text"), F.struct("level", F.col("part_type").alias("type")).alias("place"), F.when(F.col("row_no") % 3 != 0, F.col("qty")).alias("qty"), F.array("base_no", "new_no").alias("numbers"))
+    out = sinks.flat_meta(rows, ["place", "qty", "numbers"])
+    return out.select("id", "text", *(F.element_at("meta", F.lit(c)).alias(c) for c in ("place", "qty", "numbers")))

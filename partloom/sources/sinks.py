@@ -42,6 +42,15 @@ def store_documents(old: DataFrame | None, new: DataFrame) -> DataFrame:
     return plain if old is None else upsert(old, plain, ["id"])
 
 
+def flat_meta(df: DataFrame, cells: list[str]) -> DataFrame:
+    """df without cells, and meta: a map of theirs as text, blank for nulls and JSON for what is nested."""
+    simple = ("string", "boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp")
+    kind = {f.name: f.dataType.simpleString() for f in df.schema}
+    text = lambda c: F.col(c).cast("string") if kind[c] in simple or kind[c].startswith("decimal") else F.to_json(F.col(c))
+    meta = F.create_map(*(x for c in cells for x in (F.lit(c), F.coalesce(text(c), F.lit("")))))
+    return df.select(*(c for c in df.columns if c not in cells), meta.alias("meta"))
+
+
 def tree_json(rows: DataFrame) -> DataFrame:
     """doc, json: each tree's rows in order, for a viewer."""
     nodes = F.array_sort(F.collect_list(F.struct("row_no", "parent", "level", "name")))
