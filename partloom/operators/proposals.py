@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partloom.functions.text import merge_text, part_no_strict, path, path_prefixes
+from partloom.operators.classify import action_bucket
 from partloom.operators.ordering import row_numbers
-from partloom.operators.merge import LEVEL_SOURCE_RANK, TIER_RANK, first_wins, last_wins, rank
+from partloom.operators.merge import LEVEL_SOURCE_RANK, TIER_RANK, append_texts, first_wins, identity_key, last_wins, rank
 
 
 def recover_tiers(parts: DataFrame, *, least: int = 16, share: float = 0.4) -> DataFrame:
@@ -208,3 +209,43 @@ def first_of_list(parts: DataFrame) -> DataFrame:
     no = part_no_strict(F.col("number"))
     key = F.when(no != "", F.concat(F.lit("N|"), no)).otherwise(F.concat(F.lit("T|"), merge_text(F.col("name"))))
     return first_wins(parts.withColumn("dkey", key), ["dkey"], "ord")
+
+
+def display_table(rows: DataFrame) -> DataFrame:
+    """The rows that a table of proposals shows: group_no, ord, l1, number, name, kind,
+    action, level, tier, remark, source, reason and merged.
+
+    Within a group equal parts are one row.  They are folded in their order: the stronger
+    tier stays, of equal ones the row that says more (a reference counts most), else the
+    first; texts of both are kept, a real number replaces a pending one, and mixed
+    additions and changes show as 변경.  Then a number, or without one a name, is shown in
+    its first group alone.  rows: the same columns without merged; ord tells rows
+    apart.  Rows of one part in one group are few.
+    """
+    cells = ["ord", "number", "name", "kind", "action", "level", "tier", "remark", "source", "reason"]
+    blank = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c)
+    key = identity_key(l1=F.col("l1"), act=F.col("action"), number=F.col("number"), name=F.col("name"), kind=F.col("kind"), level=F.col("level"), row=F.col("ord"))
+    each = rows.select("group_no", "l1", key.alias("key"), F.struct("ord", *(blank(c) for c in cells[1:])).alias("x"))
+    lists = each.groupBy("group_no", "l1", "key").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+
+    says = lambda c: (c != "").cast("int")
+    score = lambda r: says(r["remark"]) + 2 * F.contains(r["remark"], F.lit("참고")).cast("int") + says(r["source"]) + says(r["reason"])
+    tier = lambda r: rank(merge_text(r["tier"]), TIER_RANK, 0)
+    real = lambda n: (n != "") & (n != "(채번 필요)")
+
+    def step(cur: Column, new: Column) -> Column:
+        better = (tier(new) > tier(cur)) | ((tier(new) == tier(cur)) & (score(new) > score(cur)))
+        pick = lambda c: F.when(better, new[c]).otherwise(cur[c])
+        other = lambda c: F.when(better, cur[c]).otherwise(new[c])
+        both = lambda c: append_texts(F.array(pick(c), other(c)))
+        action = F.when(action_bucket(pick("action")) == "CHANGE", "변경").otherwise(pick("action"))
+        number = F.when(~real(pick("number")) & real(other("number")), other("number")).otherwise(pick("number"))
+        own = {"number": number, "action": action, "remark": both("remark"), "source": both("source"), "reason": both("reason"), "ord": cur["ord"]}
+        return F.struct(*((own[c] if c in own else pick(c)).alias(c) for c in cells))
+
+    one = F.aggregate(F.slice("xs", F.lit(2), F.size("xs")), F.get("xs", 0), step)
+    shown = lists.select("group_no", "l1", "key", one.alias("x"), F.size("xs").alias("merged")).select("group_no", "l1", "key", "x.*", "merged")
+    no, name = part_no_strict(F.col("number")), F.upper(F.trim("name"))
+    once = F.when(no != "", F.concat(F.lit("N|"), no)).when(name != "", F.concat(F.lit("T|"), name)).otherwise(F.concat_ws("|", F.lit("R"), "group_no", "ord"))
+    first = shown.withColumn("__once", once).withColumn("__at", F.struct("group_no", "ord"))
+    return first_wins(first, ["__once"], "__at").select("group_no", "ord", "l1", *cells[1:], "merged")

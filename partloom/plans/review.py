@@ -139,6 +139,34 @@ def display_list(spark, sf):
     return proposals.first_of_list(parts.unionByName(again)).select("ord", "name", "dkey")
 
 
+_ROW = "{{'tier': {0}, 'number': {1}, 'action': {2}, 'remark': {3}, 'source': {4}, 'reason': {5}, 'name': {6}, 'ord': {7}}}"
+_T = lambda r: f"CASE {r}.tier WHEN 'CORE' THEN 3 WHEN 'CORE_GROUP' THEN 2 WHEN 'CASCADE' THEN 1 ELSE 0 END"
+_S = lambda r: f"(CASE WHEN {r}.remark <> '' THEN 1 ELSE 0 END + CASE WHEN contains({r}.remark, '참고') THEN 2 ELSE 0 END + CASE WHEN {r}.source <> '' THEN 1 ELSE 0 END + CASE WHEN {r}.reason <> '' THEN 1 ELSE 0 END)"
+_BETTER = f"(({_T('b')}) > ({_T('a')}) OR (({_T('b')}) = ({_T('a')}) AND {_S('b')} > {_S('a')}))"
+_OF = lambda c, first="b", second="a": f"CASE WHEN {_BETTER} THEN {first}.{c} ELSE {second}.{c} END"
+_BOTH = lambda c: f"CASE WHEN ({_OF(c, 'a', 'b')}) = '' THEN {_OF(c)} WHEN ({_OF(c)}) = '' THEN {_OF(c, 'a', 'b')} WHEN contains({_OF(c)}, {_OF(c, 'a', 'b')}) THEN {_OF(c)} ELSE ({_OF(c)}) || ' | ' || ({_OF(c, 'a', 'b')}) END"
+_STEP = _ROW.format(_OF("tier"), f"CASE WHEN ({_OF('number')}) IN ('', '(채번 필요)') AND ({_OF('number', 'a', 'b')}) NOT IN ('', '(채번 필요)') THEN {_OF('number', 'a', 'b')} ELSE {_OF('number')} END", f"CASE WHEN ({_OF('action')}) IN ('추가', '변경') THEN '변경' ELSE {_OF('action')} END", _BOTH("remark"), _BOTH("source"), _BOTH("reason"), _OF("name"), "a.ord")
+
+
+@query(f"""WITH r AS (SELECT l_suppkey % 5 AS group_no, l_orderkey * 10 + l_linenumber AS ord, 'L' || l_suppkey % 5 AS l1, CASE WHEN l_partkey % 4 = 0 THEN '' WHEN l_partkey % 4 = 1 THEN '(채번 필요)' ELSE 'AEC' || lpad(CAST(l_partkey AS VARCHAR), 8, '0') END AS number, 'n' || l_partkey AS name, CASE WHEN l_orderkey % 2 = 0 THEN '추가' ELSE '변경' END AS action,
+        (['CORE', 'CORE_GROUP', 'CASCADE', ''])[CAST(l_orderkey % 4 AS INTEGER) + 1] AS tier, CASE WHEN l_linenumber % 3 = 0 THEN '참고 ' || l_linenumber WHEN l_linenumber % 3 = 1 THEN '' ELSE 'see' END AS remark, CASE WHEN l_orderkey % 3 = 0 THEN '' ELSE 'd' || l_orderkey % 7 END AS source, CASE WHEN l_orderkey % 5 < 3 THEN '' ELSE 'r' || l_linenumber END AS reason FROM lineitem),
+    k AS (SELECT group_no, l1, CASE WHEN number LIKE 'AEC%' THEN 'P|' || number ELSE 'T|' || upper(name) END AS key, list({_ROW.format('tier', 'number', 'action', 'remark', 'source', 'reason', 'name', 'ord')} ORDER BY ord) AS xs FROM r GROUP BY 1, 2, 3),
+    m AS (SELECT group_no, l1, list_reduce(xs, lambda a, b: {_STEP}) AS x, CAST(len(xs) AS INTEGER) AS merged FROM k),
+    o AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN regexp_replace(upper(x.number), '[^A-Z0-9]', '', 'g') <> '' THEN 'N|' || regexp_replace(upper(x.number), '[^A-Z0-9]', '', 'g') ELSE 'T|' || upper(x.name) END ORDER BY group_no, x.ord) AS n FROM m)
+    SELECT group_no, x.ord AS ord, l1, x.number AS number, x.name AS name, x.action AS action, x.tier AS tier, x.remark AS remark, x.source AS source, x.reason AS reason, merged FROM o WHERE n = 1""")
+def display_table(spark, sf):
+    """The table of all groups: parts folded within a group, shown in their first group alone."""
+    o, n, p = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
+    number = F.when(p % 4 == 0, "").when(p % 4 == 1, "(채번 필요)").otherwise(F.concat(F.lit("AEC"), F.lpad(p.cast("string"), 8, "0")))
+    text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    rows = table(spark, sf, "lineitem").select(
+        (F.col("l_suppkey") % 5).alias("group_no"), (o * 10 + n).alias("ord"), text("L", F.col("l_suppkey") % 5).alias("l1"), number.alias("number"), text("n", p).alias("name"), F.lit("k").alias("kind"),
+        F.when(o % 2 == 0, "추가").otherwise("변경").alias("action"), F.lit("..2").alias("level"), F.get(F.array(*map(F.lit, ["CORE", "CORE_GROUP", "CASCADE", ""])), (o % 4).cast("int")).alias("tier"),
+        F.when(n % 3 == 0, text("참고 ", n)).when(n % 3 == 1, "").otherwise("see").alias("remark"), F.when(o % 3 == 0, "").otherwise(text("d", o % 7)).alias("source"), F.when(o % 5 < 3, "").otherwise(text("r", n)).alias("reason"),
+    )
+    return proposals.display_table(rows).drop("kind", "level")
+
+
 @query(f"WITH {BOM} SELECT string_agg(part_no || ':' || upper(name), '|' ORDER BY part_no || ':' || upper(name)) AS signature FROM (SELECT * FROM bom ORDER BY row_no LIMIT 5)")
 def queue_signatures(spark, sf):
     questions = bom_rows(spark, sf).orderBy("row_no").limit(5)  # a queue is at most five questions
