@@ -54,8 +54,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     cut = cut.select(F.col("doc_id").alias(doc), F.col("tkey").alias(tkey), F.col("removed").alias(gone))
     text = column_of(text_col)
     lines = F.split(text, "\n", -1)
-    rows = docs.select(*(column_of(c) for c in kept_columns), text_key(text).alias(key), lines.alias(parts))
+    rows = docs.select(*(column_of(c) for c in kept_columns), text_key(text).alias(key))
     out = rows.join(cut, column_of(id_col).cast("long").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(tkey)), "left")
+    out = out.withColumn(parts, lines)  # behind the join, which carries the text alone
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
     left = F.when(F.col(gone).isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
     return out.select(
