@@ -59,7 +59,7 @@ def workbook_cells(spark, sf):
 
 
 def _changes(spark, sf):
-    """New names for every third row (some as before, some blank), a mark in a column that isn't there, and rows below the last."""
+    """New names for every third row (some as before, some blank), a mark in a column that isn't there, and cells a million rows on (below the last row, or in one of a workbook that long)."""
     rows = bom_rows(spark, sf).where("row_no % 3 = 0")
     name = F.concat(F.regexp_replace("doc", "#", "-"), F.lit(".xlsx")).alias("name")
     row = (F.col("row_no") + F.length("doc") % 4 + 4).cast("int")
@@ -71,11 +71,11 @@ def _changes(spark, sf):
 
 @query(f"""WITH {BOM}, c AS ({_V}), m AS (SELECT name, row_no, row_no + head + 1 AS row_idx, unnest(v) AS value, unnest(range(0, 7)) AS col_idx FROM c
         UNION ALL SELECT DISTINCT name, NULL, head, unnest([{', '.join(f"'{h}'" for h in _HEADER)}]), unnest(range(0, 7)) FROM c),
-    e AS (SELECT name, row_idx, col_idx, CASE WHEN col_idx = 4 AND row_no % 3 = 0 AND row_no % 4 <> 0 AND row_no % 5 <> 0 THEN upper(value) || ' <&>' ELSE value END AS value FROM m
-        UNION ALL SELECT name, row_no + head + 1, 9, 'seen' FROM c WHERE row_no % 6 = 0 UNION ALL SELECT name, row_no + head + 1000001, 1, 'below' FROM c WHERE row_no % 21 = 0)
-    SELECT name AS file, CAST(row_idx AS INTEGER) AS row_idx, CAST(col_idx AS INTEGER) AS col_idx, value FROM e WHERE value <> ''""")
+    e AS (SELECT name, row_idx, col_idx, CASE WHEN col_idx = 4 AND row_no % 3 = 0 AND row_no % 4 <> 0 AND row_no % 5 <> 0 THEN upper(value) || ' <&>' ELSE value END AS value, 0 AS turn FROM m
+        UNION ALL SELECT name, row_no + head + 1, 9, 'seen', 1 FROM c WHERE row_no % 6 = 0 UNION ALL SELECT name, row_no + head + 1000001, 1, 'below', 1 FROM c WHERE row_no % 21 = 0)
+    SELECT name AS file, CAST(row_idx AS INTEGER) AS row_idx, CAST(col_idx AS INTEGER) AS col_idx, arg_max(value, turn) AS value FROM e WHERE value <> '' GROUP BY name, row_idx, col_idx""")
 def workbook_rewrite(spark, sf):
-    """Cells rewritten in place, the workbooks written again and read back."""
+    """Cells rewritten in place, the workbooks written again and read back; a cell that is there already gets the new text."""
     files = spark.read.format("binaryFile").load(_books(spark, sf)).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     folder = shared_folder(spark, "rewritten")
     committed.write_files(rewrite.rewrite_workbooks(files, _changes(spark, sf)), folder)
