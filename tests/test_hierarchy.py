@@ -174,3 +174,10 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc string, row_no int, level int")
     assert h.ancestors_by_stack(df).count() == 0
     assert h.closure(h.ancestors_by_stack(df)).withColumn("x", F.lit(1)).count() == 0
+
+
+def test_no_frame_is_summed_up_for_each_row(spark, capsys):
+    for levels in (6, 70):  # few and many
+        rows = spark.range(500).selectExpr("id % 3 AS doc", "id AS row_no", f"CAST(id * 31 % {levels} AS INT) AS level", "id % 13 = 0 AS changed")
+        h.propagate(rows, "changed").explain()
+        assert "unboundedfollowing" not in capsys.readouterr().out.replace(" ", "").lower().replace("rowframe,unboundedpreceding$(),unboundedfollowing$()", "")
