@@ -11,8 +11,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
@@ -20,81 +20,38 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from partloom.sources.stored import Aside, opened
 
 
-def folder_name(value: str) -> str:
-    """A partition's value as part of a path, spelt as Spark spells it."""
-    return "".join(f"%{ord(c):02X}" if c in "\"#%'*/:=?\\{[]^" or ord(c) < 32 or ord(c) == 127 else c for c in value)
-
-
 @dataclass
 class Wrote(WriterCommitMessage):
-    """What a task wrote: of each file its parts, rows and the first error."""
+    """What a task wrote: the parts of each file, or of its rows."""
 
     parts: dict[str, list[str]] = field(default_factory=dict)
-    rows: dict[str, int] = field(default_factory=dict)
-    failed: dict[str, str] = field(default_factory=dict)
 
 
 class RowWriter(DataSourceArrowWriter):
-    def __init__(self, path: str) -> None:
-        self.aside = Aside(path)
+    """A part for each task, whatever number of files its rows are of; one rename shows all parts."""
+
+    def __init__(self, path: str, job: str | None = None) -> None:
+        self.aside = Aside(path, job)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Wrote:
         system, _ = opened(self.aside.path)
-        folder, out, open_file, writer = self.aside.attempt(), Wrote(), None, None
+        folder, out, writer = self.aside.attempt(), Wrote(), None
         for batch in iterator:
-            files = batch["file"]
-            if files.null_count:
+            if batch["file"].null_count:
                 raise ValueError("a row without a file")
-            for name in pc.unique(files).to_pylist():
-                own = batch.filter(pc.equal(files, name))
-                out.rows[name] = out.rows.get(name, 0) + own.num_rows
-                errors = own["error"].drop_null()
-                if len(errors):
-                    out.failed[name] = min(out.failed.get(name, errors[0].as_py()), pc.min(errors).as_py())
-                if name in out.failed:  # the rest of the file isn't kept
-                    if open_file == name:
-                        writer.close()
-                        open_file = None
-                    for part in out.parts.pop(name, []):
-                        system.delete_file(part)
-                    continue
-                if open_file != name:
-                    if open_file is not None:
-                        writer.close()
-                    own_parts = out.parts.setdefault(name, [])
-                    own_parts.append(f"{folder}/part-{folder.rsplit('-', 1)[-1]}-{sum(map(len, out.parts.values())):05d}.parquet")
-                    kept = own.drop_columns(["file", "error"])
-                    writer, open_file = pq.ParquetWriter(own_parts[-1], kept.schema, filesystem=system), name
-                writer.write_batch(own.drop_columns(["file", "error"]))
-        if open_file is not None:
+            kept = batch.drop_columns(["error"])
+            if writer is None:
+                part = f"{folder}/part-{folder.rsplit('-', 1)[-1]}.parquet"
+                writer, out.parts["rows"] = pq.ParquetWriter(part, kept.schema, filesystem=system), [part]
+            writer.write_batch(kept)
+        if writer is not None:
             writer.close()
         return out
 
     def commit(self, messages: list[Wrote | None]) -> None:
-        parts: dict[str, list[str]] = {}
-        rows: dict[str, int] = {}
-        failed: dict[str, str] = {}
-        for m in filter(None, messages):
-            for name, own in m.parts.items():
-                parts.setdefault(name, []).extend(own)
-            for name, n in m.rows.items():
-                rows[name] = rows.get(name, 0) + n
-            for name, e in m.failed.items():
-                failed[name] = min(e, failed.get(name, e))
-        log = []
-        for name in sorted(rows):
-            if name in failed:
-                log.append((name, rows[name], "failed", failed[name]))
-            else:
-                new = self.aside.publish(parts[name], f"rows/file={folder_name(name)}")
-                log.append((name, rows[name], "completed" if new else "loaded before", None))
-        if log:
-            system, root = opened(self.aside.path)
-            system.create_dir(f"{root}/log")
-            types = {"file": pa.string(), "n_rows": pa.int64(), "status": pa.string(), "error": pa.string()}
-            table = pa.table({c: pa.array(x, t) for (c, t), x in zip(types.items(), zip(*log, strict=True), strict=True)})
-            pq.write_table(table, f"{self.aside.folder()}/log.parquet", filesystem=system)
-            system.move(f"{self.aside.folder()}/log.parquet", f"{root}/log/{self.aside.job}.parquet")
+        parts = [p for m in filter(None, messages) for p in m.parts.get("rows", [])]
+        if parts:
+            self.aside.publish(parts, f"rows/{self.aside.job}")
         self.aside.clear()
 
     def abort(self, messages: list[Wrote | None]) -> None:
@@ -109,7 +66,7 @@ class RowSink(DataSource):
     def writer(self, schema, overwrite: bool) -> RowWriter:
         if not {"file", "error"} <= set(schema.fieldNames()):
             raise ValueError("rows need the columns file and error")
-        return RowWriter(self.options["path"])
+        return RowWriter(self.options["path"], self.options.get("job"))
 
 
 class FileWriter(DataSourceArrowWriter):
@@ -153,23 +110,54 @@ def load_files(rows: DataFrame, path: str, checks: dict[str, Column]) -> None:
     fails a check, not at all.
 
     A row fails with the first check that isn't true of it.  Rows of a file may
-    lie in any tasks; a file that has been loaded before stays as it is.
+    lie in any tasks; a file that has been loaded before stays as it is.  Rows are put
+    aside and judged by file; the log, moved last, is what makes a load count.
     """
     spark = rows.sparkSession
     spark.dataSource.register(RowSink)
     error = F.coalesce(*(F.when(~F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in checks.items()), F.lit(None).cast("string"))
-    told = rows.withColumn("file", F.col("file").cast("string")).withColumn("error", error)
-    told.sortWithinPartitions("file").write.format("partloom_rows").mode("append").option("path", path).save()
+    file = F.coalesce(F.col("file").cast("string"), F.raise_error(F.lit("a row without a file")).cast("string"))
+    aside = Aside(path)
+    at = f"{path.rstrip('/')}/_aside/{aside.job}"
+    try:
+        rows.withColumns({"file": file, "error": error}).write.parquet(f"{at}/staged")
+        staged = spark.read.parquet(f"{at}/staged")
+        files = staged.groupBy("file").agg(F.count("*").alias("n_rows"), F.min("error").alias("error"))
+        known = load_log(spark, path).where("status = 'completed'").select("file", F.lit(True).alias("known"))
+        status = F.when(F.col("error").isNotNull(), "failed").when(F.col("known"), "loaded before").otherwise("completed")
+        files.join(known, "file", "left").select("file", "n_rows", status.alias("status"), "error").write.parquet(f"{at}/log")
+        new = spark.read.schema(_LOG).parquet(f"{at}/log").where("status = 'completed'")
+        kept = staged.join(new.select("file"), "file", "left_semi")
+        kept.write.format("partloom_rows").mode("append").option("path", path).option("job", f"{aside.job}-rows").save()
+        system, root = opened(path)
+        system.create_dir(f"{root}/log")
+        system.move(aside.folder("log"), f"{root}/log/{aside.job}")
+    finally:
+        aside.clear()
+
+
+_LOG = "file string, n_rows long, status string, error string"
+
+
+def _loads(path: str, kind: str) -> list[str]:
+    """The loads that a folder keeps: those with a log, or those with rows."""
+    system, root = opened(path)
+    return sorted(f.base_name for f in system.get_file_info(fs.FileSelector(f"{root}/{kind}", allow_not_found=True)))
+
+
+def _read(spark: SparkSession, schema: str, paths: list[str]) -> DataFrame:
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def loaded_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """file and the columns of schema, of all files that were loaded."""
-    return spark.read.schema(f"{schema}, file string").parquet(f"{path}/rows")
+    told = {f"{job}-rows" for job in _loads(path, "log")}  # rows whose load ended before its log don't count
+    return _read(spark, f"{schema}, file string", [f"{path}/rows/{job}" for job in _loads(path, "rows") if job in told])
 
 
 def load_log(spark: SparkSession, path: str) -> DataFrame:
     """file, n_rows, status, error of every file of every load."""
-    return spark.read.schema("file string, n_rows long, status string, error string").parquet(f"{path}/log")
+    return _read(spark, _LOG, [f"{path}/log/{job}" for job in _loads(path, "log")])
 
 
 def write_files(files: DataFrame, path: str) -> None:

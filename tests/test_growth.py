@@ -5,7 +5,7 @@ import os
 import pytest
 from helpers import SF, against_duckdb
 
-from partloom.sources import rewrite
+from partloom.sources import committed, rewrite
 
 
 @pytest.fixture
@@ -47,3 +47,17 @@ def test_a_rewrite_looks_at_changes_once():
     sheet.feed(f"<worksheet><sheetData>{rows}</sheetData></worksheet>".encode(), True)
     assert sheet.n == 450 and b"".join(out).count(b"<row ") == len(set(range(1, 900, 2)) | set(range(1, 600, 3)))
     assert Counted.looks < 10
+
+
+def test_loads_write_no_folder_for_each_file(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = spark.range(3000).selectExpr("CAST(id % 1000 AS STRING) AS file", "id AS v").repartition(3)
+    for _ in range(2):
+        committed.load_files(rows, path, {"last": rows["v"] != 2999})
+    assert sum(len(names) for _, _, names in os.walk(f"{path}/rows")) < 50
+    got = committed.loaded_rows(spark, path, "v long")
+    assert (got.count(), got.where("file = '999'").count()) == (2997, 0)
+    log = committed.load_log(spark, path).groupBy("status").count().collect()
+    assert {r["status"]: r["count"] for r in log} == {"completed": 999, "loaded before": 999, "failed": 2}
+    os.rename(f"{path}/log", f"{path}/lost")  # a load that broke off before its log
+    assert committed.loaded_rows(spark, path, "v long").isEmpty()
