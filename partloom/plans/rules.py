@@ -157,7 +157,7 @@ def matched_nodes(spark, sf):
     """The node that a rule names, else the first candidate."""
     q = table(spark, sf, "customer").select(F.col("c_custkey").alias("query"), _pick(_REQUESTS, F.col("c_custkey")).alias("text"))
     p = table(spark, sf, "part").select((F.col("p_partkey") % 97).alias("k"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("part_no"), (F.col("p_partkey") % 17).alias("position"))
-    return agent.matched(q.withColumn("k", F.col("query") % 97).join(p, "k"), [("motor", "P5", 95), ("fan", "P9", 98)])
+    return agent.matched_at(q.withColumn("k", F.col("query") % 97), p, [("motor", "P5", 95), ("fan", "P9", 98)], place="k")
 
 
 @query(f"""WITH {BOM} SELECT row_no, array_to_string(list_filter([{', '.join(repr(w) for w in feedback.CHANGE_TARGETS)}], lambda w: contains(point || ' ' || reason, w)), ',') AS targets FROM bom""")

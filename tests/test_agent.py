@@ -51,3 +51,12 @@ def test_long_texts_are_encoded_in_windows():
     assert sparse[0] == parts[1][0] | parts[1][1]
     assert dense[1] == encode.hashed_encoder(8)(["x"])[0][0]
     assert list(encode.by_length([], 5)) == [] and sorted(sum(encode.by_length([9, 1, 9], 5), [])) == [0, 1, 2]
+
+
+def test_equal_requests_meet_their_parts_once(spark):
+    requests = spark.range(300_000).selectExpr("id AS query", "IF(id % 3 = 0, NULL, IF(id % 3 = 1, 'AC motor', 'red')) AS text", "id % 2 AS place")
+    parts = spark.range(40_000).selectExpr("id % 2 AS place", "concat('P', id) AS part_no", "id % 17 AS position")
+    got = agent.matched_at(requests, parts, [("motor", "P5", 95)], place="place")  # six billion pairs, one by one
+    assert {(r.place, r.text, r.part_no, r.score, r.n) for r in got.join(requests, "query").groupBy("place", "text", "part_no", "score").agg(F.count("*").alias("n")).collect()} == {
+        (p, t, "P5" if p and t == "AC motor" else f"P{best[p]}", 95 if p and t == "AC motor" else 50, 50_000) for best in [{p: max((str(i) for i in range(40_000) if i % 34 == 17 * p), key=str) for p in (0, 1)}] for p in (0, 1) for t in (None, "AC motor", "red")
+    }
