@@ -74,21 +74,17 @@ def best_by_tokens(left: DataFrame, right: DataFrame, *, left_id: str, right_id:
     """left_id, right_id, score: for each row of left the row of right that shares
     most words, ``least`` at least; ties go to the smaller right_id.
 
-    Two sets that share so many words share one of either's rarest but least - 1,
-    so only these are looked up in an index of words; whole sets decide then.
+    Identifiers are whole numbers.  Cells of right meet blocks of left, which
+    keep the best row of each; pairs are not put down.
     """
-    a = left.select(left_id, tokens(F.col(text)).alias("wa"))
-    b = right.select(right_id, tokens(F.col(text)).alias("wb"))
-    words = b.select(right_id, F.explode("wb").alias("word"))
-    often = words.groupBy("word").agg(F.count("*").alias("n"))
-    asked = a.select(left_id, F.size("wa").alias("size"), F.explode("wa").alias("word")).join(often, "word", "left")
-    # words that right lacks count as the rarest: they find nothing and take up places
-    ranked = asked.groupBy(left_id).agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("x"))
-    rare = ranked.select(left_id, F.explode(F.slice("x.word", F.lit(1), F.greatest(F.col("size") - (least - 1), F.lit(0)))).alias("word"))
-    pairs = rare.join(words, "word").select(left_id, right_id).distinct()
-    scores = pairs.join(a, left_id).join(b, right_id).select(left_id, right_id, F.size(F.array_intersect("wa", "wb")).cast("long").alias("score"))
-    best = scores.where(F.col("score") >= least).groupBy(left_id).agg(F.max(F.struct("score", (-F.col(right_id)).alias("r"))).alias("best"))
-    return best.select(left_id, (-F.col("best.r")).alias(right_id), F.col("best.score").alias("score"))
+    from partloom.operators.retrieval import _by_words
+
+    def sets(df: DataFrame, key: str, name: str) -> DataFrame:
+        return df.select(F.col(key).alias(name), tokens(F.col(text)).alias("words"))
+
+    enough = lambda got, nq, nd: got * (got > least - 0.5)
+    best = _by_words(sets(right, right_id, "__right"), sets(left, left_id, "query"), 1, enough, doc_id="__right")
+    return best.select(*(F.col(c).cast(df.schema[key].dataType).alias(key) for c, df, key in (("query", left, left_id), ("__right", right, right_id))), F.col("score").cast("long").alias("score"))
 
 
 def rerank(docs: DataFrame, query: str, k: int, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

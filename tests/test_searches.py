@@ -152,3 +152,31 @@ def test_named_parts(spark):
     scoped = {tuple(r) for r in feedback.named_parts(df, parts, scope="s").collect()}
     assert scoped == got
     assert {tuple(r) for r in feedback.named_parts(df.withColumn("s", F.lit(2)), parts, scope="s").collect()} == {(4, "X1", "part_name")}
+
+
+def test_word_searches_shuffle_little(spark):
+    """Tables are dealt out in few cells and blocks; any cut gives the same."""
+    import pyarrow as pa
+
+    assert retrieval.WORD_ROWS >= 32_768 and retrieval.WORD_QUERIES >= 16_384
+    rng = np.random.default_rng(3)
+    sets = [rng.choice(40, rng.integers(1, 9), replace=False) for _ in range(90)]
+    table = pa.table({"words": pa.array([s.tolist() for s in sets], pa.list_(pa.int64())), "weights": pa.array([(s * 0.5).tolist() for s in sets], pa.list_(pa.float64()))})
+    dense = np.zeros((90, 40))
+    for i, s in enumerate(sets):
+        dense[i, s] = s * 0.5
+    for at_once in (50, 1 << 22):  # also fewer sums than one query has
+        got = np.concatenate([x for _, x in retrieval._products(table, table.slice(0, 30), at_once)])
+        assert np.allclose(got, dense[:30] @ dense.T)
+
+
+def test_best_rows_come_without_pairs(spark):
+    import inspect
+
+    from partloom.operators import match
+
+    left = spark.createDataFrame([(1, "a b c d"), (2, "x y"), (3, None), (4, "a b z")], "item int, text string")
+    right = spark.createDataFrame([(9, "d c b"), (7, "B c d e"), (8, "a b"), (5, None)], "doc long, text string")
+    got = match.best_by_tokens(left, right, left_id="item", right_id="doc", least=2)
+    assert sorted(map(tuple, got.collect())) == [(1, 7, 3), (4, 8, 2)]
+    assert "distinct" not in inspect.getsource(match.best_by_tokens)  # no table of pairs
