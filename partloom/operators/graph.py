@@ -10,6 +10,7 @@ from partloom.functions.text import blank_to_null, case_id, document_id, is_part
 from partloom.operators.classify import direct_part_no, direct_role, effective_part_no, graph_classification
 from partloom.operators.hierarchy import ancestors_by_stack, closure
 from partloom.operators.merge import first_wins
+from partloom.session import checkpointed
 
 CHANGES = ["Change", "New", "Delete"]
 
@@ -86,8 +87,8 @@ def replacement_edges(changes: DataFrame) -> DataFrame:
 
 
 def build(rows: DataFrame) -> dict[str, DataFrame]:
-    """All tables from one table of rows."""
-    line = lines(rows)
+    """All tables from one table of rows; the lines, of which all are made, are computed once."""
+    line = checkpointed(lines(rows), "doc", "row_no")
     raw = raw_parts(line)
     changes = change_records(line)
     return {

@@ -5,6 +5,8 @@ import os
 import pytest
 from helpers import SF, against_duckdb
 
+from partloom import session
+from partloom.operators import fulltext
 from partloom.sources import committed, rewrite
 
 
@@ -61,3 +63,25 @@ def test_loads_write_no_folder_for_each_file(spark, tmp_path):
     assert {r["status"]: r["count"] for r in log} == {"completed": 999, "loaded before": 999, "failed": 2}
     os.rename(f"{path}/log", f"{path}/lost")  # a load that broke off before its log
     assert committed.loaded_rows(spark, path, "v long").isEmpty()
+
+
+def test_equal_nodes_and_queries_meet_once(spark, monkeypatch):
+    """Neither the pairs of equal nodes and equal queries nor their candidates are put down."""
+    kept = []
+
+    def counted(df, *args, **kw):
+        out = session.checkpointed(df, *args, **kw)
+        kept.append(out.count())
+        return out
+
+    nodes = spark.createDataFrame([("A", f"n{i:03}", f"red bolt own{i}" if i % 2 else "hot ring") for i in range(800)], "label string, id string, text string")
+    index = fulltext.build_index(nodes)
+    queries = spark.createDataFrame([(i, f"red bolt own{i}") for i in range(400)], "query int, text string")
+    monkeypatch.setattr(fulltext, "checkpointed", counted)
+    got = fulltext.search(index, queries, 3).orderBy("query", "rank").collect()
+    assert max(kept) < 3000
+    firsts = ["n001", "n003", "n005"]
+    for q in (0, 9):
+        own = f"n{q:03}"
+        want = [own, *[x for x in firsts if x != own]][:3] if q % 2 else firsts
+        assert [r["id"] for r in got if r["query"] == q] == want
