@@ -6,7 +6,7 @@ import pytest
 from helpers import SF, against_duckdb
 
 from partloom import session
-from partloom.operators import fulltext
+from partloom.operators import contains, fulltext
 from partloom.sources import committed, rewrite
 
 
@@ -85,3 +85,20 @@ def test_equal_nodes_and_queries_meet_once(spark, monkeypatch):
         own = f"n{q:03}"
         want = [own, *[x for x in firsts if x != own]][:3] if q % 2 else firsts
         assert [r["id"] for r in got if r["query"] == q] == want
+
+
+def test_patterns_are_looked_up_by_long_or_rare_pieces(spark, monkeypatch):
+    """Frequent beginnings of numbers and frequent words don't make each pattern meet all texts."""
+    kept = []
+
+    def counted(df, *args, **kw):
+        out = session.checkpointed(df, *args, **kw)
+        kept.append([r.asDict() for r in out.collect()])
+        return out
+
+    monkeypatch.setattr(contains, "checkpointed", counted)
+    texts = spark.range(1000, 1400).selectExpr("concat('AEC0000', id, ' plate') AS t", "concat('0000', id) AS p", "concat('%', id, '%PLATE%') AS l")
+    for find, pattern in ((contains.holding, "p"), (contains.matching, "l")):
+        assert find(texts, texts, "t", pattern).count() == 400
+        keys = [r["piece"] for r in kept[-1]]
+        assert len(set(keys)) == 400 and all(sum(k in f"aec0000{i} plate" for i in range(1000, 1400)) == 1 for k in keys[:5])
