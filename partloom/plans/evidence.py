@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from partloom.operators import evidence, layout, merge
+from partloom.operators import evidence, layout, merge, proposals
 from partloom.plans.bom import BOM, bom_rows
 from partloom.plans.registry import query, table
 from partloom.plans.reports import _merge_input
-from partloom.plans.review import second_looks
+from partloom.plans.review import looked_at
 from partloom.plans.sheets import _cells
 
 
@@ -66,7 +66,7 @@ def base_resolution(spark, sf):
     r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, pid) AS k FROM s WHERE score > 0), n AS (SELECT *, row_number() OVER (ORDER BY query, k) AS n FROM r WHERE k <= 8)
     SELECT 'RR-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS proposal_id, query, pid, score FROM n""")
 def second_proposals(spark, sf):
-    return evidence.second_proposals(second_looks(spark, sf))
+    return evidence.second_proposals(proposals.best_rechecks(*looked_at(spark, sf), 8))
 
 
 @query("SELECT count(*) AS before, count(DISTINCT l_partkey) AS after, count(*) - count(DISTINCT l_partkey) AS gone FROM lineitem")

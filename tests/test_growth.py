@@ -102,3 +102,26 @@ def test_patterns_are_looked_up_by_long_or_rare_pieces(spark, monkeypatch):
         assert find(texts, texts, "t", pattern).count() == 400
         keys = [r["piece"] for r in kept[-1]]
         assert len(set(keys)) == 400 and all(sum(k in f"aec0000{i} plate" for i in range(1000, 1400)) == 1 for k in keys[:5])
+
+
+def test_second_looks_of_equal_rows_meet_once(spark):
+    """Links between classes, expanded, are all pairs; a number from two sources tells rows apart."""
+    from partloom.operators import proposals
+
+    rows = [(i, "A", f"P{i % 90}", f"w{i % 3} x", f".{i % 2}", "CORE", "ADD", f"d{i % 4}" if i % 7 else "") for i in range(200)]
+    parts = spark.createDataFrame(rows, "pid int, l1 string, part_no string, name string, level string, tier string, action string, source_doc string")
+    asked = parts.where("pid % 5 = 0").withColumnRenamed("pid", "query")
+    links, requests, members = proposals.recheck_classes(parts, asked)
+    got = [tuple(r) for r in links.join(requests, "request").join(members, "part").select("query", "pid", "score").collect()]
+    want = {}
+    for a in rows[::5]:
+        for p in rows:
+            if p[2] != a[2] and (not p[7] or not a[7] or p[7] != a[7]):
+                want[a[0], p[0]] = 10 * len({*p[3].split()} & {*a[3].split()}) + 5 * (p[4] == a[4]) + 5
+    assert len(got) == len(want) and {(q, p): s for q, p, s in got} == want
+    best = [tuple(r) for r in proposals.best_rechecks(parts, asked, 8).collect()]
+    ranked = {q: sorted((-s, p) for (x, p), s in want.items() if x == q)[:8] for q in range(0, 200, 5)}
+    assert sorted(best) == sorted((q, p, -s) for q, some in ranked.items() for s, p in some)
+    copies = parts.where("pid % 90 = 1 AND pid % 4 = 1").crossJoin(spark.range(50)).selectExpr("CAST(1000 + id AS INT) AS pid", "l1", "concat('Q', id) AS part_no", "name", "level", "tier", "action", "source_doc")
+    links, _, _ = proposals.recheck_classes(copies.unionByName(copies.selectExpr("pid + 500 AS pid", "l1", "concat('R', pid) AS part_no", "name", "level", "tier", "action", "'d9' AS source_doc")), copies.withColumnRenamed("pid", "query"))
+    assert links.count() == 1
