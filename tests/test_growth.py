@@ -125,3 +125,15 @@ def test_second_looks_of_equal_rows_meet_once(spark):
     copies = parts.where("pid % 90 = 1 AND pid % 4 = 1").crossJoin(spark.range(50)).selectExpr("CAST(1000 + id AS INT) AS pid", "l1", "concat('Q', id) AS part_no", "name", "level", "tier", "action", "source_doc")
     links, _, _ = proposals.recheck_classes(copies.unionByName(copies.selectExpr("pid + 500 AS pid", "l1", "concat('R', pid) AS part_no", "name", "level", "tier", "action", "'d9' AS source_doc")), copies.withColumnRenamed("pid", "query"))
     assert links.count() == 1
+
+
+def test_named_parts_of_equal_names_meet_once(spark):
+    from partloom.operators import feedback
+
+    parts = spark.createDataFrame([(f"AEC{i:08}", ["red bolt", "bolt, red", "hot ring"][i % 3]) for i in range(300)], "number string, name string")
+    texts = spark.createDataFrame([(i, "a red one" if i % 2 else f"ring aec-{i:08}") for i in range(100)], "text_id int, text string")
+    numbers, links, own, members = feedback.named_classes(texts, parts)
+    assert (numbers.count(), links.count(), own.count(), members.count()) == (50, 51, 100, 300)
+    got = feedback.named_parts(texts, parts).groupBy("way").count().collect()
+    overlap = sum(i % 3 == 2 for i in range(0, 100, 2))  # named by both ways: the number counts
+    assert {r["way"]: r["count"] for r in got} == {"part_no": 50, "part_name": 50 * 200 + 50 * 100 - overlap}
