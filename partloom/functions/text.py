@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,7 +30,13 @@ EXPLAINING_WORDS = ["동일 사업부", "다르면", "으로 봄", "EX:", "예:"
 EXPLAINING_SIGNS = [".", "!", "?", ";", "(ex", "예)"]
 
 #: Every kind of white space, with the separators U+001C to U+001F.
-SPACE = r"(?U)[\s\x1c-\x1f]+"
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+SPACE = r"[[^!-~가-힣]&&[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]+"  # most letters fail at once
+
+
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that a row computes once, however often f names it."""
+    return F.get(F.transform(F.array(c), f), 0)
 
 
 def squeeze(c: Column) -> Column:
@@ -37,7 +45,7 @@ def squeeze(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -54,8 +62,7 @@ clean_header = clean_cell
 
 def clean(c: Column) -> Column:
     """A stripped cell; null and "nan" are blank."""
-    text = strip(F.coalesce(c, F.lit("")))
-    return F.when(F.lower(text) == "nan", "").otherwise(text)
+    return F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"(?i)\Anan\z", "")
 
 
 def header_key(c: Column) -> Column:
@@ -180,7 +187,7 @@ def tokens(c: Column) -> Column:
 def tags(c: Column, seeds: list[str], stop: list[str], n: int = 6) -> Column:
     """Seed words that a text has, then its own words, at most n."""
     lower = F.lower(F.coalesce(c, F.lit("")))
-    hits = F.filter(F.array(*map(F.lit, seeds)), lambda s: F.contains(lower, F.lower(s)))
+    hits = once(lower, lambda low: F.filter(F.array(*map(F.lit, seeds)), lambda s: F.contains(low, F.lower(s))))
     own = F.filter(F.regexp_extract_all(lower, F.lit(r"([a-z0-9가-힣]{2,})"), 1), lambda w: ~w.isin(stop))
     return F.slice(F.array_distinct(F.concat(hits, own)), 1, n)
 
@@ -188,8 +195,8 @@ def tags(c: Column, seeds: list[str], stop: list[str], n: int = 6) -> Column:
 def reason_key(c: Column) -> Column:
     """The technical words of a reason in order; without any, the reason itself."""
     upper = F.trim(F.upper(F.coalesce(c, F.lit(""))))
-    found = F.array_join(F.filter(F.array(*map(F.lit, TECH_KEYWORDS)), lambda k: F.contains(upper, k)), "_")
-    return F.when(F.coalesce(c, F.lit("")) == "", "").when(found != "", found).otherwise(merge_text(c))
+    found = once(upper, lambda u: F.array_join(F.filter(F.array(*map(F.lit, TECH_KEYWORDS)), lambda k: F.contains(u, k)), "_"))
+    return F.when(F.coalesce(c, F.lit("")) == "", "").otherwise(F.coalesce(once(found, blank_to_null), merge_text(c)))
 
 
 def without_fragments(c: Column, banned: list[str]) -> Column:
@@ -241,9 +248,8 @@ def is_real_part_no(c: Column) -> Column:
 
 def is_placeholder_part_no(c: Column) -> Column:
     """Words in place of a number; a blank cell is none."""
-    text = F.upper(strip(F.coalesce(c, F.lit(""))))
-    compact = F.regexp_replace(text, "[^A-Z0-9]", "")
-    return F.when(text == "", False).otherwise((compact == "") | contains_any(text, PLACEHOLDER_WORDS) | compact.rlike("^[A-Z]+$"))
+    no_number = lambda text: contains_any(text, PLACEHOLDER_WORDS) | F.regexp_replace(text, "[^A-Z0-9]", "").rlike("^[A-Z]*$")
+    return once(F.upper(strip(F.coalesce(c, F.lit("")))), lambda text: (text != "") & no_number(text))
 
 
 def real_part_no(*cs: Column) -> Column:
@@ -253,12 +259,13 @@ def real_part_no(*cs: Column) -> Column:
 
 
 def is_number(c: Column) -> Column:
-    upper = F.upper(strip(F.coalesce(c, F.lit(""))))
-    return (upper != "") & ~F.exists(F.array(*map(F.lit, PENDING_MARKS)), lambda m: F.contains(upper, m))
+    return once(F.upper(strip(F.coalesce(c, F.lit("")))), lambda upper: (upper != "") & ~contains_any(upper, PENDING_MARKS))
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
-    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(c, w))
+    # one pattern: a lambda over the words would compute c for each of them
+    quoted = (rf"\Q{w}\E" for w in (w.replace(r"\E", r"\E\\E\Q") for w in words))
+    return c.rlike("|".join(quoted)) if words else F.lit(False)
 
 
 def has_keyword(c: Column, word: str) -> Column:
@@ -277,10 +284,13 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def product_type(c: Column) -> Column:
     """A product type as written; blank where the cell explains rather than names."""
-    text = F.regexp_replace(squeeze(F.coalesce(c, F.lit(""))), r"^[ \-:\t]+|[ \-:\t]+$", "")
-    long = (F.contains(text, F.lit(" ")) & (F.length(text) > 24)) | (F.length(text) > 40)
-    bad = contains_any(F.upper(text), [w.upper() for w in EXPLAINING_WORDS]) | contains_any(text, EXPLAINING_SIGNS)
-    return F.when(bad | long, "").otherwise(text)
+
+    def named(text: Column) -> Column:
+        long = (F.contains(text, F.lit(" ")) & (F.length(text) > 24)) | (F.length(text) > 40)
+        bad = contains_any(F.upper(text), [w.upper() for w in EXPLAINING_WORDS]) | contains_any(text, EXPLAINING_SIGNS)
+        return F.when(bad | long, "").otherwise(text)
+
+    return once(F.regexp_replace(squeeze(F.coalesce(c, F.lit(""))), r"^[ \-:\t]+|[ \-:\t]+$", ""), named)
 
 
 def product_by_model(c: Column) -> Column:

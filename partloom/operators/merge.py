@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from partloom.functions.text import blank_to_null, is_number, merge_text, part_no_strict
+from partloom.functions.text import blank_to_null, is_number, merge_text, once, part_no_strict
 from partloom.operators.classify import action_bucket
 
 # Ranks of tiers, sources of levels, sourcing and actions.
@@ -67,13 +67,11 @@ def insert_new(old: DataFrame, new: DataFrame, keys: list[str], *, order: str |
 
 def identity_key(*, l1: Column, act: Column, number: Column, name: Column, kind: Column, level: Column, row: Column) -> Column:
     """What makes two parts one: number, else name, kind and level, else nothing."""
-    no = F.when(is_number(number), part_no_strict(number)).otherwise("")
     scope = [merge_text(l1), action_bucket(act)]
-    by_name = F.concat_ws("|", F.lit("NAME"), *scope, merge_text(name), merge_text(kind), merge_text(level))
-    return (
-        F.when(no != "", F.concat_ws("|", F.lit("PNO"), *scope, no)).when(merge_text(name) != "", by_name)
-        .otherwise(F.concat_ws("|", F.lit("ROW"), *scope, row.cast("string")))
-    )
+    no = F.when(is_number(number), part_no_strict(number)).otherwise("")
+    by_no = once(no, lambda n: F.when(n != "", F.concat_ws("|", F.lit("PNO"), *scope, n)))
+    by_name = once(merge_text(name), lambda n: F.when(n != "", F.concat_ws("|", F.lit("NAME"), *scope, n, merge_text(kind), merge_text(level))))
+    return F.coalesce(by_no, by_name, F.concat_ws("|", F.lit("ROW"), *scope, row.cast("string")))
 
 
 def append_texts(texts: Column) -> Column:

@@ -137,3 +137,37 @@ def test_named_parts_of_equal_names_meet_once(spark):
     got = feedback.named_parts(texts, parts).groupBy("way").count().collect()
     overlap = sum(i % 3 == 2 for i in range(0, 100, 2))  # named by both ways: the number counts
     assert {r["way"]: r["count"] for r in got} == {"part_no": 50, "part_name": 50 * 200 + 50 * 100 - overlap}
+
+
+def _computed(df, column):
+    """How often a plan's projection names a column, and whether a lambda does, which would compute it for each element."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString().split("\n")[0]
+    return plan.count(f"{column}#"), any(f"{column}#" in x.split("lambda")[0] for x in plan.split("lambdafunction(")[1:])
+
+
+def test_rules_compute_their_text_once(spark):
+    from pyspark.sql import functions as F
+
+    from partloom.functions import text
+    from partloom.operators import classify
+
+    cells = spark.createDataFrame([(" LED 추가 ", "b", "c")], "said string, what string, why string").repartition(1)
+    said, what, why = F.col("said"), F.col("what"), F.col("why")
+    for rule in (classify.user_intent(said), classify.guess_change(said), classify.feature(said), classify.graph_classification(said), text.product_type(said), text.clean(said), text.contains_any(F.upper(said), ["A", "B"])):
+        assert _computed(cells.select(rule.alias("x")), "said") == (1, False)
+    assert _computed(cells.select(classify.domain(said, what, why).alias("x")), "why") == (1, False)
+    got = cells.select(text.contains_any(said, [r"a\Eb", "추가"]), text.contains_any(said, []), text.contains_any(F.lit(None).cast("string"), ["a"])).head()
+    assert tuple(got) == (True, False, None)
+
+
+def test_display_folds_without_patterns(spark):
+    """Ranks and buckets are told of each row before rows are folded."""
+    from partloom.operators import proposals
+
+    columns = ["group_no", "ord", "l1", "number", "name", "kind", "action", "level", "tier", "remark", "source", "reason"]
+    rows = [(1, 1, "L", "(채번 필요)", "n", "k", "추가", "..2", "cascade", "see", "d1", ""), (1, 2, "L", "", "N ", "k", "modify", "..2", "CORE ", "", "d1", "r"), (1, 3, "L", "TBD", "n", "k", "check", "..2", "core", "참고 1", "d2", "r2"), (2, 4, "L", "", "n", "k", "추가", "..2", "", "", "", "")]
+    out = proposals.display_table(spark.createDataFrame(rows, columns))
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 1, "L", "TBD", "n", "k", "변경", "..2", "core", "참고 1 | see", "d2 | d1", "r2", 3), (2, 4, "L", "", "n", "k", "추가", "..2", "", "", "", "", 1)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    folds = [line for line in plan.split("\n") if "aggregate(" in line]
+    assert folds and not any("regexp_replace" in line.split("aggregate(")[1].split(" AS ")[0] for line in folds)
