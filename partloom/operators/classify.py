@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from partloom.functions.text import clean, contains_any, has_keyword, is_part_no, merge_text, part_no_strict, squeeze, strip
+from partloom.functions.text import clean, contains_any, has_keyword, is_part_no, merge_text, once, part_no_strict, squeeze, strip
 
 # The word lists of the rules, in the rules' order.
 REGIONS = [
@@ -58,11 +58,15 @@ TABLE_BLACKLIST = ["적용여부", "과전압", "PDR", "ODR", "EVENT", "NPI", "A
 
 def first_hit(text: Column, rules: list[tuple[str, list[str]]], otherwise: str | None = "") -> Column:
     """The label of the first rule one of whose words a text holds."""
-    out: Column | None = None
-    for label, words in rules:
-        hit = contains_any(text, words)
-        out = F.when(hit, label) if out is None else out.when(hit, label)
-    return out.otherwise(otherwise)
+
+    def label_of(t: Column) -> Column:
+        out: Column | None = None
+        for label, words in rules:
+            hit = contains_any(t, words)
+            out = F.when(hit, label) if out is None else out.when(hit, label)
+        return out.otherwise(otherwise)
+
+    return once(text, label_of)
 
 
 def row_kind(new_no: Column, reason: Column) -> Column:
@@ -73,40 +77,55 @@ def row_kind(new_no: Column, reason: Column) -> Column:
 
 def classification(c: Column) -> Column:
     """With the spellings that sheets have; other words stay, blank is null."""
-    text = strip(c)
-    low = F.lower(text)
-    return (
-        F.when(text == "", None).when(low == "new", "NEW").when(low.isin("chainging", "changing", "change"), "Changing")
-        .when(low == "common", "Common").when(low.isin("delet", "delete"), "Delete").otherwise(text)
-    )
+
+    def spelled(text: Column) -> Column:
+        low = F.lower(text)
+        return (
+            F.when(text == "", None).when(low == "new", "NEW").when(low.isin("chainging", "changing", "change"), "Changing")
+            .when(low == "common", "Common").when(low.isin("delet", "delete"), "Delete").otherwise(text)
+        )
+
+    return once(strip(c), spelled)
 
 
 def graph_classification(c: Column) -> Column:
     """By parts of words, as the graph has it ("Changing" is none of them)."""
-    text = clean(c)
-    low = F.lower(text)
-    return (
-        F.when(contains_any(low, ["common", "공통"]), "Common").when(contains_any(low, ["change", "변경"]), "Change")
-        .when(contains_any(low, ["delete", "삭제"]), "Delete").when((low == "new") | contains_any(low, ["신규", "추가"]), "New").otherwise(text)
-    )
+
+    def spelled(text: Column) -> Column:
+        low = F.lower(text)
+        return (
+            F.when(contains_any(low, ["common", "공통"]), "Common").when(contains_any(low, ["change", "변경"]), "Change")
+            .when(contains_any(low, ["delete", "삭제"]), "Delete").when((low == "new") | contains_any(low, ["신규", "추가"]), "New").otherwise(text)
+        )
+
+    return once(clean(c), spelled)
 
 
 def design_classification(base_no: Column, new_no: Column) -> Column:
     """From what stands in the two part number cells."""
-    base, new = clean(base_no), clean(new_no)
-    return (
-        F.when(new == "←", "COMMON").when(F.upper(new) == "X", "DELETE").when(is_part_no(new) & ~is_part_no(base), "NEW")
-        .when(is_part_no(new) & (part_no_strict(new) != part_no_strict(base)), "CHANGE").otherwise("COMMON")
-    )
+
+    def design(x: Column) -> Column:
+        base, new = x["base"], x["new"]
+        return (
+            F.when(new == "←", "COMMON").when(F.upper(new) == "X", "DELETE").when(is_part_no(new) & ~is_part_no(base), "NEW")
+            .when(is_part_no(new) & (part_no_strict(new) != part_no_strict(base)), "CHANGE").otherwise("COMMON")
+        )
+
+    return once(F.struct(clean(base_no).alias("base"), clean(new_no).alias("new")), design)
 
 
 def effective_part_no(base_no: Column, new_no: Column, kind: Column) -> Column:
-    base, new = clean(base_no), clean(new_no)
-    return (
-        F.when(new == "←", F.when(is_part_no(base), base).otherwise("")).when(F.upper(new) == "X", "")
-        .when(kind.isin("Change", "New") & is_part_no(new), new).when(is_part_no(new) & ~is_part_no(base), new)
-        .when(is_part_no(base), base).otherwise("")
-    )
+
+
+    def effective(x: Column) -> Column:
+        base, new = x["base"], x["new"]
+        return (
+            F.when(new == "←", F.when(is_part_no(base), base).otherwise("")).when(F.upper(new) == "X", "")
+            .when(x["kind"].isin("Change", "New") & is_part_no(new), new).when(is_part_no(new) & ~is_part_no(base), new)
+            .when(is_part_no(base), base).otherwise("")
+        )
+
+    return once(F.struct(clean(base_no).alias("base"), clean(new_no).alias("new"), kind.alias("kind")), effective)
 
 
 def direct_part_no(kind: Column, base_no: Column, new_no: Column, effective: Column) -> Column:
@@ -122,9 +141,13 @@ def region(file_name: Column) -> Column:
 
 
 def region_tag(text: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    us, eu = contains_any(low, US_WORDS), contains_any(low, EU_WORDS)
-    return F.when(us & eu, "GLOBAL").when(us, "US").when(eu, "EU").otherwise("UNKNOWN")
+
+
+    def tag(low: Column) -> Column:
+        us, eu = contains_any(low, US_WORDS), contains_any(low, EU_WORDS)
+        return F.when(us & eu, "GLOBAL").when(us, "US").when(eu, "EU").otherwise("UNKNOWN")
+
+    return once(F.lower(F.coalesce(text, F.lit(""))), tag)
 
 
 def region_name(value: Column, hint: Column) -> Column:
@@ -175,14 +198,15 @@ def tier(reason: Column, description: Column, change: Column, core: list[str], t
     """CORE, CASCADE or EXCLUDE by the words of a change's reason."""
     r = F.lower(strip(F.coalesce(F.when(reason != "", reason), F.when(change != "", change), F.lit(""))))
 
-    def any_of(words: list[str]) -> Column:
-        hits = [has_keyword(c, w) for c in (r, description, change) for w in words]
+    def any_of(x: Column, words: list[str]) -> Column:
+        hits = [has_keyword(x[c], w) for c in ("r", "description", "change") for w in words]
         out = F.lit(False)
         for h in hits:
             out = out | h
         return out
 
-    return F.when(r.isin("", "nan"), "EXCLUDE").when(any_of(core), "CORE").when(any_of(target), "CASCADE").otherwise("EXCLUDE")
+    told = lambda x: F.when(x["r"].isin("", "nan"), "EXCLUDE").when(any_of(x, core), "CORE").when(any_of(x, target), "CASCADE").otherwise("EXCLUDE")
+    return once(F.struct(r.alias("r"), description.alias("description"), change.alias("change")), told)
 
 
 def sourcing_by_base(act: Column, change: Column, db_no: Column, in_base: Column) -> Column:
@@ -204,11 +228,11 @@ def sourcing_by_name(name: Column, number: Column, act: Column) -> Column:
 
 
 def action_bucket(c: Column) -> Column:
-    a = merge_text(c)
-    return (
+    bucket = lambda a: (
         F.when(a.isin("ADD", "MODIFY", "CHECK", "추가", "변경", "⚠️확인필요"), "CHANGE").when(a.isin("REMOVE", "DELETE", "삭제"), "DELETE")
         .when(a.isin("KEEP", "유지"), "KEEP").otherwise(a)
     )
+    return once(merge_text(c), bucket)
 
 
 def part_type(kind: Column, spec: Column) -> Column:
@@ -240,7 +264,10 @@ def in_house(uit: Column) -> Column:
 
 def slide_role(text: Column) -> Column:
     """OVERVIEW, DETAIL, REFERENCE or UNKNOWN by weighted words of a slide."""
-    blob = F.upper(F.coalesce(text, F.lit("")))
+    return once(F.upper(F.coalesce(text, F.lit(""))), _slide_role)
+
+
+def _slide_role(blob: Column) -> Column:
     has = lambda w: F.contains(blob, F.lit(w)).cast("int")
     total = lambda words, weight: sum((weight * has(w) for w in words), F.lit(0))
     intro = has("개발 PJT 개요")
@@ -296,14 +323,16 @@ MODULE_WORDS = [
 def module_by_words(text: Column, *, least: int = 3) -> Column:
     """The module whose words a change point has most of, two points each and two
     more for a strong one; of equal ones the first, blank below ``least``."""
-    scope = merge_text(text)
-    points = lambda words: sum((F.contains(scope, F.lit(w)).cast("int") * 2 for w in words), F.lit(0))
-    scores = [(m, points(words) + F.when(contains_any(scope, strong), 2).otherwise(0)) for m, words, strong in MODULE_WORDS]
-    top = F.greatest(*(x for _, x in scores))
-    out = F.lit("")
-    for m, x in reversed(scores):
-        out = F.when((x == top) & (top >= least), m).otherwise(out)
-    return out
+    points = lambda scope, words: sum((F.contains(scope, F.lit(w)).cast("int") * 2 for w in words), F.lit(0))
+    scores = lambda scope: F.array(*(points(scope, words) + F.when(contains_any(scope, strong), 2).otherwise(0) for _, words, strong in MODULE_WORDS))
+
+    def best(x: Column) -> Column:
+        top, out = F.array_max(x), F.lit("")
+        for i, (m, _, _) in reversed(list(enumerate(MODULE_WORDS))):
+            out = F.when((F.get(x, i) == top) & (top >= least), m).otherwise(out)
+        return out
+
+    return once(once(merge_text(text), scores), best)
 
 
 def change_point_meta(kind: Column, base_no: Column, new_no: Column, shared: Column, concern: Column, description: Column) -> tuple[Column, Column]:
