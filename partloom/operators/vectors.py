@@ -28,6 +28,9 @@ MOST_LISTS = 1_024
 
 _ROWS, _QUERIES = 8_192, 2_048
 
+#: Queries whose distances to all centroids are held at once.
+_AT_ONCE = 512
+
 
 @dataclass
 class VectorIndex:
@@ -100,7 +103,8 @@ def _to_centroids(queries: DataFrame, centroids: np.ndarray, vector: str) -> Dat
     """query, vector, lists: all lists of each query, nearest centroid first, with their distances."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        slices = (b.slice(i, _AT_ONCE) for b in batches for i in range(0, b.num_rows, _AT_ONCE))
+        for batch in slices:
             if batch.num_rows:
                 unit = _unit(pa.chunked_array([batch[vector]]))
                 away = np.sqrt(np.maximum(0, 2 - 2 * unit @ centroids.T)) if len(centroids) else np.empty((len(unit), 0))
@@ -118,12 +122,14 @@ def _in_lists(index: VectorIndex, rows: DataFrame, asked: DataFrame, k: int) ->
     wanted = asked.groupBy("list").agg(F.count("*").alias("q")).join(index.lists, "list")
     size = wanted.select("list", F.ceil(F.col("n") / _ROWS).alias("n_cells"), F.ceil(F.col("q") / _QUERIES).alias("n_blocks"))
     size = checkpointed(size)
-    probed = [r["list"] for r in size.select("list").collect()]  # MOST_LISTS at most
+    sizes = size.collect()  # MOST_LISTS at most
+    probed = [r["list"] for r in sizes]
     rows = rows.where(F.col("list").isin(probed)).select("list", index.vec_id, index.vector).join(F.broadcast(size), "list")
     cells = asked.join(F.broadcast(size), "list")
+    groups = sum(r["n_cells"] * r["n_blocks"] for r in sizes)
     vec_id, vector = index.vec_id, index.vector
     run = lambda r, q: nearest_in(r, q, k, vec_id, vector)
-    return gridded(rows, cells, run, f"query long, {index.vec_id} long, distance double", row_id=index.vec_id, by=("list",))
+    return gridded(rows, cells, run, f"query long, {index.vec_id} long, distance double", row_id=index.vec_id, by=("list",), groups=groups)
 
 
 def search_vectors(index: VectorIndex, queries: DataFrame, k: int, *, probes: int = 8, where: Column | None = None, exact: bool = False) -> DataFrame:

@@ -171,3 +171,35 @@ def test_display_folds_without_patterns(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     folds = [line for line in plan.split("\n") if "aggregate(" in line]
     assert folds and not any("regexp_replace" in line.split("aggregate(")[1].split(" AS ")[0] for line in folds)
+
+
+def test_searches_hold_bounded_pairs(spark, monkeypatch):
+    """What comes out of a cell and a block at once, and how many of them a task sorts, is bounded."""
+    from partloom.operators import retrieval
+
+    asked = []
+    gridded = retrieval.gridded
+
+    def noted(*args, **kw):
+        asked.append((args[3], kw.get("n_rows", 8192) * kw.get("n_queries", 2048)))
+        return gridded(*args, **kw)
+
+    monkeypatch.setattr(retrieval, "gridded", noted)
+    monkeypatch.setattr(retrieval, "GROUPS", 1)
+    rows = spark.range(600).selectExpr("id AS vec_id", "array(CAST(id % 7 AS FLOAT), CAST(1 AS FLOAT)) AS embedding")
+    queries = rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query")
+    got = retrieval.above_each(rows, queries, enough=22, cuts=(0.9, 0.5, 0.1))
+    assert [n for schema, n in asked if "score" in schema] and all(n <= 1 << 21 for schema, n in asked if "score" in schema)
+    assert got.count() > 30 * 22
+    near = retrieval.nearest_each(rows, queries, 5)
+    monkeypatch.setattr(retrieval, "GROUPS", 1000)
+    usual = retrieval.nearest_each(rows, queries, 5)
+    assert "REPARTITION_BY_NUM" not in usual._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(retrieval, "GROUPS", 1)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        many = retrieval.nearest_each(rows, queries, 5)
+        assert "REPARTITION_BY_NUM" in many._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, many.collect())) == sorted(map(tuple, near.collect())) == sorted(map(tuple, usual.collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
