@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,12 +97,14 @@ def backfill(rows: DataFrame, load: Callable[[], Encoder], *, key: str, text: st
     wanted = rows.where((F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0) & (F.lit(force) | F.col(vector).isNull()))
     kind = rows.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = load()
-        for pdf in batches:
-            for i in range(0, len(pdf), _HELD):
-                part = pdf.iloc[i : i + _HELD]
-                vectors, weights = encode_texts(part[text].tolist(), encode, most=most, budget=budget)
-                yield pd.DataFrame({key: part[key].to_numpy(), vector: vectors, sparse: weights})
-
-    return wanted.select(key, text).mapInPandas(run, f"`{key}` {kind}, `{vector}` array<float>, `{sparse}` map<int,float>")
+        for batch in batches:
+            for i in range(0, batch.num_rows, _HELD):
+                part = batch.slice(i, _HELD)
+                vectors, weights = encode_texts(part[text].to_pylist(), encode, most=most, budget=budget)
+                words, values = (np.fromiter((x for w in weights for x in of(w)), kind) for of, kind in ((dict.keys, np.int32), (dict.values, np.float32)))
+                ends = np.cumsum([0, *map(len, weights)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part[key], pa.array(vectors, pa.list_(pa.float32())), pa.MapArray.from_arrays(ends, words, values)], [key, vector, sparse])
+
+    return wanted.select(key, text).mapInArrow(run, f"`{key}` {kind}, `{vector}` array<float>, `{sparse}` map<int,float>")

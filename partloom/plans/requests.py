@@ -65,6 +65,8 @@ def encoder_backfill(spark, sf):
     have = table(spark, sf, "embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").alias("doc_id"), "embedding")
     docs = table(spark, sf, "documents").select("doc_id", "text").join(have, "doc_id", "left")
     found = encode.backfill(docs, lambda: encode.hashed_encoder(16, 1009), key="doc_id", text="text", most=200, budget=4096)
-    dense = found.select("doc_id", F.lit("dense").alias("head"), F.posexplode("embedding").alias("place", "x")).withColumn("weight", F.round(F.col("x").cast("double"), 4)).where("weight != 0")
-    lexical = found.select("doc_id", F.lit("lexical").alias("head"), F.explode("lexical").alias("place", "x")).withColumn("weight", F.round(F.col("x").cast("double"), 4))
-    return dense.unionByName(lexical).select("doc_id", "head", F.col("place").cast("long").alias("place"), "weight")
+    row = lambda head, place, x: F.struct(F.lit(head).alias("head"), place.cast("long").alias("place"), F.round(x.cast("double"), 4).alias("weight"))
+    dense = F.filter(F.transform("embedding", lambda x, i: row("dense", i, x)), lambda r: r["weight"] != 0)
+    lexical = F.transform(F.map_entries("lexical"), lambda e: row("lexical", e["key"], e["value"]))
+    # both heads of a document from one pass
+    return found.select("doc_id", F.explode(F.concat(dense, lexical)).alias("x")).select("doc_id", "x.*")

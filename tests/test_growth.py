@@ -203,3 +203,12 @@ def test_searches_hold_bounded_pairs(spark, monkeypatch):
         assert sorted(map(tuple, many.collect())) == sorted(map(tuple, near.collect())) == sorted(map(tuple, usual.collect()))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_backfill_encodes_a_text_once(spark, tables):
+    """Both heads of a document come from one pass over Arrow columns."""
+    import __spark_entry__
+
+    df = __spark_entry__.queries()["encoder_backfill"](spark, tables.folder)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "MapInPandas" not in plan
