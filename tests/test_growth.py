@@ -212,3 +212,31 @@ def test_backfill_encodes_a_text_once(spark, tables):
     df = __spark_entry__.queries()["encoder_backfill"](spark, tables.folder)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "MapInPandas" not in plan
+
+
+def test_chains_are_followed_in_ranges_first(spark, monkeypatch):
+    """Pointers double over the nodes alone that other ranges lead to; chains across ranges, rings and ends come out."""
+    from partloom.operators import hierarchy
+
+    put = []
+
+    def counted(df, *args, **kw):
+        out = session.checkpointed(df, *args, **kw)
+        put.append(out.count())
+        return out
+
+    monkeypatch.setattr(hierarchy, "checkpointed", counted)
+    ways = {i: i + 1 for i in range(4000) if i % 1000 != 999} | {1999: 1500, 2999: 10, 5000: 3, 5001: 5001, 5002: 3999, 6000: 6001, 6001: 6000}
+    edges = spark.createDataFrame([*ways.items(), (5, 700), (7000, None)], "src long, dst long").repartition(3)
+    got = {r["node"]: (r["last"], r["length"], r["cyclic"]) for r in hierarchy.chain_ends(edges).collect()}
+    want = {}
+    for node in {*ways, *ways.values(), 7000}:
+        at, steps = node, 0
+        while at in ways and steps <= len(ways):
+            at, steps = ways[at], steps + 1
+        want[node] = (None, None, True) if at in ways else (at, steps, False)
+    assert got == want
+    assert sum(n < 50 for n in put) >= len(put) - 2 and len(put) < 12
+    names = edges.selectExpr("concat('n', src) AS src", "concat('n', dst) AS dst")
+    got = {r["node"]: (r["last"], r["length"], r["cyclic"]) for r in hierarchy.chain_ends(names.where("src <> 'n5'").unionByName(names.where("src = 'n5' AND dst = 'n6'"))).collect()}
+    assert got == {f"n{k}": (last and f"n{last}" if last != 0 else "n0", n, c) for k, (last, n, c) in want.items()}
