@@ -26,6 +26,7 @@ def changed_parts(lines: DataFrame, *, core: list[str], target: list[str]) -> Da
     related = tier.isin("CORE", "CASCADE")
     rows = lines.withColumns({"base_no": no("base_no"), "new_no": no("new_no")})
     rows = rows.withColumns({"tier": tier, "rsn_key": reason_key(F.col("rsn")), "action": classify.action(F.col("base_no"), F.col("new_no"), related), "source_doc": F.col("doc")})
+    rows = checkpointed(rows)  # sets of rows are told several times, what they are told by once
     kept = proposals.recover_tiers(rows).where("tier != 'EXCLUDE' AND action != 'KEEP'")
     number = F.coalesce(F.when(F.col("new_no") != "", F.col("new_no")), F.col("base_no"))
     scope = merge_text(F.col("l1"))

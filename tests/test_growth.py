@@ -240,3 +240,12 @@ def test_chains_are_followed_in_ranges_first(spark, monkeypatch):
     names = edges.selectExpr("concat('n', src) AS src", "concat('n', dst) AS dst")
     got = {r["node"]: (r["last"], r["length"], r["cyclic"]) for r in hierarchy.chain_ends(names.where("src <> 'n5'").unionByName(names.where("src = 'n5' AND dst = 'n6'"))).collect()}
     assert got == {f"n{k}": (last and f"n{last}" if last != 0 else "n0", n, c) for k, (last, n, c) in want.items()}
+
+
+def test_lines_are_classified_once(spark):
+    """Sets of kept lines are looked up in a table, not in rules that are computed again for each look."""
+    from partloom.operators import engine
+
+    lines = spark.createDataFrame([(i, "d", "l", "A1", f"B{i}", "n", "c", "카메라" if i % 2 else "r", "..2", "1") for i in range(20)], "ord int, doc string, l1 string, base_no string, new_no string, name string, chg string, rsn string, level string, qty string")
+    out = engine.changed_parts(lines, core=["카메라"], target=["도어"])
+    assert "카메라" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == 20
