@@ -124,6 +124,35 @@ def test_word_searches(spark):
         assert abs(r.score - sum((1 + math.log(a[w])) * (1 + math.log(b[w])) for w in a if b[w])) < 1e-5
 
 
+def test_sparse_search_skips_what_norms_rule_out(spark, monkeypatch):
+    """Long documents first, then only what may reach the k-th best of them; rows of one identifier are one document."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    docs = [(i, " ".join(rng.choices(["b", "ring", "c3", "d", "e"] + [f"w{j}" for j in range(30)], k=rng.choice([1, 2, 5, 80])))) for i in range(300)] + [(7, "ring RING b"), (400, None), (401, "..")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    words = retrieval.weighed_words(df)
+    plan = words._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan  # texts are shuffled, not their words
+    counts = {}
+    for i, t in docs:
+        counts.setdefault(i, Counter()).update(re.findall("[a-z0-9]+", (t or "").lower()))
+    assert {r.doc_id: {w: round(x, 9) for w, x in zip(r.words, r.weights, strict=True)} for r in words.collect()} == {i: {w: round(1 + math.log(n), 9) for w, n in c.items()} for i, c in counts.items() if c}
+    monkeypatch.setattr(retrieval, "HEADS", 20)
+    got = {(r["query"], r["rank"]): (r.doc_id, round(r.score, 6)) for r in retrieval.sparse_each(words, words.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query"), 5).collect()}
+    want = {}
+    for q in range(0, 300, 20):
+        score = {i: math.floor(sum((1 + math.log(n)) * (1 + math.log(c[w])) for w, n in counts[q].items() if c[w]) * 1e6 + 0.5) / 1e6 for i, c in counts.items()}
+        want |= {(q, k + 1): (i, round(score[i], 6)) for k, i in enumerate(sorted((i for i in score if score[i] > 0), key=lambda i: (-score[i], i))[:5])}
+    assert got == want
+    # a row whose norm, here a false one, rules it out isn't looked at
+    lists = lambda x, t: pa.array(x, pa.list_(t))
+    rows = pa.table({"doc_id": [1, 2, 3, 4], "words": lists([[5], [5], [5, 6], [6]], pa.int64()), "weights": lists([[9.0], [8.0], [99.0, 1.0], [1.0]], pa.float64()), "norm": [9.0, 8.0, 0.5, 0.4]})
+    asked = pa.table({"query": [70], "words": lists([[5]], pa.int64()), "weights": lists([[2.0]], pa.float64()), "norm": [2.0], "least": [0.0]})
+    found = retrieval.largest_in(rows, asked, 2, "doc_id", chunk=2)
+    assert (found["doc_id"].to_pylist(), found["score"].to_pylist()) == ([1, 2], [-18.0, -16.0])
+
+
 def test_substrings(spark):
     rng = random.Random(2)
     text = lambda n: "".join(rng.choice("abC가_%") for _ in range(n))
