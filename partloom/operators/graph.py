@@ -15,20 +15,33 @@ from partloom.session import checkpointed
 CHANGES = ["Change", "New", "Delete"]
 
 
-def lines(rows: DataFrame) -> DataFrame:
-    """bom_lines: rows (doc, row_no, level, part_type, base_no, new_no, name, class,
-    point, reason) with identifiers, effective number, depth, ancestors, parent."""
-    kind = graph_classification(F.col("class"))
-    out = ancestors_by_stack(rows.where("level >= 1")).withColumn("kind", kind)
+def _line_id(row: Column) -> Column:
+    return F.concat_ws(":", F.col("doc"), F.lit("line"), row.cast("string"))
+
+
+def _said(rows: DataFrame) -> DataFrame:
+    out = rows.withColumn("kind", graph_classification(F.col("class")))
     out = out.withColumn("effective_no", effective_part_no(F.col("base_no"), F.col("new_no"), F.col("kind")))
-    line = lambda r: F.concat_ws(":", F.col("doc"), F.lit("line"), r.cast("string"))
     return out.withColumns({
-        "line_id": line(F.col("row_no")),
-        "parent_line_id": F.when(F.col("parent").isNotNull(), line(F.col("parent"))),
+        "line_id": _line_id(F.col("row_no")),
         "search_text": search_text(F.col("doc"), F.col("row_no").cast("string"), F.col("level").cast("string"), F.col("part_type"), F.col("base_no"), F.col("new_no"), F.col("effective_no"), F.col("name"), F.col("kind")),
     })
 
 
+def line_texts(rows: DataFrame) -> DataFrame:
+    """lines without what says where a line hangs: each row alone gives its own, in any
+    order, however few the documents are."""
+    return _said(rows.where("level >= 1"))
+
+
+def lines(rows: DataFrame) -> DataFrame:
+    """bom_lines: rows (doc, row_no, level, part_type, base_no, new_no, name, class,
+    point, reason) with identifiers, effective number, depth, ancestors, parent."""
+    # texts are told behind the windows' shuffle, which has fewer bytes to carry without them
+    out = _said(ancestors_by_stack(rows.where("level >= 1")))
+    return out.withColumn("parent_line_id", F.when(F.col("parent").isNotNull(), _line_id(F.col("parent"))))
+
+
 def both_ends(edges: DataFrame, src: str, sources: DataFrame, dst: str, targets: DataFrame) -> DataFrame:
     """The edges whose two ends are there (one column of keys each); dangling ones go."""
     for column, nodes in ((src, sources), (dst, targets)):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from partloom.operators import fulltext, graph
 from partloom.plans.bom import BOM, CLIMB, KINDS, STACK, bom_rows, part_id_sql
 from partloom.plans.registry import query, table
+from partloom.session import checkpointed
 
 _OK = "NOT IN ('', '-', 'X', 'x', '←', 'nan', 'None')"
 _RAW = f"""raw AS (
@@ -109,8 +110,9 @@ def graph_counts(spark, sf):
 @query(f"""WITH {BOM}, {KINDS}, {_RAW} SELECT 'BomLine' AS label, line_id AS id FROM lines WHERE lower(concat_ws(' | ', doc, row_no, level, part_type, base_no, new_no, effective_no, name, kind)) LIKE '%new0000001%'
     UNION ALL SELECT 'Part', part_id FROM parts WHERE lower(canonical_no || ' | ' || name || ' | ' || part_type) LIKE '%new0000001%'""")
 def graph_full_text(spark, sf):
-    tables = graph.build(bom_rows(spark, sf))
-    return graph.full_text({"BomLine": (tables["bom_lines"], "line_id"), "Part": (tables["parts"], "part_id")}, "NEW0000001")
+    """Texts need no tree: lines are told apart by rows, not by documents, and computed once."""
+    line = checkpointed(graph.line_texts(bom_rows(spark, sf).repartition("doc", "row_no")))
+    return graph.full_text({"BomLine": (line, "line_id"), "Part": (graph.parts(graph.raw_parts(line)), "part_id")}, "NEW0000001")
 
 
 def _sheets(spark, sf):

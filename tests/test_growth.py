@@ -249,3 +249,18 @@ def test_lines_are_classified_once(spark):
     lines = spark.createDataFrame([(i, "d", "l", "A1", f"B{i}", "n", "c", "카메라" if i % 2 else "r", "..2", "1") for i in range(20)], "ord int, doc string, l1 string, base_no string, new_no string, name string, chg string, rsn string, level string, qty string")
     out = engine.changed_parts(lines, core=["카메라"], target=["도어"])
     assert "카메라" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == 20
+
+
+def test_texts_of_lines_need_no_tree(spark):
+    """A full-text search over lines isn't bound to one task for each document."""
+    from pyspark.sql import functions as F
+
+    from partloom.operators import graph
+    from partloom.plans.bom import bom_rows
+
+    rows = bom_rows(spark, "/root/testdata/sf0.001").withColumn("level", F.when(F.col("row_no") % 9 != 0, F.col("level")))  # some have none
+    texts, lines = graph.line_texts(rows), graph.lines(rows)
+    assert "Window" not in texts._jdf.queryExecution().executedPlan().toString()
+    columns = ["line_id", "doc", "row_no", "kind", "effective_no", "search_text"]
+    got = {tuple(r) for r in texts.select(columns).collect()}
+    assert got == {tuple(r) for r in lines.select(columns).collect()} and len(got) == texts.count() > 0
