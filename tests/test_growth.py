@@ -264,3 +264,35 @@ def test_texts_of_lines_need_no_tree(spark):
     columns = ["line_id", "doc", "row_no", "kind", "effective_no", "search_text"]
     got = {tuple(r) for r in texts.select(columns).collect()}
     assert got == {tuple(r) for r in lines.select(columns).collect()} and len(got) == texts.count() > 0
+
+
+def test_walks_jump_between_ranges_only(spark, monkeypatch):
+    """Chains, merging ways, cycles in a range and across ranges, and forks, as walked step by step."""
+    import random
+
+    from partloom.operators import hierarchy
+
+    rng = random.Random(9)
+    edges = {(i, i + 1) for i in range(400) if i % 100 != 99} | {(199, 150), (300, 20), (350, 340), (600, 99), (601, 250), (602, 250), (601, 20)} | {(i, rng.randrange(700, 760)) for i in range(700, 760)}
+    start = list(range(0, 400, 50)) + [600, 601, 602, 701, 733, 999]
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, []).append(b)
+    want = set()
+    for node in start:
+        seen, now, far = {node: 0}, [node], 0
+        while now:
+            far += 1
+            now = [b for a in now for b in after.get(a, []) if b not in seen]
+            seen |= dict.fromkeys(now, far)
+        want |= {(node, r, d) for r, d in seen.items()}
+    df = spark.createDataFrame(sorted(edges), "src long, dst long")
+    asked = spark.createDataFrame([(n,) for n in start], "node long")
+    for pairs in (1 << 22, 40):
+        monkeypatch.setattr(hierarchy, "BETWEEN", pairs)
+        got = [tuple(r) for r in hierarchy.walk(df, asked).collect()]
+        assert set(got) == want and len(got) == len(want)
+    chain = spark.range(5000).selectExpr("id AS src", "id + 1 AS dst")
+    jumps = hierarchy.Jumps(chain)
+    assert jumps.follow(spark.createDataFrame([(0, 0, 0)], "node long, reached long, distance int")).count() == 5001
+    assert sum(t.count() for t in jumps.tables) < 50 and len(jumps.tables) < 5  # not a table of 5,000 for each power of two
