@@ -296,3 +296,40 @@ def test_walks_jump_between_ranges_only(spark, monkeypatch):
     jumps = hierarchy.Jumps(chain)
     assert jumps.follow(spark.createDataFrame([(0, 0, 0)], "node long, reached long, distance int")).count() == 5001
     assert sum(t.count() for t in jumps.tables) < 50 and len(jumps.tables) < 5  # not a table of 5,000 for each power of two
+
+
+def test_named_parts_query_gives_every_pair(spark):
+    import re
+
+    from partloom.plans.bom import bom_rows
+    from partloom.plans.catalogue import QUERIES
+
+    rows = [(r.row_no, r.part_no, r.name.upper()) for r in bom_rows(spark, SF).collect()]
+    want = set()
+    for k, no, name in rows:
+        if k % 20 == 0:
+            text = f"THE PART {no[:3]}-{no[3:]} OR SO" if k % 60 == 0 else f"X{no}Y AND THE {name}" if k % 60 == 20 else name
+            bare = re.sub("[^A-Z0-9]", "", text)
+            want |= {(k, p, "part_no" if p in bare else "part_name") for _, p, n in rows if p in bare or any(w in text for w in n.split() if len(w) > 1 and w not in ("ASS", "ASSY", "THE", "FOR"))}
+    found = QUERIES["named_parts"](spark, SF)
+    got = list(map(tuple, found.select("text_id", "part", "way").collect()))
+    assert found.columns == ["text_id", "part", "way"] and len(got) == len(want) and set(got) == want
+
+
+def test_named_parts_of_one_name_are_dealt_out(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from partloom.operators import feedback
+
+    monkeypatch.setattr(feedback, "NAMED_PAIRS", 1000)
+    parts = spark.createDataFrame([(f"AEC{i:08}", "red bolt", i % 2) for i in range(200)], "number string, name string, s int")
+    rows = [(i % 90, "a red one" if i % 3 else f"bolt aec-{i:08}", s) for i in range(100) for s in (0, 1)]
+    texts = spark.createDataFrame(rows, "text_id int, text string, s int")
+    found = feedback.named_parts(texts.drop("s"), parts.drop("s"))
+    want = {(i % 90, f"AEC{i:08}") for i in range(0, 100, 3)}
+    got = {(r.text_id, r.part): r.way for r in found.collect()}
+    assert found.count() == len(got) == 90 * 200
+    assert {k for k, way in got.items() if way == "part_no"} == want
+    assert found.where("way = 'part_name'").select(F.spark_partition_id()).distinct().count() > 1
+    scoped = feedback.named_parts(texts, parts, scope="s")
+    assert scoped.count() == scoped.select("text_id", "part").distinct().count() == 90 * 200
