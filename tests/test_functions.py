@@ -79,3 +79,12 @@ def test_cases(spark):
 def test_policy(spark):
     p = spark.range(1).select(models.policy(S("for KWSED7613B"), S("d"), S("led")).alias("p")).first().p
     assert (p["core9"], p["primary_prefix"], p["product_gate"], p["secondary"]) == ("WSED7613B", "WSED761", "W", True)
+
+
+def test_words_of_odd_texts(spark):
+    from partloom.functions.text import tokens
+
+    texts = ["", None, " ..", "\x0b a\x1cB　c d\n\n", "가-나 가", "ZA za; Za", "ǅ-9"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(tokens(F.col("text")).alias("w"))
+    assert [r.w for r in df.collect()] == [[], [], [], ["a", "b", "c", "d"], ["가", "나"], ["za"], ["9"]]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1  # told once

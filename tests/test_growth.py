@@ -333,3 +333,40 @@ def test_named_parts_of_one_name_are_dealt_out(spark, monkeypatch):
     assert found.where("way = 'part_name'").select(F.spark_partition_id()).distinct().count() > 1
     scoped = feedback.named_parts(texts, parts, scope="s")
     assert scoped.count() == scoped.select("text_id", "part").distinct().count() == 90 * 200
+
+
+def _shuffled_records(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_word_searches_do_not_shuffle_their_tables(spark):
+    """Blocks of queries go to where the rows lie: what is shuffled is k rows for each query and task."""
+    from partloom.operators import retrieval
+
+    sets = [sorted({(i * 7 + j * j) % 50 for j in range(1 + i % 9)}) for i in range(2000)]
+    docs = spark.createDataFrame([(i, [f"w{w}" for w in s]) for i, s in enumerate(sets)] + [(3000, [])], "doc_id long, words array<string>")
+    queries = docs.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query")
+    before = _shuffled_records(spark)
+    found = retrieval._by_words(docs, queries, 3, lambda got, nq, nd: got / (nq + nd - got), doc_id="doc_id", n_rows=300, n_queries=4)
+    got = [(r["query"], r["rank"], r.doc_id, r.score) for r in found.collect()]
+    want = []
+    for q in range(0, 2000, 50):
+        scored = sorted((-int(len({*sets[q]} & {*s}) / len({*sets[q]} | {*s}) * 1e6 + 0.5) / 1e6, i) for i, s in enumerate(sets) if {*sets[q]} & {*s})
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:3])]
+    assert sorted(got) == want
+    assert _shuffled_records(spark) - before < 4000  # dealt to each of ten blocks, rows alone would be 20,000
+
+
+def test_cells_of_rows_are_bounded_by_words():
+    import pyarrow as pa
+
+    from partloom.operators import retrieval
+
+    n = retrieval.WORDS // 2048 + 1  # words of a row: two pieces of 1024 rows are too many
+    batch = pa.record_batch({"words": pa.array([[1] * n] * 3000, pa.list_(pa.int64()))})
+    assert [c.num_rows for c in retrieval._cells(iter([batch]), 1 << 20)] == [1024, 1976]
+    small = pa.record_batch({"words": pa.array([[1]] * 3000, pa.list_(pa.int64()))})
+    assert [c.num_rows for c in retrieval._cells(iter([small, small]), 2500)] == [2048, 1976, 1976]
+    assert list(retrieval._cells(iter([small.slice(0, 0)]), 2500)) == []
