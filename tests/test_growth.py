@@ -370,3 +370,39 @@ def test_cells_of_rows_are_bounded_by_words():
     small = pa.record_batch({"words": pa.array([[1]] * 3000, pa.list_(pa.int64()))})
     assert [c.num_rows for c in retrieval._cells(iter([small, small]), 2500)] == [2048, 1976, 1976]
     assert list(retrieval._cells(iter([small.slice(0, 0)]), 2500)) == []
+
+
+def test_sparse_search_does_not_shuffle_its_tables(spark, monkeypatch):
+    """Neither texts nor counted words: long documents go to the queries, blocks of queries to the others."""
+    import math
+
+    from partloom.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "WORD_QUERIES", 4)
+    monkeypatch.setattr(retrieval, "HEADS", 20)
+    texts = {i: " ".join(f"w{(i * 7 + j * j) % 50}" for j in range(1 + i % 9)) for i in range(2000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    words = retrieval.weighed_words(docs)
+    assert "Exchange" not in words._jdf.queryExecution().executedPlan().toString()
+    before = _shuffled_records(spark)
+    found = retrieval.sparse_each(words, words.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query"), 3)
+    got = [(r["query"], r["rank"], r.doc_id, round(r.score, 6)) for r in found.collect()]
+    counts = {i: {w: t.split().count(w) for w in t.split()} for i, t in texts.items()}
+    want = []
+    for q in range(0, 2000, 50):
+        x = {i: math.floor(sum((1 + math.log(n)) * (1 + math.log(c[w])) for w, n in counts[q].items() if w in c) * 1e6 + 0.5) / 1e6 for i, c in counts.items()}
+        want += [(q, k + 1, i, round(x[i], 6)) for k, i in enumerate(sorted((i for i in x if x[i] > 0), key=lambda i: (-x[i], i))[:3])]
+    assert sorted(got) == want
+    assert _shuffled_records(spark) - before < 4000  # dealt to each of ten blocks, rows alone would be 20,000
+
+
+def test_repeated_identifiers_of_many_rows_are_one_document(spark, monkeypatch):
+    from partloom.operators import retrieval
+
+    rows = [(i % 300, f"a{i % 300} b b" if i < 300 else "b c") for i in range(340)] + [(None, "b"), (None, "b x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tell = lambda: {r.doc_id: {w: round(x, 4) for w, x in zip(r.words, r.weights, strict=True)} for r in retrieval.weighed_words(docs).collect()}
+    few = tell()
+    assert few[5] == {"a5": 1.0, "b": 2.0986, "c": 1.0} and few[None] == {"b": 1.6931, "x": 1.0} and len(few) == 301
+    monkeypatch.setattr(retrieval, "REPEATED", 3)  # too many to send to all: all are shuffled
+    assert tell() == few
